@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import language, packing, personal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_personal": personal.op5_personal,
+    "op8_language": language.op8_language,
     "op10_packing": packing.op10_packing,
 }
 
