@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, personal, sharding, urls
+from . import language, packing, personal, sharding, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.op1_warc,
     "op5_personal": personal.op5_personal,
     "op6_urls": urls.op6_urls,
     "op8_language": language.op8_language,
