@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, personal, sharding, urls, warc
+from . import decontaminate, language, packing, personal, sharding, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op5_personal": personal.op5_personal,
     "op6_urls": urls.op6_urls,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_language": language.op8_language,
     "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
