@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, personal, sharding, urls, warc
+from . import decontaminate, language, packing, personal, sharding, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_personal": personal.op5_personal,
     "op6_urls": urls.op6_urls,
     "op7_decontaminate": decontaminate.op7_decontaminate,
