@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, neighbours, packing, personal, sharding, toxicity, urls, warc
+from . import decontaminate, language, neighbours, ngram_join, packing, personal, sharding, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_neighbours": neighbours.op2_neighbours,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_personal": personal.op5_personal,
     "op6_urls": urls.op6_urls,
     "op7_decontaminate": decontaminate.op7_decontaminate,
