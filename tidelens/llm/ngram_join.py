@@ -11,9 +11,13 @@ of all shingles in a fixed number of hash buckets), so cells, the classes that s
 where passages are shared by many documents. Cells with the same members are one. A cell of more than ``block`` points
 is dealt into pairs of blocks, each a task of bounded size.
 
-Joining is done twice. The first pass links each point to the first in its cell that passes the bound, which is enough
-for the components of large groups of near copies without comparing all pairs. The second pass compares, in cells
-that still span several components, every pair across components; so no link that joins components is missed.
+A point has a count for every six shingles or so (a power of two of groups, 128 at least), since few groups tell long
+texts apart no more. The tree works on the counts folded to 128; pairs that it leaves pass the bound on the finer ones.
+
+Joining is done twice. The first pass compares the points of a cell with the first one, those left with the first of
+them, and so on for ``leaders`` turns, which is enough for the components of large groups of near copies without
+comparing all pairs. The second pass searches, in cells that still span several components, for all points outside the
+largest one; so no link that joins components is missed.
 
 Defined cases: null text or a text without words has an empty set and links with nothing; a text of fewer words than
 a shingle has one shingle, its whole sequence; repeated rows and copies link with each other; texts of any length are
@@ -22,7 +26,7 @@ read whole; empty tables give no rows; columns other than id and text are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +48,8 @@ class Settings:
     buckets_log2: int = 18
     block: int = 8192
     leaf: int = 32
+    per_group: int = 6
+    leaders: int = 16
 
     def enough(self, overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """overlap / (sizes - overlap) >= num / den, sizes being the sum of both."""
@@ -186,10 +192,29 @@ def shared_cells(tokens: DataFrame) -> DataFrame:
     return tokens.repartition("token").sortWithinPartitions("token", "fp", "n").mapInArrow(run, "cell long, fp long, n long, sig long")
 
 
-def points(docs: DataFrame, needed: DataFrame, how: Settings, bits_log2: int = 22) -> DataFrame:
-    """Third pass: (id, n, counts, hashes) of the representatives in ``needed`` (id), and a few more.
+def count_vector(s: np.ndarray, how: Settings) -> bytes:
+    """Counts by the low bits of the hashes; the first byte is the width of a count."""
+    size = how.groups
+    while size * how.per_group < len(s):
+        size *= 2
+    counts = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    width = "<u1" if counts.max(initial=0) < 256 else "<u4"
+    return bytes([int(width[2])]) + counts.astype(width).tobytes()
+
+
+def counts_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int32)
+
+
+def folded(counts: np.ndarray, size: int) -> np.ndarray:
+    """Counts over fewer groups, again by the low bits."""
+    return counts if len(counts) == size else counts.reshape(-1, size).sum(axis=0)
 
-    The tasks know them by a bitmap of fixed size; a document that only looks needed does no harm.
+
+def described(docs: DataFrame, needed: DataFrame, how: Settings, name: str, of_set: Callable[[np.ndarray], bytes], bits_log2: int = 22) -> DataFrame:
+    """(id, n, <name>) of the documents in ``needed`` (id), and of a few more: a further pass over the texts.
+
+    The tasks know the needed ones by a bitmap of fixed size; a document that only looks needed does no harm.
     """
     mask = (1 << bits_log2) - 1
 
@@ -210,10 +235,9 @@ def points(docs: DataFrame, needed: DataFrame, how: Settings, bits_log2: int = 2
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             chosen = batch.filter(pa.array(wanted[slot(ids.astype(np.int64))]))
             for a, own in sets(chosen, shingler):
-                counts = [np.bincount((s % np.uint64(how.groups)).astype(np.int64), minlength=how.groups).astype("<u4").tobytes() for s in own]
-                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(a, len(own)), pa.array([len(s) for s in own], pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], names=["id", "n", "counts", "hashes"])
+                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(a, len(own)), pa.array([len(s) for s in own], pa.int64()), pa.array([of_set(s) for s in own], pa.binary())], names=["id", "n", name])
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "id long, n long, counts binary, hashes binary")
+    return docs.filter("doc_id is not null").mapInArrow(run, f"id long, n long, {name} binary")
 
 
 class CountTree:
@@ -260,43 +284,60 @@ class CountTree:
                 yield part[x], self.order[at[y]]
 
 
-def cell_pairs(cell_points: DataFrame, how: Settings, first_only: bool) -> DataFrame:
-    """Distinct pairs a < b within cells that pass the bound: for each b the least a, or all across components."""
+def may_link(x: np.ndarray, y: np.ndarray, sizes: int, how: Settings) -> bool:
+    size = min(len(x), len(y))
+    return bool(how.enough(np.minimum(folded(x, size), folded(y, size)).sum(), sizes))
+
+
+def star_pairs(ids: np.ndarray, n: np.ndarray, fine: list[np.ndarray], how: Settings) -> list[tuple[int, int]]:
+    """Pairs of the first point with all that it may link with, then of the first that is left, and so on."""
+    counts, left, found = np.stack([folded(c, how.groups) for c in fine]), np.argsort(ids), []
+    for _ in range(how.leaders):
+        if len(left) < 2:
+            break
+        a, left = left[0], left[1:]
+        near = (how.den * np.minimum(n[a], n[left]) >= how.num * np.maximum(n[a], n[left])) & how.enough(np.minimum(counts[a], counts[left]).sum(axis=1), n[a] + n[left])
+        for k in np.flatnonzero(near).tolist():
+            near[k] = may_link(fine[a], fine[left[k]], int(n[a] + n[left[k]]), how)
+        found += [(int(ids[a]), int(b)) for b in ids[left[near]]]
+        left = left[~near]
+    return found
+
+
+def tree_pairs(ids: np.ndarray, n: np.ndarray, fine: list[np.ndarray], label: np.ndarray, how: Settings) -> list[tuple[int, int]]:
+    """All pairs of points with different labels that may link."""
+    counts = np.stack([folded(c, how.groups) for c in fine])
+    names, size = np.unique(label, return_counts=True)
+    asking = np.flatnonzero(label != names[size.argmax()])  # of two labels one is not the largest
+    found = set()
+    for x, y in CountTree(counts, n, how).search(counts[asking], n[asking]):
+        x = asking[x]
+        across = label[x] != label[y]
+        for a, b in zip(x[across].tolist(), y[across].tolist(), strict=True):
+            pair = (int(min(ids[a], ids[b])), int(max(ids[a], ids[b])))
+            if pair not in found and may_link(fine[a], fine[b], int(n[a] + n[b]), how):
+                found.add(pair)
+    return sorted(found)
+
+
+def cell_pairs(cell_points: DataFrame, how: Settings, stars: bool) -> DataFrame:
+    """Distinct pairs a < b within cells (cell, id, n, counts, label) that pass the bound."""
     size = cell_points.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > how.block).select("cell", F.ceil(F.col("m") / how.block).cast("int").alias("blocks"))
     rows = cell_points.join(size, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "counts", "label")
-
-    def pairs(own: np.ndarray, i: int, j: int, ids: np.ndarray, n: np.ndarray, counts: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        if not len(left) or not len(right):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        tree, got = CountTree(counts[right], n[right], how), []
-        best = np.full(len(ids), np.iinfo(np.int64).max)
-        for x, y in tree.search(counts[left], n[left]):
-            x, y = left[x], right[y]
-            across = label[x] != label[y] if not first_only else ids[x] != ids[y]
-            a, b = np.minimum(ids[x], ids[y])[across], np.where(ids[x] > ids[y], x, y)[across]
-            if first_only:
-                np.minimum.at(best, b, a)
-            else:
-                got.append((a, ids[b]))
-        if first_only:
-            b = np.flatnonzero(best < np.iinfo(np.int64).max)
-            return best[b], ids[b]
-        return (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (np.zeros(0, np.int64),) * 2
+    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "counts", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         found: set[tuple[int, int]] = set()
 
         def done(rows: pa.Table) -> None:
-            columns = [rows.column(c).to_numpy() for c in ("own", "id", "n", "label")]
-            counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4").astype(np.int32).reshape(rows.num_rows, -1)
-            own, ids, n, label = columns
-            _, keep = np.unique(np.stack([own, ids]), axis=1, return_index=True)
-            a, b = pairs(own[keep], rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), ids[keep], n[keep], counts[keep], label[keep])
-            found.update(zip(a.tolist(), b.tolist(), strict=True))
+            ids, n, label = (rows.column(c).to_numpy() for c in ("id", "n", "label"))
+            _, keep = np.unique(ids, return_index=True)
+            packed = rows.column("counts")
+            fine = [counts_of(packed[k].as_py()) for k in keep.tolist()]
+            if len(keep) > 1:
+                found.update(star_pairs(ids[keep], n[keep], fine, how) if stars else tree_pairs(ids[keep], n[keep], fine, label[keep], how))
 
         def out() -> pa.RecordBatch:
             a, b = zip(*found, strict=True) if found else ((), ())
@@ -362,20 +403,27 @@ def join(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_id", te
     classes = members.filter("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("id"))
     placed = cells.filter("sig is null").join(kept, "cell", "left_semi").join(classes, ["fp", "n"]).select("cell", "id")
     placed = materialise(placed, "ngram-placed")
-    known = materialise(points(rows, placed.select("id").distinct(), how), "ngram-points")
-    located = placed.join(known.select("id", "n", "counts"), "id")
-    links = materialise(verified(materialise(cell_pairs(located.withColumn("label", F.col("id")), how, True), "ngram-pairs"), known, how), "ngram-links")
+    known = materialise(described(rows, placed.select("id").distinct(), how, "counts", lambda s: count_vector(s, how)), "ngram-points")
+    located = placed.join(known, "id")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets overlap enough."""
+        pairs = materialise(pairs, "ngram-pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return materialise(verified(pairs, materialise(described(rows, ends, how, "hashes", lambda s: s.tobytes()), "ngram-sets"), how), "ngram-links")
+
+    links = linked(cell_pairs(located.withColumn("label", F.col("id")), how, True))
     labels = components(links)
-    named = located.join(labels, located.id == labels.node, "left").withColumn("label", F.coalesce("label", "id")).drop("node")
-    mixed_cells = placed.join(labels, placed.id == labels.node, "left").groupBy("cell").agg(F.min(F.coalesce("label", "id")).alias("low"), F.max(F.coalesce("label", "id")).alias("high")).filter("low < high").select("cell")
-    more = materialise(cell_pairs(named.join(mixed_cells, "cell", "left_semi"), how, False), "ngram-pairs")
-    fresh = materialise(verified(more, known, how), "ngram-links")
+    named = placed.join(labels, placed.id == labels.node, "left").select("cell", "id", F.coalesce("label", "id").alias("label"))
+    open_cells = named.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("cell")
+    more = cell_pairs(named.join(open_cells, "cell", "left_semi").join(known, "id"), how, False)
+    fresh = linked(more)
     if not fresh.isEmpty():
         labels = components(links.unionByName(fresh))
     of_class = classes.join(labels, classes.id == labels.node, "left").select("fp", "n", F.coalesce("label", "id").alias("component_id"))
-    linked = members.filter("n > 0").join(of_class, ["fp", "n"], "left")
+    shingled = members.filter("n > 0").join(of_class, ["fp", "n"], "left")
     alone = members.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return shingled.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
