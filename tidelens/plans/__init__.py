@@ -1,0 +1,8 @@
+"""Registered queries: operators applied to the given tables."""
+
+
+def registered() -> tuple[dict, dict]:
+    """(queries, SQL) of all modules of this package."""
+    from tidelens.plans import catalog
+
+    return dict(catalog.QUERIES), dict(catalog.SQL)
