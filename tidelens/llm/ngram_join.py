@@ -11,8 +11,8 @@ of all shingles in a fixed number of hash buckets), so cells, the classes that s
 where passages are shared by many documents. Cells with the same members are one. A cell of more than ``block`` points
 is dealt into pairs of blocks, each a task of bounded size.
 
-A point has a count for every six shingles or so (a power of two of groups, 128 at least), since few groups tell long
-texts apart no more. The tree works on the counts folded to 128; pairs that it leaves pass the bound on the finer ones.
+A point has about a group for each shingle (a power of two of groups, 128 at least), since few groups tell long texts
+apart no more. The tree works on the counts folded to 128; pairs that it leaves pass the bound on the finer ones.
 
 Joining is done twice. The first pass compares the points of a cell with the first one, those left with the first of
 them, and so on for ``leaders`` turns, which is enough for the components of large groups of near copies without
@@ -48,7 +48,7 @@ class Settings:
     buckets_log2: int = 18
     block: int = 8192
     leaf: int = 32
-    per_group: int = 6
+    per_group: int = 1
     leaders: int = 16
 
     def enough(self, overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -111,14 +111,14 @@ def frequency_classes(rows: DataFrame, how: Settings) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, how: Settings) -> DataFrame:
-    """Second pass: (token, fp, n) for the prefix of each class; a task gives a class that it meets again once."""
+    """Second pass: (token, fp, n, pos) for the prefix of each class; a task gives a class that it meets again once."""
     shift = np.uint64(64 - how.buckets_log2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(how.words), set()
         for batch in batches:
             for _, own in sets(batch, shingler):
-                tokens, fps, sizes = [], [], []
+                tokens, fps, sizes, places = [], [], [], []
                 for s in own:
                     name = (fingerprint(s), len(s))
                     if not len(s) or name in seen:
@@ -131,79 +131,106 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, how: Settings) -> DataFrame:
                     tokens.append(s[np.argsort(rank, kind="stable")[:keep]] if rank.any() else s[:keep])
                     fps.append(np.full(keep, name[0]))
                     sizes.append(np.full(keep, len(s)))
+                    places.append(np.arange(keep))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(tokens))), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes))], names=["token", "fp", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(tokens))), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "fp", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, fp long, n long")
+    return docs.mapInArrow(run, "token long, fp long, n long, pos long")
 
 
-def shared_cells(tokens: DataFrame) -> DataFrame:
+def possible(token: np.ndarray, n: np.ndarray, pos: np.ndarray, how: Settings) -> np.ndarray:
+    """Which rows (in order of token and n) may link with another one of their token.
+
+    A row needs a neighbour in size within the ratio. Where a token has two rows only and is their first common one, at
+    most the shingles from there on are common; if it is not the first, the first one's cell holds the pair.
+    """
+    if not len(token):
+        return np.zeros(0, bool)
+    pair = (token[1:] == token[:-1]) & (how.den * n[:-1] >= how.num * n[1:])
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    two = first[np.diff(np.r_[first, len(token)]) == 2]
+    left = np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1])
+    pair[two] &= how.enough(left, n[two] + n[two + 1])
+    return np.r_[pair, False] | np.r_[False, pair]
+
+
+def shared_cells(tokens: DataFrame, how: Settings) -> DataFrame:
     """(cell, fp, n) of cells with two members at least, and for each cell a row with ``sig``, the hash of its members.
 
-    A task reads its tokens in order and holds one run at a time; a run longer than ``long_run`` goes out in parts.
+    A task reads its tokens in order and holds one run at a time; a run longer than ``long_run`` goes out in parts, all
+    of its rows, under a signature of its own.
     """
     long_run = 1 << 17
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-        out_before, sig_before = False, np.uint64(0)
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        parted = None  # the token of a long run whose first rows went out
 
         def packed(cell, fp, n, sig) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (cell, fp, n, sig)], names=["cell", "fp", "n", "sig"])
 
-        def emit(token, fp, n) -> Iterator[pa.RecordBatch]:
-            """Complete runs; the first may be the rest of one that partly went out."""
-            nonlocal out_before, sig_before
+        def rows_of(token, fp, n) -> pa.RecordBatch:
+            return packed(token, fp, n, pa.nulls(len(token), pa.int64()))
+
+        def emit(token, fp, n, pos) -> Iterator[pa.RecordBatch]:
+            keep = possible(token, n, pos, how) | (token == parted if parted is not None else False)
+            token, fp, n = token[keep], fp[keep], n[keep]
             if not len(token):
                 return
             first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             size = np.diff(np.r_[first, len(token)])
-            sig = np.add.reduceat(mixed(fp.view(np.uint64) + n.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first)
-            rows, names, sigs = [], [], []
-            for k in np.flatnonzero(size >= 2).tolist() if not out_before else [0, *[k for k in np.flatnonzero(size >= 2).tolist() if k]]:
-                own = int((sig[k] + (sig_before if k == 0 and out_before else np.uint64(0))).view(np.int64))
-                if own in seen and not (k == 0 and out_before):
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(own)
-                rows.append(np.arange(first[k], first[k] + size[k]))
-                names.append(int(token[first[k]]))
-                sigs.append(own)
-            out_before, sig_before = False, np.uint64(0)
-            if rows:
-                at = np.concatenate(rows)
-                yield packed(token[at], fp[at], n[at], pa.nulls(len(at), pa.int64()))
-                yield packed(names, pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.int64()), sigs)
+            sig = as_long(np.add.reduceat(mixed(fp.view(np.uint64) + n.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first))
+            new = np.zeros(len(first), bool)
+            for k, own in enumerate(sig.tolist()):
+                if own not in seen:
+                    new[k] = True
+                    if len(seen) < 1_000_000:
+                        seen.add(own)
+            if parted is not None and token[0] == parted:
+                new[0] = True
+            if new.any():
+                at = np.repeat(new, size)
+                yield rows_of(token[at], fp[at], n[at])
+                yield packed(token[first[new]], pa.nulls(int(new.sum()), pa.int64()), pa.nulls(int(new.sum()), pa.int64()), sig[new])
 
         for batch in batches:
-            token, fp, n = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held))
+            token, fp, n, pos = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in zip((0, 1, 2, 3), held, strict=True))
             fresh = np.r_[True, (token[1:] != token[:-1]) | (fp[1:] != fp[:-1]) | (n[1:] != n[:-1])] if len(token) else np.zeros(0, bool)
-            token, fp, n = token[fresh], fp[fresh], n[fresh]
+            token, fp, n, pos = token[fresh], fp[fresh], n[fresh], pos[fresh]
             cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
-            yield from emit(token[:cut], fp[:cut], n[:cut])
-            held = [token[cut:], fp[cut:], n[cut:]]
+            yield from emit(token[:cut], fp[:cut], n[:cut], pos[:cut])
+            held = [token[cut:], fp[cut:], n[cut:], pos[cut:]]
+            if cut:
+                parted = None
             if len(held[0]) > long_run:
-                yield packed(held[0][:-1], held[1][:-1], held[2][:-1], pa.nulls(len(held[0]) - 1, pa.int64()))
-                sig_before += mixed(held[1][:-1].view(np.uint64) + held[2][:-1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-                out_before, held = True, [h[-1:] for h in held]
+                parted = int(held[0][0])
+                yield rows_of(held[0][:-1], held[1][:-1], held[2][:-1])
+                held = [h[-1:] for h in held]
         yield from emit(*held)
 
-    return tokens.repartition("token").sortWithinPartitions("token", "fp", "n").mapInArrow(run, "cell long, fp long, n long, sig long")
+    return tokens.repartition("token").sortWithinPartitions("token", "n", "fp").mapInArrow(run, "cell long, fp long, n long, sig long")
 
 
 def count_vector(s: np.ndarray, how: Settings) -> bytes:
-    """Counts by the low bits of the hashes; the first byte is the width of a count."""
+    """Counts by the low bits of the hashes; the first byte is the width of a count: half a byte (0), or 4 bytes."""
     size = how.groups
     while size * how.per_group < len(s):
         size *= 2
     counts = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
-    width = "<u1" if counts.max(initial=0) < 256 else "<u4"
-    return bytes([int(width[2])]) + counts.astype(width).tobytes()
+    if counts.max(initial=0) < 16:
+        small = counts.astype(np.uint8)
+        return b"\0" + (small[0::2] | (small[1::2] << 4)).tobytes()
+    return b"\4" + counts.astype("<u4").tobytes()
 
 
 def counts_of(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int32)
+    if packed[0]:
+        return np.frombuffer(packed, "<u4", offset=1).astype(np.int32)
+    raw = np.frombuffer(packed, np.uint8, offset=1)
+    out = np.empty(2 * len(raw), np.int32)
+    out[0::2], out[1::2] = raw & 15, raw >> 4
+    return out
 
 
 def folded(counts: np.ndarray, size: int) -> np.ndarray:
@@ -398,7 +425,7 @@ def join(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = materialise(measured(rows, how), "ngram-measured")
     members = first.filter("part is null").select("doc_id", "n", "fp")
-    cells = materialise(shared_cells(prefixes(rows, frequency_classes(first, how), how)), "ngram-cells")
+    cells = materialise(shared_cells(prefixes(rows, frequency_classes(first, how), how), how), "ngram-cells")
     kept = cells.filter("sig is not null").groupBy("sig").agg(F.min("cell").alias("cell")).select("cell").distinct()
     classes = members.filter("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("id"))
     placed = cells.filter("sig is null").join(kept, "cell", "left_semi").join(classes, ["fp", "n"]).select("cell", "id")
