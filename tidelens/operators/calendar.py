@@ -41,16 +41,16 @@ def date_range_year_reset(spans: DataFrame, step: int = 1, layout: str = LAYOUT)
 
 
 def permutations(rows: DataFrame, by: str = "id", value: str = "v", most: int = 8) -> DataFrame:
-    """(id, k, perm): all orders of the distinct values of each group, in lexicographic order, by repeated joins of the
-    small value sets; groups of more than ``most`` values are an error."""
-    values = rows.select(by, value).distinct()
-    sizes = values.groupBy(by).agg(F.count("*").alias("n"))
-    checked = sizes.withColumn("n", F.when(F.col("n") <= most, F.col("n")).otherwise(F.raise_error(F.lit(f"more than {most} values")).cast("long")))
-    grown = checked.select(by, "n", F.array().cast(f"array<{values.schema[value].dataType.simpleString()}>").alias("perm"))
+    """(id, k, perm): all orders of the distinct values of each group, k counting them in lexicographic order.
+
+    Grown a place at a time by projections alone; groups of more than ``most`` values are an error.
+    """
+    kind = rows.schema[value].dataType.simpleString()
+    sets = rows.groupBy(by).agg(F.array_sort(F.collect_set(value)).alias("all"))
+    checked = F.when(F.size("all") <= most, F.col("all")).otherwise(F.raise_error(F.lit(f"more than {most} values")).cast(f"array<{kind}>"))
+    grown = sets.select(by, checked.alias("all"), F.array().cast(f"array<{kind}>").alias("perm"), F.lit(0).cast("long").alias("k"))
     for _ in range(most):
-        longer = grown.join(values, by, "left").filter(~F.array_contains("perm", F.col(value))).select(by, "n", F.concat("perm", F.array(value)).alias("perm"))
-        grown = longer.filter(F.size("perm") <= F.col("n")).unionByName(grown.filter(F.size("perm") == F.col("n"))).distinct()
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(by).orderBy("perm")
-    return grown.select(by, (F.row_number().over(order) - 1).cast("long").alias("k"), "perm")
+        left = F.array_except("all", "perm")
+        grown = grown.select(by, "all", "perm", (F.col("k") * F.greatest(F.size(left), F.lit(1))).alias("k"), F.posexplode_outer(left).alias("place", "v"))
+        grown = grown.select(by, "all", F.when(F.col("v").isNull(), F.col("perm")).otherwise(F.concat("perm", F.array("v"))).alias("perm"), (F.col("k") + F.coalesce("place", F.lit(0))).alias("k"))
+    return grown.select(by, "k", "perm")

@@ -130,7 +130,8 @@ def read_dense(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, w) of all cells, rows in line order."""
     t = lines(spark, path).filter("size(tok) > 0")
     row = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos")) - 1  # a text matrix is small
-    return t.select(row.cast("long").alias("i"), F.posexplode("tok").alias("j", "x")).select("i", F.col("j").cast("long").alias("j"), F.col("x").cast("double").alias("w"))
+    numbered = t.select(row.cast("long").alias("i"), "tok")
+    return numbered.select("i", F.posexplode("tok").alias("j", "x")).select("i", F.col("j").cast("long").alias("j"), F.col("x").cast("double").alias("w"))
 
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
