@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def crc_bucket(doc_id: int, modulus: int) -> int:
-    """crc32 of the id as text, modulo ``modulus``: the hold-out rule of the learned operators."""
-    return zlib.crc32(str(doc_id).encode()) % modulus
+def bounded_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each ``by`` class, those whose ``key`` has the least hash.
+
+    The classes are counted first; rows that are sure not to be among the least are dropped where they are read, so
+    only about 1.5 * most rows of a class meet in a task, however large the class is.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("__count"))
+    rank = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = rows.join(counts, by).withColumn("__rank", rank).filter(F.col("__rank") * F.col("__count") <= 1.5 * most + 50)
+    order = Window.partitionBy(by).orderBy("__rank", key)
+    return near.withColumn("__turn", F.row_number().over(order)).filter(F.col("__turn") <= most).select(*rows.columns)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_bytes
+from .common import bounded_sample, slices, table, text_bytes
 
 UNKNOWN = "und"
 FOLD = np.arange(256, dtype=np.uint8)
@@ -118,8 +118,7 @@ def fit(docs: DataFrame, learn: F.Column | None = None, per_language: int = 600,
     """Trained on at most ``per_language`` texts of each language; None without any."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.lit(True) if learn is None else learn).alias("learn"))
     rows = rows.filter("learn and lang is not null and octet_length(text) > 0")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    some = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("id", "lang").distinct()
+    some = bounded_sample(rows.select("id", "lang").distinct(), "lang", "id", per_language)
     rows = rows.join(F.broadcast(some), ["id", "lang"])  # at most per_language rows of each language
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

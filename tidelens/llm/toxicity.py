@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bounded_sample, materialise, table
 
 WORD = r"[^\W\d_]+"
 SCORED = "doc_id long, score double, neighbours array<struct<example_id:long,similarity:double,toxic:int>>"
@@ -155,8 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_cla
     share = known.agg(F.avg("label")).first()[0]
     if share is None:
         return None
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_class).select("id", "label")
+    chosen = bounded_sample(known, "label", "id", per_class)
     examples = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # 2 * per_class rows at most
     examples = materialise(examples.dropDuplicates(["id"]), "toxicity-examples")
 
