@@ -11,8 +11,8 @@ of all shingles in a fixed number of hash buckets), so cells, the classes that s
 where passages are shared by many documents. Cells with the same members are one. A cell of more than ``block`` points
 is dealt into pairs of blocks, each a task of bounded size.
 
-A point has about a group for each shingle (a power of two of groups, 128 at least), since few groups tell long texts
-apart no more. The tree works on the counts folded to 128; pairs that it leaves pass the bound on the finer ones.
+A point has a group for every three shingles or so (a power of two of groups, 128 at least), since few groups tell long
+texts apart no more. The tree works on the counts folded to 128; pairs that it leaves pass the bound on the finer ones.
 
 Joining is done twice. The first pass compares the points of a cell with the first one, those left with the first of
 them, and so on for ``leaders`` turns, which is enough for the components of large groups of near copies without
@@ -45,10 +45,10 @@ class Settings:
     num: int = 3
     den: int = 4
     groups: int = 128
-    buckets_log2: int = 18
+    buckets_log2: int = 22
     block: int = 8192
     leaf: int = 32
-    per_group: int = 1
+    per_group: int = 3
     leaders: int = 16
 
     def enough(self, overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -73,41 +73,58 @@ def sets(batch: pa.RecordBatch, shingler: Shingler) -> Iterator[tuple[int, list[
 
 
 def measured(docs: DataFrame, how: Settings) -> DataFrame:
-    """First pass: (doc_id, n, fp) of each document, and rows (part, counts) of the shingle counts by hash bucket."""
+    """First pass: (doc_id, n, fp) of each document, and rows (part, counts) of a task's shingle counts by hash bucket,
+    each count at most 255."""
     parts, shift = 16, np.uint64(64 - how.buckets_log2)
+    names = ["doc_id", "n", "fp", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(how.words), np.zeros(1 << how.buckets_log2, np.int64)
+        waiting: list[np.ndarray] = []
+
+        def count() -> None:
+            nonlocal counts
+            if waiting:
+                counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
+                waiting.clear()
+
         for batch in batches:
             n, fp = [], []
             for _, own in sets(batch, shingler):
                 n += [len(s) for s in own]
                 fp += [fingerprint(s) for s in own]
-                counts += np.bincount((np.concatenate(own) >> shift).astype(np.int64), minlength=len(counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "fp", "part", "counts"])
+                waiting += [(s >> shift).astype(np.uint32) for s in own]
+                if sum(map(len, waiting)) > 2_000_000:
+                    count()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+        count()
         if counts.any():
-            packed = [c.astype("<u4").tobytes() for c in np.split(np.minimum(counts, 2**32 - 1), parts)]
+            packed = [c.tobytes() for c in np.split(np.minimum(counts, 255).astype(np.uint8), parts)]
             none = pa.nulls(parts, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "n", "fp", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return docs.mapInArrow(run, "doc_id long, n long, fp long, part int, counts binary")
 
 
-def frequency_classes(rows: DataFrame, how: Settings) -> np.ndarray:
-    """For each hash bucket, 0 or how far (in half powers of two) its count is above the mean."""
+def frequency_ranks(rows: DataFrame, how: Settings) -> np.ndarray:
+    """For each hash bucket a byte that grows with its count: 64 steps up to the mean, and up to twice the mean, then 16
+    for each doubling. The table has a fixed size; with more text it only tells frequent shingles less well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(counts, "<u4").astype(np.int64)
-                total[part] = total[part] + got if part in total else got
+            for k in range(batch.num_rows):
+                part, got = batch.column(0)[k].as_py(), np.frombuffer(batch.column(1)[k].as_buffer(), np.uint8)
+                if part in total:
+                    total[part] += got
+                else:
+                    total[part] = got.astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["part", "counts"])
 
     got = rows.filter("part is not null").select("part", "counts").repartition(16, "part").mapInArrow(run, "part int, counts binary").collect()
-    counts = np.concatenate([np.frombuffer(bytes(r.counts), np.int64) for r in sorted(got, key=lambda r: r.part)]) if got else np.zeros(1 << how.buckets_log2, np.int64)
-    ratio = np.maximum(1.0, counts / max(1.0, counts.mean()))
-    return np.floor(2 * np.log2(ratio)).astype(np.uint8)
+    counts = np.concatenate([np.frombuffer(bytes(r.counts), np.uint32) for r in sorted(got, key=lambda r: r.part)]) if got else np.zeros(1 << how.buckets_log2, np.uint32)
+    ratio = counts / np.float32(max(1.0, float(counts.mean())))
+    return np.minimum(255, np.where(ratio < 2, 64 * ratio, 128 + 16 * np.log2(np.maximum(ratio, 2) / 2))).astype(np.uint8)
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, how: Settings) -> DataFrame:
@@ -128,7 +145,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, how: Settings) -> DataFrame:
                     seen.add(name)
                     keep = len(s) - -(-how.num * len(s) // how.den) + 1
                     rank = frequent[(s >> shift).astype(np.int64)]
-                    tokens.append(s[np.argsort(rank, kind="stable")[:keep]] if rank.any() else s[:keep])
+                    tokens.append(s[np.argsort(rank, kind="stable")[:keep]])
                     fps.append(np.full(keep, name[0]))
                     sizes.append(np.full(keep, len(s)))
                     places.append(np.arange(keep))
@@ -347,12 +364,15 @@ def tree_pairs(ids: np.ndarray, n: np.ndarray, fine: list[np.ndarray], label: np
     return sorted(found)
 
 
-def cell_pairs(cell_points: DataFrame, how: Settings, stars: bool) -> DataFrame:
-    """Distinct pairs a < b within cells (cell, id, n, counts, label) that pass the bound."""
-    size = cell_points.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > how.block).select("cell", F.ceil(F.col("m") / how.block).cast("int").alias("blocks"))
-    rows = cell_points.join(size, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "counts", "label")
+def cell_pairs(cell_points: DataFrame, large: DataFrame | None, how: Settings, stars: bool) -> DataFrame:
+    """Distinct pairs a < b within cells (cell, id, n, counts, label) that pass the bound; ``large``: (cell, blocks) of
+    the cells that are dealt into blocks."""
+    if large is None:
+        rows = cell_points.select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "n", "counts", "label")
+    else:
+        rows = cell_points.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "counts", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -425,13 +445,15 @@ def join(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = materialise(measured(rows, how), "ngram-measured")
     members = first.filter("part is null").select("doc_id", "n", "fp")
-    cells = materialise(shared_cells(prefixes(rows, frequency_classes(first, how), how), how), "ngram-cells")
+    cells = materialise(shared_cells(prefixes(rows, frequency_ranks(first, how), how), how), "ngram-cells")
     kept = cells.filter("sig is not null").groupBy("sig").agg(F.min("cell").alias("cell")).select("cell").distinct()
     classes = members.filter("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("id"))
     placed = cells.filter("sig is null").join(kept, "cell", "left_semi").join(classes, ["fp", "n"]).select("cell", "id")
     placed = materialise(placed, "ngram-placed")
     known = materialise(described(rows, placed.select("id").distinct(), how, "counts", lambda s: count_vector(s, how)), "ngram-points")
     located = placed.join(known, "id")
+    large = materialise(placed.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > how.block).select("cell", F.ceil(F.col("m") / how.block).cast("int").alias("blocks")), "ngram-large")
+    large = None if large.isEmpty() else large
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose sets overlap enough."""
@@ -439,11 +461,11 @@ def join(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_id", te
         ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         return materialise(verified(pairs, materialise(described(rows, ends, how, "hashes", lambda s: s.tobytes()), "ngram-sets"), how), "ngram-links")
 
-    links = linked(cell_pairs(located.withColumn("label", F.col("id")), how, True))
+    links = linked(cell_pairs(located.withColumn("label", F.col("id")), large, how, True))
     labels = components(links)
     named = placed.join(labels, placed.id == labels.node, "left").select("cell", "id", F.coalesce("label", "id").alias("label"))
     open_cells = named.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("cell")
-    more = cell_pairs(named.join(open_cells, "cell", "left_semi").join(known, "id"), how, False)
+    more = cell_pairs(named.join(open_cells, "cell", "left_semi").join(known, "id"), large, how, False)
     fresh = linked(more)
     if not fresh.isEmpty():
         labels = components(links.unionByName(fresh))
