@@ -200,3 +200,12 @@ def test_files(spark, tmp_path):
     tree = {(r.node, r.level): r.com for r in tx.read_tree(spark, f"{tmp_path}/t.tree").collect()}
     assert tree == {(0, 1): 1, (2, 1): 1, (1, 1): 2, (0, 2): 1, (2, 2): 2, (1, 2): 3, (0, 3): 1, (2, 3): 2, (1, 3): 3}
     assert tx.pretty(m, [0, 1, 2], 1).filter("i = 0").first().line == "---\t2.5\t---"
+
+
+def test_convert(spark, tmp_path):
+    from tidelens.__main__ import main
+
+    m = spark.createDataFrame([(0, 1, 2.5), (2, 0, 1.0)], "i long, j long, w double")
+    tx.write_compressed(m, 3, 3, f"{tmp_path}/c", "CSC")
+    main(["convert", f"{tmp_path}/c", f"{tmp_path}/e"])
+    assert sorted(map(tuple, tx.read_edges(spark, f"{tmp_path}/e", base=0).collect())) == [(0, 1, 2.5), (2, 0, 1.0)]
