@@ -153,7 +153,7 @@ def pagerank(mat: DataFrame, nodes: DataFrame, damping: float | None = None, tol
     Undamped by default (mass leaks at nodes without outgoing weight); with ``damping`` d, teleports by (1 - d) / n.
     Stops when the L1 change is at most ``tol`` (checked at each cut of the lineage) or after ``max_iter`` steps.
     """
-    step_mat, start = stochastic(mat.filter("w <> 0"), "i"), uniform(nodes)
+    step_mat, start = cut_lineage(stochastic(mat.filter("w <> 0"), "i")), cut_lineage(uniform(nodes))
     p = start
     for k in range(1, max_iter + 1):
         moved = vector_product(p, step_mat).withColumnRenamed("p", "m")

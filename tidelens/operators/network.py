@@ -161,7 +161,7 @@ def modularity(mat: DataFrame, members: DataFrame) -> DataFrame:
 
 def shortest_paths(mat: DataFrame, nodes: DataFrame, most_rounds: int = 64, cut_every: int = 3) -> DataFrame:
     """(i, j, d): least sums of weights along directed paths, found by extending paths edge by edge until none shortens."""
-    edges = mat.filter("i <> j").groupBy("i", "j").agg(F.min("w").alias("w"))
+    edges = cut_lineage(mat.filter("i <> j").groupBy("i", "j").agg(F.min("w").alias("w")))
     best = cut_lineage(nodes.select(F.col("node").alias("i"), (F.col("node") + F.lit(0)).alias("j"), F.lit(0.0).alias("d")).unionByName(edges.select("i", "j", F.col("w").alias("d"))))
     step = edges.select(F.col("i").alias("k"), F.col("j").alias("to"), "w")
     for k in range(1, most_rounds + 1):

@@ -40,7 +40,7 @@ def periodogram(field: DataFrame, segment: int, rate: float = 1.0) -> DataFrame:
     taper = F.lit(0.54) - F.lit(0.46) * F.cos(F.lit(two_pi) * F.col("u") / (segment - 1))
     x = rows.join(mean, ["node", "seg"]).select("node", "seg", "u", ((F.col("value") - F.col("m")) * taper).alias("x"))
     angle = F.lit(two_pi / size) * F.pmod(F.col("k") * F.col("u"), F.lit(size))
-    lines = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size // 2)))).groupBy("node", "seg", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
+    lines = x.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size // 2).cast("long")))).groupBy("node", "seg", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
     power = lines.select("node", "seg", "k", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("p"))
     both = F.col("p") * F.when((F.col("k") == 0) | (F.col("k") == size // 2), 1.0).otherwise(2.0)
     total = power.groupBy("node", "seg").agg(F.sum(both).alias("total"))
