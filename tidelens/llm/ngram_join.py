@@ -11,7 +11,7 @@ of all shingles in a fixed number of hash buckets), so cells, the classes that s
 where passages are shared by many documents. Cells with the same members are one. A cell of more than ``block`` points
 is dealt into pairs of blocks, each a task of bounded size.
 
-A point has a group for every three shingles or so (a power of two of groups, 128 at least), since few groups tell long
+A point has about a group for each shingle (a power of two of groups, 128 at least), since few groups tell long
 texts apart no more. The tree works on the counts folded to 128; pairs that it leaves pass the bound on the finer ones.
 
 Joining is done twice. The first pass compares the points of a cell with the first one, those left with the first of
@@ -48,7 +48,7 @@ class Settings:
     buckets_log2: int = 22
     block: int = 8192
     leaf: int = 32
-    per_group: int = 3
+    per_group: int = 1
     leaders: int = 16
 
     def enough(self, overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -72,6 +72,20 @@ def sets(batch: pa.RecordBatch, shingler: Shingler) -> Iterator[tuple[int, list[
         yield a, shingler(data, starts[a:b], ends[a:b])
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Bytes, or the places and values of those that are not 0 where that is shorter."""
+    at = np.flatnonzero(counts)
+    return b"d" + counts.tobytes() if 5 * len(at) >= len(counts) else b"s" + at.astype("<u4").tobytes() + counts[at].tobytes()
+
+
+def add_counts(total: np.ndarray, packed: bytes) -> None:
+    if packed[:1] == b"d":
+        total += np.frombuffer(packed, np.uint8, offset=1)
+    else:
+        n = (len(packed) - 1) // 5
+        total[np.frombuffer(packed, "<u4", n, 1)] += np.frombuffer(packed, np.uint8, n, 1 + 4 * n)
+
+
 def measured(docs: DataFrame, how: Settings) -> DataFrame:
     """First pass: (doc_id, n, fp) of each document, and rows (part, counts) of a task's shingle counts by hash bucket,
     each count at most 255."""
@@ -99,7 +113,7 @@ def measured(docs: DataFrame, how: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         count()
         if counts.any():
-            packed = [c.tobytes() for c in np.split(np.minimum(counts, 255).astype(np.uint8), parts)]
+            packed = [packed_counts(c) for c in np.split(np.minimum(counts, 255).astype(np.uint8), parts)]
             none = pa.nulls(parts, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
@@ -114,11 +128,10 @@ def frequency_ranks(rows: DataFrame, how: Settings) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k in range(batch.num_rows):
-                part, got = batch.column(0)[k].as_py(), np.frombuffer(batch.column(1)[k].as_buffer(), np.uint8)
-                if part in total:
-                    total[part] += got
-                else:
-                    total[part] = got.astype(np.uint32)
+                part = batch.column(0)[k].as_py()
+                if part not in total:
+                    total[part] = np.zeros((1 << how.buckets_log2) // 16, np.uint32)
+                add_counts(total[part], batch.column(1)[k].as_py())
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["part", "counts"])
 
     got = rows.filter("part is not null").select("part", "counts").repartition(16, "part").mapInArrow(run, "part int, counts binary").collect()
