@@ -21,4 +21,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: Base 32 of the hexadecimal digest h: five hexadecimal digits make four letters.
+BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {5 * k + 1}, 5))::BIGINT >> {shift}) % 32 + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS newest FROM p)
+        SELECT page_id, payload_bytes, {BASE32} AS payload_digest,
+            CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < newest THEN newest END AS refers_to
+        FROM q""",
+    "op4_ngram_join": f"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_have >= 75 * (x.n + y.n - both_have)),
+        sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, sides.b FROM reach JOIN sides ON sides.a = reach.b)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+        FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) USING (doc_id)""",
+}
