@@ -51,7 +51,9 @@ def bounded_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     The classes are counted first; rows that are sure not to be among the least are dropped where they are read, so
     only about 1.5 * most rows of a class meet in a task, however large the class is.
     """
-    counts = rows.groupBy(by).agg(F.count("*").alias("__count"))
+    counts = materialise(rows.groupBy(by).agg(F.count("*").alias("__count")), "class-counts")
+    if counts.count() <= 10_000:
+        counts = F.broadcast(counts)  # else the rows would be shuffled by class for this join
     rank = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
     near = rows.join(counts, by).withColumn("__rank", rank).filter(F.col("__rank") * F.col("__count") <= 1.5 * most + 50)
     order = Window.partitionBy(by).orderBy("__rank", key)
