@@ -5,6 +5,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -128,6 +129,33 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), model).count() == 0
 
 
+def test_toxicity_uses_all_words(spark):
+    """Copies of a long text do not displace the words that mark toxicity, and all words of all documents count."""
+    long = " ".join("".join(chr(97 + int(c)) for c in f"{k:04d}") + "x" for k in range(1500))
+    texts = [long] * 120 + ["calm %s day in town" % "abcdefghij"[k % 10] * (1 + k // 10) for k in range(60)] + ["%s moron town" % ("klmnopqrst"[k % 10] * (1 + k // 10)) for k in range(40)]
+    texts += ["what a moron", "calm unseenword day unseenword otherword", "calm"]
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(k, 0, int(k >= 180)) for k in range(220)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, labels)
+    assert (model.index.ids < 120).sum() == 1 and "moron" in model.index.term and len(model.index.term) > 1500
+    got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    assert got[220].score >= 0.3 and got[220].neighbours[0].toxic == 1 and got[0].score < 0.3
+    words = [re.findall(r"[^\W\d_]+", t.lower()) for t in texts]
+    df = Counter(w for x in words for w in set(x))
+
+    def vector(x):
+        plain = {w: (1 + np.log(x.count(w))) * (np.log((1 + len(texts)) / (1 + df[w])) + 1) for w in set(x)}
+        return {w: v * (model.index.weight[k] / model.index.idf[k] if (k := model.index.term.get(w)) is not None else 1) for w, v in plain.items()}
+
+    for doc in (220, 221, 222):
+        q, near = vector(words[doc]), {r.example_id: r.similarity for r in got[doc].neighbours}
+        assert near
+        for i, similarity in near.items():
+            e = vector(words[i])
+            cosine = sum(v * e.get(w, 0) for w, v in q.items()) / np.sqrt(sum(v * v for v in q.values()) * sum(v * v for v in e.values()))
+            assert abs(cosine - similarity) < 1e-9
+
+
 # N-gram join
 
 

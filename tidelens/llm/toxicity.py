@@ -1,19 +1,22 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Examples are a bounded, documented sample: at most ``per_class`` toxic and ``per_class`` other labelled texts (those
-of least hash). The vocabulary is the words whose presence goes with the label (chi-square at least
-``least_chi_square``, at most ``most_terms`` words); weights are (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1). The index
-keeps postings by term, examples in blocks, and each term's greatest weight in each block. A query first scores the
-blocks of the highest bounds, takes the k-th similarity as threshold, then scores every block whose bound reaches it:
-the k nearest are exact, ties going to the smaller example id.
+Terms are all words of whole texts; weights are (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), with df counted over all
+N documents. Words whose presence goes with the label (chi-square over the examples at least ``least_chi_square``) are
+weighed up by their relevance log2(2 + share of toxic / share of other examples with the word), all others by 1; no
+word is dropped. Examples are a bounded, documented sample: at most ``per_class`` toxic and ``per_class`` other
+distinct labelled texts (those of least hash), so copies of a text count once. The index keeps postings by term,
+examples in blocks, and each term's greatest weight in each block. A query first scores the blocks of the highest
+bounds, takes the k-th similarity as threshold, then scores every block whose bound reaches it: the k nearest are
+exact, ties going to the smaller example id. Words that no example has count in a text's norm only; their df is joined,
+so nothing that grows with the documents is broadcast.
 
 Neighbours vote with weight 1 / (distance + 0.1), scaled to the true shares of the labels; the share of toxic votes is
-smoothed by the overall share and calibrated by a logistic fit on leave-one-out votes of the examples. A text without
-any vocabulary word has no neighbours and gets the calibrated overall share.
+smoothed by the overall share and calibrated by a logistic fit on leave-one-out votes of the examples. A text that
+shares no word with an example has no neighbours and gets the calibrated overall share.
 
-Defined cases: null text counts as empty; repeated rows are scored each; a document with several labels counts by
-their majority (toxic on a tie), null labels do not count; without labelled rows the score is 0; texts of any length
-are read whole; empty tables give no rows; other columns are ignored by ``score`` and kept by ``keep_clean``.
+Defined cases: null text counts as empty; repeated rows are scored each; a text with several labels counts by their
+majority (toxic on a tie), null labels do not count; without labelled rows the score is 0; texts of any length are
+read whole; empty tables give no rows; other columns are ignored by ``score`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,54 +36,92 @@ from .common import bounded_sample, materialise, table
 
 WORD = r"[^\W\d_]+"
 SCORED = "doc_id long, score double, neighbours array<struct<example_id:long,similarity:double,toxic:int>>"
+NEAR = "doc_id long, text_key string, known double, neighbours array<struct<example_id:long,similarity:double,toxic:int>>, rest array<struct<word:string,tf:long>>"
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples (id, label, {term: tf}) as postings with block maxima."""
+    """Unit vectors of examples (id, label, {term: tf} or (terms, tfs)) as postings with block maxima.
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], vocabulary: list[str], block: int = 64):
+    ``df`` (by term) and ``documents`` are those of all documents; without them, those of the examples.
+    """
+
+    def __init__(self, examples: list[tuple], vocabulary: list[str], block: int = 64, df: np.ndarray | None = None, documents: int = 0, least_chi_square: float = 25.0):
         examples = sorted(examples, key=lambda e: e[0])
         self.term = {t: k for k, t in enumerate(vocabulary)}
         self.ids, self.labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64)
-        n, df = len(examples), Counter(t for e in examples for t in e[2] if t in self.term)
-        self.idf = np.array([math.log((1 + n) / (1 + df[t])) + 1 for t in vocabulary])
+        n, size = len(examples), len(vocabulary)
+        held = [self.counted(e[2]) if isinstance(e[2], dict) else e[2] for e in examples]
+        ends = np.cumsum([0] + [len(t) for t, _ in held])
+        own = np.repeat(np.arange(n), np.diff(ends))
+        term = np.concatenate([t for t, _ in held] + [np.zeros(0, np.int64)]).astype(np.int64)
+        tf = np.concatenate([f for _, f in held] + [np.zeros(0)])
+        have, toxic = np.bincount(term, minlength=size), np.bincount(term, weights=self.labels[own], minlength=size)
+        df, documents = (have, n) if df is None else (df, documents)
+        self.idf = np.log((1 + documents) / (1 + df)) + 1
+        self.weight = self.idf * relevance(have, toxic, n, int(self.labels.sum()), least_chi_square)
+        w = (1 + np.log(tf)) * self.weight[term]
+        norm = np.sqrt(np.bincount(own, weights=w * w, minlength=n))
+        w = w / norm[own]
+        self.vectors = [(term[a:b], w[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         self.block, self.blocks = block, max(1, -(-n // block))
-        lists: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        self.vectors = []
-        for k, (_, _, tf) in enumerate(examples):
-            terms, weights = self.vector(tf)
-            self.vectors.append((terms, weights))
-            for t, w in zip(terms, weights, strict=True):
-                lists[t].append((k, w))
-        self.postings = [(np.array([p[0] for p in x], np.int64), np.array([p[1] for p in x])) for x in lists]
-        self.top = np.zeros((len(vocabulary), self.blocks))
-        for t, (at, w) in enumerate(self.postings):
-            np.maximum.at(self.top[t], at // block, w)
+        order = np.argsort(term, kind="stable")  # by term, then example
+        self.at, self.w, self.first = own[order].astype(np.int32), w[order], np.r_[0, np.cumsum(have)]
+        # Maxima: a row per term and block in which it occurs.
+        cell = term[order] * self.blocks + self.at // block
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        self.top_at, self.top = (cell[start] % self.blocks).astype(np.int32), np.maximum.reduceat(self.w, start) if len(cell) else self.w
+        self.top_first = np.r_[0, np.cumsum(np.bincount(cell[start] // self.blocks, minlength=size))]
+
+    def counted(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, tfs) of the words that examples have, by term."""
+        found = sorted((self.term[t], n) for t, n in tf.items() if t in self.term)
+        return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], float)
 
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(self.term[t] for t in tf if t in self.term), np.int64)
-        if not len(terms):
-            return terms, np.zeros(0)
-        names = {self.term[t]: n for t, n in tf.items() if t in self.term}
-        w = np.array([1 + math.log(names[t]) for t in terms]) * self.idf[terms]
-        return terms, w / math.sqrt(float(w @ w))
+        """The unit vector of the words that examples have."""
+        terms, w, norm = self.weighed(tf)
+        return terms, w / math.sqrt(norm) if len(terms) else w
+
+    def weighed(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float]:
+        """(terms, weights, sum of squared weights) of the words that examples have."""
+        terms, n = self.counted(tf)
+        w = (1 + np.log(n)) * self.weight[terms]
+        return terms, w, float(w @ w)
+
+    @staticmethod
+    def rows(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers of all terms' rows, one term after the other, and how many each has."""
+        size = first[terms + 1] - first[terms]
+        return np.repeat(first[terms] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()), size
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(positions, similarities) of the k most similar examples with a similarity above 0."""
-        bound = weights @ self.top[terms] if len(terms) else np.zeros(self.blocks)
+        if not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        row, size = self.rows(self.top_first, terms)
+        bound = np.bincount(self.top_at[row], weights=self.top[row] * np.repeat(weights, size), minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        scores = np.zeros(self.blocks * self.block)
+        row, size = self.rows(self.first, terms)
+        at, part = self.at[row], self.w[row] * np.repeat(weights, size)
+
+        def scored(blocks: np.ndarray) -> np.ndarray:
+            if len(blocks) == self.blocks:
+                out = np.bincount(at, weights=part, minlength=self.blocks * self.block)
+            else:
+                chosen = np.zeros(self.blocks * self.block, bool)
+                chosen.reshape(self.blocks, self.block)[blocks] = True
+                here = chosen[at]
+                out = np.bincount(at[here], weights=part[here], minlength=self.blocks * self.block)
+            if 0 <= without:
+                out[without] = 0
+            return out
+
         first = order[: max(1, -(-2 * k // self.block))]
-        self.add(scores, terms, weights, first)
-        if 0 <= without:
-            scores[without] = 0
+        scores = scored(first)
         threshold = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        rest = order[len(first) :]
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= threshold - 1e-9)]
-        if len(rest):
-            self.add(scores, terms, weights, rest)
-            if 0 <= without:
-                scores[without] = 0
+        wanted = order[(bound[order] > 0) & (bound[order] >= threshold - 1e-9)]
+        if len(wanted) > len(first):  # bounds fall along the order, so ``wanted`` begins with ``first``
+            scores = scored(wanted if 2 * len(wanted) < self.blocks else order)
         scores = np.round(scores, 12)  # equal vectors tie, however their sums were rounded
         found = np.flatnonzero(scores > 0)
         if len(found) > k:
@@ -89,23 +131,29 @@ class BlockMaxIndex:
         found = found[np.lexsort((found, -scores[found]))]
         return found, np.minimum(scores[found], 1.0)
 
-    def add(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> None:
-        chosen = np.zeros(self.blocks, bool)
-        chosen[blocks] = True
-        for t, w in zip(terms, weights, strict=True):
-            at, own = self.postings[t]
-            here = chosen[at // self.block]
-            scores[at[here]] += w * own[here]
+
+def relevance(have: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int, least_chi_square: float) -> np.ndarray:
+    """Factor of each word, 1 at least: more for words that go with toxic examples."""
+    n_other = n - n_toxic
+    if not n_toxic or not n_other:
+        return np.ones(len(have))
+    other, c = have - toxic, have.astype(float)
+    chi = n * (toxic * (n_other - other) - other * (n_toxic - toxic)) ** 2 / (float(n_toxic) * n_other * c * (n - c) + 1e-9)
+    ratio = (toxic / n_toxic) / (np.maximum(other, 1) / n_other)
+    return np.where(chi >= least_chi_square, np.log2(2 + ratio), 1.0)
 
 
 class Model:
-    def __init__(self, index: BlockMaxIndex, share: float, k: int):
+    """``frequencies``: (word, df) over all ``documents`` documents; it stays on the driver."""
+
+    def __init__(self, index: BlockMaxIndex, share: float, k: int, frequencies: DataFrame | None = None, documents: int = 0):
         self.index, self.share, self.k = index, share, k
+        self.frequencies, self.documents = frequencies, documents
         toxic = max(1, int(index.labels.sum()))
         other = max(1, len(index.labels) - toxic)
-        self.scale = np.where(index.labels == 1, share / toxic, (1 - share) / other) * len(index.labels)
+        self.of_label = ((1 - share) / other * len(index.labels), share / toxic * len(index.labels))
+        self.scale = np.where(index.labels == 1, self.of_label[1], self.of_label[0])
         self.slope, self.shift = 1.0, 0.0
-        self.known: dict[tuple, tuple] = {}
 
     def votes(self, found: np.ndarray, similarity: np.ndarray) -> float:
         w = self.scale[found] / (1 - similarity + 0.1)
@@ -126,17 +174,13 @@ class Model:
         self.slope, self.shift = max(a, 0.1), b
         return self
 
-    def __call__(self, tf: Counter) -> tuple[float, list[tuple[int, float, int]]]:
-        key = tuple(sorted(tf.items()))
-        got = self.known.get(key)
-        if got is None:
-            found, similarity = self.index.nearest(*self.index.vector(tf), self.k)
-            p = float(1 / (1 + np.exp(-(self.slope * logit(np.array(self.votes(found, similarity))) + self.shift))))
-            got = (p, list(zip(self.index.ids[found].tolist(), similarity.tolist(), self.index.labels[found].tolist(), strict=True)))
-            if len(self.known) > 20_000:
-                self.known.clear()
-            self.known[key] = got
-        return got
+    def score_of(self, neighbours: Column) -> Column:
+        """The calibrated share of toxic votes, as ``votes`` and ``calibrate`` have it."""
+        weight = lambda x: F.when(x["toxic"] == 1, F.lit(self.of_label[1])).otherwise(F.lit(self.of_label[0])) / (1 - x["similarity"] + 0.1)
+        every = F.aggregate(neighbours, F.lit(0.0), lambda acc, x: acc + weight(x))
+        toxic = F.aggregate(neighbours, F.lit(0.0), lambda acc, x: acc + weight(x) * x["toxic"])
+        p = F.least(F.greatest((toxic + self.share) / (every + 1), F.lit(1e-4)), F.lit(1 - 1e-4))
+        return 1 / (1 + F.exp(-(self.slope * F.log(p / (1 - p)) + self.shift)))
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -144,77 +188,134 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def term_counts(text: str | None, terms: dict[str, int]) -> Counter:
-    return Counter(w for w in re.findall(WORD, text.lower()) if w in terms) if text else Counter()
+def term_counts(text: str | None) -> Counter:
+    return Counter(re.findall(WORD, text.lower())) if text else Counter()
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = 3000, most_terms: int = 1024, least_chi_square: float = 25.0, least_df: int = 4, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+def key_of(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def document_frequencies(docs: DataFrame, text_col: str = "text", most: int = 200_000) -> DataFrame:
+    """(word, df) over all rows; the row of the empty word has the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["word", "df"])
+            df.clear()
+            return got
+
+        for batch in batches:
+            df[""] += batch.num_rows
+            for a in range(0, batch.num_rows, 512):
+                for text in batch.column(0).slice(a, 512).to_pylist():
+                    if text:
+                        df.update(set(re.findall(WORD, text.lower())))
+                if len(df) > most:
+                    yield out()
+        yield out()
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = 3000, least_chi_square: float = 25.0, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """``learn`` is a condition on the id column of the labels; None without labelled texts."""
     known = labels.filter(F.lit(True) if learn is None else learn).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"))
     known = known.filter("id is not null and label is not null").groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     share = known.agg(F.avg("label")).first()[0]
     if share is None:
         return None
-    chosen = bounded_sample(known, "label", "id", per_class)
-    examples = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # 2 * per_class rows at most
-    examples = materialise(examples.dropDuplicates(["id"]), "toxicity-examples")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), key_of(F.col(text_col)).alias("key")).join(known, "id")
+    texts = materialise(texts.groupBy("key").agg((F.avg("label") >= 0.5).cast("int").alias("label"), F.min("id").alias("id")), "toxicity-texts")
+    chosen = bounded_sample(texts, "label", "key", per_class)
+    examples = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), key_of(F.col(text_col)).alias("key"))
+    examples = examples.join(F.broadcast(chosen), ["id", "key"]).dropDuplicates(["key"]).select("id", "key", "label", "text")  # 2 * per_class rows at most
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                tf = Counter(re.findall(WORD, (batch.column(1)[k].as_py() or "").lower()))
-                size = max(1, len(tf))
-                cols = [pa.array([batch.column(0)[k].as_py()] * size, pa.int64()), pa.array([batch.column(2)[k].as_py()] * size, pa.int32()), pa.array(list(tf) or [""], pa.string()), pa.array(list(tf.values()) or [0], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "label", "word", "tf"])
-
-    counts = materialise(examples.select("id", "text", "label").mapInArrow(words, "id long, label int, word string, tf long"), "toxicity-words")
-    sizes = {r.label: r.n for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    toxic, other = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    n = toxic + other
-    if not n:
+            tfs = [term_counts(text) for text in batch.column(3).to_pylist()]
+            counts = [pa.array([list(tf) for tf in tfs], pa.list_(pa.string())), pa.array([list(tf.values()) for tf in tfs], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *counts], names=["id", "key", "label", "words", "tfs"])
+
+    counts = materialise(examples.mapInArrow(words, "id long, key string, label int, words array<string>, tfs array<long>"), "toxicity-words")
+    frequencies = materialise(document_frequencies(docs, text_col), "toxicity-df")
+    vocabulary = counts.select(F.explode("words").alias("word")).distinct().join(frequencies, "word").toArrow().sort_by("word")
+    documents = frequencies.filter("word = ''").agg(F.sum("df")).first()[0] or 0
+    held = counts.toArrow().sort_by([("id", "ascending"), ("key", "ascending")])
+    if not held.num_rows:
         return None
-    a, c = F.col("in_toxic").cast("double"), F.col("df").cast("double")
-    chi = n * F.pow(a * (other - (c - a)) - (c - a) * (toxic - a), 2) / (toxic * other * c * (n - c) + 1e-9)
-    per_word = counts.filter("word <> ''").groupBy("word").agg(F.count("*").alias("df"), F.sum("label").alias("in_toxic")).filter(F.col("df") >= least_df)
-    vocabulary = sorted(r.word for r in per_word.withColumn("chi", chi).filter(F.col("chi") >= least_chi_square).orderBy(F.desc("chi"), "word").limit(most_terms).collect())
-    held: dict[int, tuple[int, int, dict[str, int]]] = {r.id: (r.id, r.label, {}) for r in examples.select("id", "label").collect()}
-    for r in counts.filter(F.col("word").isin(vocabulary)).collect() if vocabulary else ():
-        held[r.id][2][r.word] = r.tf
-    return Model(BlockMaxIndex(list(held.values()), vocabulary), float(share), k).calibrate()
-
-
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its score and the neighbours that speak for it."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by per_class and most_terms
+    examples_of = []
+    for batch in held.to_batches():
+        of_words, of_tfs = batch.column(3), batch.column(4)
+        term, tf = pc.index_in(of_words.flatten(), value_set=vocabulary.column(0)).to_numpy(zero_copy_only=False).astype(np.int64), of_tfs.flatten().to_numpy().astype(float)
+        ends = np.r_[0, np.cumsum(pc.list_value_length(of_words).to_numpy(zero_copy_only=False))]
+        for e, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            order = np.argsort(term[a:b], kind="stable")
+            examples_of.append((batch.column(0)[e].as_py(), batch.column(2)[e].as_py(), (term[a:b][order], tf[a:b][order])))
+    index = BlockMaxIndex(examples_of, vocabulary.column(0).to_pylist(), df=vocabulary.column(1).to_numpy(), documents=documents, least_chi_square=least_chi_square)
+    return Model(index, float(share), k, frequencies, documents).calibrate()
+
+
+def nearest_examples(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document, with the k nearest examples, similarities by the norm of the words that examples have
+    (``known``: its square), and the words that none has."""
+    index, k = model.index, model.k
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the words of 2 * per_class texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, kind = shared.value, pa.list_(pa.struct([("example_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+        own, seen = shared.value, {}
+        kinds = pa.list_(pa.struct([("example_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())])), pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))
         for batch in batches:
-            scores, near = [], []
             for a in range(0, batch.num_rows, 512):
-                for text in batch.column(1).slice(a, 512).to_pylist():
-                    p, found = own(term_counts(text, own.index.term)) if own else (0.0, [])
-                    scores.append(p)
-                    near.append([{"example_id": i, "similarity": s, "toxic": y} for i, s, y in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(near, kind)], names=["doc_id", "score", "neighbours"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
+                part, rows = batch.slice(a, 512), []
+                for key, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    got = seen.get(key)
+                    if got is None:
+                        tf = term_counts(text)
+                        terms, w, norm = own.weighed(tf)
+                        found, similarity = own.nearest(terms, w / math.sqrt(norm) if norm else w, k)
+                        near = [{"example_id": i, "similarity": s, "toxic": y} for i, s, y in zip(own.ids[found].tolist(), similarity.tolist(), own.labels[found].tolist(), strict=True)]
+                        got = (norm, near, [{"word": t, "tf": n} for t, n in tf.items() if t not in own.term])
+                        if len(seen) > 2000:
+                            seen.clear()
+                        seen[key] = got
+                    rows.append(got)
+                norms, near, rest = zip(*rows, strict=True)
+                cols = [part.column(0), part.column(1), pa.array(norms, pa.float64()), pa.array(near, kinds[0]), pa.array(rest, kinds[1])]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "known", "neighbours", "rest"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, NEAR)
+
+
+def judged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, score, neighbours: a row per document."""
+    near = materialise(nearest_examples(docs, model, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "toxicity-near")
+    words = near.filter("size(neighbours) > 0").select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.tf")
+    idf = F.log((1 + F.lit(float(model.documents))) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    rest = words.join(model.frequencies, "word", "left").groupBy("row").agg(F.sum(F.pow((1 + F.log("tf")) * idf, 2)).alias("unknown"))
+    part = F.sqrt(F.col("known") / (F.col("known") + F.coalesce("unknown", F.lit(0.0))))
+    similar = F.transform("neighbours", lambda x: F.struct(x["example_id"].alias("example_id"), F.round(x["similarity"] * F.col("part"), 12).alias("similarity"), x["toxic"].alias("toxic")))
+    rows = near.drop("rest").join(rest, "row", "left").withColumn("part", part).withColumn("neighbours", similar)
+    return rows.select("doc_id", "text_key", model.score_of(F.col("neighbours")).alias("score"), "neighbours")
 
 
-def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``."""
-    at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its score and the neighbours that speak for it."""
+    if model is None:
+        none = F.array().cast("array<struct<example_id:long,similarity:double,toxic:int>>")
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), none.alias("neighbours"))
+    return judged(docs, model, id_col, text_col).select("doc_id", "score", "neighbours")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            keep = []
-            for a in range(0, batch.num_rows, 512):
-                keep += [own is None or own(term_counts(text, own.index.term))[0] < threshold for text in batch.column(at).slice(a, 512).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose score reaches ``threshold``; the score depends on the text only."""
+    if model is None:
+        return docs
+    rows = docs.select(F.lit(0).alias("__no"), F.col(text_col).alias("__text"))
+    toxic = materialise(judged(rows, model, "__no", "__text").filter(F.col("score") >= threshold).select(F.col("text_key").alias("__toxic_key")).distinct(), "toxicity-toxic")
+    return docs.join(toxic, key_of(docs[text_col]) == F.col("__toxic_key"), "left_anti")
 
 
 def held_out() -> Column:
