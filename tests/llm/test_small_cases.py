@@ -80,6 +80,17 @@ def test_neighbours(spark):
     assert neighbours.search(df.filter("vec_id in (900, 901)"), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_small_lists(spark):
+    """Queries in small lists get k rows, too, when large clusters decide the number of lists to probe."""
+    rng = np.random.default_rng(5)
+    sizes = [600] * 5 + [6] * 30
+    centres = rng.standard_normal((len(sizes), 16)) * 6
+    x = np.concatenate([c + rng.standard_normal((n, 16)) * 0.3 for c, n in zip(centres, sizes, strict=True)])
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.query_id: r.n for r in neighbours.search(df, F.col("vec_id") >= 3000, k=20).groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+    assert len(got) == 180 and set(got.values()) == {20}
+
+
 def test_neighbours_recall(spark, tables):
     got = neighbours.op2_neighbours(spark, tables).toPandas()
     e = table(spark, tables, "embeddings").toPandas().sort_values("vec_id")

@@ -4,7 +4,8 @@
 (``train_rows`` vectors of least hash), and picks the number of lists to probe so that the sample's own neighbours are
 found with ``target`` probability. ``search`` indexes every vector: equal vectors form one class, each class goes to
 the list of its nearest centroid with its codes, and lists are dealt in blocks of bounded size. A query visits the
-blocks of the lists whose centroids have the largest inner product with it, sums its table of partial products over
+blocks of the lists whose centroids have the largest inner product with it (further lists, too, until those visited
+hold ``fill`` * (k + 1) vectors or all lists are visited, so that small lists never leave fewer than k rows), sums its table of partial products over
 the codes (asymmetric distances), and reranks by the exact inner product of the original vectors, in double precision,
 the best ``rerank`` of each block and all others that come within ``slack`` typical code errors of the k-th. Equal vectors are expanded last, so a vector that a third of all rows share is
 one class: of its ids only the least k + 1 can matter to any query.
@@ -46,7 +47,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 class IvfPq:
-    """centre (lists, dim); books (parts, codes, dim / parts); probes: lists that a query visits."""
+    """centre (lists, dim); books (parts, codes, dim / parts); probes: lists that a query visits at least; sizes: rows
+    of each list, once all vectors are assigned."""
 
     def __init__(self, x: np.ndarray, lists: int = 32, parts: int = 16, codes: int = 64, k: int = 20, target: float = 0.97, rounds: int = 10, seed: int = 7):
         self.dim = x.shape[1]
@@ -56,12 +58,18 @@ class IvfPq:
         residual = (x - self.centre[own]).reshape(len(x), self.parts, -1)
         self.books = [kmeans(np.ascontiguousarray(residual[:, p]), min(codes, len(x)), rounds, seed + p) for p in range(self.parts)]
         self.probes = self.calibrated(x, own, k, target, seed)
+        self.sizes = np.bincount(own, minlength=len(self.centre))
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         return ((self.centre**2).sum(1)[None] - 2 * x @ self.centre.T).argmin(1)
 
-    def probe(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.centre.T), axis=1, kind="stable")[:, : self.probes]
+    def probe(self, q: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The lists that each query visits, one query after the other, and their numbers: ``probes``, and more until
+        they hold ``least`` rows."""
+        order = np.argsort(-(q @ self.centre.T), axis=1, kind="stable")
+        held = np.cumsum(self.sizes[order], axis=1)
+        count = np.minimum(np.maximum((held < least).sum(axis=1) + 1, self.probes), len(self.centre))
+        return order[np.arange(len(self.centre)) < count[:, None]], count
 
     def calibrated(self, x: np.ndarray, own: np.ndarray, k: int, target: float, seed: int) -> int:
         """The fewest probes that hold ``target`` of the true neighbours of some of the sample's rows."""
@@ -128,20 +136,20 @@ def indexed(distinct: DataFrame, model: IvfPq) -> DataFrame:
     return distinct.select("class_id", "vec").mapInArrow(run, "list int, class_id long, vec array<double>, code binary")
 
 
-def probing(queries: DataFrame, model: IvfPq) -> DataFrame:
+def probing(queries: DataFrame, model: IvfPq, least: int) -> DataFrame:
     """(list, class_id, vec): each query once for every list that it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                lists = model.probe(matrix(batch.column(1), model.dim))
-                at = pa.array(np.repeat(np.arange(batch.num_rows), lists.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel(), pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["list", "class_id", "vec"])
+                lists, count = model.probe(matrix(batch.column(1), model.dim), least)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), count))
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["list", "class_id", "vec"])
 
     return queries.select("class_id", "vec").mapInArrow(run, "list int, class_id long, vec array<double>")
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = 200, slack: float = 2.0, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = 200, slack: float = 2.0, fill: int = 10, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows that satisfy ``is_query`` (a condition on ``vec_id``), the k nearest
     of all other rows."""
     spark = vectors.sparkSession
@@ -154,9 +162,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = 200, slack:
     asked = materialise(distinct.join(wanted, "vec").select("class_id", F.col("vec_id").alias("query_id")), "queries")
     queries = distinct.join(asked.select("class_id").distinct(), "class_id", "left_semi")
     index = materialise(indexed(distinct, model), "ivf")
-    sizes = index.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    counts = index.groupBy("list").agg(F.count("*").alias("n"))
+    model.sizes = np.zeros(len(model.centre), np.int64)
+    for row in counts.collect():  # a row per list
+        model.sizes[row["list"]] = row.n
+    sizes = counts.select("list", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     blocked = index.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))  # a row per list
-    asking = materialise(probing(queries, model), "probes")
+    asking = materialise(probing(queries, model, fill * (k + 1)), "probes")
     loads = asking.groupBy("list").agg(F.count("*").alias("m")).select("list", F.ceil(F.col("m") / block_rows).cast("int").alias("turns"))
     asking = asking.join(F.broadcast(sizes), "list").join(F.broadcast(loads), "list").select("class_id", "vec", "list", F.pmod(F.xxhash64("class_id"), F.col("turns")).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     blocked = blocked.join(F.broadcast(loads), "list").select("class_id", "vec", "code", "list", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
@@ -175,7 +187,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = 200, slack:
         for a in range(0, len(asks), 128):
             q, own = np.stack(asks["vec"].to_numpy()[a : a + 128]), asks["class_id"].to_numpy()[a : a + 128]
             near = model.approximate(q, int(key[0]), codes)
-            take = min(len(x), rerank)
+            take = min(len(x), max(rerank, need))
             least = np.partition(near, -take, axis=1)[:, -take]  # of the approximate products, the rerank-th greatest
             close = np.partition(near, -min(need, take), axis=1)[:, -min(need, take)] - slack * spread * np.linalg.norm(q, axis=1)
             for own_id, row, vector, floor in zip(own, near, q, np.minimum(least, close), strict=True):
