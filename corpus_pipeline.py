@@ -30,7 +30,7 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens and their places in sequences."""
-    return packing.pack_documents(docs, packing.tokenizer_path())
+    return packing.pack_documents(docs, packing.tokenizer_path(), added_tokens=True)
 
 
 STAGES = [

@@ -422,6 +422,20 @@ def test_packing(spark):
     assert packing.pack_documents(d.limit(0), packing.tokenizer_path()).count() == 0
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    """The query's ids are those of `tokenizers` in its default mode."""
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|><|endoftext|>  \n y<|endoftext|", "no such token "]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = packing.op10_packing(spark, str(tmp_path)).toPandas()
+    library = Tokenizer.from_file(packing.tokenizer_path())
+    for k, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], dtype="<u4")
+        own = got[got.doc_id == k]
+        assert own.doc_tokens.tolist() == [len(ids)] and own.ids_crc32.tolist() == [zlib.crc32(ids.tobytes())]
+
+
 def test_best_fit():
     rng = np.random.default_rng(6)
     for window in (10, 16, 1024):

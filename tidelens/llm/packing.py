@@ -43,12 +43,19 @@ class Ids(dict):
     one after the other. The vocabulary of the tokenizer file gives the ranks of the merges.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 400_000):
+    def __init__(self, tokenizer_path: str, most: int = 400_000, added_tokens: bool = False):
         import regex
         import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
 
-        vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=False)
+        library = Tokenizer.from_file(tokenizer_path)
+        vocabulary = library.get_vocab(with_added_tokens=False)
+        added = {t.content: (i, t) for i, t in library.get_added_tokens_decoder().items()} if added_tokens else {}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("added tokens that take in blanks or need whole words are not supported")
+        self.added = {content: np.array([i], dtype="<u4").tobytes() for content, (i, _) in added.items()}
+        longest_first = "|".join(re.escape(content) for content in sorted(added, key=len, reverse=True))
+        self.cut = re.compile(f"({longest_first})").split if added else None
         shown = sorted(pre_tokenizers.ByteLevel.alphabet(), key=ord)
         plain = [b for b in range(256) if chr(b) in set(shown)]
         rest = iter(sorted((c for c in shown if ord(c) > 255), key=ord))
@@ -66,16 +73,22 @@ class Ids(dict):
         return got
 
     def of(self, text: str) -> bytes:
+        """The ids of a text: those of its added tokens, if they count, and of what lies between them."""
+        if self.cut is None or not any(content in text for content in self.added):
+            return self.between(text)
+        return b"".join(self.added[part] if k % 2 else self.between(part) for k, part in enumerate(self.cut(text)))
+
+    def between(self, text: str) -> bytes:
         if len(self) > self.most:
             self.clear()
         return b"".join(map(self.__getitem__, (self.words if self.odd(text) else self.latin_words)(text)))
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, groups: int, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, groups: int, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """One row per piece: full windows of ``window`` ids, then the remainder; ``bucket`` deals them to ``groups``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, count = Ids(tokenizer_path), np.array([end_id], dtype="<u4").tobytes(), 0
+        ids_of, end, count = Ids(tokenizer_path, added_tokens=added_tokens), np.array([end_id], dtype="<u4").tobytes(), 0
         for batch in batches:
             rows: list[tuple] = []
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -150,9 +163,11 @@ def pack(pieces: DataFrame, window: int = 1024) -> DataFrame:
     return pieces.groupBy("bucket").applyInPandas(run, PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, group_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, group_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+    """``added_tokens``: a literal added token (<|endoftext|>) in a text gets its one id, as by default in `tokenizers`;
+    without it, the ids of its characters. The query and the pipeline set it."""
     groups = max(1, -(-docs.count() // group_rows))
-    return pack(tokenise(docs, tokenizer_path, groups, window, end_id, id_col, text_col), window)
+    return pack(tokenise(docs, tokenizer_path, groups, window, end_id, id_col, text_col, added_tokens), window)
 
 
 def tokenizer_path() -> str:
@@ -162,4 +177,4 @@ def tokenizer_path() -> str:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), added_tokens=True)
