@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from .common import table
 # Fixed patterns of the base kinds, in the order in which kinds are listed.
 LOCAL = r"[A-Za-z0-9._%+-]"
 DOMAIN = r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"  # a leftmost match starts with its run of digits: no way back is needed
 CARD = r"[0-9]([\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -49,6 +50,12 @@ Span = tuple[str, int, int]
 Pattern = tuple[int, ...]
 
 
+def small(part: str) -> bool:
+    """Whether a run of digits, however long, is at most 255."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(map(int, reversed(digits))):
@@ -65,7 +72,8 @@ class Finder:
         self.digit = re.compile(r"[0-9]").search
         self.spelled = re.compile(r"([A-Za-z0-9._-]{1,64}) ?[\[(] ?at ?[\])] ?([A-Za-z0-9-]{1,63}) ?[\[(] ?dot ?[\])] ?([A-Za-z]{2,24})")
         self.phone_like = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
-        self.word = re.compile(r"[A-Za-z0-9_/+=.-]*")
+        self.word = re.compile(r"[A-Za-z0-9_/+=.-]*").match
+        self.word_chars = frozenset(string.ascii_letters + string.digits + "_/+=.-")
         self.before = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]*\Z")
 
     def emails(self, text: str) -> list[Span]:
@@ -86,7 +94,7 @@ class Finder:
         spans = self.emails(text)
         if not self.digit(text):
             return spans
-        spans += [("ip", *m.span()) for m in self.ip.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        spans += [("ip", *m.span()) for m in self.ip.finditer(text) if all(map(small, m.group().split(".")))]
         for m in self.card.finditer(text):
             digits = re.sub(r"[^0-9]", "", m.group())
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -107,7 +115,7 @@ class Finder:
 
         if "[at]" in text or "(at)" in text or "[ at" in text or "( at" in text:
             found += [("address", *m.span()) for m in self.spelled.finditer(text) if free(*m.span())]
-        m = self.digit(text)
+        m, first, last = self.digit(text), 0, 0  # first, last: the word that was read before
         while m:
             p = m.start()
             like = self.phone_like.match(text, p - (p > 0 and text[p - 1] == "("))
@@ -115,12 +123,13 @@ class Finder:
                 s, e = like.span()
                 kind = "contact"
             else:
-                s = p
-                while s > 0 and p - s < 256 and self.word.match(text[s - 1]).end():
-                    s -= 1
-                e = self.word.match(text, p).end()
-                word = text[s:e].rstrip(".=-/+")
-                e = s + len(word)
+                if p >= last:
+                    first = p
+                    while first > last and text[first - 1] in self.word_chars:
+                        first -= 1
+                    last = self.word(text, p).end()
+                word = text[first:last].rstrip(".=-/+")
+                s, e = first, first + len(word)
                 kind = "number" if sum(c.isalpha() for c in word) == 0 else "secret"
             e = max(e, p + 1)
             if e - s >= 7 and free(s, e) and (not found or s >= found[-1][2] or found[-1][0] == "address"):
@@ -285,4 +294,5 @@ def op5_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in BASE_KINDS]
-    return spans.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", plain)).alias("spans"))
+    added = F.size("added").cast("long").alias("n_added")  # spans that the method adds to the base ones
+    return spans.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", plain)).alias("spans"), added)
