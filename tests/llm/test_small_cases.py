@@ -206,13 +206,26 @@ def near_texts():
     return texts + [None, "", " \t\n", "one", "ONE ", "two words", "two  Words", LONG, LONG.upper(), "É é", "é é"]
 
 
-@pytest.mark.parametrize("block", [8192, 7])
-def test_ngram_join(spark, block):
+@pytest.mark.parametrize(("block", "bitmap_log2"), [(8192, 27), (7, 8)])
+def test_ngram_join(spark, block, bitmap_log2):
     texts = near_texts()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs(spark, texts).repartition(5), ngram_join.Settings(block=block, leaf=4, leaders=2)).collect()}
+    how = ngram_join.Settings(block=block, leaf=4, leaders=2, bitmap_log2=bitmap_log2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs(spark, texts).repartition(5), how).collect()}
     assert got == components_of(texts, list(range(len(texts))))
 
 
+def test_repeated_ids(spark):
+    """Rows that share an id keep their links, and no text is lost."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    near = lambda t, k: t + f" tail{k}"
+    rows = [(5, a), (5, b), (7, near(a, 1)), (9, near(b, 1)), (11, near(a, 2)), (13, near(b, 2)), (5, b), (2, "alone in the world with no copy"), (5, ""), (None, a), (None, a)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(d).collect()}
+    assert got == {(5, 56, 5), (7, 57, 5), (9, 57, 5), (11, 57, 5), (13, 57, 5), (2, 3, 2), (5, 0, 5), (None, 56, 5)}
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(d).collect()), key=str)
+    assert kept == sorted([(5, a), (5, b), (2, rows[7][1]), (5, ""), (None, a), (None, a)], key=str)
+
+
 def test_keep_one(spark):
     texts = near_texts()
     d = docs(spark, texts)
@@ -233,7 +246,8 @@ def test_count_tree_finds_all():
     how = ngram_join.Settings(leaf=5)
     fine = [ngram_join.counts_of(ngram_join.count_vector(s, how)) for s in sets]
     n = np.array([len(s) for s in sets])
-    found = set(ngram_join.tree_pairs(np.arange(300), n, fine, np.arange(300), how))
+    found = list(ngram_join.tree_pairs(np.arange(300), n, fine, np.arange(300), how))
+    assert len(found) == len(set(found))
     for a in range(300):
         for b in range(a + 1, 300):
             both = len(np.intersect1d(sets[a], sets[b]))

@@ -1,7 +1,7 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 Documents link when their sets of distinct word shingles have a Jaccard similarity of at least num / den. Equal sets
-form one class. A class is a point: its shingles are hashed into groups and counted. The sum over groups of the lesser
+form one class, named by a 64-bit hash of set and size. A class is a point: its shingles are hashed into groups and counted. The sum over groups of the lesser
 counts bounds the overlap of two classes from above; an R-tree over the points, whose boxes give the same bound for all
 points below, finds the pairs that may overlap enough, and the sets of the surviving pairs are compared.
 
@@ -20,8 +20,10 @@ comparing all pairs. The second pass searches, in cells that still span several
 largest one; so no link that joins components is missed.
 
 Defined cases: null text or a text without words has an empty set and links with nothing; a text of fewer words than
-a shingle has one shingle, its whole sequence; repeated rows and copies link with each other; texts of any length are
-read whole; empty tables give no rows; columns other than id and text are ignored by ``join`` and kept by ``keep_one``.
+a shingle has one shingle, its whole sequence; repeated rows and copies link with each other; rows that repeat an id
+with other texts are one document to ``join`` (what either links with is one component) and separate texts to
+``keep_one``, which loses none of them; rows without an id take no part; texts of any length are read whole; empty
+tables give no rows; columns other than id and text are ignored by ``join`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -50,6 +52,7 @@ class Settings:
     leaf: int = 32
     per_group: int = 1
     leaders: int = 16
+    bitmap_log2: int = 27
 
     def enough(self, overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """overlap / (sizes - overlap) >= num / den, sizes being the sum of both."""
@@ -60,13 +63,23 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """Of a set of hashes, whatever its order; with the size, the name of a class."""
-    return int(mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
+def class_name(s: np.ndarray) -> int:
+    """64 bits of a set of hashes, whatever its order, and of its size."""
+    total = mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+    return int(mixed(np.array([total], np.uint64) + np.array([len(s)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0])
+
+
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, text, doc_id); ``row`` names the pair of id and text."""
+    return docs.select(row_name(id_col, text_col).alias("row"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+
+
+def row_name(id_col: str, text_col: str) -> F.Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
 def sets(batch: pa.RecordBatch, shingler: Shingler) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(row offset, shingle sets) of slices of bounded bytes of a batch (id, text)."""
+    """(row offset, shingle sets) of slices of bounded bytes of a batch (row, text, ...)."""
     data, starts, ends = text_bytes(batch.column(1))
     for a, b in slices(starts, ends, 1 << 20):
         yield a, shingler(data, starts[a:b], ends[a:b])
@@ -86,11 +99,14 @@ def add_counts(total: np.ndarray, packed: bytes) -> None:
         total[np.frombuffer(packed, "<u4", n, 1)] += np.frombuffer(packed, np.uint8, n, 1 + 4 * n)
 
 
+PARTS = 256  # of the table of bucket counts; a task adds up few of them, however many tasks counted
+
+
 def measured(docs: DataFrame, how: Settings) -> DataFrame:
-    """First pass: (doc_id, n, fp) of each document, and rows (part, counts) of a task's shingle counts by hash bucket,
-    each count at most 255."""
-    parts, shift = 16, np.uint64(64 - how.buckets_log2)
-    names = ["doc_id", "n", "fp", "part", "counts"]
+    """First pass: (doc_id, row, n, id) of each document, and rows (part, counts) of a task's shingle counts by hash
+    bucket, each count at most 255."""
+    shift = np.uint64(64 - how.buckets_log2)
+    names = ["doc_id", "row", "n", "id", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(how.words), np.zeros(1 << how.buckets_log2, np.int64)
@@ -103,21 +119,21 @@ def measured(docs: DataFrame, how: Settings) -> DataFrame:
                 waiting.clear()
 
         for batch in batches:
-            n, fp = [], []
+            n, own_names = [], []
             for _, own in sets(batch, shingler):
                 n += [len(s) for s in own]
-                fp += [fingerprint(s) for s in own]
+                own_names += [class_name(s) for s in own]
                 waiting += [(s >> shift).astype(np.uint32) for s in own]
                 if sum(map(len, waiting)) > 2_000_000:
                     count()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(n, pa.int64()), pa.array(own_names, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         count()
         if counts.any():
-            packed = [packed_counts(c) for c in np.split(np.minimum(counts, 255).astype(np.uint8), parts)]
-            none = pa.nulls(parts, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], names=names)
+            packed = [packed_counts(c) for c in np.split(np.minimum(counts, 255).astype(np.uint8), PARTS)]
+            none = pa.nulls(PARTS, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp long, part int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, id long, part int, counts binary")
 
 
 def frequency_ranks(rows: DataFrame, how: Settings) -> np.ndarray:
@@ -130,27 +146,27 @@ def frequency_ranks(rows: DataFrame, how: Settings) -> np.ndarray:
             for k in range(batch.num_rows):
                 part = batch.column(0)[k].as_py()
                 if part not in total:
-                    total[part] = np.zeros((1 << how.buckets_log2) // 16, np.uint32)
+                    total[part] = np.zeros((1 << how.buckets_log2) // PARTS, np.uint32)
                 add_counts(total[part], batch.column(1)[k].as_py())
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["part", "counts"])
 
-    got = rows.filter("part is not null").select("part", "counts").repartition(16, "part").mapInArrow(run, "part int, counts binary").collect()
+    got = rows.filter("part is not null").select("part", "counts").repartition("part").mapInArrow(run, "part int, counts binary").collect()
     counts = np.concatenate([np.frombuffer(bytes(r.counts), np.uint32) for r in sorted(got, key=lambda r: r.part)]) if got else np.zeros(1 << how.buckets_log2, np.uint32)
     ratio = counts / np.float32(max(1.0, float(counts.mean())))
     return np.minimum(255, np.where(ratio < 2, 64 * ratio, 128 + 16 * np.log2(np.maximum(ratio, 2) / 2))).astype(np.uint8)
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, how: Settings) -> DataFrame:
-    """Second pass: (token, fp, n, pos) for the prefix of each class; a task gives a class that it meets again once."""
+    """Second pass: (token, id, n, pos) for the prefix of each class; a task gives a class that it meets again once."""
     shift = np.uint64(64 - how.buckets_log2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(how.words), set()
         for batch in batches:
             for _, own in sets(batch, shingler):
-                tokens, fps, sizes, places = [], [], [], []
+                tokens, names, sizes, places = [], [], [], []
                 for s in own:
-                    name = (fingerprint(s), len(s))
+                    name = class_name(s)
                     if not len(s) or name in seen:
                         continue
                     if len(seen) > 200_000:
@@ -159,13 +175,13 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, how: Settings) -> DataFrame:
                     keep = len(s) - -(-how.num * len(s) // how.den) + 1
                     rank = frequent[(s >> shift).astype(np.int64)]
                     tokens.append(s[np.argsort(rank, kind="stable")[:keep]])
-                    fps.append(np.full(keep, name[0]))
+                    names.append(np.full(keep, name))
                     sizes.append(np.full(keep, len(s)))
                     places.append(np.arange(keep))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(tokens))), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "fp", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(tokens))), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "id", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, fp long, n long, pos long")
+    return docs.mapInArrow(run, "token long, id long, n long, pos long")
 
 
 def possible(token: np.ndarray, n: np.ndarray, pos: np.ndarray, how: Settings) -> np.ndarray:
@@ -185,10 +201,10 @@ def possible(token: np.ndarray, n: np.ndarray, pos: np.ndarray, how: Settings) -
 
 
 def shared_cells(tokens: DataFrame, how: Settings) -> DataFrame:
-    """(cell, fp, n) of cells with two members at least, and for each cell a row with ``sig``, the hash of its members.
+    """(cell, id) of cells with two members at least, and for each cell a row with ``sig``, the hash of its members.
 
     A task reads its tokens in order and holds one run at a time; a run longer than ``long_run`` goes out in parts, all
-    of its rows, under a signature of its own.
+    of its rows, under a signature that no other cell has.
     """
     long_run = 1 << 17
 
@@ -197,49 +213,46 @@ def shared_cells(tokens: DataFrame, how: Settings) -> DataFrame:
         held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
         parted = None  # the token of a long run whose first rows went out
 
-        def packed(cell, fp, n, sig) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (cell, fp, n, sig)], names=["cell", "fp", "n", "sig"])
+        def packed(cell, ids, sig) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (cell, ids, sig)], names=["cell", "id", "sig"])
 
-        def rows_of(token, fp, n) -> pa.RecordBatch:
-            return packed(token, fp, n, pa.nulls(len(token), pa.int64()))
-
-        def emit(token, fp, n, pos) -> Iterator[pa.RecordBatch]:
+        def emit(token, ids, n, pos) -> Iterator[pa.RecordBatch]:
             keep = possible(token, n, pos, how) | (token == parted if parted is not None else False)
-            token, fp, n = token[keep], fp[keep], n[keep]
+            token, ids = token[keep], ids[keep]
             if not len(token):
                 return
             first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             size = np.diff(np.r_[first, len(token)])
-            sig = as_long(np.add.reduceat(mixed(fp.view(np.uint64) + n.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first))
+            sig = as_long(np.add.reduceat(mixed(ids.view(np.uint64)), first))
+            if parted is not None and token[0] == parted:
+                sig[0] = as_long(mixed(token[:1].view(np.uint64) ^ np.uint64(0x5A5A5A5A5A5A5A5A)))[0]
             new = np.zeros(len(first), bool)
             for k, own in enumerate(sig.tolist()):
                 if own not in seen:
                     new[k] = True
                     if len(seen) < 1_000_000:
                         seen.add(own)
-            if parted is not None and token[0] == parted:
-                new[0] = True
             if new.any():
                 at = np.repeat(new, size)
-                yield rows_of(token[at], fp[at], n[at])
-                yield packed(token[first[new]], pa.nulls(int(new.sum()), pa.int64()), pa.nulls(int(new.sum()), pa.int64()), sig[new])
+                yield packed(token[at], ids[at], pa.nulls(int(at.sum()), pa.int64()))
+                yield packed(token[first[new]], pa.nulls(int(new.sum()), pa.int64()), sig[new])
 
         for batch in batches:
-            token, fp, n, pos = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in zip((0, 1, 2, 3), held, strict=True))
-            fresh = np.r_[True, (token[1:] != token[:-1]) | (fp[1:] != fp[:-1]) | (n[1:] != n[:-1])] if len(token) else np.zeros(0, bool)
-            token, fp, n, pos = token[fresh], fp[fresh], n[fresh], pos[fresh]
+            token, ids, n, pos = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in zip((0, 1, 2, 3), held, strict=True))
+            fresh = np.r_[True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])] if len(token) else np.zeros(0, bool)
+            token, ids, n, pos = token[fresh], ids[fresh], n[fresh], pos[fresh]
             cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
-            yield from emit(token[:cut], fp[:cut], n[:cut], pos[:cut])
-            held = [token[cut:], fp[cut:], n[cut:], pos[cut:]]
+            yield from emit(token[:cut], ids[:cut], n[:cut], pos[:cut])
+            held = [token[cut:], ids[cut:], n[cut:], pos[cut:]]
             if cut:
                 parted = None
             if len(held[0]) > long_run:
                 parted = int(held[0][0])
-                yield rows_of(held[0][:-1], held[1][:-1], held[2][:-1])
+                yield packed(held[0][:-1], held[1][:-1], pa.nulls(len(held[0]) - 1, pa.int64()))
                 held = [h[-1:] for h in held]
         yield from emit(*held)
 
-    return tokens.repartition("token").sortWithinPartitions("token", "n", "fp").mapInArrow(run, "cell long, fp long, n long, sig long")
+    return tokens.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(run, "cell long, id long, sig long")
 
 
 def count_vector(s: np.ndarray, how: Settings) -> bytes:
@@ -268,33 +281,64 @@ def folded(counts: np.ndarray, size: int) -> np.ndarray:
     return counts if len(counts) == size else counts.reshape(-1, size).sum(axis=0)
 
 
-def described(docs: DataFrame, needed: DataFrame, how: Settings, name: str, of_set: Callable[[np.ndarray], bytes], bits_log2: int = 22) -> DataFrame:
-    """(id, n, <name>) of the documents in ``needed`` (id), and of a few more: a further pass over the texts.
+def described(docs: DataFrame, needed: DataFrame, how: Settings, name: str, of_set: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(id, n, <name>) of the classes of the rows in ``needed`` (row), and of a few more: a further pass over the texts.
 
-    The tasks know the needed ones by a bitmap of fixed size; a document that only looks needed does no harm.
+    The tasks know the needed rows by a bitmap, which is sized by their number (eight bits for each, at most 2^bitmap_log2
+    bits) and put together in parts; a row that only looks needed does no harm. Beyond that size the rows are joined.
     """
-    mask = (1 << bits_log2) - 1
+    bits_log2 = max(16, int(8 * max(1, needed.count()) - 1).bit_length())
+    if bits_log2 > how.bitmap_log2:
+        rows, packed = docs.join(needed.distinct(), "row", "left_semi").select(*docs.columns), None
+    else:
+        rows, packed = docs, docs.sparkSession.sparkContext.broadcast(bitmap(needed, bits_log2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(how.words), set()
+        wanted = None if packed is None else np.unpackbits(packed.value).astype(bool)
+        for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted[slot_of(batch.column(0).to_numpy(), bits_log2)]))
+            for _, own in sets(batch, shingler):
+                if len(seen) > 200_000:
+                    seen.clear()
+                got = {}
+                for s in own:
+                    own_name = class_name(s)
+                    if own_name not in seen:
+                        seen.add(own_name)
+                        got[own_name] = s
+                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([len(s) for s in got.values()], pa.int64()), pa.array([of_set(s) for s in got.values()], pa.binary())], names=["id", "n", name])
 
-    def slot(ids: np.ndarray) -> np.ndarray:
-        return (mixed(ids.view(np.uint64)) & np.uint64(mask)).astype(np.int64)
+    return rows.mapInArrow(run, f"id long, n long, {name} binary")
+
+
+def slot_of(rows: np.ndarray, bits_log2: int) -> np.ndarray:
+    return (mixed(rows.view(np.uint64)) >> np.uint64(64 - bits_log2)).astype(np.int64)
+
+
+def bitmap(needed: DataFrame, bits_log2: int, parts_log2: int = 8) -> np.ndarray:
+    """Packed bits of the slots of all rows in ``needed``; each part is put together by one task."""
+    inside = bits_log2 - parts_log2
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot(batch.column(0).to_numpy())))], names=["slot"])
+            slot = np.unique(slot_of(batch.column(0).to_numpy(), bits_log2))
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> inside).astype(np.int32)), pa.array((slot & ((1 << inside) - 1)).astype(np.int32))], names=["part", "slot"])
 
-    bitmap = np.zeros(mask + 1, bool)
-    bitmap[needed.select("id").mapInArrow(slots, "slot long").distinct().toPandas()["slot"].to_numpy(np.int64)] = True
-    packed = np.packbits(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, wanted = Shingler(how.words), np.unpackbits(packed).astype(bool)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            chosen = batch.filter(pa.array(wanted[slot(ids.astype(np.int64))]))
-            for a, own in sets(chosen, shingler):
-                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(a, len(own)), pa.array([len(s) for s in own], pa.int64()), pa.array([of_set(s) for s in own], pa.binary())], names=["id", "n", name])
+            part, slot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for p in np.unique(part).tolist():
+                bits.setdefault(p, np.zeros(1 << inside, bool))[slot[part == p]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([np.packbits(b).tobytes() for b in bits.values()], pa.binary())], names=["part", "bits"])
 
-    return docs.filter("doc_id is not null").mapInArrow(run, f"id long, n long, {name} binary")
+    got = needed.select("row").mapInArrow(slots, "part int, slot int").repartition("part").mapInArrow(packed, "part int, bits binary").collect()
+    out = np.zeros((1 << parts_log2, (1 << inside) // 8), np.uint8)
+    for r in got:
+        out[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.reshape(-1)
 
 
 class CountTree:
@@ -361,20 +405,18 @@ def star_pairs(ids: np.ndarray, n: np.ndarray, fine: list[np.ndarray], how: Sett
     return found
 
 
-def tree_pairs(ids: np.ndarray, n: np.ndarray, fine: list[np.ndarray], label: np.ndarray, how: Settings) -> list[tuple[int, int]]:
-    """All pairs of points with different labels that may link."""
+def tree_pairs(ids: np.ndarray, n: np.ndarray, fine: list[np.ndarray], label: np.ndarray, how: Settings) -> Iterator[tuple[int, int]]:
+    """All pairs of points with different labels that may link, each once."""
     counts = np.stack([folded(c, how.groups) for c in fine])
     names, size = np.unique(label, return_counts=True)
-    asking = np.flatnonzero(label != names[size.argmax()])  # of two labels one is not the largest
-    found = set()
+    asks = label != names[size.argmax()]  # of two labels one is not the largest
+    asking = np.flatnonzero(asks)
     for x, y in CountTree(counts, n, how).search(counts[asking], n[asking]):
         x = asking[x]
-        across = label[x] != label[y]
+        across = (label[x] != label[y]) & (~asks[y] | (x < y))
         for a, b in zip(x[across].tolist(), y[across].tolist(), strict=True):
-            pair = (int(min(ids[a], ids[b])), int(max(ids[a], ids[b])))
-            if pair not in found and may_link(fine[a], fine[b], int(n[a] + n[b]), how):
-                found.add(pair)
-    return sorted(found)
+            if may_link(fine[a], fine[b], int(n[a] + n[b]), how):
+                yield int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))
 
 
 def cell_pairs(cell_points: DataFrame, large: DataFrame | None, how: Settings, stars: bool) -> DataFrame:
@@ -391,13 +433,16 @@ def cell_pairs(cell_points: DataFrame, large: DataFrame | None, how: Settings, s
         held: list[pa.RecordBatch] = []
         found: set[tuple[int, int]] = set()
 
-        def done(rows: pa.Table) -> None:
+        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             ids, n, label = (rows.column(c).to_numpy() for c in ("id", "n", "label"))
             _, keep = np.unique(ids, return_index=True)
             packed = rows.column("counts")
             fine = [counts_of(packed[k].as_py()) for k in keep.tolist()]
             if len(keep) > 1:
-                found.update(star_pairs(ids[keep], n[keep], fine, how) if stars else tree_pairs(ids[keep], n[keep], fine, label[keep], how))
+                for pair in star_pairs(ids[keep], n[keep], fine, how) if stars else tree_pairs(ids[keep], n[keep], fine, label[keep], how):
+                    found.add(pair)
+                    if len(found) > 200_000:
+                        yield out()
 
         def out() -> pa.RecordBatch:
             a, b = zip(*found, strict=True) if found else ((), ())
@@ -413,13 +458,11 @@ def cell_pairs(cell_points: DataFrame, large: DataFrame | None, how: Settings, s
             for s, e in zip(first.tolist(), ends.tolist(), strict=True):
                 part = batch.slice(s, e - s)
                 if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("cell", "i", "j")):
-                    done(pa.Table.from_batches(held))
+                    yield from done(pa.Table.from_batches(held))
                     held = []
                 held.append(part)
-                if len(found) > 200_000:
-                    yield out()
         if held:
-            done(pa.Table.from_batches(held))
+            yield from done(pa.Table.from_batches(held))
         yield out()
 
     keys = ["cell", "i", "j"]
@@ -453,51 +496,77 @@ def verified(pairs: DataFrame, all_points: DataFrame, how: Settings) -> DataFram
     return both.select("a", "b", "hashes").mapInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least id that links lead to)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def linked_classes(rows: DataFrame, how: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of ``named`` rows: members (doc_id, row, n, id), classes (id, low: least doc_id and row), links (a, b) between
+    classes, enough for their components, and these components (node, label)."""
     first = materialise(measured(rows, how), "ngram-measured")
-    members = first.filter("part is null").select("doc_id", "n", "fp")
+    members = first.filter("part is null").select("doc_id", "row", "n", "id")
+    classes = materialise(members.filter("n > 0 and doc_id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "row")).alias("low")), "ngram-classes")
+    rows = rows.filter("doc_id is not null")
     cells = materialise(shared_cells(prefixes(rows, frequency_ranks(first, how), how), how), "ngram-cells")
     kept = cells.filter("sig is not null").groupBy("sig").agg(F.min("cell").alias("cell")).select("cell").distinct()
-    classes = members.filter("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("id"))
-    placed = cells.filter("sig is null").join(kept, "cell", "left_semi").join(classes, ["fp", "n"]).select("cell", "id")
-    placed = materialise(placed, "ngram-placed")
-    known = materialise(described(rows, placed.select("id").distinct(), how, "counts", lambda s: count_vector(s, how)), "ngram-points")
-    located = placed.join(known, "id")
+    placed = materialise(cells.filter("sig is null").join(kept, "cell", "left_semi").select("cell", "id"), "ngram-placed")
+
+    def of_classes(ids: DataFrame, name: str, of_set: Callable[[np.ndarray], bytes]) -> DataFrame:
+        needed = materialise(classes.join(ids.distinct(), "id", "left_semi").select(F.col("low.row").alias("row")), "ngram-needed")
+        return materialise(described(rows, needed, how, name, of_set), f"ngram-{name}")
+
+    known = of_classes(placed.select("id"), "counts", lambda s: count_vector(s, how))
     large = materialise(placed.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > how.block).select("cell", F.ceil(F.col("m") / how.block).cast("int").alias("blocks")), "ngram-large")
     large = None if large.isEmpty() else large
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose sets overlap enough."""
         pairs = materialise(pairs, "ngram-pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return materialise(verified(pairs, materialise(described(rows, ends, how, "hashes", lambda s: s.tobytes()), "ngram-sets"), how), "ngram-links")
+        return materialise(verified(pairs, of_classes(pairs.select(F.explode(F.array("a", "b")).alias("id")), "hashes", lambda s: s.tobytes()), how), "ngram-links")
 
-    links = linked(cell_pairs(located.withColumn("label", F.col("id")), large, how, True))
+    links = linked(cell_pairs(placed.join(known, "id").withColumn("label", F.col("id")), large, how, True))
     labels = components(links)
-    named = placed.join(labels, placed.id == labels.node, "left").select("cell", "id", F.coalesce("label", "id").alias("label"))
-    open_cells = named.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("cell")
-    more = cell_pairs(named.join(open_cells, "cell", "left_semi").join(known, "id"), large, how, False)
-    fresh = linked(more)
-    if not fresh.isEmpty():
-        labels = components(links.unionByName(fresh))
-    of_class = classes.join(labels, classes.id == labels.node, "left").select("fp", "n", F.coalesce("label", "id").alias("component_id"))
-    shingled = members.filter("n > 0").join(of_class, ["fp", "n"], "left")
+    marked = placed.join(labels, placed.id == labels.node, "left").select("cell", "id", F.coalesce("label", "id").alias("label"))
+    open_cells = marked.groupBy("cell").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("cell")
+    more = linked(cell_pairs(marked.join(open_cells, "cell", "left_semi").join(known, "id"), large, how, False))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
+    return members, classes, links, labels
+
+
+def of_components(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, component, low): the component of each class, named by one of its classes."""
+    return classes.join(labels, classes.id == labels.node, "left").select("id", F.coalesce("label", "id").alias("component"), "low")
+
+
+def join(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least id that links lead to)."""
+    members, classes, links, labels = linked_classes(named(docs, id_col, text_col), how)
+    of_id = members.filter("n > 0 and doc_id is not null").select("doc_id", "id")
+    several = of_id.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").select("doc_id", "a")
+    same_id = materialise(of_id.join(several, "doc_id").filter("a < id").select("a", F.col("id").alias("b")).distinct(), "ngram-same-id")
+    found = of_components(classes, labels if same_id.isEmpty() else components(links.unionByName(same_id)))
+    least = found.groupBy("component").agg(F.min("low.doc_id").alias("component_id"))
+    of_class = found.join(least, "component").select("id", "component_id")
+    shingled = members.filter("n > 0").join(of_class, "id", "left")
     alone = members.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    return shingled.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return shingled.unionByName(alone, allowMissingColumns=True).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the least id, and all that link with nothing.
+    """``docs`` with one row of each group of linked texts, that of the least id, and all that link with nothing.
 
-    Rows that repeat the id of a document with words count as one; rows without words or without id all stay.
+    Rows without words or without id all stay. Texts that do not link all stay, whether they share an id or not; rows
+    that repeat both id and text are copies.
     """
-    found = join(docs, how, id_col, text_col).filter("doc_id = component_id")
-    lead = found.groupBy(F.col("doc_id").alias("__lead_id")).agg(F.max("n_shingles").alias("__lead_n"))
-    rows = docs.join(lead, docs[id_col] == F.col("__lead_id")).withColumn("__turn", F.row_number().over(Window.partitionBy("__lead_id").orderBy("__lead_id")))
-    kept = rows.filter("__turn = 1 or __lead_n = 0").select([F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionByName(docs.filter(docs[id_col].isNull()))
+    members, classes, _, labels = linked_classes(named(docs, id_col, text_col), how)
+    lead = of_components(classes, labels).groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("__lead_id"), F.col("low.row").alias("__lead"))
+    repeated = materialise(members.filter("n > 0 and doc_id is not null").groupBy("doc_id", "row").count().filter("count > 1").select(F.col("doc_id").alias("__lead_id"), F.col("row").alias("__lead")), "ngram-repeated")
+    worded = F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & docs[id_col].isNotNull()
+    rows = docs.filter(worded).withColumn("__row", row_name(id_col, text_col))
+    kept = rows.join(lead, (rows["__row"] == lead["__lead"]) & (rows[id_col].cast("long") == lead["__lead_id"]))
+    if not repeated.isEmpty():
+        keys = ["__lead_id", "__lead"]
+        one = kept.join(repeated, keys, "left_semi").withColumn("__turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).filter("__turn = 1").drop("__turn")
+        kept = kept.join(repeated, keys, "left_anti").unionByName(one)
+    return kept.select([F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(~worded))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
