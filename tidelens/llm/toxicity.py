@@ -4,11 +4,11 @@ Terms are all words of whole texts; weights are (1 + ln tf) * (ln((1 + N) / (1 +
 N documents. Words whose presence goes with the label (chi-square over the examples at least ``least_chi_square``) are
 weighed up by their relevance log2(2 + share of toxic / share of other examples with the word), all others by 1; no
 word is dropped. Examples are a bounded, documented sample: at most ``per_class`` toxic and ``per_class`` other
-distinct labelled texts (those of least hash), so copies of a text count once. The index keeps postings by term,
-examples in blocks, and each term's greatest weight in each block. A query first scores the blocks of the highest
-bounds, takes the k-th similarity as threshold, then scores every block whose bound reaches it: the k nearest are
-exact, ties going to the smaller example id. Words that no example has count in a text's norm only; their df is joined,
-so nothing that grows with the documents is broadcast.
+distinct labelled texts (those of least hash), so copies of a text count once. The index keeps similar examples
+together in blocks, postings by term and block, and each term's greatest weight in each block. A query first scores the
+blocks of the highest bounds, takes the k-th similarity as threshold, then every other block whose bound reaches it, and
+leaves the rest unread: the k nearest are exact, ties going to the smaller example id. Words that no example has count
+in a text's norm only; their df is joined, so nothing that grows with the documents is broadcast.
 
 Neighbours vote with weight 1 / (distance + 0.1), scaled to the true shares of the labels; the share of toxic votes is
 smoothed by the overall share and calibrated by a logistic fit on leave-one-out votes of the examples. A text that
@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, materialise, table
+from .neighbours import kmeans
 
 WORD = r"[^\W\d_]+"
 SCORED = "doc_id long, score double, neighbours array<struct<example_id:long,similarity:double,toxic:int>>"
@@ -40,12 +42,18 @@ NEAR = "doc_id long, text_key string, known double, neighbours array<struct<exam
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples (id, label, {term: tf} or (terms, tfs)) as postings with block maxima.
+    """Unit vectors of examples (id, label, {term: tf} or (terms, tfs)) as postings in blocks of similar examples.
 
-    ``df`` (by term) and ``documents`` are those of all documents; without them, those of the examples.
+    Each term has its greatest weight in each block. The ``dense_terms`` most frequent terms are kept as a small matrix
+    for each block, in single precision; all others as posting ranges by term and block. A block whose bound cannot
+    reach a query's k-th similarity is neither read nor multiplied. What comes within ``ERROR`` of the k-th is scored
+    anew in double precision, so results are exact. ``df`` (by term) and ``documents`` are those of all documents;
+    without them, those of the examples.
     """
 
-    def __init__(self, examples: list[tuple], vocabulary: list[str], block: int = 64, df: np.ndarray | None = None, documents: int = 0, least_chi_square: float = 25.0):
+    ERROR = 1e-4  # more than the rounding of sums of a few thousand single-precision products of unit vectors
+
+    def __init__(self, examples: list[tuple], vocabulary: list[str], block: int = 64, df: np.ndarray | None = None, documents: int = 0, least_chi_square: float = 25.0, dense_terms: int = 1024):
         examples = sorted(examples, key=lambda e: e[0])
         self.term = {t: k for k, t in enumerate(vocabulary)}
         self.ids, self.labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64)
@@ -54,28 +62,74 @@ class BlockMaxIndex:
         ends = np.cumsum([0] + [len(t) for t, _ in held])
         own = np.repeat(np.arange(n), np.diff(ends))
         term = np.concatenate([t for t, _ in held] + [np.zeros(0, np.int64)]).astype(np.int64)
-        tf = np.concatenate([f for _, f in held] + [np.zeros(0)])
+        tf = np.concatenate([f for _, f in held] + [np.zeros(0)]).astype(np.int64)
         have, toxic = np.bincount(term, minlength=size), np.bincount(term, weights=self.labels[own], minlength=size)
         df, documents = (have, n) if df is None else (df, documents)
         self.idf = np.log((1 + documents) / (1 + df)) + 1
         self.weight = self.idf * relevance(have, toxic, n, int(self.labels.sum()), least_chi_square)
+        self.block, self.dense_terms = block, dense_terms
+        self.build(ends, term, tf, None)
+
+    def __getstate__(self) -> dict:
+        """What the rest can be built from; the parts that it yields are larger."""
+        ends, term, tf = self.held
+        kept = {k: self.__dict__[k] for k in ("ids", "labels", "idf", "weight", "block", "dense_terms")}
+        narrow = tf.astype(np.min_scalar_type(int(tf.max(initial=0))))
+        return kept | {"words": list(self.term), "held": (ends.astype(np.int32), term.astype(np.int32), narrow, self.example)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.term = {t: k for k, t in enumerate(state.pop("words"))}
+        ends, term, tf, example = state.pop("held")
+        self.__dict__.update(state)
+        self.build(ends.astype(np.int64), term.astype(np.int64), tf.astype(np.int64), example)
+
+    def build(self, ends: np.ndarray, term: np.ndarray, tf: np.ndarray, example: np.ndarray | None) -> None:
+        """The index of examples whose terms and tfs lie one after the other, ``example`` being their order in blocks."""
+        n, size, block = len(self.ids), len(self.term), self.block
+        self.held, own = (ends, term, tf), np.repeat(np.arange(n), np.diff(ends))
         w = (1 + np.log(tf)) * self.weight[term]
         norm = np.sqrt(np.bincount(own, weights=w * w, minlength=n))
         w = w / norm[own]
         self.vectors = [(term[a:b], w[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        self.block, self.blocks = block, max(1, -(-n // block))
-        order = np.argsort(term, kind="stable")  # by term, then example
-        self.at, self.w, self.first = own[order].astype(np.int32), w[order], np.r_[0, np.cumsum(have)]
-        # Maxima: a row per term and block in which it occurs.
-        cell = term[order] * self.blocks + self.at // block
-        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        self.top_at, self.top = (cell[start] % self.blocks).astype(np.int32), np.maximum.reduceat(self.w, start) if len(cell) else self.w
-        self.top_first = np.r_[0, np.cumsum(np.bincount(cell[start] // self.blocks, minlength=size))]
+        self.forward = ends, term, w
+        self.blocks = max(1, -(-n // block))
+        self.example = self.alike(own, term, w, n) if example is None else example  # by place; places are dealt to blocks in order
+        place = np.empty(n, np.int64)
+        place[self.example] = np.arange(n)
+        self.row = np.full(size, -1)  # of the frequent terms
+        frequent = np.argsort(-np.bincount(term, minlength=size), kind="stable")[: min(self.dense_terms, size)]
+        self.row[frequent] = np.arange(len(frequent))
+        here = self.row[term] >= 0
+        dense = np.zeros((len(frequent), self.blocks * block), np.float32)
+        dense[self.row[term[here]], place[own[here]]] = w[here]
+        self.dense = np.ascontiguousarray(dense.reshape(len(frequent), self.blocks, block).transpose(1, 0, 2))
+        self.dense_top = self.dense.max(axis=2).T if len(frequent) else np.zeros((0, self.blocks), np.float32)
+        # The others: postings by term and place; a cell for each term and block in which it occurs.
+        term, at, w = term[~here], place[own[~here]], w[~here]
+        order = np.lexsort((at, term))
+        term, self.at, self.w = term[order], at[order].astype(np.int32), w[order]
+        cell = term * self.blocks + self.at // block
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        self.cell_first, self.cell_size = first, np.diff(np.r_[first, len(cell)])
+        self.cell_block, self.cell_top = (cell[first] % self.blocks).astype(np.int32), np.maximum.reduceat(self.w, first) if len(cell) else self.w
+        self.first_cell = np.r_[0, np.cumsum(np.bincount(cell[first] // self.blocks, minlength=size))]
+
+    def alike(self, own: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, width: int = 64, centres: int = 40, seed: int = 5) -> np.ndarray:
+        """An order in which similar examples lie together (any order gives the same results): by the nearest of a few
+        centres, for vectors whose terms are hashed to ``width`` places."""
+        rng = np.random.default_rng(seed)
+        slot, sign = rng.integers(0, width, len(self.term) + 1), rng.choice([-1.0, 1.0], len(self.term) + 1)
+        x = np.bincount(own * width + slot[term], weights=sign[term] * w, minlength=n * width).reshape(n, width)
+        if n <= self.block:
+            return np.arange(n)
+        centre = kmeans(x, min(centres, n), 6, seed)
+        return np.lexsort((np.arange(n), ((centre**2).sum(1)[None] - 2 * x @ centre.T).argmin(1)))
 
     def counted(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, tfs) of the words that examples have, by term."""
-        found = sorted((self.term[t], n) for t, n in tf.items() if t in self.term)
-        return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], float)
+        """(terms, tfs) of the words that examples have."""
+        terms = np.fromiter(map(self.term.get, tf, repeat(-1)), np.int64, len(tf))
+        known = terms >= 0
+        return terms[known], np.fromiter(tf.values(), float, len(tf))[known]
 
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """The unit vector of the words that examples have."""
@@ -88,48 +142,70 @@ class BlockMaxIndex:
         w = (1 + np.log(n)) * self.weight[terms]
         return terms, w, float(w @ w)
 
-    @staticmethod
-    def rows(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers of all terms' rows, one term after the other, and how many each has."""
-        size = first[terms + 1] - first[terms]
-        return np.repeat(first[terms] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()), size
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, similarities) of the k most similar examples with a similarity above 0."""
-        if not len(terms):
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of([(terms, weights)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the positions and similarities of the k most similar examples with a
+        similarity above 0, but for example ``without[query]``."""
+        m, places = len(queries), self.blocks * self.block
+        size = [len(t) for t, _ in queries]
+        asker, term = np.repeat(np.arange(m), size), np.concatenate([t for t, _ in queries]).astype(np.int64)
+        weight = np.concatenate([w for _, w in queries])
+        here = self.row[term] >= 0
+        q = np.zeros((m, len(self.dense_top)), np.float32)
+        q[asker[here], self.row[term[here]]] = weight[here]
+        asker, term, weight = asker[~here], term[~here], weight[~here]
+        cells, of = ranges(self.first_cell[term], self.first_cell[term + 1] - self.first_cell[term])
+        asker, weight, block = asker[of], weight[of], self.cell_block[cells]
+        bound = q @ self.dense_top + np.bincount(asker * self.blocks + block, weights=weight * self.cell_top[cells], minlength=m * self.blocks).reshape(m, self.blocks)
+        scores = np.zeros((m, places))
+
+        def add(wanted: np.ndarray) -> None:
+            """Adds the scores of the blocks that each query wants."""
+            kept = np.flatnonzero(wanted[asker, block])
+            at, of = ranges(self.cell_first[cells[kept]], self.cell_size[cells[kept]])
+            scores.reshape(-1)[:] += np.bincount(asker[kept][of] * places + self.at[at], weights=weight[kept][of] * self.w[at], minlength=m * places)
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                own = np.flatnonzero(wanted[:, b])
+                products = (q @ self.dense[b])[own] if 2 * len(own) > m else q[own] @ self.dense[b]
+                scores[own, b * self.block : (b + 1) * self.block] += products
+            if without is not None:
+                scores[np.arange(m), self.place_of(without)] = 0
+
+        def kth() -> np.ndarray:
+            return np.partition(scores, places - k, axis=1)[:, places - k] if places >= k else np.zeros(m)
+
+        best = np.zeros((m, self.blocks), bool)
+        np.put_along_axis(best, np.argsort(-bound, axis=1, kind="stable")[:, : -(-2 * k // self.block)], True, axis=1)
+        add(best)
+        add((bound > 0) & (bound >= kth()[:, None] - self.ERROR) & ~best)
+        close = (scores > 0) & (scores >= kth()[:, None] - 2 * self.ERROR)
+        asked = np.zeros(len(self.weight))
+        return [self.exact(terms, weights, self.example[np.flatnonzero(own)], k, asked) for (terms, weights), own in zip(queries, close, strict=True)]
+
+    def place_of(self, examples: np.ndarray) -> np.ndarray:
+        place = np.empty(len(self.example), np.int64)
+        place[self.example] = np.arange(len(self.example))
+        return place[examples]
+
+    def exact(self, terms: np.ndarray, weights: np.ndarray, examples: np.ndarray, k: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best k of ``examples`` in double precision; ties go to the smaller id. ``asked`` is a vector of zeros."""
+        if not len(examples):
             return np.zeros(0, np.int64), np.zeros(0)
-        row, size = self.rows(self.top_first, terms)
-        bound = np.bincount(self.top_at[row], weights=self.top[row] * np.repeat(weights, size), minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        row, size = self.rows(self.first, terms)
-        at, part = self.at[row], self.w[row] * np.repeat(weights, size)
-
-        def scored(blocks: np.ndarray) -> np.ndarray:
-            if len(blocks) == self.blocks:
-                out = np.bincount(at, weights=part, minlength=self.blocks * self.block)
-            else:
-                chosen = np.zeros(self.blocks * self.block, bool)
-                chosen.reshape(self.blocks, self.block)[blocks] = True
-                here = chosen[at]
-                out = np.bincount(at[here], weights=part[here], minlength=self.blocks * self.block)
-            if 0 <= without:
-                out[without] = 0
-            return out
-
-        first = order[: max(1, -(-2 * k // self.block))]
-        scores = scored(first)
-        threshold = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        wanted = order[(bound[order] > 0) & (bound[order] >= threshold - 1e-9)]
-        if len(wanted) > len(first):  # bounds fall along the order, so ``wanted`` begins with ``first``
-            scores = scored(wanted if 2 * len(wanted) < self.blocks else order)
-        scores = np.round(scores, 12)  # equal vectors tie, however their sums were rounded
-        found = np.flatnonzero(scores > 0)
-        if len(found) > k:
-            least = np.partition(scores[found], -k)[-k]
-            above = found[scores[found] > least]
-            found = np.concatenate([above, found[scores[found] == least][: k - len(above)]])
-        found = found[np.lexsort((found, -scores[found]))]
-        return found, np.minimum(scores[found], 1.0)
+        ends, term, w = self.forward
+        asked[terms] = weights
+        at, of = ranges(ends[examples], ends[examples + 1] - ends[examples])
+        scores = np.round(np.bincount(of, weights=asked[term[at]] * w[at], minlength=len(examples)), 12)  # equal vectors tie, however their sums were rounded
+        asked[terms] = 0
+        order = np.lexsort((examples, -scores))[:k]
+        order = order[scores[order] > 0]
+        return examples[order], np.minimum(scores[order], 1.0)
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, one after the other, and the range of each."""
+    return np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()), np.repeat(np.arange(len(size)), size)
 
 
 def relevance(have: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int, least_chi_square: float) -> np.ndarray:
@@ -161,7 +237,11 @@ class Model:
 
     def calibrate(self, rounds: int = 25) -> Model:
         """Logistic fit of the labels on the logit of leave-one-out votes, weighted to the true shares."""
-        raw = np.array([self.votes(*self.index.nearest(*v, self.k, without=e)) for e, v in enumerate(self.index.vectors)])
+        vectors, raw = self.index.vectors, []
+        for a in range(0, len(vectors), 64):
+            own = vectors[a : a + 64]
+            raw += [self.votes(*found) for found in self.index.nearest_of(own, self.k, without=np.arange(a, a + len(own)))]
+        raw = np.array(raw)
         x, y, n = logit(raw), self.index.labels, self.scale
         a, b = 1.0, 0.0
         for _ in range(rounds):
@@ -258,6 +338,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_cla
     return Model(index, float(share), k, frequencies, documents).calibrate()
 
 
+def listed(sizes: list[int], columns: list[pa.Array], names: list[str]) -> pa.ListArray:
+    """Rows of lists of structs."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.StructArray.from_arrays(columns, names=names))
+
+
 def nearest_examples(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document, with the k nearest examples, similarities by the norm of the words that examples have
     (``known``: its square), and the words that none has."""
@@ -266,25 +351,22 @@ def nearest_examples(docs: DataFrame, model: Model, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = shared.value, {}
-        kinds = pa.list_(pa.struct([("example_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())])), pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(a, 512), []
-                for key, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    got = seen.get(key)
-                    if got is None:
-                        tf = term_counts(text)
-                        terms, w, norm = own.weighed(tf)
-                        found, similarity = own.nearest(terms, w / math.sqrt(norm) if norm else w, k)
-                        near = [{"example_id": i, "similarity": s, "toxic": y} for i, s, y in zip(own.ids[found].tolist(), similarity.tolist(), own.labels[found].tolist(), strict=True)]
-                        got = (norm, near, [{"word": t, "tf": n} for t, n in tf.items() if t not in own.term])
-                        if len(seen) > 2000:
-                            seen.clear()
-                        seen[key] = got
-                    rows.append(got)
-                norms, near, rest = zip(*rows, strict=True)
-                cols = [part.column(0), part.column(1), pa.array(norms, pa.float64()), pa.array(near, kinds[0]), pa.array(rest, kinds[1])]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "known", "neighbours", "rest"])
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                keys = part.column(1).to_pylist()
+                new = {key: term_counts(text) for key, text in zip(keys, part.column(2).to_pylist(), strict=True) if key not in seen}
+                weighed = [own.weighed(tf) for tf in new.values()]
+                found = own.nearest_of([(terms, w / math.sqrt(norm) if norm else w) for terms, w, norm in weighed], k) if new else []
+                if len(seen) > 2000:
+                    seen = {key: seen[key] for key in keys if key in seen}
+                for (key, tf), (_, _, norm), (at, similarity) in zip(new.items(), weighed, found, strict=True):
+                    rest = [t for t in tf if t not in own.term]
+                    seen[key] = norm, own.ids[at], similarity, own.labels[at].astype(np.int32), rest, [tf[t] for t in rest]
+                norms, ids, similarities, labels, rest, tfs = zip(*(seen[key] for key in keys), strict=True)
+                near = listed([len(x) for x in ids], [pa.array(np.concatenate(x)) for x in (ids, similarities, labels)], ["example_id", "similarity", "toxic"])
+                words = listed([len(x) for x in rest], [pa.array(list(chain.from_iterable(rest)), pa.string()), pa.array(list(chain.from_iterable(tfs)), pa.int64())], ["word", "tf"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(norms, pa.float64()), near, words], names=["doc_id", "text_key", "known", "neighbours", "rest"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, NEAR)
 
