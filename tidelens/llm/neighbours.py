@@ -1,23 +1,28 @@
 """Approximate nearest neighbours: inverted file of coarse centroids with product-quantised residuals.
 
-``train`` fits coarse centroids and, on the residuals, one codebook per sub-vector, in numpy on a bounded sample
-(``train_rows`` vectors of least hash), and picks the number of lists to probe so that the sample's own neighbours are
-found with ``target`` probability. ``search`` indexes every vector: equal vectors form one class, each class goes to
-the list of its nearest centroid with its codes, and lists are dealt in blocks of bounded size. A query visits the
-blocks of the lists whose centroids have the largest inner product with it (further lists, too, until those visited
-hold ``fill`` * (k + 1) vectors or all lists are visited, so that small lists never leave fewer than k rows), sums its table of partial products over
-the codes (asymmetric distances), and reranks by the exact inner product of the original vectors, in double precision,
-the best ``rerank`` of each block and all others that come within ``slack`` typical code errors of the k-th. Equal vectors are expanded last, so a vector that a third of all rows share is
-one class: of its ids only the least k + 1 can matter to any query.
+``train`` fits coarse centroids, about the square root of the number of vectors (at most ``most_lists``), and, on the
+residuals in units of their list's spread, one codebook per sub-vector, in numpy on a sample of bounded size (40 vectors a list, ``train_rows`` at
+least, chosen by hash), and picks the number of lists to probe so that the sample's own neighbours are found with
+``target`` probability. ``search`` indexes every vector: equal vectors form one class, each class goes to the list of
+its nearest centroid with its codes, and lists are dealt in blocks of bounded size. A query visits the blocks of the
+lists whose centroids have the largest inner product with it (further lists, too, until those visited hold ``fill`` *
+(k + 1) vectors or all lists are visited). There its table of partial products, one row per sub-vector, is summed over
+the codes (asymmetric distances); vectors take no part in that, only codes are shuffled. A block gives its best
+``rerank`` rows that reach the query's floor, the product that about twice ``rerank`` of all rows should reach by the
+sample; a query that gets fewer than k + 1 that way asks again without a floor. The best ``rerank`` of all blocks by
+code are joined with the original vectors and ranked by the exact inner product, in double precision. Equal vectors are
+expanded last, so a vector that a third of all rows share is one class: of its ids only the least k + 1 can matter to
+any query.
 
 Defined cases: vectors that are null, all zero, of another length than the most frequent one, or that hold null or
-non-finite components take no part, neither as queries nor as candidates; ties go to the smaller id; rows that repeat
-an id count once per distinct vector; fewer candidates than k give them all; empty tables give no rows; other columns
-are ignored.
+non-finite components take no part, neither as queries nor as candidates; ties go to the smaller id (ties of the codes,
+too); rows that repeat an id count once per distinct vector; fewer candidates than k give them all; empty tables give no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,17 +53,41 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 class IvfPq:
     """centre (lists, dim); books (parts, codes, dim / parts); probes: lists that a query visits at least; sizes: rows
-    of each list, once all vectors are assigned."""
+    of each list, once all vectors are assigned; decoded: the sample as its codes have it; total: of all vectors."""
 
-    def __init__(self, x: np.ndarray, lists: int = 32, parts: int = 16, codes: int = 64, k: int = 20, target: float = 0.97, rounds: int = 10, seed: int = 7):
+    def __init__(self, x: np.ndarray, total: int, lists: int, parts: int = 16, codes: int = 256, k: int = 20, target: float = 0.96, rounds: int = 10, seed: int = 7):
         self.dim = x.shape[1]
         self.parts = next(p for p in range(min(parts, self.dim), 0, -1) if self.dim % p == 0)
         self.centre = kmeans(x, min(lists, len(x)), rounds, seed)
         own = self.assign(x)
-        residual = (x - self.centre[own]).reshape(len(x), self.parts, -1)
+        self.scale = self.spreads(x, own)
+        residual = self.residuals(x, own)
         self.books = [kmeans(np.ascontiguousarray(residual[:, p]), min(codes, len(x)), rounds, seed + p) for p in range(self.parts)]
         self.probes = self.calibrated(x, own, k, target, seed)
         self.sizes = np.bincount(own, minlength=len(self.centre))
+        self.total, self.decoded = total, self.decode(self.encode(x, own), own).astype(np.float32)
+
+    def spreads(self, x: np.ndarray, own: np.ndarray, least: int = 5) -> np.ndarray:
+        """The median length of each list's residuals, so that near copies, too, are told apart by their codes; that of
+        all where the sample has fewer than ``least`` in a list."""
+        length = np.linalg.norm(x - self.centre[own], axis=1)
+        every = float(np.median(length[length > 0])) if (length > 0).any() else 1.0
+        order = np.argsort(own, kind="stable")
+        of_list = np.split(length[order], np.cumsum(np.bincount(own, minlength=len(self.centre)))[:-1])
+        return np.array([m if len(v) >= least and (m := float(np.median(v))) > 0 else every for v in of_list])
+
+    def residuals(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """(rows, parts, dim / parts), in units of the list's spread."""
+        return ((x - self.centre[own]) / self.scale[own][:, None]).reshape(len(x), self.parts, -1)
+
+    def floors(self, q: np.ndarray, rows: int) -> np.ndarray:
+        """For each query the product that about ``rows`` of all vectors should reach, judged by the sample; the least
+        number where the sample is not larger than that."""
+        rank = -(-rows * len(self.decoded) // self.total)
+        if rank >= len(self.decoded):
+            return np.full(len(q), -np.inf)
+        out = [np.partition(q[a : a + 256].astype(np.float32) @ self.decoded.T, -rank, axis=1)[:, -rank] for a in range(0, len(q), 256)]
+        return np.concatenate(out).astype(float)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         return ((self.centre**2).sum(1)[None] - 2 * x @ self.centre.T).argmin(1)
@@ -85,19 +114,20 @@ class IvfPq:
         return int(np.argmax(share >= target)) + 1
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
-        residual = (x - self.centre[own]).reshape(len(x), self.parts, -1)
+        residual = self.residuals(x, own)
         return np.stack([((b**2).sum(1)[None] - 2 * residual[:, p] @ b.T).argmin(1) for p, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
     def decode(self, codes: np.ndarray, lists: int) -> np.ndarray:
-        return self.centre[lists] + np.concatenate([b[codes[:, p]] for p, b in enumerate(self.books)], axis=1)
+        return self.centre[lists] + self.scale[lists][:, None] * np.concatenate([b[codes[:, p]] for p, b in enumerate(self.books)], axis=1)
 
-    def approximate(self, q: np.ndarray, lists: int, codes: np.ndarray) -> np.ndarray:
-        """(queries, rows) asymmetric inner products: the query is exact, the rows are centroid plus codes."""
-        out = np.repeat((q @ self.centre[lists])[:, None], len(codes), axis=1).astype(np.float32)
+    def approximate(self, q: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
+        """(queries, rows) asymmetric inner products with rows of list ``own``: the query is exact, the rows are
+        centroid plus codes."""
+        out = np.zeros((len(q), len(codes)), np.float32)
         split = q.reshape(len(q), self.parts, -1)
         for p, b in enumerate(self.books):
             out += (split[:, p] @ b.T).astype(np.float32)[:, codes[:, p]]
-        return out
+        return out * np.float32(self.scale[own]) + (q @ self.centre[own]).astype(np.float32)[:, None]
 
 
 def classes(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> DataFrame:
@@ -113,9 +143,18 @@ def classes(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> Data
     return least.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("class_id"), "vec", "ids")
 
 
-def train(distinct: DataFrame, train_rows: int = 8000, **how) -> IvfPq | None:
-    some = distinct.orderBy(F.xxhash64("class_id"), "class_id").limit(train_rows).select("class_id", "vec").collect()
-    return IvfPq(np.array([r.vec for r in sorted(some)]), **how) if some else None
+def train(distinct: DataFrame, train_rows: int = 8000, most_lists: int = 2048, lists: int | None = None, **how) -> IvfPq | None:
+    """``lists``: as many, instead of the square root of the number of vectors."""
+    total = distinct.count()
+    if not total:
+        return None
+    lists = lists or min(most_lists, math.isqrt(total - 1) + 1)
+    share = max(train_rows, 40 * lists) / total
+    some = distinct.filter(F.pmod(F.xxhash64("class_id"), F.lit(1 << 40)) < share * (1 << 40)) if share < 1 else distinct
+    some = some.select("class_id", "vec").toArrow().sort_by("class_id").column("vec").combine_chunks()
+    if not len(some):
+        return train(distinct, total, most_lists, lists, **how)
+    return IvfPq(some.flatten().to_numpy().reshape(len(some), -1), total, lists, **how)
 
 
 def matrix(column: pa.ListArray, dim: int) -> np.ndarray:
@@ -123,7 +162,7 @@ def matrix(column: pa.ListArray, dim: int) -> np.ndarray:
 
 
 def indexed(distinct: DataFrame, model: IvfPq) -> DataFrame:
-    """(list, class_id, vec, code) of every distinct vector."""
+    """(list, class_id, code) of every distinct vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,79 +170,86 @@ def indexed(distinct: DataFrame, model: IvfPq) -> DataFrame:
                 x = matrix(batch.column(1), model.dim)
                 own = model.assign(x)
                 code = pa.array([c.tobytes() for c in model.encode(x, own)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column(0), batch.column(1), code], names=["list", "class_id", "vec", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column(0), code], names=["list", "class_id", "code"])
 
-    return distinct.select("class_id", "vec").mapInArrow(run, "list int, class_id long, vec array<double>, code binary")
+    return distinct.select("class_id", "vec").mapInArrow(run, "list int, class_id long, code binary")
 
 
-def probing(queries: DataFrame, model: IvfPq, least: int) -> DataFrame:
-    """(list, class_id, vec): each query once for every list that it visits."""
+def probing(queries: DataFrame, model: IvfPq, least: int, rows: int) -> DataFrame:
+    """(list, class_id, q, floor): each query, in single precision, once for every list that it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                lists, count = model.probe(matrix(batch.column(1), model.dim), least)
+                x = matrix(batch.column(1), model.dim)
+                lists, count = model.probe(x, least)
                 at = pa.array(np.repeat(np.arange(batch.num_rows), count))
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["list", "class_id", "vec"])
+                q = pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column(0).take(at), q.take(at), pa.array(model.floors(x, rows)).take(at)], names=["list", "class_id", "q", "floor"])
+
+    return queries.select("class_id", "vec").mapInArrow(run, "list int, class_id long, q binary, floor double")
+
 
-    return queries.select("class_id", "vec").mapInArrow(run, "list int, class_id long, vec array<double>")
+def by_code(index: DataFrame, asking: DataFrame, model: IvfPq, rerank: int, block_rows: int) -> DataFrame:
+    """(asked, found, near): for each query the best ``rerank`` rows by code, of those that reach its floor."""
+    sizes = index.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))  # a row per list
+    loads = asking.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("turns"))
+    asking = asking.join(F.broadcast(sizes), "list").join(F.broadcast(loads), "list").select("class_id", "q", "floor", "list", F.pmod(F.xxhash64("class_id"), F.col("turns")).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    blocked = index.join(F.broadcast(sizes), "list").join(F.broadcast(loads), "list")
+    blocked = blocked.select("class_id", "code", "list", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
 
+    def match(key: tuple, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        asked, found, scores = [], [], []
+        if len(rows):
+            rows = rows.sort_values("class_id", kind="stable")
+            ids = rows["class_id"].to_numpy()
+            codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(ids), -1)
+            take = min(rerank, len(ids))
+            for a in range(0, len(asks), 128):
+                part = asks.iloc[a : a + 128]
+                near = model.approximate(np.frombuffer(b"".join(part["q"]), np.float32).reshape(len(part), -1), int(key[0]), codes)
+                least = np.maximum(np.partition(near, -take, axis=1)[:, -take], part["floor"].to_numpy())
+                q, r = np.nonzero(near >= least[:, None])
+                asked.append(part["class_id"].to_numpy()[q])
+                found.append(ids[r])
+                scores.append(near[q, r].astype(float))
+        return pd.DataFrame({"asked": np.concatenate([*asked, np.zeros(0, np.int64)]), "found": np.concatenate([*found, np.zeros(0, np.int64)]), "near": np.concatenate([*scores, np.zeros(0)])})
+
+    keys = ["list", "block", "turn"]
+    hits = blocked.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(match, "asked long, found long, near double")
+    best = Window.partitionBy("asked").orderBy(F.desc("near"), "found")
+    return hits.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= rerank).drop("n")
 
-def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = 200, slack: float = 2.0, fill: int = 10, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
+
+def search(vectors: DataFrame, is_query, k: int = 20, rerank: int | None = None, fill: int = 10, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows that satisfy ``is_query`` (a condition on ``vec_id``), the k nearest
-    of all other rows."""
-    spark = vectors.sparkSession
-    out = "query_id long, rank int, vec_id long, score double"
-    distinct = materialise(classes(vectors, id_col, vector_col, k + 1), "vectors")
+    of all other rows. ``rerank`` is 8 (k + 1) by default."""
+    spark, need = vectors.sparkSession, k + 1  # one may be the query itself
+    rerank = max(need, rerank or 8 * need)
+    distinct = materialise(classes(vectors, id_col, vector_col, need), "vectors")
     model = train(distinct, k=k, **how)
     if model is None:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     wanted = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec")).filter(is_query).dropDuplicates(["vec_id", "vec"])
     asked = materialise(distinct.join(wanted, "vec").select("class_id", F.col("vec_id").alias("query_id")), "queries")
-    queries = distinct.join(asked.select("class_id").distinct(), "class_id", "left_semi")
+    queries = materialise(distinct.join(asked.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "vec"), "query-vectors")
     index = materialise(indexed(distinct, model), "ivf")
-    counts = index.groupBy("list").agg(F.count("*").alias("n"))
     model.sizes = np.zeros(len(model.centre), np.int64)
-    for row in counts.collect():  # a row per list
+    for row in index.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row per list
         model.sizes[row["list"]] = row.n
-    sizes = counts.select("list", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    blocked = index.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))  # a row per list
-    asking = materialise(probing(queries, model, fill * (k + 1)), "probes")
-    loads = asking.groupBy("list").agg(F.count("*").alias("m")).select("list", F.ceil(F.col("m") / block_rows).cast("int").alias("turns"))
-    asking = asking.join(F.broadcast(sizes), "list").join(F.broadcast(loads), "list").select("class_id", "vec", "list", F.pmod(F.xxhash64("class_id"), F.col("turns")).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    blocked = blocked.join(F.broadcast(loads), "list").select("class_id", "vec", "code", "list", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
-    need = k + 1  # one may be the query itself
-
-    def match(key: tuple, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asks):
-            return pd.DataFrame({"asked": [], "found": [], "score": []})
-        rows = rows.sort_values("class_id", kind="stable")
-        x, ids = np.stack(rows["vec"].to_numpy()), rows["class_id"].to_numpy()
-        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(x), -1)
-        # Products of codes miss the true ones by about the length of the rest over the root of the dimension.
-        rest = x - model.decode(codes, int(key[0]))
-        spread = float(np.sqrt((rest**2).sum(1).mean() / x.shape[1]))
-        got = []
-        for a in range(0, len(asks), 128):
-            q, own = np.stack(asks["vec"].to_numpy()[a : a + 128]), asks["class_id"].to_numpy()[a : a + 128]
-            near = model.approximate(q, int(key[0]), codes)
-            take = min(len(x), max(rerank, need))
-            least = np.partition(near, -take, axis=1)[:, -take]  # of the approximate products, the rerank-th greatest
-            close = np.partition(near, -min(need, take), axis=1)[:, -min(need, take)] - slack * spread * np.linalg.norm(q, axis=1)
-            for own_id, row, vector, floor in zip(own, near, q, np.minimum(least, close), strict=True):
-                at = np.flatnonzero(row >= floor)
-                exact = np.einsum("rd,d->r", x[at], vector)
-                order = np.argsort(-exact, kind="stable")[:need]
-                got.append(pd.DataFrame({"asked": own_id, "found": ids[at[order]], "score": exact[order]}))
-        return pd.concat(got)
-
-    keys = ["list", "block", "turn"]
-    hits = blocked.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(match, "asked long, found long, score double")
+    asking = materialise(probing(queries, model, fill * need, 2 * rerank), "probes")
+    hits = materialise(by_code(index, asking, model, rerank, block_rows), "hits")
+    enough = hits.groupBy(F.col("asked").alias("class_id")).count().filter(F.col("count") >= min(need, model.total)).select("class_id")
+    short = materialise(asking.join(enough, "class_id", "left_anti").withColumn("floor", F.lit(float("-inf"))), "probes")
+    if not short.isEmpty():
+        again = by_code(index, short, model, rerank, block_rows)
+        hits = hits.join(short.select(F.col("class_id").alias("asked")).distinct(), "asked", "left_anti").unionByName(again)
+    product = F.aggregate(F.zip_with("vec", "query", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    exact = hits.join(distinct.select(F.col("class_id").alias("found"), "vec", "ids"), "found").join(queries.select(F.col("class_id").alias("asked"), F.col("vec").alias("query")), "asked").select("asked", "found", "ids", product.alias("score"))
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "found")
-    hits = materialise(hits.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= need).drop("n"), "hits")
-    members = hits.join(distinct.select(F.col("class_id").alias("found"), "ids"), "found").select("asked", "score", F.explode("ids").alias("vec_id"))
+    exact = materialise(exact.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= need).drop("n"), "reranked")
     least = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
-    members = members.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= need)
+    members = exact.select("asked", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(least)).filter(F.col("n") <= need)
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = members.join(asked.withColumnRenamed("class_id", "asked"), "asked").filter("vec_id <> query_id").select("query_id", "vec_id", "score")
     return found.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
