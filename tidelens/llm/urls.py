@@ -2,8 +2,9 @@
 
 A rule ``host/path`` fits its host and all its subdomains where the URL's path starts with the rule's; the longest
 rule wins (ties: the first in order). URLs that a rule decides are the labelled ones; on a bounded sample of them
-(``train_rows`` of least hash) boosted trees are trained, and they judge the URLs that no rule fits. Suffix statistics
-(how often a host's last two labels, and its last one, were blocked) are counted over all labelled URLs.
+(``train_rows`` of each verdict, of least hash) boosted trees are trained, and they judge the URLs that no rule fits.
+Suffix statistics (how often a host's last two labels, and its last one, were blocked) are counted over all labelled
+URLs; a labelled URL itself is left out of its own, so that they do not give its verdict away.
 
 Defined cases: null or without ``://`` means empty host and path; such URLs are judged by the trees like others; when
 the labelled URLs show one verdict only, or none, the trees' verdict is that one, or ``allow``; repeated rows are
@@ -12,13 +13,14 @@ judged each; very long URLs are read whole; an empty table gives no rows; other
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bounded_sample, materialise, table
 
 #: Verdict by host and path; fixed values of the query.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -66,40 +68,59 @@ def lexical(pages: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def suffix_statistics(labelled: DataFrame) -> list[DataFrame]:
-    """For the last label and the last two: smoothed share of blocked URLs and log count, of all labelled URLs."""
-    out = []
-    for k in ("1", "2"):
-        grouped = labelled.groupBy(f"last{k}").agg(F.sum("blocked").alias("b"), F.count("*").alias("n"))
-        out.append(grouped.select(f"last{k}", ((F.col("b") + 1) / (F.col("n") + 2)).alias(f"suffix{k}"), F.log1p("n").alias(f"seen{k}")))
-    return out
+    """For the last label and the last two: blocked URLs and all, of the labelled ones."""
+    return [labelled.groupBy(f"last{k}").agg(F.sum("blocked").alias("b"), F.count("*").alias("n")) for k in ("1", "2")]
 
 
 def with_suffixes(rows: DataFrame, statistics: list[DataFrame]) -> DataFrame:
+    """``blocked`` (null where no rule decides) leaves a row out of its own statistics."""
+    own = F.col("blocked").isNotNull().cast("int")
     for k, s in zip(("1", "2"), statistics, strict=True):
-        rows = rows.join(s, f"last{k}", "left").fillna({f"suffix{k}": 0.5, f"seen{k}": 0.0})
+        rows = rows.join(s, f"last{k}", "left")
+        n, b = F.coalesce("n", F.lit(0)) - own, F.coalesce("b", F.lit(0.0)) - F.coalesce("blocked", F.lit(0.0))
+        rows = rows.withColumn(f"suffix{k}", (b + 1) / (n + 2)).withColumn(f"seen{k}", F.log1p(n)).drop("n", "b")
     return rows
 
 
-def judge(pages: DataFrame, rules: dict[str, str] = RULES, train_rows: int = 8000, trees: int = 8, depth: int = 4, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, score (of the trees; null where a rule decides)."""
+def features(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, url, host, path, rule, verdict and blocked (null where no rule decides), and the lexical features."""
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     verdicts = F.create_map(*[F.lit(x) for kv in (rules or {"": ""}).items() for x in kv])
-    rows = materialise(lexical(parts(plain).withColumn("rule", rule_of(rules))).withColumn("verdict", verdicts[F.coalesce("rule", F.lit(""))]), "urls")
-    labelled = rows.filter("rule is not null").withColumn("blocked", (F.col("verdict") == "block").cast("double"))
+    rows = lexical(parts(plain).withColumn("rule", rule_of(rules))).withColumn("verdict", verdicts[F.coalesce("rule", F.lit(""))])
+    return materialise(rows.withColumn("blocked", F.when(F.col("verdict") == "block", 1.0).when(F.col("verdict").isNotNull(), 0.0)), "urls")
+
+
+def trees_of(labelled: DataFrame, statistics: list[DataFrame], train_rows: int = 8000, trees: int = 8, depth: int = 4) -> tuple[str, PipelineModel | None]:
+    """(verdict where there are no trees, trees): the trees are trained if both verdicts occur in ``labelled``."""
+    seen = {r.blocked: r.n for r in labelled.groupBy("blocked").agg(F.count("*").alias("n")).collect()}
+    if len(seen) < 2:
+        return "block" if 1.0 in seen else "allow", None
+    keyed = labelled.withColumn("key", F.struct("url", "page_id"))
+    sample = materialise(with_suffixes(bounded_sample(keyed, "blocked", "key", train_rows), statistics).coalesce(1), "url-sample")
+    n = {r.blocked: r.n for r in sample.groupBy("blocked").agg(F.count("*").alias("n")).collect()}
+    weigh = F.when(F.col("blocked") == 1, 0.5 / n[1.0]).otherwise(0.5 / n[0.0]) * sum(n.values())  # both verdicts weigh alike
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    grown = GBTClassifier(labelCol="blocked", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, seed=7)
+    return "allow", Pipeline(stages=[assembler, grown]).fit(sample.withColumn("weight", weigh))
+
+
+def scored(rows: DataFrame, model: PipelineModel, statistics: list[DataFrame]) -> DataFrame:
+    """``rows`` with the trees' probability of ``block``."""
+    return model.transform(with_suffixes(rows, statistics)).withColumn("score", vector_to_array("probability")[1])
+
+
+def judge(pages: DataFrame, rules: dict[str, str] = RULES, train_rows: int = 8000, trees: int = 8, depth: int = 4, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, score (of the trees; null where a rule decides)."""
+    rows = features(pages, rules, id_col, url_col)
+    labelled = rows.filter("rule is not null")
     statistics = [materialise(s, "suffixes") for s in suffix_statistics(labelled)]
-    sample = materialise(with_suffixes(labelled.orderBy(F.xxhash64("url", "page_id"), "page_id").limit(train_rows), statistics).coalesce(1), "url-sample")
-    seen = {r.blocked: r.n for r in sample.groupBy("blocked").agg(F.count("*").alias("n")).collect()}
+    only, model = trees_of(labelled, statistics, train_rows, trees, depth)
     columns = ["page_id", "host", "path", "rule"]
-    if len(seen) < 2:
-        only = "block" if 1.0 in seen else "allow"
+    if model is None:
         return rows.select(*columns, F.coalesce("verdict", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    weigh = F.when(F.col("blocked") == 1, 0.5 / seen[1.0]).otherwise(0.5 / seen[0.0]) * sum(seen.values())  # both verdicts weigh alike
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    model = GBTClassifier(labelCol="blocked", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(assembler.transform(sample.withColumn("weight", weigh)))
-    ruled = rows.filter("rule is not null").select(*columns, "verdict", F.lit(None).cast("double").alias("score"))
-    judged = model.transform(assembler.transform(with_suffixes(rows.filter("rule is null"), statistics)))
-    score = vector_to_array("probability")[1]
-    return ruled.unionByName(judged.select(*columns, F.when(score >= 0.5, "block").otherwise("allow").alias("verdict"), score.alias("score")))
+    ruled = labelled.select(*columns, "verdict", F.lit(None).cast("double").alias("score"))
+    judged = scored(rows.filter("rule is null"), model, statistics)
+    return ruled.unionByName(judged.select(*columns, F.when(F.col("score") >= 0.5, "block").otherwise("allow").alias("verdict"), "score"))
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
