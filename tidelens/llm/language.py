@@ -9,8 +9,9 @@ The fit sees a bounded sample, ``per_language`` texts (those of least hash) of e
 ``windows_per_text`` windows of each; the bound is a parameter. Nothing but text and language of rows with
 crc32(id as text) mod 3 <> 1 and a language is learned from; prediction reads the text alone.
 
-Defined cases: null text or a text without letters is ``und`` with score 0; empty tables give no rows; without any
-row to learn from every text is ``und``; repeated rows are answered each; ties go to the language first in order;
+Defined cases: null text or a text without letters (category L of Unicode) is ``und`` with score 0; empty tables give no rows; without any
+row to learn from every text is ``und``; repeated rows are answered each and learned from once (of rows that share id
+and language, the text that is first in order); ties go to the language first in order;
 texts of any length are read whole; other columns are ignored.
 """
 
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, learn: F.Column | None = None, per_language: int = 600,
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.lit(True) if learn is None else learn).alias("learn"))
     rows = rows.filter("learn and lang is not null and octet_length(text) > 0")
     some = bounded_sample(rows.select("id", "lang").distinct(), "lang", "id", per_language)
-    rows = rows.join(F.broadcast(some), ["id", "lang"])  # at most per_language rows of each language
+    rows = rows.join(F.broadcast(some), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))  # at most per_language rows of each language
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,10 +142,8 @@ def fit(docs: DataFrame, learn: F.Column | None = None, per_language: int = 600,
 
 def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score."""
-    letter = r"[^\W\d_]"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has_letter = re.compile(letter).search
+        plain_letter = re.compile(r"[A-Za-z]").search
         for batch in batches:
             names, scores = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
             data, starts, ends = text_bytes(batch.column(1))
@@ -155,7 +154,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
                 np.add.at(total, owner, p)
                 total /= np.maximum(1, ends[a:b] - starts[a:b])[:, None]
                 texts = batch.column(1).slice(a, b - a).to_pylist()
-                known = np.array([bool(t and has_letter(t)) for t in texts], bool)
+                known = np.array([bool(t and (plain_letter(t) or any(map(str.isalpha, t)))) for t in texts], bool)
                 names[a:b][known] = np.array(model.languages, dtype=object)[total.argmax(axis=1)][known]
                 scores[a:b][known] = np.clip(total.max(axis=1)[known], 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
