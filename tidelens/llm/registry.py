@@ -43,4 +43,13 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, sides.b FROM reach JOIN sides ON sides.a = reach.b)
         SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
         FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) USING (doc_id)""",
+    "op9_sharding": """
+        WITH crc_table AS (SELECT list(v ORDER BY k) AS crc_of FROM (SELECT k, list_reduce([k] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(k))),
+        bytes AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 8 AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+        ordered AS (SELECT *, sum(size) OVER (ORDER BY h, doc_id) - size AS a, row_number() OVER (ORDER BY h, doc_id) - 1 AS place, sum(size) OVER () AS total FROM bytes),
+        grouped AS (SELECT *, min(a) OVER (PARTITION BY h) AS first, max(a + size) OVER (PARTITION BY h) AS last FROM ordered),
+        placed AS (SELECT *, least(23, CASE WHEN (last - first) * 24 <= total THEN (first + last) * 24 // (2 * total) ELSE (2 * a + size) * 24 // (2 * total) END)::INTEGER AS shard FROM grouped)
+        SELECT doc_id, size, xor(4294967295, list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, crc_of[xor(c, x) % 256 + 1]))) AS text_crc32,
+            'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard
+        FROM placed, crc_table""",
 }

@@ -1,15 +1,17 @@
 """Sharding by sampled splitters, with DataFrame functions only.
 
-Law ``bytes``: shards get near-equal bytes. Records are put in the order of a key (hash of the text, then id, then
-place of the row, so that equal texts lie side by side and no two records tie). A size-weighted key sample gives the
+Law ``bytes``: shards get near-equal bytes. Records are put in the order of a key (60 bits of the text's MD5, then id,
+then place of the row, so that equal texts lie side by side and no two records tie). A size-weighted key sample gives the
 quantile boundaries of ranges; exact totals of all ranges, over all rows, tell which are overfull, and these are
 subdivided at boundaries of a denser sample of their own. Within a range, running sums give each record its exact
-place in the whole order, and so its shard and its slot. Work per task is one range, however hot a text is; only the
+place in the whole order, and so its shard and its slot. With ``together`` (the query sets it), a group of equal texts in
+which a boundary falls goes as a whole to the shard that its middle is in, unless it has more bytes than a shard's share;
+a boundary so moves by half such a group at most. Work per task is one range, however hot a text is; only the
 table of ranges (a few numbers per range) is brought together.
 
 Defined cases: null text has no bytes (size 8, crc32 of nothing, 0); repeated rows are separate records; texts of any
-length are one record; equal texts stay in one shard unless a boundary falls among them; fewer records than shards
-leave shards empty; an empty table gives no rows; columns other than id and text are ignored.
+length are one record; equal texts stay in one shard unless a boundary falls among them (with ``together``: unless they
+have more bytes than a shard's share); fewer records than shards leave shards empty; an empty table gives no rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ def key(prefix: str = "") -> Column:
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, h, row): what sharding needs of a document, without its text."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("h"), F.monotonically_increasing_id().alias("row"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.conv(F.substring(F.md5(raw), 1, 15), 16, 10).cast("long").alias("h"), F.monotonically_increasing_id().alias("row"))
 
 
 def sampled(rows: DataFrame, per_byte: Column) -> DataFrame:
@@ -63,7 +65,22 @@ def splitters_of(rows: DataFrame, total: int, ranges: int, per_range: int = 32)
     return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
 
 
-def shard(docs: DataFrame, shards: int = 24, range_bytes: int = 64 << 20, least_ranges: int = 4, most_ranges: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_of(twice_middle: Column, shards: int, total: int) -> Column:
+    """The shard that the middle of a run of bytes is in."""
+    return F.least(F.lit(shards - 1), F.floor(twice_middle.cast("decimal(38,0)") * shards / max(1, 2 * total)).cast("int"))
+
+
+def whole_groups(placed: DataFrame, shards: int, total: int) -> DataFrame:
+    """``placed`` with the groups of equal texts that a boundary divides put into one shard, if none is larger than a
+    shard's share. Each boundary falls in one group at most, so these are fewer than the shards."""
+    ends = placed.groupBy("shard").agg(F.min_by("h", "place").alias("first"), F.max_by("h", "place").alias("last")).collect()
+    divided = sorted({e.last for e in ends} & {e.first for e in ends})
+    groups = placed.filter(F.col("h").isin(divided)).groupBy("h").agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("size")).alias("b"), F.min("shard").alias("least"), F.max("shard").alias("most"))
+    groups = groups.filter((F.col("least") < F.col("most")) & ((F.col("b") - F.col("a")) * shards <= total)).select("h", shard_of(F.col("a") + F.col("b"), shards, total).alias("own"))
+    return placed.join(F.broadcast(groups), "h", "left").withColumn("shard", F.coalesce("own", "shard")).drop("own")
+
+
+def shard(docs: DataFrame, shards: int = 24, range_bytes: int = 64 << 20, least_ranges: int = 4, most_ranges: int = 4096, id_col: str = "doc_id", text_col: str = "text", together: bool = False) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The number of ranges follows the bytes up to ``most_ranges``, which bounds the key sample (32 keys a range).
@@ -95,11 +112,12 @@ def shard(docs: DataFrame, shards: int = 24, range_bytes: int = 64 << 20, least_
         ranged.withColumn("bytes_in", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
         .withColumn("rows_in", F.row_number().over(inside) - 1)
         .join(F.broadcast(offsets), "range")  # one short row per range
-        .withColumn("middle", (F.col("bytes_before") + F.col("bytes_in")).cast("decimal(38,0)") * 2 + F.col("size"))
-        .withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"cast((middle * {shards}) div {max(1, 2 * total)} as int)")))
+        .withColumn("start", F.col("bytes_before") + F.col("bytes_in"))
+        .withColumn("shard", shard_of(F.col("start") * 2 + F.col("size"), shards, total))
         .withColumn("place", F.col("rows_before") + F.col("rows_in"))
     )
-    placed = materialise(placed.select("doc_id", "size", "text_crc32", "shard", "place"), "shard-places")
+    placed = materialise(placed.select("doc_id", "size", "text_crc32", "h", "start", "shard", "place"), "shard-places")
+    placed = whole_groups(placed, shards, total) if together else placed
     first = placed.groupBy("shard").agg(F.min("place").alias("first"))
     return placed.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
@@ -107,4 +125,4 @@ def shard(docs: DataFrame, shards: int = 24, range_bytes: int = 64 << 20, least_
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"))
+    return shard(table(spark, sf_dir, "documents"), together=True)
