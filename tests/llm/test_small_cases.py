@@ -91,6 +91,29 @@ def test_neighbours_of_small_lists(spark):
     assert len(got) == 180 and set(got.values()) == {20}
 
 
+def test_codes_choose_what_is_reranked(spark):
+    """Lists follow the square root of the rows, codes drop most of them, near copies are told apart, recall holds."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 32)) * 2
+    x = np.concatenate([centres[rng.integers(0, 40, 2500)] + rng.standard_normal((2500, 32)) * 0.5, centres[0] + rng.standard_normal((1500, 32)) * 0.01])
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    model = neighbours.train(neighbours.classes(df, "vec_id", "embedding", 21), k=20)
+    assert len(model.centre) == 64 and model.probes <= 21  # at most a third of the lists
+    own = model.assign(x)
+    lists = np.argsort(-(x[4:5] @ model.centre.T))[0, : model.probes]
+    near = np.concatenate([model.approximate(x[4:5], i, model.encode(x[own == i], own[own == i]))[0] for i in lists])
+    assert np.allclose(near, np.concatenate([model.decode(model.encode(x[own == i], own[own == i]), np.full((own == i).sum(), i)) @ x[4] for i in lists]), atol=1e-3)
+    assert len(near) > 168  # so the codes decide which 168 rows are reranked
+    got, found = {}, 0
+    for r in neighbours.search(df, F.col("vec_id") % 40 == 0, k=20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q, ids in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len(set(ids) & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert len(got) == 100 and all(len(v) == 20 for v in got.values()) and found / 2000 >= 0.9
+
+
 def test_neighbours_recall(spark, tables):
     got = neighbours.op2_neighbours(spark, tables).toPandas()
     e = table(spark, tables, "embeddings").toPandas().sort_values("vec_id")
