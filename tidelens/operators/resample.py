@@ -1,95 +1,196 @@
 """Resampling inference: moving-block bootstrap and phase surrogates for statistics of pairs of series.
 
-Draws are hashes of (seed, sample, pair, block, side), so results do not depend on partitions and can be repeated.
-Each (pair, sample) is evaluated by aggregation; nothing is gathered except the series of one pair for statistics that
-only a Python function can compute.
+Draws are hashes of (seed, sample, pair, block, side), so results do not depend on partitions and can be repeated. A
+series is one row with its values in an array; a pair is a row with both, repeated for each chunk of samples, so the
+work spreads over pairs and samples and no row is made for a resampled value. Pairs are formed between blocks of series
+by an equi-join on block numbers.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelens.functions.scalar import block_length, hashed_uniform, pair_block_length, safe_corr
+from tidelens.functions.scalar import block_length, pair_block_length
 from tidelens.operators.timeseries import lag_autocorrelation, pair_values
 
+Statistic = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-def complete_pairs(field: DataFrame) -> DataFrame:
-    """(i, j, k, x, y): values of pairs i < j where both exist, re-numbered k = 0, 1, ... in time."""
-    order = Window.partitionBy("i", "j").orderBy("t")
-    return pair_values(field).filter("x is not null and y is not null").select("i", "j", (F.row_number().over(order) - 1).cast("long").alias("k"), "x", "y")
 
+def series_arrays(field: DataFrame) -> DataFrame:
+    """(node, ts, xs): times and values of each node where there is a value, in time."""
+    rows = field.filter("value is not null").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("t", F.col("value").cast("double").alias("value")))).alias("s"))
+    return rows.select("node", F.transform("s", lambda x: x["t"]).alias("ts"), F.transform("s", lambda x: x["value"]).alias("xs"))
 
-def pair_lengths(field: DataFrame) -> DataFrame:
-    """(i, j, n, l): valid values and block length of each pair, from the lag-1 autocorrelations of its nodes."""
-    a = lag_autocorrelation(field, 1)
-    n = pair_values(field).filter("x is not null and y is not null").groupBy("i", "j").agg(F.count("*").alias("n"))
-    both = n.join(a.select(F.col("node").alias("i"), F.col("a").alias("ax")), "i").join(a.select(F.col("node").alias("j"), F.col("a").alias("ay")), "j")
-    return both.select("i", "j", "n", pair_block_length(F.coalesce("ax", F.lit(0.0)), F.coalesce("ay", F.lit(0.0)), "n").alias("l"))
-
-
-def block_starts(pairs: DataFrame, samples: int, seed: int, paired: bool, include_last: bool = False) -> DataFrame:
-    """(i, j, sample, block, sx, sy, l, n) for pairs (i, j, n, l): starts in 0..n-l-1 (n-l with ``include_last``)."""
-    spark = pairs.sparkSession
-    room = F.col("n") - F.col("l") + (1 if include_last else 0)
-    rows = pairs.crossJoin(spark.range(samples).select(F.col("id").alias("sample"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("l")).cast("long") - 1)))
-    start = lambda side: F.floor(hashed_uniform(seed, "i", "j", "sample", "block", side) * room).cast("long")
-    x = start(F.lit("x"))
-    return rows.select("i", "j", "sample", "block", x.alias("sx"), (x if paired else start(F.lit("y"))).alias("sy"), "l", "n")
-
-
-def resampled(values: DataFrame, starts: DataFrame) -> DataFrame:
-    """(i, j, sample, pos, x, y): blocks laid end to end, the last one cut at n. Source positions are columns before the
-    join, which is on plain keys."""
-    pos = starts.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("l") - 1))).withColumn("pos", F.col("block") * F.col("l") + F.col("o")).filter("pos < n")
-    pos = pos.select("i", "j", "sample", "pos", (F.col("sx") + F.col("o")).alias("kx"), (F.col("sy") + F.col("o")).alias("ky"))
-    left = values.select("i", "j", F.col("k").alias("kx"), "x")
-    right = values.select("i", "j", F.col("k").alias("ky"), "y")
-    return pos.join(left, ["i", "j", "kx"]).join(right, ["i", "j", "ky"]).select("i", "j", "sample", "pos", "x", "y")
-
-
-def statistic(x: str, y: str, kind: str = "corr") -> Column:
-    """Statistics that are aggregates: corr, cov, slope of y on x."""
-    if kind == "corr":
-        return safe_corr(x, y)
-    if kind == "cov":
-        return F.covar_pop(x, y)
-    if kind == "slope":
-        return F.try_divide(F.covar_pop(x, y), F.var_pop(x))
-    raise ValueError(f"unknown statistic {kind!r}; pass a Python function to bootstrap_set instead")
-
-
-def bootstrap_set(field: DataFrame, samples: int, seed: int = 0, paired: bool = False, kind: str | Callable = "corr", length: int | None = None) -> DataFrame:
-    """(i, j, sample, s): the statistic of each resample; pairs whose block length reaches n have none."""
-    values, lengths = complete_pairs(field), pair_lengths(field)
+
+def pair_arrays(field: DataFrame, other: DataFrame | None = None, auto: bool = False, blocks: int = 16) -> DataFrame:
+    """(i, j, tx, x, ty, y): pairs i < j of one field, all pairs of a node of ``field`` and one of ``other``, or with
+    ``auto`` each node with itself."""
+    if auto and other is not None:
+        raise ValueError("auto takes one field")
+    x = series_arrays(field).select(F.col("node").alias("i"), F.col("ts").alias("tx"), F.col("xs").alias("x"))
+    y = (series_arrays(field) if other is None else series_arrays(other)).select(F.col("node").alias("j"), F.col("ts").alias("ty"), F.col("xs").alias("y"))
+    if auto:
+        return x.select("i", F.col("i").alias("j"), "tx", "x", F.col("tx").alias("ty"), F.col("x").alias("y"))
+    every, own = F.sequence(F.lit(0), F.lit(blocks - 1)), lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    x, y = x.withColumn("bi", own("i")).withColumn("bj", F.explode(every)), y.withColumn("bj", own("j")).withColumn("bi", F.explode(every))
+    both = x.join(y, ["bi", "bj"]).select("i", "j", "tx", "x", "ty", "y")
+    return both.filter("i < j") if other is None else both
+
+
+def with_lengths(pairs: DataFrame, field: DataFrame, other: DataFrame | None = None, length: int | None = None) -> DataFrame:
+    """``pairs`` with n (common times) and l (block length: ``length``, or from the lag-1 autocorrelations)."""
+    pairs = pairs.withColumn("n", F.size(F.array_intersect("tx", "ty")).cast("long"))
     if length is not None:
-        lengths = lengths.withColumn("l", F.lit(length).cast("long"))
-    drawn = resampled(values, block_starts(lengths.filter("l < n and n > 2"), samples, seed, paired))
+        return pairs.withColumn("l", F.lit(length).cast("long"))
+    a = lag_autocorrelation(field, 1)
+    b = a if other is None else lag_autocorrelation(other, 1)
+    both = pairs.join(a.select(F.col("node").alias("i"), F.col("a").alias("ax")), "i").join(b.select(F.col("node").alias("j"), F.col("a").alias("ay")), "j")
+    return both.withColumn("l", pair_block_length(F.coalesce("ax", F.lit(0.0)), F.coalesce("ay", F.lit(0.0)), "n")).drop("ax", "ay")
+
+
+def pair_lengths(field: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """(i, j, n, l): common values and block length of each pair that has any."""
+    return with_lengths(pair_arrays(field, other), field, other).filter("n > 0").select("i", "j", "n", "l")
+
+
+def correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the rows of two matrices; nan where either is constant."""
+    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+    size = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+    return np.divide((x * y).sum(axis=1), size, out=np.full(len(x), np.nan), where=size > 0)
+
+
+def covariances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ((x - x.mean(axis=1, keepdims=True)) * (y - y.mean(axis=1, keepdims=True))).mean(axis=1)
+
+
+def slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of y on x."""
+    v = x.var(axis=1)
+    return np.divide(covariances(x, y), v, out=np.full(len(x), np.nan), where=v > 0)
+
+
+def statistic(kind: str | Callable) -> Statistic:
+    """A function of two matrices (samples in rows): corr, cov, slope, or any Python function of two series."""
     if callable(kind):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("pos")
-            return pd.DataFrame({"i": pdf["i"].iloc[:1], "j": pdf["j"].iloc[:1], "sample": pdf["sample"].iloc[:1], "s": [float(kind(pdf["x"].to_numpy(), pdf["y"].to_numpy()))]})
+        return lambda x, y: np.array([float(kind(a, b)) for a, b in zip(x, y, strict=True)])
+    known = {"corr": correlations, "cov": covariances, "slope": slopes}
+    if kind not in known:
+        raise ValueError(f"unknown statistic {kind!r}; pass a Python function instead")
+    return known[kind]
+
+
+def lagged(lag: int) -> Statistic:
+    """Correlation of x at p with y at p + lag."""
+    return lambda x, y: correlations(x[:, max(0, -lag) : x.shape[1] - max(0, lag)], y[:, max(0, lag) : y.shape[1] - max(0, -lag)])
+
+
+def uniform(text: str) -> float:
+    """In [0, 1): what ``hashed_uniform`` gives for this text."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def drawn(n: int, length: int, i: int, j: int, samples: range, seed: int, paired: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (samples, n) of both sides: blocks that start in 0..n-length-1, laid end to end, the last one cut at n."""
+    sides = []
+    for side in "x" if paired else "xy":
+        starts = np.array([[math.floor(uniform(f"{seed}|{i}|{j}|{sample}|{block}|{side}") * (n - length)) for block in range(-(-n // length))] for sample in samples], np.int64)
+        sides.append((starts[:, :, None] + np.arange(length)).reshape(len(samples), -1)[:, :n])
+    return sides[0], sides[-1]
 
-        return drawn.groupBy("i", "j", "sample").applyInPandas(run, "i long, j long, sample long, s double")
-    return drawn.groupBy("i", "j", "sample").agg(statistic("x", "y", kind).alias("s"))
 
+def common(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of both sides of row k at their common times."""
+    tx, x, ty, y = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("tx", "x", "ty", "y"))
+    if np.array_equal(tx, ty):
+        return x, y
+    _, at, bt = np.intersect1d(tx, ty, return_indices=True)
+    return x[at], y[bt]
 
-def estimates(field: DataFrame, kind: str = "corr") -> DataFrame:
-    return complete_pairs(field).groupBy("i", "j").agg(statistic("x", "y", kind).alias("estim"))
 
+def resampled_set(pairs: DataFrame, samples: int, seed: int, paired: bool, statistics: list[Statistic], chunk: int = 256, most_values: int = 4_000_000) -> DataFrame:
+    """(i, j, sample, k, s) of ``pairs`` with n and l: statistic k of each resample; pairs whose blocks reach n have none."""
+    rows = pairs.filter("l < n and n > 2").withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(max(0, samples - 1)), F.lit(chunk))))
 
-def p_values(field: DataFrame, samples: int, seed: int = 0, kind: str = "corr", length: int | None = None) -> DataFrame:
-    """(i, j, estim, l, p): share of independent-block resamples beyond the estimate; p = 1 where blocks reach n."""
-    drawn = bootstrap_set(field, samples, seed, False, kind, length)
-    both = estimates(field, kind).join(pair_lengths(field).select("i", "j", "l"), ["i", "j"])
-    share = drawn.join(estimates(field, kind), ["i", "j"]).groupBy("i", "j").agg(F.avg((F.abs("s") > F.abs("estim")).cast("double")).alias("p"))
-    return both.join(share, ["i", "j"], "left").select("i", "j", "estim", F.lit(length).cast("long").alias("l") if length else "l", F.coalesce("p", F.lit(1.0)).alias("p"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["i", "j", "sample", "k", "s"]
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i, j, l, first = (batch.column(c)[r].as_py() for c in ("i", "j", "l", "first"))
+                x, y = common(batch, r)
+                last, step = min(samples, first + chunk), max(1, most_values // len(x))
+                for a in range(first, last, step):
+                    own = range(a, min(last, a + step))
+                    px, py = drawn(len(x), l, i, j, own, seed, paired)
+                    sx, sy = x[px], y[py]
+                    for k, f in enumerate(statistics):
+                        m = len(own)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, i)), pa.array(np.full(m, j)), pa.array(np.arange(own.start, own.stop)), pa.array(np.full(m, k)), pa.array(f(sx, sy), pa.float64(), from_pandas=True)], names=names)
+
+    return rows.select("i", "j", F.col("l").cast("long").alias("l"), "first", "tx", "x", "ty", "y").mapInArrow(run, "i long, j long, sample long, k long, s double")
+
+
+def bootstrap_set(field: DataFrame, samples: int, seed: int = 0, paired: bool = False, kind: str | Callable = "corr", length: int | None = None, other: DataFrame | None = None, auto: bool = False) -> DataFrame:
+    """(i, j, sample, s): the statistic of each resample; pairs whose block length reaches n have none.
+
+    ``paired`` takes the same blocks of both sides (keeps their relation), else sides are drawn independently. ``other``
+    gives all pairs of two fields, ``auto`` each node with itself.
+    """
+    pairs = with_lengths(pair_arrays(field, other, auto), field, other, length)
+    return resampled_set(pairs, samples, seed, paired, [statistic(kind)]).drop("k")
+
+
+def estimates(field: DataFrame, kind: str | Callable = "corr", other: DataFrame | None = None, auto: bool = False) -> DataFrame:
+    """(i, j, estim): the statistic of each pair that has common values."""
+    f = statistic(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *xy) for k in range(batch.num_rows) if len((xy := common(batch, k))[0])]
+            at = pa.array([k for k, _, _ in rows], pa.int64())
+            values = [float(f(x[None], y[None])[0]) for _, x, y in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("i").take(at), batch.column("j").take(at), pa.array(values, pa.float64(), from_pandas=True)], names=["i", "j", "estim"])
+
+    return pair_arrays(field, other, auto).mapInArrow(run, "i long, j long, estim double")
+
+
+def p_values(field: DataFrame, samples: int, seed: int = 0, kind: str | Callable = "corr", length: int | None = None, other: DataFrame | None = None, auto: bool = False, paired: bool = False, level: str = "percentile", df: float = 0) -> DataFrame:
+    """(i, j, estim, l, p): share of resamples (independent blocks, unless ``paired``) beyond the estimate; p = 1 where
+    blocks reach n. ``level`` 'normal' or 'student' (``df`` degrees): the upper tail of that law at |estimate| instead."""
+    lengths = with_lengths(pair_arrays(field, other, auto), field, other, length).filter("n > 0").select("i", "j", "n", "l")
+    both = estimates(field, kind, other, auto).join(lengths, ["i", "j"])
+    if level == "percentile":
+        drawn_set = bootstrap_set(field, samples, seed, paired, kind, length, other, auto)
+        share = drawn_set.join(estimates(field, kind, other, auto), ["i", "j"]).groupBy("i", "j").agg(F.avg((F.abs("s") > F.abs("estim")).cast("double")).alias("p"))
+        both = both.join(share, ["i", "j"], "left")
+    elif level in ("normal", "student"):
+        cdf = NormalDist().cdf if level == "normal" else lambda t: student_cdf(t, df)
+
+        def tail(v: pd.Series) -> pd.Series:
+            return v.map(lambda e: 1 - cdf(abs(e)) if e == e else None).astype(float)
+
+        both = both.withColumn("p", F.when(F.col("l") < F.col("n"), F.pandas_udf(tail, "double")("estim")))
+    else:
+        raise ValueError(f"unknown level {level!r}")
+    return both.select("i", "j", "estim", "l", F.coalesce("p", F.lit(1.0)).alias("p"))
+
+
+def surrogate_p_values(field: DataFrame, samples: int, sample_method: str = "mbb", seed: int = 0, **how) -> DataFrame:
+    """(i, j, p) by 'mbb' (independent moving blocks) or 'phase' (random phases)."""
+    if sample_method == "mbb":
+        return p_values(field, samples, seed, **how).select("i", "j", "p")
+    if sample_method == "phase":
+        return phase_p_values(field, samples, seed, **how)
+    raise ValueError(f"unknown sample method {sample_method!r}")
 
 
 def order_statistic(drawn: DataFrame, value: Column, rank: Column, name: str) -> DataFrame:
@@ -99,12 +200,21 @@ def order_statistic(drawn: DataFrame, value: Column, rank: Column, name: str) ->
     return placed.filter(F.col("r") == rank).select("i", "j", F.col("v").alias(name))
 
 
-def critical_values(field: DataFrame, samples: int, alpha: float, seed: int = 0, length: int | None = None) -> DataFrame:
-    """(i, j, critical): |statistic| at rank ceil((1 - alpha) samples) under independence; infinite where blocks reach n."""
-    drawn = bootstrap_set(field, samples, seed, False, length=length)
+def critical_values(field: DataFrame, samples: int, alpha: float, seed: int = 0, length: int | None = None, level: str = "percentile", fisher: bool = False, df: float = 0, other: DataFrame | None = None) -> DataFrame:
+    """(i, j, critical): |statistic| at rank ceil((1 - alpha) samples) under independence; infinite where blocks reach n.
+
+    ``level`` 'normal' or 'student' (``df`` degrees): the quantile of that law for every pair instead, on the scale of
+    Fisher's transform with ``fisher`` (which leaves ranks, so the percentile level, as they are).
+    """
+    if level in ("normal", "student"):
+        q = NormalDist().inv_cdf(1 - alpha) if level == "normal" else student_quantile(1 - alpha, df)
+        return estimates(field, other=other).select("i", "j", F.lit(math.tanh(q) if fisher else q).alias("critical"))
+    if level != "percentile":
+        raise ValueError(f"unknown level {level!r}")
+    drawn = bootstrap_set(field, samples, seed, False, length=length, other=other)
     at = F.greatest(F.lit(1), F.ceil(F.col("ns") * (1 - alpha))).cast("int")
     got = order_statistic(drawn, F.abs("s"), at, "critical")
-    return estimates(field).select("i", "j").join(got, ["i", "j"], "left").select("i", "j", F.coalesce("critical", F.lit(float("inf"))).alias("critical"))
+    return estimates(field, other=other).select("i", "j").join(got, ["i", "j"], "left").select("i", "j", F.coalesce("critical", F.lit(float("inf"))).alias("critical"))
 
 
 def percentile_interval(field: DataFrame, samples: int, alpha: float, seed: int = 0, length: int | None = None) -> DataFrame:
@@ -115,8 +225,8 @@ def percentile_interval(field: DataFrame, samples: int, alpha: float, seed: int
     return estimates(field).select("i", "j").join(low, ["i", "j"], "left").join(high, ["i", "j"], "left").select("i", "j", F.coalesce("lo", F.lit(-1.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
 
 
-def student_quantile(p: float, df: float) -> float:
-    """Inverse of Student's t distribution by bisection on the incomplete beta function."""
+def student_cdf(t: float, df: float) -> float:
+    """Student's t distribution by the incomplete beta function."""
 
     def beta_share(a: float, b: float, x: float) -> float:
         """Regularised incomplete beta function, by Simpson's rule on its integrand after x = sin^2."""
@@ -126,23 +236,25 @@ def student_quantile(p: float, df: float) -> float:
         area = h / 3 * sum((1 if k in (0, n) else 4 if k % 2 else 2) * f(k * h) for k in range(n + 1))
         return 2 * area * math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
 
-    def cdf(t: float) -> float:
-        if t == 0:
-            return 0.5
-        tail = 0.5 * beta_share(df / 2, 0.5, df / (df + t * t))
-        return 1 - tail if t > 0 else tail
+    if t == 0:
+        return 0.5
+    tail = 0.5 * beta_share(df / 2, 0.5, df / (df + t * t))
+    return 1 - tail if t > 0 else tail
 
+
+def student_quantile(p: float, df: float) -> float:
+    """Its inverse, by bisection."""
     low, high = -1e3, 1e3
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if cdf(mid) < p else (low, mid)
+        low, high = (mid, high) if student_cdf(mid, df) < p else (low, mid)
     return (low + high) / 2
 
 
 def intervals(field: DataFrame, samples: int, alpha: float, method: str = "normal", seed: int = 0, fisher: bool = False, df: float = 0) -> DataFrame:
     """(i, j, lo, hi) by 'normal', 'student' or 'bca' from paired resamples; each pair's set is one small group.
 
-    BCa takes its acceleration from the skewness of the resamples.
+    BCa takes its acceleration from the skewness of the resamples, not from a jackknife.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -170,13 +282,9 @@ def intervals(field: DataFrame, samples: int, alpha: float, method: str = "norma
 
 def univariate_set(field: DataFrame, samples: int, seed: int = 0, lag: int = 1) -> DataFrame:
     """(node, sample, s): lag autocorrelation of block resamples of each series."""
-    order = Window.partitionBy("node").orderBy("t")
-    values = field.filter("value is not null").select(F.col("node").alias("i"), F.col("node").alias("j"), (F.row_number().over(order) - 1).cast("long").alias("k"), F.col("value").alias("x"), F.col("value").alias("y"))
-    n = values.groupBy("i", "j").agg(F.count("*").alias("n"))
     a = lag_autocorrelation(field, 1).select(F.col("node").alias("i"), F.greatest("a", F.lit(0.0)).alias("a"))
-    lengths = n.join(a, "i").select("i", "j", "n", F.least(F.col("n") - 1, block_length("a", "n")).alias("l"))
-    drawn = resampled(values, block_starts(lengths, samples, seed, True)).select(F.struct("i", "sample").alias("node"), F.col("pos").alias("t"), F.col("x").alias("value"))
-    return lag_autocorrelation(drawn, lag).select("node.i", "node.sample", "a").toDF("node", "sample", "s")
+    pairs = pair_arrays(field, auto=True).withColumn("n", F.size("x").cast("long")).join(a, "i").withColumn("l", F.least(F.col("n") - 1, block_length("a", "n")))
+    return resampled_set(pairs, samples, seed, True, [lagged(lag)]).select(F.col("i").alias("node"), "sample", "s")
 
 
 def univariate_critical(field: DataFrame, samples: int, alpha: float, seed: int = 0) -> DataFrame:
@@ -186,10 +294,13 @@ def univariate_critical(field: DataFrame, samples: int, alpha: float, seed: int
     return order_statistic(drawn, F.abs("s"), at, "critical").select(F.col("i").alias("node"), "critical")
 
 
-def pair_from_nodes(values: DataFrame) -> DataFrame:
-    """(i, j, v): for i < j the greater of two node values (node, v)."""
+def pair_from_nodes(values: DataFrame, method: str = "max") -> DataFrame:
+    """(i, j, v): for i < j the greater ('max'), the lesser ('min') or the mean of two node values (node, v)."""
+    join = {"max": F.greatest, "min": F.least, "mean": lambda x, y: (F.col(x) + F.col(y)) / 2}
+    if method not in join:
+        raise ValueError(f"no method {method!r} to augment node values to pairs")
     a, b = values.select(F.col("node").alias("i"), F.col("v").alias("vi")), values.select(F.col("node").alias("j"), F.col("v").alias("vj"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.greatest("vi", "vj").alias("v"))
+    return a.join(b, F.col("i") < F.col("j")).select("i", "j", join[method]("vi", "vj").alias("v"))
 
 
 def phase_surrogate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -226,11 +337,8 @@ def ccf_band(first: DataFrame, second: DataFrame, most_lag: int, samples: int, a
     from tidelens.operators.timeseries import ccf
 
     field = first.select("t", F.lit(0).cast("long").alias("node"), "value").unionByName(second.select("t", F.lit(1).cast("long").alias("node"), "value"))
-    values = complete_pairs(field)
-    n = values.groupBy("i", "j").agg(F.count("*").alias("n")).withColumn("l", F.least(F.lit(length).cast("long"), F.col("n") - 1))
-    drawn = resampled(values, block_starts(n, samples, seed, False))
-    x = drawn.select("pos", F.col("sample"), "x").withColumn("lag", F.explode(F.sequence(F.lit(-most_lag), F.lit(most_lag)))).withColumn("u", F.col("pos") + F.col("lag"))
-    y = drawn.select("sample", F.col("pos").alias("u"), "y")
-    null = x.join(y, ["sample", "u"]).groupBy("lag", "sample").agg(safe_corr("x", "y").alias("s"))
+    pairs = pair_arrays(field).withColumn("n", F.size(F.array_intersect("tx", "ty")).cast("long")).withColumn("l", F.least(F.lit(length).cast("long"), F.col("n") - 1))
+    lags = range(-most_lag, most_lag + 1)
+    null = resampled_set(pairs, samples, seed, False, [lagged(lag) for lag in lags]).withColumn("lag", (F.col("k") - most_lag).cast("int"))
     band = null.groupBy("lag").agg(F.percentile("s", F.lit(alpha / 2)).alias("lo"), F.percentile("s", F.lit(1 - alpha / 2)).alias("hi"))
     return ccf(first, second, most_lag).join(band, "lag").select("lag", "c", "lo", "hi")
