@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,14 +14,23 @@ from tidelens.functions.scalar import great_circle, planar_degrees, ratio
 from tidelens.functions.storage import cut_lineage
 
 
-def similarity_blocks(vectors: DataFrame, block: int = 1024, least: float | None = None, absolute: bool = False) -> DataFrame:
-    """(i, j, w) for i < j: Pearson correlation of equally long vectors (node, vec), by pairs of blocks of bounded size.
+Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """Vectors (node, vec) without nulls that are not constant."""
+    mean = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x) / F.size("vec")
+    sound = vectors.filter(F.col("node").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull())).withColumn("m", mean)
+    return sound.filter(F.exists("vec", lambda x: x != F.col("m"))).select("node", F.col("vec").cast("array<double>").alias("vec"))
+
+
+def by_blocks(vectors: DataFrame, block: int, kernel: Kernel, schema: str, digits: int | None = None) -> DataFrame:
+    """``kernel(u, v, w)`` of the Pearson correlations w (rounded to ``digits``) of pairs u < v, by pairs of blocks.
 
-    Rows are standardised once and dealt to blocks; each pair of blocks is one task's matrix product. Only entries above
-    ``least`` leave the task. Vectors with nulls and constant ones take no part.
+    Rows are standardised once and dealt to blocks; each pair of blocks is one task's matrix product, and only what the
+    kernel makes of it leaves the task. Vectors with nulls and constant ones take no part.
     """
-    count = vectors.count()
-    blocks = max(1, -(-count // block))
+    blocks = max(1, -(-vectors.count() // block))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own, i, j = rows["own"].to_numpy(), int(key[0]), int(key[1])
@@ -29,26 +39,57 @@ def similarity_blocks(vectors: DataFrame, block: int = 1024, least: float | None
         x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
         ids, a, b = rows["node"].to_numpy(), np.flatnonzero(own == i), np.flatnonzero(own == j)
         r = x[a] @ x[b].T
-        keep = ids[a][:, None] != ids[b][None] if i != j else ids[a][:, None] < ids[b][None]
-        if least is not None:
-            keep &= (np.abs(r) if absolute else r) > least
-        p, q = np.nonzero(keep)
-        u, v = ids[a[p]], ids[b[q]]
-        return pd.DataFrame({"i": np.minimum(u, v), "j": np.maximum(u, v), "w": r[p, q]})
+        p, q = np.nonzero(ids[a][:, None] != ids[b][None] if i != j else ids[a][:, None] < ids[b][None])
+        u, v, w = ids[a[p]], ids[b[q]], r[p, q]
+        return kernel(np.minimum(u, v), np.maximum(u, v), w if digits is None else np.round(w, digits))
 
-    mean = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x) / F.size("vec")
-    usable = vectors.filter(F.col("node").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull())).withColumn("m", mean).filter(F.exists("vec", lambda x: x != F.col("m")))
-    rows = usable.withColumn("own", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("node", F.col("vec").cast("array<double>").alias("vec"), "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
-    return rows.groupBy("bi", "bj").applyInPandas(run, "i long, j long, w double")
+    rows = usable(vectors).withColumn("own", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("node", "vec", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    return rows.groupBy("bi", "bj").applyInPandas(run, schema)
+
+
+def similarity_blocks(vectors: DataFrame, block: int = 1024, least: float | None = None, absolute: bool = False) -> DataFrame:
+    """(i, j, w) for i < j: Pearson correlation of equally long vectors (node, vec). Only entries above ``least`` leave
+    the tasks."""
+
+    def kernel(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> pd.DataFrame:
+        keep = slice(None) if least is None else (np.abs(w) if absolute else w) > least
+        return pd.DataFrame({"i": u[keep], "j": v[keep], "w": w[keep]})
+
+    return by_blocks(vectors, block, kernel, "i long, j long, w double")
 
 
-def correlation_edges(vectors: DataFrame, tau: float, block: int = 1024) -> DataFrame:
-    """(i, j, w) both ways where |r| > tau."""
+def correlation_edges(vectors: DataFrame, tau: float, block: int = 1024, giant: bool = False) -> DataFrame:
+    """(i, j, w) both ways where |r| > tau; ``giant``: of the largest connected component only."""
     half = similarity_blocks(vectors, block, tau, absolute=True)
+    half = giant_component(half) if giant else half
     return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
 
 
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, label) of every node of undirected edges (i, j): the least node of its component. Each round takes the
+    least label of the neighbours and then that label's own label, so rounds grow with the logarithm of the diameter."""
+    both = cut_lineage(edges.select("i", "j").union(edges.select("j", "i")).distinct())
+    labels = cut_lineage(both.groupBy(F.col("i").alias("node")).agg(F.least(F.first("i"), F.min("j")).alias("label")))
+    for _ in range(most_rounds):
+        near = both.join(labels, both.j == labels.node).groupBy(F.col("i").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        root = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = cut_lineage(lower.join(root, "label").select("node", F.least("label", "further").alias("label"), "old"))
+        labels = new.select("node", "label")
+        if new.filter("label <> old").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def giant_component(edges: DataFrame) -> DataFrame:
+    """The edges of the component with the most nodes (ties: the least label)."""
+    labels = components(edges)
+    largest = labels.groupBy("label").agg(F.count("*").alias("n")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
+    inside = labels.join(F.broadcast(largest), "label").select(F.col("node").alias("i"))  # one row is broadcast
+    return edges.join(inside, "i").select(*edges.columns)
+
+
 def adjacency(sim: DataFrame, threshold: float) -> DataFrame:
     """Links of signed similarity at or above the threshold, without the diagonal."""
     return sim.filter((F.col("w") >= threshold) & (F.col("i") != F.col("j"))).select("i", "j")
@@ -83,6 +124,61 @@ def threshold_of_density(sim: DataFrame, rho: float, n_nodes: int | None = None,
     return placed.filter(F.col("upto") > at).agg(F.min("w").alias("threshold"))
 
 
+def edge_density_of(vectors: DataFrame, bins: int, digits: int | None = None, block: int = 1024) -> DataFrame:
+    """``edge_density`` of the correlations of vectors: tasks give maxima, then histograms, never the pairs."""
+    top, nn = by_blocks(vectors, block, lambda u, v, w: pd.DataFrame({"top": [np.abs(w).max(initial=0.0)], "nn": [len(w)]}), "top double, nn long", digits).agg(F.max("top"), F.sum("nn")).first()
+
+    def kernel(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> pd.DataFrame:
+        n = np.bincount(np.minimum(bins - 1, np.floor(np.abs(w) * bins / top if top else 0 * w).astype(int)), minlength=bins)
+        return pd.DataFrame({"bin": np.flatnonzero(n), "n": n[n > 0]})
+
+    counts = by_blocks(vectors, block, kernel, "bin long, n long", digits).groupBy("bin").agg(F.sum("n").alias("n"))
+    grid = vectors.sparkSession.range(bins + 1).select(F.col("id").alias("bin")).join(counts, "bin", "left")  # one row per bin
+    tail = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))
+    return grid.select("bin", (F.col("bin") * F.lit(top) / bins).alias("threshold"), (tail / F.lit(nn)).alias("density"))
+
+
+def threshold_of_density_of(vectors: DataFrame, rho: float, digits: int | None = None, diagonal: bool = True, block: int = 1024, bins: int = 1 << 16) -> DataFrame:
+    """``threshold_of_density`` of the correlations of vectors: a histogram of all entries tells the bin of the order
+    statistic, one of that bin the part of it, and only the entries of that part are gathered."""
+    n = usable(vectors).count()
+    at, low, high, before = int((1 - rho) * (n * n - n)), -1.0, 1.0, 0
+    own = n if diagonal else 0
+
+    def bin_of(w: np.ndarray, low: float, high: float) -> np.ndarray:
+        return np.clip(np.floor((w - low) * (bins / (high - low))), 0, bins - 1).astype(np.int64)
+
+    chosen: list[tuple[float, float, int]] = []
+
+    def within(w: np.ndarray) -> np.ndarray:
+        keep = np.ones(len(w), bool)
+        for a, b, k in chosen:
+            keep &= bin_of(w, a, b) == k
+        return w[keep]
+
+    for _ in range(2):
+        def kernel(u: np.ndarray, v: np.ndarray, w: np.ndarray, low: float = low, high: float = high) -> pd.DataFrame:
+            counts = np.bincount(bin_of(within(w), low, high), minlength=bins)
+            return pd.DataFrame({"bin": np.flatnonzero(counts), "n": counts[counts > 0]})
+
+        total = np.zeros(bins, np.int64)
+        for r in by_blocks(vectors, block, kernel, "bin long, n long", digits).groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most ``bins`` rows
+            total[r.bin] = 2 * r.n
+        total[bin_of(within(np.ones(own)), low, high)] += own
+        upto = before + np.cumsum(total)
+        if not len(upto) or upto[-1] <= at:
+            return vectors.sparkSession.createDataFrame([], "threshold double")
+        k = int(np.argmax(upto > at))
+        before = int(upto[k] - total[k])
+        chosen.append((low, high, k))
+        low, high = low + (high - low) * k / bins, low + (high - low) * (k + 1) / bins
+    rest = by_blocks(vectors, block, lambda u, v, w: pd.DataFrame({"w": within(w)}), "w double", digits).groupBy("w").agg((F.count("*") * 2).alias("c"))
+    if len(within(np.ones(own))):
+        rest = rest.unionByName(vectors.sparkSession.createDataFrame([(1.0, own)], "w double, c long")).groupBy("w").agg(F.sum("c").alias("c"))
+    order = Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)  # a 2^-31st of the value range
+    return rest.withColumn("upto", F.lit(before) + F.sum("c").over(order)).filter(F.col("upto") > at).agg(F.min("w").alias("threshold"))
+
+
 def degree(mat: DataFrame, inward: bool = False, nodes: DataFrame | None = None) -> DataFrame:
     """(node, k): stored entries of each row or column; with ``nodes``, 0 for isolated ones."""
     got = mat.groupBy(F.col("j" if inward else "i").alias("node")).agg(F.count("*").alias("k"))
@@ -159,25 +255,29 @@ def modularity(mat: DataFrame, members: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).agg(F.sum(F.col("own") / F.col("ww") - F.col("o") * F.col("k") / (F.col("ww") * F.col("ww"))).alias("q"))
 
 
-def shortest_paths(mat: DataFrame, nodes: DataFrame, most_rounds: int = 64, cut_every: int = 3) -> DataFrame:
-    """(i, j, d): least sums of weights along directed paths, found by extending paths edge by edge until none shortens."""
-    edges = cut_lineage(mat.filter("i <> j").groupBy("i", "j").agg(F.min("w").alias("w")))
-    best = cut_lineage(nodes.select(F.col("node").alias("i"), (F.col("node") + F.lit(0)).alias("j"), F.lit(0.0).alias("d")).unionByName(edges.select("i", "j", F.col("w").alias("d"))))
-    step = edges.select(F.col("i").alias("k"), F.col("j").alias("to"), "w")
-    for k in range(1, most_rounds + 1):
-        longer = best.withColumnRenamed("j", "k").join(step, "k").select("i", F.col("to").alias("j"), (F.col("d") + F.col("w")).alias("d"))
-        new = best.unionByName(longer).groupBy("i", "j").agg(F.min("d").alias("d"))
-        if k % cut_every == 0:
-            new = cut_lineage(new)
-            old = best.select("i", "j", F.col("d").alias("o"))
-            if new.join(old, ["i", "j"], "left").filter("o is null or d < o").isEmpty():
-                return new
-        best = new
-    return best
+def shortest_paths(mat: DataFrame, nodes: DataFrame, sources: DataFrame | None = None, most_rounds: int | None = None) -> DataFrame:
+    """(i, j, d): least sums of weights along directed paths from all nodes, or from ``sources`` (node).
+
+    Each round extends by an edge only the paths that the last one found or shortened, until there are none. A path has
+    fewer edges than there are nodes, so that many rounds are enough; more (a cycle of negative weight), or more than
+    ``most_rounds``, is an error.
+    """
+    limit = nodes.count() if most_rounds is None else most_rounds
+    edges = cut_lineage(mat.filter("i <> j").groupBy(F.col("i").alias("k"), F.col("j").alias("to")).agg(F.min("w").alias("w")))
+    start = nodes if sources is None else nodes.join(sources.select("node").distinct(), "node", "left_semi")
+    best = fresh = cut_lineage(start.select(F.col("node").alias("i"), (F.col("node") + F.lit(0)).alias("j"), F.lit(0.0).alias("d")))
+    for _ in range(limit + 1):
+        longer = fresh.withColumnRenamed("j", "k").join(edges, "k").groupBy("i", F.col("to").alias("j")).agg(F.min(F.col("d") + F.col("w")).alias("c"))
+        merged = cut_lineage(best.join(longer, ["i", "j"], "full").select("i", "j", F.least("d", "c").alias("d"), (F.col("d").isNull() | (F.col("c") < F.col("d"))).alias("new")))
+        best, fresh = merged.select("i", "j", "d"), merged.filter("new").select("i", "j", "d")
+        if fresh.isEmpty():
+            return best
+    raise RuntimeError(f"paths still shorten after {limit} rounds")
 
 
 def closeness(mat: DataFrame, nodes: DataFrame, **how) -> DataFrame:
-    """(node, c): 1 / mean distance to all N nodes, itself (0) included, unreachable ones at distance N."""
+    """(node, c): 1 / mean distance to all N nodes, itself (0) included, unreachable ones at distance N; of all nodes, or
+    of ``sources``."""
     n = nodes.agg(F.count("*").alias("n"))
     reached = shortest_paths(mat, nodes, **how).groupBy(F.col("i").alias("node")).agg(F.sum("d").alias("d"), F.count("*").alias("k"))
     return reached.crossJoin(F.broadcast(n)).select("node", ratio(F.col("n").cast("double"), F.col("d") + (F.col("n") - F.col("k")) * F.col("n")).alias("c"))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.functions.scalar import ratio
-
 MOST_NODES = 5000  # kernels gather a matrix of N x N in one task
 
 
@@ -27,24 +26,36 @@ def frequencies(spark: SparkSession, n: int, rate: float = 1.0, centred: bool =
     return spark.range(size).select(k.alias("k"), (F.when(k < (size + 1) // 2, k).otherwise(k - size) * (rate / size)).alias("freq"))
 
 
-def periodogram(field: DataFrame, segment: int, rate: float = 1.0) -> DataFrame:
+WINDOWS = {"hamming": np.hamming, "hann": np.hanning, "blackman": np.blackman, "none": np.ones}
+
+
+def periodogram(field: DataFrame, segment: int | None = None, rate: float = 1.0, window: str = "hamming") -> DataFrame:
     """(node, k, freq, power, rms, std): mean over disjoint whole segments of the power at non-negative frequencies.
 
-    Each segment is freed of its mean, tapered by a Hamming window, padded to a power of two and scaled to unit total
-    power (over all, positive and negative, frequencies). The transform is written as sums of cosines and sines, so it
-    is an aggregation by (node, segment, frequency). ``rms`` is the root mean square over the segments.
+    Without ``segment`` a series is one, from t = 0 to the last time of all. Each segment is freed of its mean, tapered
+    by ``window``, padded to a power of two, transformed as one array and scaled to unit total power (over all, positive
+    and negative, frequencies). ``rms`` is the root mean square over the segments.
     """
-    size, two_pi = next_pow2(segment), 2 * math.pi
+    if window not in WINDOWS:
+        raise ValueError(f"unknown window {window!r}")
+    if segment is None:
+        segment = int(field.agg(F.coalesce(F.max("t"), F.lit(0))).first()[0]) + 1
+    size, taper = next_pow2(segment), WINDOWS[window](segment)
     rows = field.filter("value is not null").withColumn("seg", F.floor(F.col("t") / segment)).withColumn("u", F.col("t") - F.col("seg") * segment)
-    mean = rows.groupBy("node", "seg").agg(F.avg("value").alias("m"), F.count("*").alias("c")).filter(F.col("c") == segment)
-    taper = F.lit(0.54) - F.lit(0.46) * F.cos(F.lit(two_pi) * F.col("u") / (segment - 1))
-    x = rows.join(mean, ["node", "seg"]).select("node", "seg", "u", ((F.col("value") - F.col("m")) * taper).alias("x"))
-    angle = F.lit(two_pi / size) * F.pmod(F.col("k") * F.col("u"), F.lit(size))
-    lines = x.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size // 2).cast("long")))).groupBy("node", "seg", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
-    power = lines.select("node", "seg", "k", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("p"))
-    both = F.col("p") * F.when((F.col("k") == 0) | (F.col("k") == size // 2), 1.0).otherwise(2.0)
-    total = power.groupBy("node", "seg").agg(F.sum(both).alias("total"))
-    shares = power.join(total, ["node", "seg"]).select("node", "k", ratio("p", "total").alias("p"))
+    series = rows.groupBy("node", "seg").agg(F.array_sort(F.collect_list(F.struct("u", F.col("value").cast("double").alias("value")))).alias("x")).filter(F.size("x") == segment)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.full(size // 2 + 1, 2.0)
+        both[[0, -1]] = 1.0  # the mean and the highest frequency have no negative counterpart
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = batch.column("x")[r].values.to_numpy()
+                p = np.abs(np.fft.rfft((x - x.mean()) * taper, size)) ** 2
+                total = float(p @ both)
+                shares = p / total if total else np.full(len(p), np.nan)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), batch.column("node")[r].as_py())), pa.array(np.arange(len(p))), pa.array(shares, from_pandas=True)], names=["node", "k", "p"])
+
+    shares = series.select("node", F.transform("x", lambda v: v["value"]).alias("x")).mapInArrow(run, "node long, k long, p double")
     got = shares.groupBy("node", "k").agg(F.avg("p").alias("power"), F.sqrt(F.avg(F.col("p") * F.col("p"))).alias("rms"), F.stddev_pop("p").alias("std"))
     return got.select("node", "k", (F.col("k") * (rate / size)).alias("freq"), "power", "rms", "std")
 

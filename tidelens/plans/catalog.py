@@ -413,7 +413,7 @@ def vectors(spark, d):
 
 @query(f"WITH {EMB} SELECT i, j FROM sim WHERE round(w, 9) >= 0.3e0 UNION ALL SELECT j, i FROM sim WHERE round(w, 9) >= 0.3e0")
 def adjacency_threshold(spark, d):
-    half = nw.adjacency(rounded(nw.similarity_blocks(vectors(spark, d)), "w"), 0.3)
+    half = nw.adjacency(rounded(nw.similarity_blocks(vectors(spark, d), least=0.3 - 1e-9), "w"), 0.3)
     return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j")))
 
 
@@ -424,12 +424,12 @@ def corr_network_edges(spark, d):
 
 @query(f"WITH {EMB}, s AS (SELECT round(abs(w), 9) AS w FROM sim), r AS (SELECT max(w) AS top, count(*) AS nn FROM s), k AS (SELECT least(49, floor(w * 50 / top))::BIGINT AS bin, count(*) AS n FROM s, r GROUP BY 1) SELECT g::BIGINT AS bin, round(g * top / 50, 6) AS threshold, round(sum(coalesce(n, 0)) OVER (ORDER BY g DESC) / nn, 9) AS density FROM (SELECT unnest(generate_series(0, 50)) AS g) LEFT JOIN k ON bin = g, r")
 def edge_density_function(spark, d):
-    return rounded(rounded(nw.edge_density(rounded(nw.similarity_blocks(vectors(spark, d)), "w"), 50), "threshold", digits=6), "density")
+    return rounded(rounded(nw.edge_density_of(vectors(spark, d), 50, digits=9), "threshold", digits=6), "density")
 
 
 @query(f"WITH {EMB}, n AS (SELECT count(*) AS n FROM embeddings), a AS (SELECT round(w, 9) AS w FROM sim UNION ALL SELECT round(w, 9) FROM sim UNION ALL SELECT 1e0 FROM embeddings) SELECT w AS threshold FROM (SELECT w, row_number() OVER (ORDER BY w) - 1 AS k FROM a), n WHERE k = floor((1e0 - 0.1e0) * (n * n - n))::BIGINT")
 def threshold_from_density(spark, d):
-    return nw.threshold_of_density(rounded(nw.similarity_blocks(vectors(spark, d)), "w"), 0.1)
+    return nw.threshold_of_density_of(vectors(spark, d), 0.1, digits=9)
 
 
 @query(sql("f3t com", "SELECT node, count(i) AS k FROM com LEFT JOIN f3t ON i = node GROUP BY 1"))

@@ -101,23 +101,31 @@ def read_edges(spark: SparkSession, path: str, base: int = 1) -> DataFrame:
 
 
 def write_compressed(mat: DataFrame, rows: int, cols: int, path: str, kind: str = "CSR") -> None:
-    """The format has a line per array, so a line holds a whole array; for matrices that a text line can hold."""
-    spark = mat.sparkSession
+    """The format has a line per array, so a line holds a whole array; for matrices that a text line can hold. Pointers
+    are running sums of the entries of each row (or column): within ranges of ``step``, and over the ranges."""
+    spark, step = mat.sparkSession, 4096
     outer, inner, n = ("i", "j", rows) if kind.upper() == "CSR" else ("j", "i", cols)
     arrays = mat.agg(F.array_sort(F.collect_list(F.struct(F.col(outer).alias("o"), F.col(inner).alias("n"), "w"))).alias("e"))
     counts = spark.range(n).select(F.col("id").alias("o")).join(mat.groupBy(F.col(outer).alias("o")).agg(F.count("*").alias("c")), "o", "left")
-    ends = counts.agg(F.array_sort(F.collect_list(F.struct("o", F.coalesce("c", F.lit(0)).alias("c")))).alias("c"))
-    pointer = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(1), F.size("c")), lambda k: F.aggregate(F.slice("c", 1, k), F.lit(0).cast("long"), lambda s, x: s + x["c"])))
+    counts = counts.select("o", F.floor(F.col("o") / step).alias("part"), F.coalesce("c", F.lit(0)).alias("c"))
+    running = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    parts = counts.groupBy("part").agg(F.sum("c").alias("pc")).select("part", (F.sum("pc").over(running(Window.orderBy("part"))) - F.col("pc")).alias("before"))
+    upto = F.col("before") + F.sum("c").over(running(Window.partitionBy("part").orderBy("o")))
+    ends = counts.join(parts, "part").select("o", upto.alias("upto")).agg(F.array_sort(F.collect_list(F.struct("o", "upto"))).alias("c"))
+    pointer = F.concat(F.array(F.lit(0).cast("long")), F.transform("c", lambda x: x["upto"]))
     both = arrays.crossJoin(ends).select(F.concat_ws("\t", F.lit(kind.upper()), F.lit(rows), F.lit(cols), F.size("e")).alias("l0"), F.array_join(F.transform("e", lambda x: number(x["w"])), "\t").alias("l1"), F.array_join(F.transform("e", lambda x: x["n"].cast("string")), "\t").alias("l2"), F.array_join(F.transform(pointer, lambda x: x.cast("string")), "\t").alias("l3"))
     write_lines(both.select(F.posexplode(F.array("l0", "l1", "l2", "l3")).alias("k", "line")), path)
 
 
 def read_compressed(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, w) of either kind, whatever the case of its name."""
+    """(i, j, w) of either kind, whatever the case of its name. Neighbouring pointers tell the places of the entries of
+    each row (or column); these places are joined with the entries, so the work is linear in their number."""
     whole = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("l"))
     parts = whole.select(F.upper(F.split(F.trim(F.get("l", F.lit(0))), r"\s+")[0]).alias("kind"), *[F.filter(F.split(F.trim(F.get("l", F.lit(k))), r"\s+"), lambda x: x != "").alias(f"a{k}") for k in (1, 2, 3)])
-    entries = parts.select("kind", F.col("a3").cast("array<long>").alias("ptr"), F.posexplode(F.arrays_zip("a1", "a2")).alias("pos", "e"))
-    outer = entries.select("kind", "pos", F.col("e.a1").cast("double").alias("w"), F.col("e.a2").cast("long").alias("inner"), (F.size(F.filter("ptr", lambda p: p <= F.col("pos"))) - 1).cast("long").alias("outer"))
+    entries = parts.select(F.posexplode(F.arrays_zip("a1", "a2")).alias("pos", "e")).select("pos", F.col("e.a1").cast("double").alias("w"), F.col("e.a2").cast("long").alias("inner"))
+    bounds = F.zip_with(F.slice("ptr", 1, F.size("ptr") - 1), F.slice("ptr", 2, F.size("ptr") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = parts.select("kind", F.col("a3").cast("array<int>").alias("ptr")).select("kind", F.posexplode(bounds).alias("outer", "p")).filter("p.a < p.b")
+    outer = rows.select("kind", F.col("outer").cast("long").alias("outer"), F.explode(F.sequence(F.col("p.a"), F.col("p.b") - 1)).alias("pos")).join(entries, "pos")
     csr = F.col("kind") == "CSR"
     known = F.when(F.col("kind").isin("CSR", "CSC"), F.col("outer")).otherwise(F.raise_error(F.lit("neither CSR nor CSC")).cast("long"))
     return outer.select(F.when(csr, known).otherwise(F.col("inner")).alias("i"), F.when(csr, F.col("inner")).otherwise(known).alias("j"), "w")
@@ -127,10 +135,12 @@ def read_compressed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dense(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, w) of all cells, rows in line order."""
-    t = lines(spark, path).filter("size(tok) > 0")
-    row = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos")) - 1  # a text matrix is small
-    numbered = t.select(row.cast("long").alias("i"), "tok")
+    """(i, j, w) of all cells, rows in line order: numbered within the pieces of the files, after those before them."""
+    t = lines(spark, path).filter("size(tok) > 0").withColumn("piece", F.shiftright("pos", 33))
+    counts = t.groupBy("piece").agg(F.count("*").alias("n"))
+    before = counts.select("piece", (F.sum("n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))  # a row per piece
+    row = F.row_number().over(Window.partitionBy("piece").orderBy("pos")) - 1 + F.col("before")
+    numbered = t.join(F.broadcast(before), "piece").select(row.cast("long").alias("i"), "tok")
     return numbered.select("i", F.posexplode("tok").alias("j", "x")).select("i", F.col("j").cast("long").alias("j"), F.col("x").cast("double").alias("w"))
 
 
