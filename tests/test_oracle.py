@@ -1,4 +1,4 @@
-"""Every registered query with SQL gives what DuckDB gives on the same tables; the others run and are not empty."""
+"""Every registered query with SQL gives what DuckDB gives on the same tables; test_numpy.py has the others."""
 
 import math
 
@@ -39,11 +39,6 @@ def test_same_as_sql(spark, tables, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, tables, name):
-    assert QUERIES[name](spark, tables).count() >= 0
-
-
 def test_entry(spark, tables):
     import __spark_entry__
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from statistics import NormalDist
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -61,12 +63,19 @@ def grid_boxes(spark):
     return ph.box_centres(spark, BOUNDS)
 
 
-@query(sql("f7", "SELECT box, round(p / sum(p) OVER (), 9) AS p FROM (SELECT b.box, sum(exp(-0.5e0 * (ixx * (b.x - f7.x) ** 2 + 2 * ixy * (b.x - f7.x) * (b.y - f7.y) + iyy * (b.y - f7.y) ** 2))) AS p FROM f7, b, k GROUP BY 1)", "b AS (SELECT (g + 6 * h)::BIGINT AS box, 1.5e0 + 4 * g AS x, 4.5e0 + 10 * h AS y FROM (SELECT unnest(generate_series(0, 5)) AS g), (SELECT unnest(generate_series(0, 9)) AS h)), c AS (SELECT var_samp(x) * f AS cxx, covar_samp(x, y) * f AS cxy, var_samp(y) * f AS cyy FROM f7, (SELECT count(*) ** (-2e0 / 6) AS f FROM f7) GROUP BY f), k AS (SELECT cyy / (cxx * cyy - cxy * cxy) AS ixx, -cxy / (cxx * cyy - cxy * cxy) AS ixy, cxx / (cxx * cyy - cxy * cxy) AS iyy FROM c)"))
+KDE = "b AS (SELECT (g + 6 * h)::BIGINT AS box, 1.5e0 + 4 * g AS x, 4.5e0 + 10 * h AS y FROM (SELECT unnest(generate_series(0, 5)) AS g), (SELECT unnest(generate_series(0, 9)) AS h)), c AS (SELECT var_samp(x) * f AS cxx, covar_samp(x, y) * f AS cxy, var_samp(y) * f AS cyy FROM f7, (SELECT count(*) ** (-2e0 / 6) AS f FROM f7) GROUP BY f), k AS (SELECT cyy / (cxx * cyy - cxy * cxy) AS ixx, -cxy / (cxx * cyy - cxy * cxy) AS ixy, cxx / (cxx * cyy - cxy * cxy) AS iyy FROM c)"
+KDE_SUMS = "(SELECT b.box, sum(exp(-0.5e0 * (ixx * (b.x - f7.x) ** 2 + 2 * ixy * (b.x - f7.x) * (b.y - f7.y) + iyy * (b.y - f7.y) ** 2))) AS p FROM f7, b, k GROUP BY 1)"
+
+
+@query(sql("f7", f"SELECT box, round(p / sum(p) OVER (), 9) AS p FROM {KDE_SUMS}", KDE))
 def kde_weights(spark, d):
     return rounded(ph.kde_weights(fx.states(spark, d), grid_boxes(spark), ["x", "y"]), "p")
 
 
-@query(None)
+FILL = f"kd AS MATERIALIZED (SELECT box, p / sum(p) OVER () AS p FROM {KDE_SUMS}), o AS MATERIALIZED (SELECT box, p, row_number() OVER (ORDER BY p DESC, box) AS r FROM kd), f AS (SELECT 0::BIGINT AS r, -1::BIGINT AS box, 0::BIGINT AS level, 0::BIGINT AS upto, 0e0 AS held UNION ALL SELECT o.r, o.box, CASE WHEN upto <= 3 THEN upto ELSE 0 END, CASE WHEN upto <= 3 AND held + p >= 0.25e0 THEN upto + 1 ELSE upto END, CASE WHEN upto <= 3 AND held + p >= 0.25e0 THEN 0e0 ELSE held + p END FROM f JOIN o ON o.r = f.r + 1)"
+
+
+@query(sql("f7", "SELECT box, level FROM f WHERE r > 0", KDE + ", " + FILL).replace("WITH", "WITH RECURSIVE", 1))
 def polar_levels(spark, d):
     return ph.level_fill(ph.kde_weights(fx.states(spark, d), grid_boxes(spark), ["x", "y"]), 3)
 
@@ -108,19 +117,54 @@ SAMPLES, LENGTH, SEED = 40, 10, 7
 U = f"('0x' || substr(md5(concat_ws('|', '{SEED}', i, j, sample, block, {{0}})), 1, 8))::BIGINT / 4294967296e0"
 
 
-def bootstrap_sql(paired: bool, body: str) -> str:
+F2C = "f2c AS (SELECT grid2.t, grid2.node, coalesce(n, 0)::DOUBLE AS value FROM grid2 LEFT JOIN (SELECT (date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) // 3600)::BIGINT AS t, " + fx.CODE + " AS node, count(*) AS n FROM events GROUP BY 1, 2) USING (t, node))"
+
+
+def event_counts(spark, d):
+    """(t, node, value): numbers of events by hour and type, on the grid of ``field``."""
+    hour = F.expr(f"timestampdiff(HOUR, TIMESTAMP_NTZ'{fx.START}', ts)").cast("long")
+    got = fx.read(spark, d, "events").groupBy(hour.alias("t"), fx.event_code().alias("node")).agg(F.count("*").cast("double").alias("c"))
+    return fx.field(spark, d).select("t", "node").join(got, ["t", "node"], "left").select("t", "node", F.coalesce("c", F.lit(0.0)).alias("value"))
+
+
+def bootstrap_sql(paired: bool, body: str, other: bool = False, length: int | None = LENGTH, samples: int = SAMPLES) -> str:
+    """Resamples ``s`` and estimates ``e`` of pairs of one field, or of two; blocks of ``length``, or of the pair's own."""
     sx, sy = U.format("'x'"), U.format("'x'" if paired else "'y'")
+    second, pairs = ("f2c", "TRUE") if other else ("f2", "a.node < b.node")
+    lengths = f"ln AS (SELECT x.node AS i, y.node AS j, n, {PAIR_LOPT} AS l FROM a x JOIN a y ON x.node < y.node, n)" if length is None else f"ln AS (SELECT DISTINCT i, j, n, {length} AS l FROM v, n)"
     return sql(
         "f2", body,
-        "n AS (SELECT count(DISTINCT t) AS n FROM f2), v AS (SELECT a.node AS i, b.node AS j, row_number() OVER (PARTITION BY a.node, b.node ORDER BY t) - 1 AS k, a.value AS x, b.value AS y FROM f2 a JOIN f2 b USING (t) WHERE a.node < b.node), "
-        f"st AS MATERIALIZED (SELECT i, j, sample, block, floor({sx} * (n - {LENGTH}))::BIGINT AS sx, floor({sy} * (n - {LENGTH}))::BIGINT AS sy, n FROM (SELECT DISTINCT i, j FROM v), n, (SELECT unnest(generate_series(0, {SAMPLES - 1})) AS sample), (SELECT unnest(generate_series(0, (SELECT (n + {LENGTH - 1}) // {LENGTH} - 1 FROM n))) AS block)), "
-        f"ps AS MATERIALIZED (SELECT i, j, sample, sx + o AS kx, sy + o AS ky FROM st, (SELECT unnest(generate_series(0, {LENGTH - 1})) AS o) WHERE block * {LENGTH} + o < n), "
+        (AUTO + ", " if length is None else "n AS (SELECT count(DISTINCT t) AS n FROM f2), ") + (F2C + ", " if other else "") +
+        f"v AS (SELECT a.node AS i, b.node AS j, row_number() OVER (PARTITION BY a.node, b.node ORDER BY t) - 1 AS k, a.value AS x, b.value AS y FROM f2 a JOIN {second} b USING (t) WHERE {pairs}), {lengths}, "
+        f"st AS MATERIALIZED (SELECT i, j, sample, block, l, floor({sx} * (n - l))::BIGINT AS sx, floor({sy} * (n - l))::BIGINT AS sy, n FROM (SELECT *, unnest(generate_series(0, (n + l - 1) // l - 1)) AS block FROM ln), (SELECT unnest(generate_series(0, {samples - 1})) AS sample)), "
+        "ps AS MATERIALIZED (SELECT i, j, sample, sx + o AS kx, sy + o AS ky FROM (SELECT *, unnest(generate_series(0, l - 1)) AS o FROM st) WHERE block * l + o < n), "
         f"s AS (SELECT i, j, sample, {CORR.format('a.x', 'b.y')} AS s FROM ps JOIN v a USING (i, j) JOIN v b USING (i, j) WHERE a.k = kx AND b.k = ky GROUP BY 1, 2, 3), "
         f"e AS (SELECT i, j, {CORR.format('x', 'y')} AS estim FROM v GROUP BY 1, 2), "
         "ra AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY abs(s), sample) AS r FROM s), rs AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY s, sample) AS r FROM s)",
     )
 
 
+P_SQL = f"SELECT i, j, round(max(estim), 9) AS estim, {LENGTH}::BIGINT AS l, avg((abs(s) > abs(estim))::INT) AS p FROM s JOIN e USING (i, j) GROUP BY 1, 2"
+
+
+@query(bootstrap_sql(False, P_SQL, other=True))
+def mbb_pvalue_two_fields(spark, d):
+    return rounded(rs.p_values(fx.field(spark, d), SAMPLES, SEED, length=LENGTH, other=event_counts(spark, d)), "estim")
+
+
+@query(bootstrap_sql(True, P_SQL))
+def mbb_pvalue_paired(spark, d):
+    return rounded(rs.p_values(fx.field(spark, d), SAMPLES, SEED, length=LENGTH, paired=True), "estim")
+
+
+FISHER_NORMAL = math.tanh(NormalDist().inv_cdf(0.95))
+
+
+@query(sql("f2", f"SELECT DISTINCT a.node AS i, b.node AS j, round({FISHER_NORMAL!r}::DOUBLE, 9) AS critical FROM f2 a JOIN f2 b ON a.node < b.node"))
+def critical_value_fisher_normal(spark, d):
+    return rounded(rs.critical_values(fx.field(spark, d), SAMPLES, 0.05, level="normal", fisher=True), "critical")
+
+
 @query(bootstrap_sql(False, f"SELECT i, j, round(max(estim), 9) AS estim, {LENGTH}::BIGINT AS l, avg((abs(s) > abs(estim))::INT) AS p FROM s JOIN e USING (i, j) GROUP BY 1, 2"))
 def mbb_pvalue(spark, d):
     return rounded(rs.p_values(fx.field(spark, d), SAMPLES, SEED, length=LENGTH), "estim")
@@ -153,8 +197,14 @@ def surrogate_row_counts(spark, d):
     return mk.shuffled_counts(mk.transition_counts(fx.series(spark, d)), 3, SEED)
 
 
-for method in ("bca", "normal", "student"):
-    query(None, f"mbb_ci_{method}")(lambda spark, d, method=method: rounded(rs.intervals(fx.field(spark, d), 20, 0.1, method, SEED), "lo", "hi"))
+def interval_sql(q: float) -> str:
+    """The estimate and ``q`` deviations of its resamples to either side."""
+    return bootstrap_sql(True, f"SELECT i, j, round(max(estim) - {q!r}::DOUBLE * stddev_pop(s), 9) AS lo, round(max(estim) + {q!r}::DOUBLE * stddev_pop(s), 9) AS hi FROM s JOIN e USING (i, j) GROUP BY 1, 2", length=None, samples=20)
+
+
+INTERVALS = {"bca": None, "normal": interval_sql(NormalDist().inv_cdf(0.95)), "student": interval_sql(rs.student_quantile(0.95, 19))}
+for method in INTERVALS:
+    query(INTERVALS[method], f"mbb_ci_{method}")(lambda spark, d, method=method: rounded(rs.intervals(fx.field(spark, d), 20, 0.1, method, SEED), "lo", "hi"))
 
 
 @query(None)
@@ -162,7 +212,18 @@ def phase_surrogate_pvalue(spark, d):
     return rs.phase_p_values(fx.field(spark, d), 50, SEED)
 
 
-@query(None)
+CCF_BAND = sql(
+    "f2", "SELECT lag, c, round(quantile_cont(s, 0.025e0), 9) AS lo, round(quantile_cont(s, 0.975e0), 9) AS hi FROM cc JOIN nl USING (lag) GROUP BY 1, 2",
+    "n AS (SELECT count(DISTINCT t) AS n FROM f2), v AS (SELECT row_number() OVER (ORDER BY t) - 1 AS k, a.value AS x, b.value AS y FROM f2 a JOIN f2 b USING (t) WHERE a.node = 0 AND b.node = 4), "
+    f"st AS MATERIALIZED (SELECT sample, block, n, floor({U.format(chr(39) + 'x' + chr(39))} * (n - 10))::BIGINT AS sx, floor({U.format(chr(39) + 'y' + chr(39))} * (n - 10))::BIGINT AS sy FROM (SELECT 0 AS i, 1 AS j, n, unnest(generate_series(0, (n + 9) // 10 - 1)) AS block FROM n), (SELECT unnest(generate_series(0, 19)) AS sample)), "
+    "ps AS MATERIALIZED (SELECT sample, block * 10 + o AS pos, sx + o AS kx, sy + o AS ky FROM (SELECT *, unnest(generate_series(0, 9)) AS o FROM st) WHERE block * 10 + o < n), "
+    "dr AS MATERIALIZED (SELECT sample, pos, a.x, b.y FROM ps JOIN v a ON a.k = kx JOIN v b ON b.k = ky), lg AS (SELECT unnest(generate_series(-6, 6)) AS lag), "
+    f"nl AS (SELECT lag, a.sample, {CORR.format('a.x', 'b.y')} AS s FROM dr a, lg JOIN dr b ON b.sample = a.sample AND b.pos = a.pos + lag GROUP BY 1, 2), "
+    "z AS (SELECT k, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y FROM v), cc AS (SELECT lag, round(avg(a.x * b.y), 9) AS c FROM z a, lg JOIN z b ON b.k = a.k + lag GROUP BY 1)",
+)
+
+
+@query(CCF_BAND)
 def mbb_ccf_band(spark, d):
     f = fx.field(spark, d)
     return rounded(rs.ccf_band(f.filter("node = 0"), f.filter("node = 4"), 6, 20, seed=SEED), "c", "lo", "hi")
@@ -176,6 +237,11 @@ def periodogram(spark, d):
     return rounded(sp.periodogram(fx.field(spark, d), 60), "power", "rms", "std")
 
 
+@query(sql("f2", "SELECT node, k::BIGINT AS k, k / m AS freq, round(p, 9) AS power FROM (SELECT node, k, m, p / sum(p * CASE WHEN k IN (0, m // 2) THEN 1 ELSE 2 END) OVER (PARTITION BY node) AS p FROM (SELECT node, k, m, sum(x * cos(an)) ** 2 + sum(x * sin(an)) ** 2 AS p FROM (SELECT node, k, m, x, 2 * pi() / m * (k * t % m) AS an FROM x, (SELECT unnest(generate_series(0, (SELECT m::BIGINT // 2 FROM n))) AS k)) GROUP BY 1, 2, 3))", "n AS (SELECT count(DISTINCT t) AS n, 2 ** ceil(log2(count(DISTINCT t))) AS m FROM f2), x AS (SELECT node, t, m, (value - avg(value) OVER (PARTITION BY node)) * (0.5e0 - 0.5e0 * cos(2 * pi() * t / (n - 1))) AS x FROM f2, n)"))
+def periodogram_whole_hann(spark, d):
+    return rounded(sp.periodogram(fx.field(spark, d), window="hann"), "power").drop("rms", "std")
+
+
 @query("WITH n AS (SELECT 2 ** ceil(log2(count(*))) AS n FROM orders) SELECT k::BIGINT AS k, (k - n / 2) / n AS freq FROM (SELECT unnest(generate_series(0, (SELECT n::BIGINT - 1 FROM n))) AS k), n")
 def freq_pow2(spark, d):
     return sp.frequencies(spark, fx.read(spark, d, "orders").count())
@@ -341,14 +407,28 @@ def cusp_euler(spark, d):
     return rounded(dy.trajectories(starts(spark, d, [None], [1, 0.1]), "cusp", 0.05, 20, "euler"), "x")
 
 
-@query(None)
+def rk4_sql(y: str, z: str, field: dict[str, str], dt: str = "0.01e0", steps: int = 100, sampling: int = 10) -> str:
+    """Runge-Kutta steps of a field of x, y and z, in which the state's names stand in braces."""
+    stage = lambda k, at: "SELECT *, " + ", ".join(f"{f.format(**at)} AS {k}_{c}" for c, f in field.items()) + " FROM"
+    along = lambda k, by: {c: f"({c} + {by} * {k}_{c})" for c in "xyz"}
+    inner = f"{stage('d', along('c', dt))} ({stage('c', along('b', dt + ' / 2'))} ({stage('b', along('a', dt + ' / 2'))} ({stage('a', {c: c for c in 'xyz'})} r WHERE t < {steps})))"
+    step = ", ".join(f"{c} + {dt} / 6 * (a_{c} + 2 * b_{c} + 2 * c_{c} + d_{c})" for c in "xyz")
+    return f"WITH RECURSIVE r AS (SELECT c_custkey AS id, 0::BIGINT AS t, c_acctbal / 10000e0 AS x, {y} AS y, {z} AS z FROM customer UNION ALL SELECT id, t + 1, {step} FROM ({inner})) SELECT id, t // {sampling} AS t, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM r WHERE t > 0 AND t % {sampling} = 0"
+
+
+@query(rk4_sql("1e0", "20e0", {"x": "10e0 * ({y} - {x})", "y": "{x} * (28e0 - {z}) - {y}", "z": "{x} * {y} - (8e0 / 3e0) * {z}"}))
 def lorenz_rk4(spark, d):
-    return dy.trajectories(starts(spark, d, [None, 1, 20], [10, 28, 8 / 3]), "lorenz", 0.01, 100, sampling=10)
+    return rounded(dy.trajectories(starts(spark, d, [None, 1, 20], [10, 28, 8 / 3]), "lorenz", 0.01, 100, sampling=10), "x", "y", "z", digits=6)
 
 
-@query(None)
+@query(rk4_sql("1e0", "0e0", {"x": "-{y} - {z}", "y": "{x} + 0.2e0 * {y}", "z": "0.2e0 + {z} * ({x} - 5.7e0)"}))
 def rossler_rk4(spark, d):
-    return dy.trajectories(starts(spark, d, [None, 1, 0], [0.2, 0.2, 5.7]), "rossler", 0.01, 100, sampling=10)
+    return rounded(dy.trajectories(starts(spark, d, [None, 1, 0], [0.2, 0.2, 5.7]), "rossler", 0.01, 100, sampling=10), "x", "y", "z", digits=6)
+
+
+@query("WITH RECURSIVE r AS (SELECT c_custkey AS id, 0::BIGINT AS t, c_acctbal / 10000e0 AS x, 0.1e0 AS h FROM customer UNION ALL SELECT id, t + 1, x + 0.05e0 * (h + 1e0 * x - x * x * x), h + 0.02e0 * 0.05e0 FROM r WHERE t < 30) SELECT id, t - 10 AS t, round(x, 9) AS x FROM r WHERE t > 10")
+def cusp_drift(spark, d):
+    return rounded(dy.trajectories(starts(spark, d, [None], [1, 0.1]), "cusp", 0.05, 20, "euler", spinup=10, drift_rate=0.02), "x")
 
 
 @query(None)
@@ -376,9 +456,10 @@ def streaming_transitions(spark, d):
     return pairs.groupBy("i", "j").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(f"SELECT start, node, round(avg(value), 9) AS mean, count(*) AS n FROM (SELECT epoch(ts)::BIGINT // 21600 * 21600 AS start, {fx.CODE} AS node, value FROM events) WHERE start + 21600 <= (SELECT floor(epoch(max(ts)) * 1000) / 1000 - 3600 FROM events) GROUP BY 1, 2")
 def streaming_window_means(spark, d):
     rows = event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), fx.event_code().alias("node"), "value")
-    return rounded(st.run_available(st.windowed_anomaly(rows), "start timestamp, node long, mean double, n long", "windows"), "mean")
+    got = st.run_available(st.windowed_anomaly(rows), "start timestamp, node long, mean double, n long", "windows")
+    return rounded(got.withColumn("start", F.unix_timestamp("start")), "mean")
 
 
