@@ -20,8 +20,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written as a table into the shared folder and read back, with true sizes for the planner."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+#: Paths of the tables that operators wrote in this process and that have not been deleted yet.
+WRITTEN: set[str] = set()
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table at ``path``, read back with true sizes for the planner."""
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    WRITTEN.add(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` written as a table into the shared folder and read back.
+
+    ``instead_of``, a table that this function gave before, is deleted once the new one is there, so that rounds of an
+    iteration do not pile up; nothing but ``df`` may need it.
+    """
+    table = written(df, f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}")
+    if instead_of is not None:
+        delete(df.sparkSession, instead_of.written_to)
+    return table
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    WRITTEN.discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that operators have written so far in this process. Results that were not written or collected
+    before cannot be computed any more."""
+    for path in sorted(WRITTEN):
+        delete(spark, path)

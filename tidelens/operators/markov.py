@@ -159,7 +159,7 @@ def pagerank(mat: DataFrame, nodes: DataFrame, damping: float | None = None, tol
     Stops when the L1 change is at most ``tol`` (checked at each cut of the lineage) or after ``max_iter`` steps.
     """
     step_mat, start = cut_lineage(stochastic(mat.filter("w <> 0"), "i")), cut_lineage(uniform(nodes))
-    p = start
+    p, table = start, None
     for k in range(1, max_iter + 1):
         moved = vector_product(p, step_mat).withColumnRenamed("p", "m")
         value: Column = F.coalesce("m", F.lit(0.0))
@@ -167,9 +167,11 @@ def pagerank(mat: DataFrame, nodes: DataFrame, damping: float | None = None, tol
             value = F.lit(damping) * value + F.lit(1 - damping) * F.col("p")
         new = start.join(moved, "node", "left").select("node", value.alias("p"))
         if k % cut_every == 0 and k < max_iter:
-            new = cut_lineage(new)
+            new = cut_lineage(new if tol <= 0 else new.join(p.withColumnRenamed("p", "old"), "node"), instead_of=table)
+            table = new
             if tol > 0:
-                change = new.join(p.withColumnRenamed("p", "o"), "node").agg(F.sum(F.abs(F.col("p") - F.col("o")))).first()[0]
+                change = new.agg(F.sum(F.abs(F.col("p") - F.col("old")))).first()[0]
+                new = new.select("node", "p")
                 if change is not None and change <= tol:
                     return new
         p = new

@@ -70,13 +70,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) of every node of undirected edges (i, j): the least node of its component. Each round takes the
     least label of the neighbours and then that label's own label, so rounds grow with the logarithm of the diameter."""
     both = cut_lineage(edges.select("i", "j").union(edges.select("j", "i")).distinct())
-    labels = cut_lineage(both.groupBy(F.col("i").alias("node")).agg(F.least(F.first("i"), F.min("j")).alias("label")))
+    labels = table = cut_lineage(both.groupBy(F.col("i").alias("node")).agg(F.least(F.first("i"), F.min("j")).alias("label")))
     for _ in range(most_rounds):
         near = both.join(labels, both.j == labels.node).groupBy(F.col("i").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         root = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut_lineage(lower.join(root, "label").select("node", F.least("label", "further").alias("label"), "old"))
-        labels = new.select("node", "label")
+        new = cut_lineage(lower.join(root, "label").select("node", F.least("label", "further").alias("label"), "old"), instead_of=table)
+        table, labels = new, new.select("node", "label")
         if new.filter("label <> old").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
@@ -265,11 +265,11 @@ def shortest_paths(mat: DataFrame, nodes: DataFrame, sources: DataFrame | None =
     limit = nodes.count() if most_rounds is None else most_rounds
     edges = cut_lineage(mat.filter("i <> j").groupBy(F.col("i").alias("k"), F.col("j").alias("to")).agg(F.min("w").alias("w")))
     start = nodes if sources is None else nodes.join(sources.select("node").distinct(), "node", "left_semi")
-    best = fresh = cut_lineage(start.select(F.col("node").alias("i"), (F.col("node") + F.lit(0)).alias("j"), F.lit(0.0).alias("d")))
+    best = fresh = table = cut_lineage(start.select(F.col("node").alias("i"), (F.col("node") + F.lit(0)).alias("j"), F.lit(0.0).alias("d")))
     for _ in range(limit + 1):
         longer = fresh.withColumnRenamed("j", "k").join(edges, "k").groupBy("i", F.col("to").alias("j")).agg(F.min(F.col("d") + F.col("w")).alias("c"))
-        merged = cut_lineage(best.join(longer, ["i", "j"], "full").select("i", "j", F.least("d", "c").alias("d"), (F.col("d").isNull() | (F.col("c") < F.col("d"))).alias("new")))
-        best, fresh = merged.select("i", "j", "d"), merged.filter("new").select("i", "j", "d")
+        merged = cut_lineage(best.join(longer, ["i", "j"], "full").select("i", "j", F.least("d", "c").alias("d"), (F.col("d").isNull() | (F.col("c") < F.col("d"))).alias("new")), instead_of=table)
+        table, best, fresh = merged, merged.select("i", "j", "d"), merged.filter("new").select("i", "j", "d")
         if fresh.isEmpty():
             return best
     raise RuntimeError(f"paths still shorten after {limit} rounds")

@@ -13,6 +13,7 @@ from tidelens.functions.scalar import ratio
 
 TWO_PI = 2 * math.pi
 Bounds = dict[str, list[float]]
+MOST_BOXES = 4_000_000  # one row of two numbers per box in one task
 
 
 def uniform_bounds(axes: dict[str, tuple[float, float, int]]) -> Bounds:
@@ -119,6 +120,8 @@ def level_fill(weights: DataFrame, levels: int) -> DataFrame:
     the weight; leftover boxes get 0. An ordered fold over one row per box; ties go to the smaller box."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_BOXES:
+            raise ValueError(f"{len(pdf)} boxes; an ordered fold takes {MOST_BOXES} at most")
         pdf = pdf.sort_values(["p", "box"], ascending=[False, True])
         level, held, out = 0, 0.0, []
         for p in pdf["p"]:
@@ -149,8 +152,29 @@ def polar_boxes(centres: DataFrame, weights: DataFrame, levels: int, sectors: in
     return placed.join(level_fill(weights, levels), "box").select("box", (F.col("level") * sectors + F.col("sector")).alias("mem"))
 
 
-def polar_membership(states: DataFrame, levels: int, sectors: int, n: int = 20, spread: float = 3.0, centre: str = "mode", bandwidth: float | None = None, axes: tuple[str, str] = ("x", "y")) -> DataFrame:
-    """States with ``mem``: adapted grid, kernel density, polar partition, labels made dense."""
+def principal_axes(states: DataFrame, axes: tuple[str, str]) -> DataFrame:
+    """``states`` with two axes replaced by their principal components (anomalies, the larger variance first; the
+    component of greatest size of either direction is positive)."""
+    x, y = (F.col(a) for a in axes)
+    m = states.agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.var_pop(x).alias("xx"), F.covar_pop(x, y).alias("xy"), F.var_pop(y).alias("yy")).first()
+    if m.xx is None:
+        return states
+    w, v = np.linalg.eigh(np.array([[m.xx, m.xy], [m.xy, m.yy]]))
+    v = v[:, np.argsort(-w)]
+    v = v * np.where(v[np.abs(v).argmax(axis=0), [0, 1]] < 0, -1, 1)
+    return states.withColumns({axes[k]: (x - m.x) * float(v[0, k]) + (y - m.y) * float(v[1, k]) for k in (0, 1)})
+
+
+def polar_membership(states: DataFrame, levels: int, sectors: int, n: int = 20, spread: float = 3.0, centre: str = "mode", bandwidth: float | None = None, axes: tuple[str, str] = ("x", "y"), rotation: str | None = None) -> DataFrame:
+    """States with ``mem``: adapted grid, kernel density, polar partition, labels made dense.
+
+    ``rotation`` 'eof' replaces the two axes by their principal components first, and gives them back as they were."""
+    if rotation == "eof":
+        kept = [F.col(a).alias(f"__{a}") for a in axes]
+        turned = polar_membership(principal_axes(states.select("*", *kept), axes), levels, sectors, n, spread, centre, bandwidth, axes)
+        return turned.select(*[F.col(f"__{c}").alias(c) if c in axes else F.col(c) for c in states.columns], "mem")
+    if rotation is not None:
+        raise ValueError(f"unknown rotation {rotation!r}")
     spark = states.sparkSession
     bounds = bounds_of(adapted_grid(states, list(axes), n, spread))
     centres = box_centres(spark, {a: bounds[a] for a in axes})

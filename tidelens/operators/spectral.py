@@ -116,6 +116,8 @@ def varimax(loadings: DataFrame, normalise: bool = False, tol: float = 1e-5, mos
     """(mode, node, loading): Kaiser's rotation of (mode, node, loading), two modes at least."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_NODES * 100:
+            raise ValueError(f"{len(pdf)} loadings; a rotation takes {MOST_NODES * 100} at most")
         wide = pdf.pivot(index="node", columns="mode", values="loading").sort_index()
         x = wide.to_numpy(float)
         if x.shape[1] < 2:
