@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelens.functions import storage
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a new temporary one where it is unset.
@@ -30,15 +32,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back. ``instead_of``, a table of this function that nothing but ``df``
+    needs, is deleted then; ``tidelens.functions.storage.clear`` deletes all that are left.
 
     This cuts lineage in a way that outlives lost executors, and gives the planner true sizes, so that it
     broadcasts a table only if that is below ``spark.sql.autoBroadcastJoinThreshold``.
     """
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = storage.written(df, fresh_path(df.sparkSession, name))
+    if instead_of is not None:
+        storage.delete(df.sparkSession, instead_of.written_to)
+    return table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

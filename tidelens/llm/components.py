@@ -15,13 +15,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     shared folder after each round. Joins are on plain keys, so that skewed nodes can be split.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    labels = table = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     for _ in range(most_rounds):
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         root = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = materialise(lower.join(root, "label").select("node", F.least("label", "further").alias("label"), "old"), "labels")
-        labels = new.select("node", "label")
+        new = materialise(lower.join(root, "label").select("node", F.least("label", "further").alias("label"), "old"), "labels", instead_of=table)
+        table, labels = new, new.select("node", "label")
         if new.filter("label <> old").isEmpty():
             break
     else:

@@ -3,7 +3,8 @@
 ``tokenise`` cuts every document's ids (with an end id) into full windows and one remainder; ``pack`` deals the
 pieces, which are small rows without ids, to groups of bounded size and packs each group: a full window is a
 sequence of its own, remainders go, longest first, to the open window with the least room that still holds them.
-Only piece lengths are shuffled. The padding is what best fit leaves open; a group holds about ``group_rows``
+Only piece lengths are shuffled; pieces are written before, since a piece's group depends on its place in its task. The
+padding is what best fit leaves open; a group holds about ``group_rows``
 documents, so a group never grows with the input and the loss at the ends of groups stays a fraction of a percent.
 
 Defined cases: null text counts as empty (one piece: the end id); repeated rows are packed as often as they occur;
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -167,7 +168,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, end
     """``added_tokens``: a literal added token (<|endoftext|>) in a text gets its one id, as by default in `tokenizers`;
     without it, the ids of its characters. The query and the pipeline set it."""
     groups = max(1, -(-docs.count() // group_rows))
-    return pack(tokenise(docs, tokenizer_path, groups, window, end_id, id_col, text_col, added_tokens), window)
+    pieces = tokenise(docs, tokenizer_path, groups, window, end_id, id_col, text_col, added_tokens)
+    return pack(materialise(pieces, "pieces"), window)  # written, so a repeated task finds every piece in its group again
 
 
 def tokenizer_path() -> str:
