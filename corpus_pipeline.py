@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents in, packed training sequences out. Each stage is one operator of tidelens.llm."""
+"""The corpus pipeline: documents in, packed training sequences out. Each stage is one operator of tidelens.llm.
+
+Defined cases: rows with a null or empty text pass all stages (the last gives them one piece, the end id), as do rows
+without id; rows that repeat id and text count as copies, of which one stays, and rows that repeat an id with unlike
+texts all stay; without labels or benchmark items those stages keep all; an empty table gives no rows; all stages but the
+last keep the columns of their input, extra ones included, and ``personal`` sets ``n_chars`` anew where it changes a text.
+"""
 
 from __future__ import annotations
 
