@@ -107,9 +107,25 @@ def vector_product(vector: DataFrame, mat: DataFrame) -> DataFrame:
 
 
 def upper_triangle(mat: DataFrame) -> DataFrame:
+    """What symmetric storage keeps of a symmetric matrix."""
     return mat.filter("i <= j")
 
 
+def from_upper_triangle(upper: DataFrame) -> DataFrame:
+    """The symmetric matrix that ``upper_triangle`` stores."""
+    return upper.unionByName(upper.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+
+
+def constant_vector(nodes: DataFrame, value: float) -> DataFrame:
+    return nodes.select("node", F.lit(float(value)).alias("p"))
+
+
+def linspaced_vector(n: int, low: float, high: float, spark) -> DataFrame:
+    """(node, p): n evenly spaced numbers from ``low`` to ``high``, the only one being ``low``."""
+    step = (high - low) / (n - 1) if n > 1 else 0.0
+    return spark.range(n).select(F.col("id").alias("node"), (F.lit(float(low)) + F.col("id") * F.lit(step)).alias("p"))
+
+
 def lower_pairs(n: int, spark) -> DataFrame:
     """(i, j) with i > j below n."""
     a, b = spark.range(n).select(F.col("id").alias("i")), spark.range(n).select(F.col("id").alias("j"))

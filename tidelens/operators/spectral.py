@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,22 +44,50 @@ def periodogram(field: DataFrame, segment: int | None = None, rate: float = 1.0,
     rows = field.filter("value is not null").withColumn("seg", F.floor(F.col("t") / segment)).withColumn("u", F.col("t") - F.col("seg") * segment)
     series = rows.groupBy("node", "seg").agg(F.array_sort(F.collect_list(F.struct("u", F.col("value").cast("double").alias("value")))).alias("x")).filter(F.size("x") == segment)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel(x: np.ndarray) -> list[np.ndarray]:
         both = np.full(size // 2 + 1, 2.0)
         both[[0, -1]] = 1.0  # the mean and the highest frequency have no negative counterpart
-        for batch in batches:
-            for r in range(batch.num_rows):
-                x = batch.column("x")[r].values.to_numpy()
-                p = np.abs(np.fft.rfft((x - x.mean()) * taper, size)) ** 2
-                total = float(p @ both)
-                shares = p / total if total else np.full(len(p), np.nan)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), batch.column("node")[r].as_py())), pa.array(np.arange(len(p))), pa.array(shares, from_pandas=True)], names=["node", "k", "p"])
+        p = np.abs(np.fft.rfft((x - x.mean()) * taper, size)) ** 2
+        total = float(p @ both)
+        return [p / total if total else np.full(len(p), np.nan)]
 
-    shares = series.select("node", F.transform("x", lambda v: v["value"]).alias("x")).mapInArrow(run, "node long, k long, p double")
+    shares = series_kernel(series.select("node", F.transform("x", lambda v: v["value"]).alias("x")), ["x"], kernel, ["k", "p"]).withColumn("p", F.nanvl("p", F.lit(None).cast("double")))
     got = shares.groupBy("node", "k").agg(F.avg("p").alias("power"), F.sqrt(F.avg(F.col("p") * F.col("p"))).alias("rms"), F.stddev_pop("p").alias("std"))
     return got.select("node", "k", (F.col("k") * (rate / size)).alias("freq"), "power", "rms", "std")
 
 
+def series_kernel(rows: DataFrame, arrays: list[str], kernel: Callable[..., list[np.ndarray]], names: list[str]) -> DataFrame:
+    """(node, names...): ``kernel`` of the arrays of each row (node, arrays...); the first name is the place, 0, 1, ..."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                got = kernel(*(batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in arrays))
+                n = len(got[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("node")[r].as_py())), pa.array(np.arange(n)), *map(pa.array, got)], names=["node", *names])
+
+    return rows.select("node", *arrays).mapInArrow(run, f"node long, {names[0]} long, " + ", ".join(f"{c} double" for c in names[1:]))
+
+
+def fourier(field: DataFrame, size: int | None = None) -> DataFrame:
+    """(node, k, re, im), k = 0..size-1: the transform of each series (t, node, value; without gaps) padded with zeros to
+    ``size``, the next power of two by default."""
+
+    def kernel(x: np.ndarray) -> list[np.ndarray]:
+        w = np.fft.fft(x, size or next_pow2(len(x)))
+        return [w.real, w.imag]
+
+    series = field.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("t", F.col("value").cast("double").alias("value")))).alias("x"))
+    return series_kernel(series.select("node", F.transform("x", lambda v: v["value"]).alias("x")), ["x"], kernel, ["k", "re", "im"])
+
+
+def inverse_fourier(lines: DataFrame, length: int | None = None) -> DataFrame:
+    """(node, t, value): the real series of (node, k, re, im), its first ``length`` values."""
+    series = lines.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "re", "im"))).alias("x"))
+    series = series.select("node", F.transform("x", lambda v: v["re"]).alias("re"), F.transform("x", lambda v: v["im"]).alias("im"))
+    return series_kernel(series, ["re", "im"], lambda re, im: [np.fft.ifft(re + 1j * im).real[:length]], ["t", "value"])
+
+
 def spectrum_band(perio: DataFrame) -> DataFrame:
     """What a plot of the spectrum shows: power and a band of half an ``rms`` to either side."""
     return perio.withColumn("lo", F.col("power") - F.col("rms") / 2).withColumn("hi", F.col("power") + F.col("rms") / 2)

@@ -285,6 +285,23 @@ def upper_triangle(spark, d):
     return mx.upper_triangle(fx.network(spark, d))
 
 
+@query(sql("f3", "SELECT least(i, j) AS i, greatest(i, j) AS j, sum(w) AS w FROM f3 GROUP BY 1, 2 UNION ALL SELECT greatest(i, j) AS i, least(i, j) AS j, sum(w) AS w FROM f3 WHERE i <> j GROUP BY 1, 2"))
+def symmetric_storage(spark, d):
+    both = fx.network(spark, d).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "w").groupBy("i", "j").agg(F.sum("w").alias("w"))
+    return mx.from_upper_triangle(mx.upper_triangle(both))
+
+
+@query("SELECT n_nationkey::BIGINT AS node, 1e0 AS p FROM nation")
+def constant_vector(spark, d):
+    return mx.constant_vector(fx.nodes(spark, d), 1)
+
+
+@query("WITH r AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi, count(*) AS n FROM customer) SELECT k::BIGINT AS node, round(lo + k * ((hi - lo) / (n - 1)), 6) AS p FROM (SELECT unnest(generate_series(0, (SELECT n - 1 FROM r))) AS k), r")
+def linspaced_vector(spark, d):
+    r = fx.read(spark, d, "customer").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.count("*").alias("n")).first()
+    return rounded(mx.linspaced_vector(r.n, r.lo, r.hi, spark), "p", digits=6)
+
+
 # Time series
 
 

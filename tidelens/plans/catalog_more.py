@@ -242,6 +242,17 @@ def periodogram_whole_hann(spark, d):
     return rounded(sp.periodogram(fx.field(spark, d), window="hann"), "power").drop("rms", "std")
 
 
+@query(sql("f2", "SELECT t, node, round(value, 6) AS value FROM f2"))
+def fourier_roundtrip(spark, d):
+    f = fx.field(spark, d)
+    return rounded(sp.inverse_fourier(sp.fourier(f)).join(f.select("t", "node"), ["t", "node"]), "value", digits=6)
+
+
+@query(sql("f2", "SELECT node, k::BIGINT AS k, round(sum(value * cos(an)), 3) + 0e0 AS re, round(-sum(value * sin(an)), 3) + 0e0 AS im FROM (SELECT node, value, k, 2 * pi() / m * (k * t % m) AS an FROM f2, n, (SELECT unnest(generate_series(0, (SELECT m::BIGINT - 1 FROM n))) AS k)) GROUP BY 1, 2", "n AS (SELECT 2 ** ceil(log2(count(DISTINCT t))) AS m FROM f2)"))
+def fourier_lines(spark, d):
+    return rounded(sp.fourier(fx.field(spark, d)), "re", "im", digits=3).withColumns({c: F.col(c) + 0.0 for c in ("re", "im")})
+
+
 @query("WITH n AS (SELECT 2 ** ceil(log2(count(*))) AS n FROM orders) SELECT k::BIGINT AS k, (k - n / 2) / n AS freq FROM (SELECT unnest(generate_series(0, (SELECT n::BIGINT - 1 FROM n))) AS k), n")
 def freq_pow2(spark, d):
     return sp.frequencies(spark, fx.read(spark, d, "orders").count())
