@@ -209,3 +209,83 @@ def test_convert(spark, tmp_path):
     tx.write_compressed(m, 3, 3, f"{tmp_path}/c", "CSC")
     main(["convert", f"{tmp_path}/c", f"{tmp_path}/e"])
     assert sorted(map(tuple, tx.read_edges(spark, f"{tmp_path}/e", base=0).collect())) == [(0, 1, 2.5), (2, 0, 1.0)]
+
+
+def test_forms_of_text(spark, tmp_path):
+    m = spark.createDataFrame([(0, 1, 2.0), (2, 0, 1.5)], "i long, j long, w double")
+    rows = {r.i: r.line for r in tx.pretty(m, [0, 1, 2], digits=1).collect()}
+    assert rows == {0: "---\t2.0\t---", 2: "1.5\t---\t---"}
+    tx.write_grid(spark, {"x": [0.0, 0.5], "y": [-1.0, 1.0, 3.0]}, str(tmp_path / "grid"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "grid")).collect()] == ["0.0\t0.5", "-1.0\t1.0\t3.0"]
+    (tmp_path / "net").write_text("*Edges 2\n0 1 2\n1 2\n")  # no vertices: the base is given
+    assert sorted((r.i, r.j, r.w) for r in tx.read_pajek(spark, str(tmp_path / "net"), base=0).collect()) == [(0, 1, 2.0), (1, 2, 1.0)]
+
+
+def test_dense_rows_of_several_files(spark, tmp_path):
+    rows = [" ".join(str(10 * i + j) for j in range(4)) for i in range(9)]
+    spark.createDataFrame(list(enumerate(rows)), "k long, line string").repartitionByRange(3, "k").sortWithinPartitions("k").select("line").write.text(str(tmp_path / "dense"))
+    got = {(r.i, r.j): r.w for r in tx.read_dense(spark, str(tmp_path / "dense")).collect()}
+    assert got == {(i, j): float(10 * i + j) for i in range(9) for j in range(4)}
+
+
+def test_paths_of_long_chains(spark):
+    """Paths of more than 64 edges are found, and a cycle of negative weight is an error."""
+    edges = spark.createDataFrame([(k, k + 1, 1.0) for k in range(80)], "i long, j long, w double")
+    nodes = spark.createDataFrame([(k,) for k in range(81)], "node long")
+    far = nw.shortest_paths(edges, nodes, sources=nodes.filter("node = 0"))
+    assert {r.j: r.d for r in far.collect()} == {k: float(k) for k in range(81)}
+    with pytest.raises(RuntimeError):
+        nw.shortest_paths(spark.createDataFrame([(0, 1, -1.0), (1, 0, -1.0)], "i long, j long, w double"), nodes.filter("node < 2"))
+
+
+def test_density_without_pairs(spark):
+    """Thresholds and densities from histograms equal those of all pairs."""
+    x = np.random.default_rng(5).standard_normal((60, 12))
+    v = spark.createDataFrame([(k, [float(a) for a in r]) for k, r in enumerate(x)], "node long, vec array<double>")
+    sim = nw.similarity_blocks(v, block=20).cache()
+    for rho in (0.0, 0.1, 0.5, 0.99):
+        want, got = nw.threshold_of_density(sim, rho).first(), nw.threshold_of_density_of(v, rho, block=20).first()
+        assert (want[0] is None) == (got[0] is None) and (want[0] is None or abs(want[0] - got[0]) < 1e-12)
+    want, got = ({r.bin: (r.threshold, r.density) for r in f.collect()} for f in (nw.edge_density(sim, 10), nw.edge_density_of(v, 10, block=20)))
+    assert want.keys() == got.keys() and all(np.allclose(want[k], got[k]) for k in want)
+
+
+def test_bootstrap_forms(spark):
+    rng = np.random.default_rng(6)
+    rows = [(t, n, float(v)) for n in range(3) for t, v in enumerate(rng.standard_normal(50))]
+    field = spark.createDataFrame(rows, "t long, node long, value double")
+    both = {(r.i, r.j) for r in rs.p_values(field, 10, length=5, other=field.filter("node < 2")).collect()}
+    assert both == {(i, j) for i in range(3) for j in range(2)}
+    auto = rs.bootstrap_set(field, 10, length=5, auto=True, paired=True).toPandas()
+    assert set(zip(auto.i, auto.j, strict=True)) == {(k, k) for k in range(3)} and np.allclose(auto.s, 1)
+    plain = rs.bootstrap_set(field, 300, length=5).toPandas().sort_values(["i", "j", "sample"])
+    own = rs.bootstrap_set(field, 300, length=5, kind=lambda x, y: np.corrcoef(x, y)[0, 1]).toPandas().sort_values(["i", "j", "sample"])
+    assert len(plain) == 900 and np.allclose(plain.s, own.s)
+    normal = {(r.i, r.j): r.p for r in rs.p_values(field, 5, length=5, level="normal").collect()}
+    student = {(r.i, r.j): r.p for r in rs.p_values(field, 5, length=5, level="student", df=60).collect()}
+    assert all(0 < normal[k] < 0.5 + 1e-9 and abs(normal[k] - student[k]) < 5e-3 for k in normal)
+    assert rs.surrogate_p_values(field, 5, "mbb", length=5).count() == rs.surrogate_p_values(field, 5, "phase").count() == 3
+    values = spark.createDataFrame([(0, 1.0), (1, 3.0)], "node long, v double")
+    assert [rs.pair_from_nodes(values, m).first().v for m in ("max", "min", "mean")] == [3.0, 1.0, 2.0]
+
+
+def test_polar_rotation(spark):
+    rng = np.random.default_rng(7)
+    xy = rng.standard_normal((200, 2)) @ np.array([[2.0, 1.0], [0.0, 0.3]])
+    states = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(xy)], "t long, x double, y double")
+    turned = ph.principal_axes(states, ("x", "y")).toPandas()
+    assert abs(np.cov(turned.x, turned.y)[0, 1]) < 1e-9 and turned.x.var() > turned.y.var()
+    got = ph.polar_membership(states, 1, 2, n=8, rotation="eof").toPandas().sort_values("t")
+    assert list(got.columns) == ["t", "x", "y", "mem"] and np.allclose(got[["x", "y"]], xy) and got.mem.between(0, 3).all()
+
+
+def test_storage_is_cleared(spark):
+    from tidelens.functions import storage
+
+    nodes = spark.createDataFrame([(k,) for k in range(6)], "node long")
+    edges = spark.createDataFrame([(k, (k + 1) % 6, 1.0) for k in range(6)], "i long, j long, w double")
+    before = len(storage.WRITTEN)
+    nw.shortest_paths(edges, nodes).count()
+    assert len(storage.WRITTEN) - before <= 2  # edges and the last round
+    storage.clear(spark)
+    assert not storage.WRITTEN

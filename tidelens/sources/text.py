@@ -7,6 +7,8 @@ lines by a key and write one part per range, so a file may be a folder of parts
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +16,15 @@ from pyspark.sql import functions as F
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, line, tok): lines in order with their white-space separated parts.
 
-    Positions come from the file and the block within it, so ``pos`` orders lines without sorting them all.
+    ``pos`` is made of the place of the file among the sorted names, of the block within the file and of a number that
+    grows within the block, so it orders lines without sorting them all.
     """
-    raw = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
+    text = spark.read.text(path)
+    files = sorted(re.sub(r"^([a-z0-9]+):/+", r"\1:/", f) for f in text.inputFiles())  # file:/a and file:///a are one
+    names = spark.createDataFrame([(f, k) for k, f in enumerate(files)], "file string, number long")
+    raw = text.select("value", F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    number = F.coalesce("number", F.raise_error(F.concat(F.lit("a file that was not listed: "), F.col("file"))).cast("long"))
+    raw = raw.join(F.broadcast(names), "file", "left").withColumn("pos", F.struct(number.alias("number"), "block", "id"))  # a short row per file
     return raw.select("pos", F.trim("value").alias("line"), F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("tok"))
 
 
@@ -42,8 +50,8 @@ def sectioned(text: DataFrame, starts: dict[str, str]) -> DataFrame:
     for name, pattern in starts.items():
         one = text.filter(F.lower("line").rlike(pattern)).select(F.col("pos").alias("hpos"), F.lit(name).alias("section"))
         heads = one if heads is None else heads.unionByName(one)
-    last = heads.withColumn("hend", F.lead("hpos", 1, (1 << 62)).over(Window.orderBy("hpos")))
-    return text.join(F.broadcast(last), (F.col("pos") > F.col("hpos")) & (F.col("pos") < F.col("hend")))  # one row per header
+    last = heads.withColumn("hend", F.lead("hpos").over(Window.orderBy("hpos")))
+    return text.join(F.broadcast(last), (F.col("pos") > F.col("hpos")) & (F.col("hend").isNull() | (F.col("pos") < F.col("hend"))))  # one row per header
 
 
 # Pajek
@@ -136,7 +144,7 @@ def read_compressed(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dense(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, w) of all cells, rows in line order: numbered within the pieces of the files, after those before them."""
-    t = lines(spark, path).filter("size(tok) > 0").withColumn("piece", F.shiftright("pos", 33))
+    t = lines(spark, path).filter("size(tok) > 0").withColumn("piece", F.struct("pos.number", "pos.block"))
     counts = t.groupBy("piece").agg(F.count("*").alias("n"))
     before = counts.select("piece", (F.sum("n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))  # a row per piece
     row = F.row_number().over(Window.partitionBy("piece").orderBy("pos")) - 1 + F.col("before")
