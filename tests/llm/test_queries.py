@@ -271,3 +271,28 @@ def test_sql(spark, tables, name):
 def test_every_query_has_a_plain_version_or_sql():
     here = {"op2_neighbours", "op3_toxicity", "op5_personal", "op6_urls", "op7_decontaminate", "op8_language", "op10_packing"}
     assert set(registry.QUERIES) == here | set(registry.ORACLE_SQL)
+
+
+# Repeated rows and ties
+
+
+def test_repeated_documents_and_items(spark):
+    """Each row of a repeated document is matched, an item that repeats its id is one item."""
+    from tidelens.llm import decontaminate
+
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (1, f"x {item} y"), (2, "nothing of the kind here"), (2, f"{item}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, item), (8, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {(1, 7, 0), (1, 8, 0), (2, 7, 0), (2, 8, 0)}
+    assert [r.text for r in decontaminate.clean(docs, items).collect()] == ["nothing of the kind here"]
+
+
+def test_language_ties_and_repeated_ids(spark):
+    model = language.ByteCnn(["aa", "bb", "cc"], widths=(2,), filters=2, window=8)
+    model.dense[:] = 0
+    docs = spark.createDataFrame([(1, "some text"), (1, "some text"), (2, "other")], "doc_id long, text string")
+    assert [(r.doc_id, r.lang_pred, round(r.score, 6)) for r in language.predict(docs, model).collect()] == [(1, "aa", 0.333333), (1, "aa", 0.333333), (2, "aa", 0.333333)]
+    rows = [(k % 3, f"word {'abc'[k % 2]} {k}", "xy"[k % 2]) for k in range(300)]
+    fitted = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert fitted.languages == ["x", "y"]
