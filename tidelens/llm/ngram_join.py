@@ -15,8 +15,8 @@ A point has about a group for each shingle (a power of two of groups, 128 at lea
 texts apart no more. The tree works on the counts folded to 128; pairs that it leaves pass the bound on the finer ones.
 
 Joining is done twice. The first pass compares the points of a cell with the first one, those left with the first of
-them, and so on for ``leaders`` turns, which is enough for the components of large groups of near copies without
-comparing all pairs. The second pass searches, in cells that still span several components, for all points outside the
+them, and so on for ``leaders`` turns, each leader also with a few points of the earlier ones, which is enough for the
+components of large groups of near copies without comparing all pairs. The second pass searches, in cells that still span several components, for all points outside the
 largest one; so no link that joins components is missed.
 
 Defined cases: null text or a text without words has an empty set and links with nothing; a text of fewer words than
@@ -52,6 +52,7 @@ class Settings:
     leaf: int = 32
     per_group: int = 1
     leaders: int = 16
+    ties: int = 4
     bitmap_log2: int = 27
 
     def enough(self, overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -391,17 +392,35 @@ def may_link(x: np.ndarray, y: np.ndarray, sizes: int, how: Settings) -> bool:
 
 
 def star_pairs(ids: np.ndarray, n: np.ndarray, fine: list[np.ndarray], how: Settings) -> list[tuple[int, int]]:
-    """Pairs of the first point with all that it may link with, then of the first that is left, and so on."""
-    counts, left, found = np.stack([folded(c, how.groups) for c in fine]), np.argsort(ids), []
-    for _ in range(how.leaders):
-        if len(left) < 2:
+    """Pairs of a leader with all that it may link with, then of a leader among those that are left, and so on; and of
+    each leader with the ``ties`` points of every earlier star that it overlaps most, so that stars join.
+
+    The leader is the point that overlaps most, for its size, with the mean of those that are left, so that it lies
+    amid the largest group of near copies (ties: the least name)."""
+    counts, star, found = np.stack([folded(c, how.groups) for c in fine]), np.full(len(ids), -1), []
+    order = np.argsort(ids)
+    for turn in range(how.leaders):
+        left = order[star[order] < 0]
+        if not len(left) or len(left) == 1 and not turn:
             break
-        a, left = left[0], left[1:]
-        near = (how.den * np.minimum(n[a], n[left]) >= how.num * np.maximum(n[a], n[left])) & how.enough(np.minimum(counts[a], counts[left]).sum(axis=1), n[a] + n[left])
-        for k in np.flatnonzero(near).tolist():
-            near[k] = may_link(fine[a], fine[left[k]], int(n[a] + n[left[k]]), how)
-        found += [(int(ids[a]), int(b)) for b in ids[left[near]]]
-        left = left[~near]
+        mean = counts[left].mean(axis=0)
+        common = np.minimum(counts[left], mean).sum(axis=1)
+        a = left[np.argmax(common / (n[left] + mean.sum() - common))]
+        star[a] = turn
+        overlap = np.minimum(counts[a], counts).sum(axis=1)
+        near = (how.den * np.minimum(n[a], n) >= how.num * np.maximum(n[a], n)) & how.enough(overlap, n[a] + n)
+        near[a] = False
+        for b in np.flatnonzero(near & (star < 0)).tolist():
+            if may_link(fine[a], fine[b], int(n[a] + n[b]), how):
+                star[b] = turn
+                found.append((int(ids[a]), int(ids[b])))
+        close = np.flatnonzero(near & (star >= 0) & (star < turn))
+        close = close[np.lexsort((ids[close], -overlap[close] / (n[a] + n[close])))]
+        ties = np.zeros(how.leaders, np.int64)
+        for b in close.tolist():
+            if ties[star[b]] < how.ties and may_link(fine[a], fine[b], int(n[a] + n[b]), how):
+                ties[star[b]] += 1
+                found.append((min(int(ids[a]), int(ids[b])), max(int(ids[a]), int(ids[b]))))
     return found
 
 
