@@ -42,23 +42,24 @@ NEAR = "doc_id long, text_key string, known double, neighbours array<struct<exam
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples (id, label, {term: tf} or (terms, tfs)) as postings in blocks of similar examples.
-
-    Each term has its greatest weight in each block. The ``dense_terms`` most frequent terms are kept as a small matrix
-    for each block, in single precision; all others as posting ranges by term and block. A block whose bound cannot
-    reach a query's k-th similarity is neither read nor multiplied. What comes within ``ERROR`` of the k-th is scored
-    anew in double precision, so results are exact. ``df`` (by term) and ``documents`` are those of all documents;
-    without them, those of the examples.
+    """Unit vectors of examples (id, label, {term: tf} or (terms, tfs)) as postings, in blocks of similar examples.
+
+    The ``dense_terms`` most frequent terms, whose postings are the long ones, are kept as a small matrix for each block,
+    with each term's greatest weight in each block; the others as postings by term. A block's bound is the greatest sum
+    that the rare terms give in it, and the maxima of the frequent ones; a block whose bound cannot reach a query's k-th
+    similarity is not multiplied. That is done in single precision; what comes within ``ERROR`` of the k-th is scored anew
+    in double precision, so results are exact. ``df`` (by term) and ``documents`` are those of all documents; without
+    them, those of the examples.
     """
 
-    ERROR = 1e-4  # more than the rounding of sums of a few thousand single-precision products of unit vectors
+    ERROR = 4e-5  # more than the rounding of sums of 512 single-precision products of unit vectors
 
-    def __init__(self, examples: list[tuple], vocabulary: list[str], block: int = 64, df: np.ndarray | None = None, documents: int = 0, least_chi_square: float = 25.0, dense_terms: int = 1024):
+    def __init__(self, examples: list[tuple], vocabulary: list[str], block: int = 64, df: np.ndarray | None = None, documents: int = 0, least_chi_square: float = 25.0, dense_terms: int = 512):
         examples = sorted(examples, key=lambda e: e[0])
         self.term = {t: k for k, t in enumerate(vocabulary)}
         self.ids, self.labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64)
         n, size = len(examples), len(vocabulary)
-        held = [self.counted(e[2]) if isinstance(e[2], dict) else e[2] for e in examples]
+        held = [self.counted(e[2])[:2] if isinstance(e[2], dict) else e[2] for e in examples]
         ends = np.cumsum([0] + [len(t) for t, _ in held])
         own = np.repeat(np.arange(n), np.diff(ends))
         term = np.concatenate([t for t, _ in held] + [np.zeros(0, np.int64)]).astype(np.int64)
@@ -68,51 +69,53 @@ class BlockMaxIndex:
         self.idf = np.log((1 + documents) / (1 + df)) + 1
         self.weight = self.idf * relevance(have, toxic, n, int(self.labels.sum()), least_chi_square)
         self.block, self.dense_terms = block, dense_terms
-        self.build(ends, term, tf, None)
+        self.build(ends, term, tf.astype(np.min_scalar_type(int(tf.max(initial=0)))), None)
 
     def __getstate__(self) -> dict:
         """What the rest can be built from; the parts that it yields are larger."""
         ends, term, tf = self.held
         kept = {k: self.__dict__[k] for k in ("ids", "labels", "idf", "weight", "block", "dense_terms")}
-        narrow = tf.astype(np.min_scalar_type(int(tf.max(initial=0))))
-        return kept | {"words": list(self.term), "held": (ends.astype(np.int32), term.astype(np.int32), narrow, self.example)}
+        return kept | {"words": list(self.term), "held": (ends, term, tf, self.example)}
 
     def __setstate__(self, state: dict) -> None:
         self.term = {t: k for k, t in enumerate(state.pop("words"))}
         ends, term, tf, example = state.pop("held")
         self.__dict__.update(state)
-        self.build(ends.astype(np.int64), term.astype(np.int64), tf.astype(np.int64), example)
+        self.build(ends, term, tf, example)
 
     def build(self, ends: np.ndarray, term: np.ndarray, tf: np.ndarray, example: np.ndarray | None) -> None:
         """The index of examples whose terms and tfs lie one after the other, ``example`` being their order in blocks."""
         n, size, block = len(self.ids), len(self.term), self.block
-        self.held, own = (ends, term, tf), np.repeat(np.arange(n), np.diff(ends))
-        w = (1 + np.log(tf)) * self.weight[term]
-        norm = np.sqrt(np.bincount(own, weights=w * w, minlength=n))
-        w = w / norm[own]
-        self.vectors = [(term[a:b], w[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        self.forward = ends, term, w
+        self.held = ends, term.astype(np.int32), tf
+        own, w = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends)), self.weights()
         self.blocks = max(1, -(-n // block))
         self.example = self.alike(own, term, w, n) if example is None else example  # by place; places are dealt to blocks in order
-        place = np.empty(n, np.int64)
-        place[self.example] = np.arange(n)
-        self.row = np.full(size, -1)  # of the frequent terms
+        self.place = np.empty(n, np.int32)
+        self.place[self.example] = np.arange(n)
+        self.row = np.full(size, -1, np.int32)  # of the frequent terms
         frequent = np.argsort(-np.bincount(term, minlength=size), kind="stable")[: min(self.dense_terms, size)]
         self.row[frequent] = np.arange(len(frequent))
-        here = self.row[term] >= 0
-        dense = np.zeros((len(frequent), self.blocks * block), np.float32)
-        dense[self.row[term[here]], place[own[here]]] = w[here]
-        self.dense = np.ascontiguousarray(dense.reshape(len(frequent), self.blocks, block).transpose(1, 0, 2))
+        here, at = self.row[term] >= 0, self.place[own]
+        self.exact_dense = np.zeros((self.blocks * block, len(frequent)))
+        self.exact_dense[at[here], self.row[term[here]]] = w[here]
+        self.dense = np.ascontiguousarray(self.exact_dense.astype(np.float32).reshape(self.blocks, block, -1).transpose(0, 2, 1))
         self.dense_top = self.dense.max(axis=2).T if len(frequent) else np.zeros((0, self.blocks), np.float32)
-        # The others: postings by term and place; a cell for each term and block in which it occurs.
-        term, at, w = term[~here], place[own[~here]], w[~here]
+        term, at, w = term[~here], at[~here], w[~here]
         order = np.lexsort((at, term))
-        term, self.at, self.w = term[order], at[order].astype(np.int32), w[order]
-        cell = term * self.blocks + self.at // block
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        self.cell_first, self.cell_size = first, np.diff(np.r_[first, len(cell)])
-        self.cell_block, self.cell_top = (cell[first] % self.blocks).astype(np.int32), np.maximum.reduceat(self.w, first) if len(cell) else self.w
-        self.first_cell = np.r_[0, np.cumsum(np.bincount(cell[first] // self.blocks, minlength=size))]
+        self.at, self.w = at[order], w[order]
+        self.first = np.r_[0, np.cumsum(np.bincount(term, minlength=size))].astype(np.int32)
+
+    def weights(self) -> np.ndarray:
+        ends, term, tf = self.held
+        w = (1 + np.log(tf.astype(float))) * self.weight[term]
+        own = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(ends))
+        return w / np.sqrt(np.bincount(own, weights=w * w, minlength=len(self.ids)))[own]
+
+    @property
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of each example."""
+        (ends, term, _), w = self.held, self.weights()
+        return [(term[a:b], w[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def alike(self, own: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, width: int = 64, centres: int = 40, seed: int = 5) -> np.ndarray:
         """An order in which similar examples lie together (any order gives the same results): by the nearest of a few
@@ -125,22 +128,22 @@ class BlockMaxIndex:
         centre = kmeans(x, min(centres, n), 6, seed)
         return np.lexsort((np.arange(n), ((centre**2).sum(1)[None] - 2 * x @ centre.T).argmin(1)))
 
-    def counted(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, tfs) of the words that examples have."""
-        terms = np.fromiter(map(self.term.get, tf, repeat(-1)), np.int64, len(tf))
+    def counted(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(terms, tfs) of the words that examples have, and the other words."""
+        terms, words = np.fromiter(map(self.term.get, tf, repeat(-1)), np.int64, len(tf)), list(tf)
         known = terms >= 0
-        return terms[known], np.fromiter(tf.values(), float, len(tf))[known]
+        return terms[known], np.fromiter(tf.values(), float, len(tf))[known], [words[k] for k in np.flatnonzero(~known).tolist()]
 
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """The unit vector of the words that examples have."""
-        terms, w, norm = self.weighed(tf)
+        terms, w, norm, _ = self.weighed(tf)
         return terms, w / math.sqrt(norm) if len(terms) else w
 
-    def weighed(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float]:
-        """(terms, weights, sum of squared weights) of the words that examples have."""
-        terms, n = self.counted(tf)
+    def weighed(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float, list[str]]:
+        """(terms, weights, sum of squared weights) of the words that examples have, and the other words."""
+        terms, n, rest = self.counted(tf)
         w = (1 + np.log(n)) * self.weight[terms]
-        return terms, w, float(w @ w)
+        return terms, w, float(w @ w), rest
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_of([(terms, weights)], k)[0]
@@ -149,63 +152,43 @@ class BlockMaxIndex:
         """For each query (terms, weights) the positions and similarities of the k most similar examples with a
         similarity above 0, but for example ``without[query]``."""
         m, places = len(queries), self.blocks * self.block
-        size = [len(t) for t, _ in queries]
-        asker, term = np.repeat(np.arange(m), size), np.concatenate([t for t, _ in queries]).astype(np.int64)
-        weight = np.concatenate([w for _, w in queries])
-        here = self.row[term] >= 0
-        q = np.zeros((m, len(self.dense_top)), np.float32)
-        q[asker[here], self.row[term[here]]] = weight[here]
+        asker, term = np.repeat(np.arange(m), [len(t) for t, _ in queries]), np.concatenate([t for t, _ in queries]).astype(np.int64)
+        weight, row = np.concatenate([w for _, w in queries]), self.row[term]
+        here = row >= 0
+        q = np.zeros((m, len(self.dense_top)))
+        q[asker[here], row[here]] = weight[here]
+        single = q.astype(np.float32)
         asker, term, weight = asker[~here], term[~here], weight[~here]
-        cells, of = ranges(self.first_cell[term], self.first_cell[term + 1] - self.first_cell[term])
-        asker, weight, block = asker[of], weight[of], self.cell_block[cells]
-        bound = q @ self.dense_top + np.bincount(asker * self.blocks + block, weights=weight * self.cell_top[cells], minlength=m * self.blocks).reshape(m, self.blocks)
-        scores = np.zeros((m, places))
+        size = self.first[term + 1] - self.first[term]
+        posting = np.repeat(self.first[term] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        rare = np.bincount(np.repeat(asker * places, size) + self.at[posting], weights=np.repeat(weight, size) * self.w[posting], minlength=m * places).reshape(m, places).astype(float, copy=False)  # whole numbers where there are none
+        if without is not None:
+            rare[np.arange(m), self.place[without]] = -np.inf
+        bound = single @ self.dense_top + rare.reshape(m, self.blocks, self.block).max(axis=2)
+        scores = np.full((m, places), -np.inf)
 
         def add(wanted: np.ndarray) -> None:
-            """Adds the scores of the blocks that each query wants."""
-            kept = np.flatnonzero(wanted[asker, block])
-            at, of = ranges(self.cell_first[cells[kept]], self.cell_size[cells[kept]])
-            scores.reshape(-1)[:] += np.bincount(asker[kept][of] * places + self.at[at], weights=weight[kept][of] * self.w[at], minlength=m * places)
+            """Scores the blocks that each query wants."""
             for b in np.flatnonzero(wanted.any(axis=0)).tolist():
-                own = np.flatnonzero(wanted[:, b])
-                products = (q @ self.dense[b])[own] if 2 * len(own) > m else q[own] @ self.dense[b]
-                scores[own, b * self.block : (b + 1) * self.block] += products
-            if without is not None:
-                scores[np.arange(m), self.place_of(without)] = 0
-
-        def kth() -> np.ndarray:
-            return np.partition(scores, places - k, axis=1)[:, places - k] if places >= k else np.zeros(m)
+                own, at = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
+                scores[own, at] = rare[own, at] + ((single @ self.dense[b])[own] if 2 * len(own) > m else single[own] @ self.dense[b])
 
         best = np.zeros((m, self.blocks), bool)
-        np.put_along_axis(best, np.argsort(-bound, axis=1, kind="stable")[:, : -(-2 * k // self.block)], True, axis=1)
+        top = np.argsort(-bound, axis=1, kind="stable")[:, : -(-2 * k // self.block)]
+        np.put_along_axis(best, top, True, axis=1)
         add(best)
-        add((bound > 0) & (bound >= kth()[:, None] - self.ERROR) & ~best)
-        close = (scores > 0) & (scores >= kth()[:, None] - 2 * self.ERROR)
-        asked = np.zeros(len(self.weight))
-        return [self.exact(terms, weights, self.example[np.flatnonzero(own)], k, asked) for (terms, weights), own in zip(queries, close, strict=True)]
-
-    def place_of(self, examples: np.ndarray) -> np.ndarray:
-        place = np.empty(len(self.example), np.int64)
-        place[self.example] = np.arange(len(self.example))
-        return place[examples]
-
-    def exact(self, terms: np.ndarray, weights: np.ndarray, examples: np.ndarray, k: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best k of ``examples`` in double precision; ties go to the smaller id. ``asked`` is a vector of zeros."""
-        if not len(examples):
-            return np.zeros(0, np.int64), np.zeros(0)
-        ends, term, w = self.forward
-        asked[terms] = weights
-        at, of = ranges(ends[examples], ends[examples + 1] - ends[examples])
-        scores = np.round(np.bincount(of, weights=asked[term[at]] * w[at], minlength=len(examples)), 12)  # equal vectors tie, however their sums were rounded
-        asked[terms] = 0
-        order = np.lexsort((examples, -scores))[:k]
-        order = order[scores[order] > 0]
-        return examples[order], np.minimum(scores[order], 1.0)
-
-
-def ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all ranges, one after the other, and the range of each."""
-    return np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()), np.repeat(np.arange(len(size)), size)
+        first = np.take_along_axis(scores.reshape(m, self.blocks, self.block), top[:, :, None], axis=1).reshape(m, -1)
+        floor = np.maximum(np.partition(first, -k, axis=1)[:, -k], 0) - self.ERROR if first.shape[1] >= k else np.zeros(m)
+        add((bound > 0) & (bound >= floor[:, None]) & ~best)
+        out = []
+        for asked, own, of_rare, least in zip(q, scores, rare, floor, strict=True):
+            close = np.flatnonzero((own > 0) & (own >= least - self.ERROR))
+            if len(close) > k:
+                close = close[own[close] >= np.partition(own[close], -k)[-k] - 2 * self.ERROR]
+            exact = np.round(of_rare[close] + self.exact_dense[close] @ asked, 12)  # equal vectors tie, however their sums were rounded
+            order = np.lexsort((self.example[close], -exact))[:k]
+            out.append((self.example[close[order]], np.minimum(exact[order], 1.0)))
+        return out
 
 
 def relevance(have: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int, least_chi_square: float) -> np.ndarray:
@@ -276,7 +259,7 @@ def key_of(text: Column) -> Column:
     return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text", most: int = 200_000) -> DataFrame:
+def document_frequencies(docs: DataFrame, text_col: str = "text", most: int = 100_000) -> DataFrame:
     """(word, df) over all rows; the row of the empty word has the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,8 +316,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_cla
         ends = np.r_[0, np.cumsum(pc.list_value_length(of_words).to_numpy(zero_copy_only=False))]
         for e, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             order = np.argsort(term[a:b], kind="stable")
-            examples_of.append((batch.column(0)[e].as_py(), batch.column(2)[e].as_py(), (term[a:b][order], tf[a:b][order])))
-    index = BlockMaxIndex(examples_of, vocabulary.column(0).to_pylist(), df=vocabulary.column(1).to_numpy(), documents=documents, least_chi_square=least_chi_square)
+            examples_of.append((batch.column(0)[e].as_py(), batch.column(2)[e].as_py(), (term[a:b][order].astype(np.int32), tf[a:b][order].astype(np.int32))))
+    words_of, df = vocabulary.column(0).to_pylist(), vocabulary.column(1).to_numpy(zero_copy_only=False)
+    del held, batch, of_words, of_tfs, vocabulary
+    pa.default_memory_pool().release_unused()
+    index = BlockMaxIndex(examples_of, words_of, df=df, documents=documents, least_chi_square=least_chi_square)
+    del examples_of
     return Model(index, float(share), k, frequencies, documents).calibrate()
 
 
@@ -357,11 +344,10 @@ def nearest_examples(docs: DataFrame, model: Model, id_col: str = "doc_id", text
                 keys = part.column(1).to_pylist()
                 new = {key: term_counts(text) for key, text in zip(keys, part.column(2).to_pylist(), strict=True) if key not in seen}
                 weighed = [own.weighed(tf) for tf in new.values()]
-                found = own.nearest_of([(terms, w / math.sqrt(norm) if norm else w) for terms, w, norm in weighed], k) if new else []
+                found = own.nearest_of([(terms, w / math.sqrt(norm) if norm else w) for terms, w, norm, _ in weighed], k) if new else []
                 if len(seen) > 2000:
                     seen = {key: seen[key] for key in keys if key in seen}
-                for (key, tf), (_, _, norm), (at, similarity) in zip(new.items(), weighed, found, strict=True):
-                    rest = [t for t in tf if t not in own.term]
+                for (key, tf), (_, _, norm, rest), (at, similarity) in zip(new.items(), weighed, found, strict=True):
                     seen[key] = norm, own.ids[at], similarity, own.labels[at].astype(np.int32), rest, [tf[t] for t in rest]
                 norms, ids, similarities, labels, rest, tfs = zip(*(seen[key] for key in keys), strict=True)
                 near = listed([len(x) for x in ids], [pa.array(np.concatenate(x)) for x in (ids, similarities, labels)], ["example_id", "similarity", "toxic"])
