@@ -159,6 +159,7 @@ def test_toxicity(spark):
     assert got[70].neighbours[0].toxic == 1
     kept = toxicity.keep_clean(d, model)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(range(60)) | {80, 81}
+    assert {r.doc_id for r in toxicity.keep_clean(d, model, most_log2=8).collect()} == set(range(60)) | {80, 81}
     assert toxicity.fit(d, labels.limit(0)) is None and toxicity.score(d, None).filter("score <> 0").count() == 0
     assert toxicity.score(d.limit(0), model).count() == 0
 
