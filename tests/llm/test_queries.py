@@ -260,7 +260,7 @@ def test_sharding_keeps_groups_whole(spark):
 def test_sql(spark, tables, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tables}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, tables), con.execute(registry.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
@@ -269,7 +269,7 @@ def test_sql(spark, tables, name):
 
 
 def test_every_query_has_a_plain_version_or_sql():
-    here = {"op2_neighbours", "op3_toxicity", "op5_personal", "op6_urls", "op7_decontaminate", "op8_language", "op10_packing"}
+    here = {"op2_neighbours", "op3_toxicity", "op5_personal", "op6_urls", "op7_decontaminate", "op8_language", "op10_packing", "op13_secrets"}
     assert set(registry.QUERIES) == here | set(registry.ORACLE_SQL)
 
 

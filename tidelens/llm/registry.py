@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, neighbours, ngram_join, packing, personal, sharding, toxicity, urls, warc
+from . import decontaminate, language, negatives, neighbours, ngram_join, packing, personal, resampling, secrets, sharding, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -19,9 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": language.op8_language,
     "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
+    "op11_negatives": negatives.op11_negatives,
+    "op12_resampling": resampling.op12_resampling,
+    "op13_secrets": secrets.op13_secrets,
 }
 
 A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: Words of op12 in lower-cased text.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base 32 of the hexadecimal digest h: five hexadecimal digits make four letters.
 BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {5 * k + 1}, 5))::BIGINT >> {shift}) % 32 + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0))
 
@@ -52,4 +57,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, xor(4294967295, list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, crc_of[xor(c, x) % 256 + 1]))) AS text_crc32,
             'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard
         FROM placed, crc_table""",
+    "op11_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id, list_inner_product(a.e, v.e)::BIGINT AS score FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""",
+    "op12_resampling": f"""
+        WITH crc_table AS (SELECT list(v ORDER BY k) AS crc_of FROM (SELECT k, list_reduce([k] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(k))),
+        docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}), '{WORD}') AS w FROM documents),
+        items AS (SELECT unnest(regexp_extract_all(translate(text, {A_TO_Z}), '{WORD}')) AS word FROM benchmark),
+        words AS (SELECT r, unnest(w) AS word FROM docs),
+        vocabulary AS (SELECT word, list_transform(regexp_extract_all(hex(word), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM (SELECT word FROM words UNION SELECT word FROM items)),
+        buckets AS (SELECT word, xor(4294967295, list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, crc_of[xor(c, x) % 256 + 1]))) % 10000 AS bucket FROM vocabulary, crc_table),
+        s AS (SELECT bucket, count(*) AS s FROM words JOIN buckets USING (word) GROUP BY 1),
+        t AS (SELECT bucket, count(*) AS t FROM items JOIN buckets USING (word) GROUP BY 1),
+        gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT count(*) FROM words) + 10000) / ((s::DOUBLE + 1) * ((SELECT count(*) FROM items) + 10000)))) AS gain FROM s LEFT JOIN t USING (bucket)),
+        means AS (SELECT r, floor(sum(gain) / count(*))::BIGINT AS mean FROM words JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY 1),
+        scored AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(mean, 0) AS weight,
+            coalesce(mean, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM docs LEFT JOIN means USING (r)),
+        places AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM places) // 100 THEN rank END AS rank FROM scored LEFT JOIN places USING (r)""",
 }
