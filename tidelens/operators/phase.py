@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelens.functions import ordering
 from tidelens.functions.scalar import ratio
+from tidelens.functions.storage import cut_lineage
 
 TWO_PI = 2 * math.pi
 Bounds = dict[str, list[float]]
-MOST_BOXES = 4_000_000  # one row of two numbers per box in one task
 
 
 def uniform_bounds(axes: dict[str, tuple[float, float, int]]) -> Bounds:
@@ -117,21 +118,19 @@ def kde_weights(states: DataFrame, boxes: DataFrame, axes: list[str], bandwidth:
 
 def level_fill(weights: DataFrame, levels: int) -> DataFrame:
     """(box, level): boxes in decreasing weight fill levels 0..levels, each closed once it holds 1 / (levels + 1) of
-    the weight; leftover boxes get 0. An ordered fold over one row per box; ties go to the smaller box."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_BOXES:
-            raise ValueError(f"{len(pdf)} boxes; an ordered fold takes {MOST_BOXES} at most")
-        pdf = pdf.sort_values(["p", "box"], ascending=[False, True])
-        level, held, out = 0, 0.0, []
-        for p in pdf["p"]:
-            out.append(level if level <= levels else 0)
-            held += p
-            if level <= levels and held >= 1.0 / (levels + 1):
-                level, held = level + 1, 0.0
-        return pd.DataFrame({"box": pdf["box"], "level": np.array(out, np.int64)})
-
-    return weights.select("box", "p").withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: run(pdf), "box long, level long")
+    the weight; leftover boxes get 0. Ties go to the smaller box. Running sums over ranges of the order tell where each
+    level ends: one search for the first box that fills it, for each level."""
+    held = ordering.placed(weights.select("box", F.col("p").cast("double").alias("p")), F.desc("p"), "box", sums={"before": "p"})
+    held = cut_lineage(held.select("box", "place", "before", (F.col("before") + F.col("p")).alias("upto")))
+    ends, start, reached = [], 0, 0.0
+    for _ in range(levels + 1):
+        full = held.filter((F.col("place") >= start) & (F.col("upto") - reached >= 1.0 / (levels + 1))).agg(F.min(F.struct("place", "upto")).alias("e")).first().e
+        if full is None:
+            break
+        ends.append(full.place)
+        start, reached = full.place + 1, full.upto
+    level = sum((F.when(F.col("place") > e, 1).otherwise(0) for e in ends), F.lit(0))
+    return held.select("box", F.when(level <= levels, level).otherwise(0).cast("long").alias("level"))
 
 
 def sector(x: Column, y: Column, cx: Column | float, cy: Column | float, sectors: int) -> Column:

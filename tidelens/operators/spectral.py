@@ -1,4 +1,4 @@
-"""Spectra: periodograms, Fourier frequencies, principal components, rotation, eigenvalues of small matrices."""
+"""Spectra: periodograms, Fourier transforms, principal components, rotation, eigenpairs, surrogate spectra."""
 
 from __future__ import annotations
 
@@ -10,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_NODES = 5000  # kernels gather a matrix of N x N in one task
+from tidelens.functions.storage import cut_lineage
+from tidelens.operators import krylov
+
+MOST_NODES = 5000  # of the smaller side of a field, and of the matrices of groups
 
 
 def next_pow2(n: int) -> int:
@@ -102,36 +105,97 @@ def covariance(field: DataFrame, correlation: bool = False) -> DataFrame:
     return a.join(b, "t").filter("i <= j and x is not null and y is not null").groupBy("i", "j").agg(value.alias("w"))
 
 
-def _square(pdf: pd.DataFrame, symmetric: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    nodes = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
-    if len(nodes) > MOST_NODES:
-        raise ValueError(f"{len(nodes)} nodes; the dense kernels take {MOST_NODES} at most")
-    m, i, j, w = np.zeros((len(nodes), len(nodes))), np.searchsorted(nodes, pdf["i"]), np.searchsorted(nodes, pdf["j"]), pdf["w"].to_numpy(float)
-    np.add.at(m, (i, j), w)
-    if symmetric:
-        off = i != j
-        np.add.at(m, (j[off], i[off]), w[off])
-    return nodes, m
+def eof(field: DataFrame, correlation: bool = False, count: int | None = None, rows_of_block: int = 4096) -> DataFrame:
+    """(mode, node, eigenvalue, loading): the ``count`` leading modes, by default all, by decreasing eigenvalue; a loading's
+    component of greatest size is positive.
 
+    Anomalies (over the deviation, with ``correlation``) are rows along the longer side of the field, times or nodes, as
+    arrays along the shorter one. Tasks reduce their rows to triangles (QR), triangles are stacked and reduced again, and
+    the last one, of the shorter side, is decomposed: no matrix of the longer side exists anywhere. A missing value counts
+    as its node's mean, and a constant node as zeros.
+    """
+    spark = field.sparkSession
+    rows = field.filter("value is not null").select("t", "node", F.col("value").cast("double").alias("value"))
+    moments = rows.groupBy("node").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    scale = F.when(F.col("s") > 0, F.col("s")) if correlation else F.lit(1.0)
+    nodes, times = moments.count(), rows.select("t").distinct().count()
+    empty = spark.createDataFrame([], "mode long, node long, eigenvalue double, loading double")
+    if not nodes:
+        return empty
+    long, short = ("node", "t") if nodes > times else ("t", "node")
+    width = min(nodes, times)
+    if width > MOST_NODES:
+        raise ValueError(f"{nodes} nodes by {times} times; the shorter side takes {MOST_NODES} at most")
+    names = sorted(r[0] for r in rows.select(short).distinct().collect())
+    places = spark.createDataFrame(list(zip(names, range(width), strict=True)), f"{short} long, c int")
+    cells = rows.join(moments, "node").select(F.col(long).alias("r"), short, F.coalesce((F.col("value") - F.col("m")) / scale, F.lit(0.0)).alias("x"))
+    cells = cells.join(F.broadcast(places), short)  # MOST_NODES short rows
+    wide = cut_lineage(cells.groupBy("r").agg(F.collect_list(F.struct("c", "x")).alias("cells")).select("r", F.col("cells.c").alias("c"), F.col("cells.x").alias("x")))
+
+    def dense(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((batch.num_rows, width))
+        at = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("c").offsets.to_numpy()))
+        out[at, batch.column("c").flatten().to_numpy()] = batch.column("x").flatten().to_numpy()
+        return out
+
+    def triangle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, width))
+        for batch in batches:
+            for a in range(0, batch.num_rows, rows_of_block):
+                r = np.linalg.qr(np.concatenate([r, dense(batch.slice(a, rows_of_block))]), mode="r")
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(r), np.int64)), krylov.packed(r)], names=["g", "x"])
+
+    def stacked(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.linalg.qr(np.stack(pdf["x"].to_numpy()), mode="r")
+        return pd.DataFrame({"g": 0, "x": list(r)})
+
+    parts = wide.select("c", "x").mapInArrow(triangle, "g long, x array<double>").withColumn("g", F.spark_partition_id().cast("long"))
+    parts = table = cut_lineage(parts)
+    while (groups := parts.select("g").distinct().count()) > 8:  # triangles meet in groups of eight
+        number = {r.g: k // 8 for k, r in enumerate(parts.select("g").distinct().orderBy("g").collect())}
+        named = spark.createDataFrame(list(number.items()), "g long, h long")
+        up = parts.join(F.broadcast(named), "g").select(F.col("h").alias("g"), "x")
+        up = up.groupBy("g").applyInPandas(lambda key, pdf: stacked(pdf).assign(g=key[0]), "g long, x array<double>")
+        parts = table = cut_lineage(up, instead_of=table)
+    last = np.array([r.x for r in parts.select("x").collect()])  # eight triangles at most
+    _, sigma, vt = np.linalg.svd(np.linalg.qr(last, mode="r"))
+    sigma = np.concatenate([sigma, np.zeros(width - len(sigma))])
+    value, k = sigma**2 / times, min(count or nodes, width)
+    if long == "t":
+        v = _signed(vt.T[:, :k])
+
+        def of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from modes_of(batch.column(0), v[batch.column(1).to_numpy()], value)
+
+        return places.select("node", "c").mapInArrow(of_nodes, LOADINGS)
+    turn = vt.T[:, :k] / np.where(sigma[:k] > sigma[0] * 1e-14, sigma[:k], np.inf)
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from modes_of(batch.column("r"), dense(batch) @ turn, value)
 
-def _signed(v: np.ndarray) -> np.ndarray:
-    """Columns whose component of greatest size is positive."""
-    top = np.abs(v).argmax(axis=0)
-    return v * np.where(v[top, np.arange(v.shape[1])] < 0, -1, 1)
+    found = wide.mapInArrow(of_rows, LOADINGS)
+    top = found.groupBy("mode").agg(F.max_by("loading", F.struct(F.abs("loading"), -F.col("node"))).alias("top"))  # a row per mode
+    return found.join(F.broadcast(top), "mode").select("mode", "node", "eigenvalue", F.when(F.col("top") < 0, -F.col("loading")).otherwise(F.col("loading")).alias("loading"))
 
 
-def eof(field: DataFrame, correlation: bool = False) -> DataFrame:
-    """(mode, node, eigenvalue, loading): modes by decreasing eigenvalue. The small matrix is solved in one task."""
+LOADINGS = "mode long, node long, eigenvalue double, loading double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, m = _square(pdf, symmetric=True)
-        w, v = np.linalg.eigh(m)
-        order = np.argsort(-w)
-        w, v = w[order], _signed(v[:, order])
-        k = len(nodes)
-        return pd.DataFrame({"mode": np.repeat(np.arange(k), k), "node": np.tile(nodes, k), "eigenvalue": np.repeat(w, k), "loading": v.T.ravel()})
 
-    return covariance(field, correlation).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: run(pdf), "mode long, node long, eigenvalue double, loading double")
+def modes_of(nodes: pa.Array, loadings: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each mode of some nodes."""
+    n, k = loadings.shape
+    if n and k:
+        at = pa.array(np.repeat(np.arange(n), k))
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(k), n)), nodes.take(at), pa.array(np.tile(value[:k], n)), pa.array(loadings.ravel())], names=["mode", "node", "eigenvalue", "loading"])
+
+
+def _signed(v: np.ndarray) -> np.ndarray:
+    """Columns whose component of greatest size is positive."""
+    top = np.abs(v).argmax(axis=0)
+    return v * np.where(v[top, np.arange(v.shape[1])] < 0, -1, 1)
 
 
 def principal_components(field: DataFrame, modes: DataFrame) -> DataFrame:
@@ -141,70 +205,89 @@ def principal_components(field: DataFrame, modes: DataFrame) -> DataFrame:
 
 
 def varimax(loadings: DataFrame, normalise: bool = False, tol: float = 1e-5, most: int = 1000) -> DataFrame:
-    """(mode, node, loading): Kaiser's rotation of (mode, node, loading), two modes at least."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_NODES * 100:
-            raise ValueError(f"{len(pdf)} loadings; a rotation takes {MOST_NODES * 100} at most")
-        wide = pdf.pivot(index="node", columns="mode", values="loading").sort_index()
-        x = wide.to_numpy(float)
-        if x.shape[1] < 2:
-            raise ValueError("varimax needs two modes at least")
-        size = np.sqrt((x**2).sum(axis=1, keepdims=True)) if normalise else np.ones((len(x), 1))
-        x = x / np.where(size == 0, 1, size)
-        turn, last = np.eye(x.shape[1]), 0.0
-        for _ in range(most):
-            b = x @ turn
-            u, s, v = np.linalg.svd(x.T @ (b**3 - b * (b**2).mean(axis=0)))
-            turn = u @ v
-            if s.sum() < last * (1 + tol):
-                break
-            last = s.sum()
-        b = _signed(x @ turn * size)
-        k = b.shape[1]
-        return pd.DataFrame({"mode": np.repeat(wide.columns.to_numpy(), len(b)), "node": np.tile(wide.index.to_numpy(), k), "loading": b.T.ravel()})
-
-    return loadings.select("mode", "node", "loading").withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: run(pdf), "mode long, node long, loading double")
-
-
-ORDERS = {"LM": lambda w: -np.abs(w), "SM": np.abs, "LR": lambda w: -w.real, "SR": lambda w: w.real, "LI": lambda w: -np.abs(w.imag)}
+    """(mode, node, loading): Kaiser's rotation of (mode, node, loading), two modes at least; absent loadings are 0.
 
-
-def _values(m: np.ndarray, count: int, which: str) -> np.ndarray:
-    w = np.linalg.eigvals(m)
-    return w[np.lexsort((-w.imag, ORDERS[which](np.round(w, 12))))][:count]
+    A node is a row with its loadings in an array. With B = X R, X' (B^3 - B diag(mean B^2)) is the sum over nodes of
+    x b^3, which tasks add up each round, less X'X R diag(diag(R' X'X R)) / N; the rotation alone is on the driver.
+    """
+    modes = sorted(r[0] for r in loadings.select("mode").distinct().collect())  # a row per mode
+    if len(modes) < 2:
+        raise ValueError("varimax needs two modes at least")
+    cell = [F.coalesce(F.sum(F.when(F.col("mode") == m, F.col("loading"))), F.lit(0.0)) for m in modes]
+    rows = loadings.groupBy("node").agg(F.array(*cell).alias("x"))
+    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x)) if normalise else F.lit(1.0)
+    rows = rows.withColumn("length", length).withColumn("v", F.when(F.col("length") > 0, F.transform("x", lambda x: x / F.col("length"))).otherwise(F.col("x")))
+    basis = cut_lineage(rows.select("node", "v", F.array("length").alias("av")))
+    n, gram = basis.count(), krylov.summed(basis, lambda v, av: v.T @ v)
+    turn, last = np.eye(len(modes)), 0.0
+    for _ in range(most):
+        cubes = krylov.summed(basis, lambda v, av, turn=turn: v.T @ (v @ turn) ** 3)
+        u, s, v = np.linalg.svd(cubes - gram @ turn * (np.diag(turn.T @ gram @ turn) / n))
+        turn = u @ v
+        if s.sum() < last * (1 + tol):
+            break
+        last = s.sum()
+    turned = krylov.mapped(basis, lambda v, av: (v @ turn * av, av)).select("node", F.posexplode("v").alias("c", "loading"))
+    names = F.array(*[F.lit(m).cast("long") for m in modes])
+    turned = turned.select(F.element_at(names, F.col("c") + 1).alias("mode"), "node", "loading")
+    top = turned.groupBy("mode").agg(F.max_by("loading", F.struct(F.abs("loading"), -F.col("node"))).alias("top"))  # a row per mode
+    return turned.join(F.broadcast(top), "mode").select("mode", "node", F.when(F.col("top") < 0, -F.col("loading")).otherwise(F.col("loading")).alias("loading"))
 
 
 def eigenvalues(mat: DataFrame, count: int, which: str = "LM", by: str | None = None) -> DataFrame:
-    """(k, re, im) of a small matrix, or of each ``by`` group: leading ones of the chosen order, conjugates with
-    positive imaginary part first."""
+    """(k, re, im): leading eigenvalues in the chosen order, conjugates with positive imaginary part first. With ``by``:
+    those of the matrix of each group, a small one (MOST_NODES) that a task holds."""
+    if by is None:
+        w, _ = krylov.leading(mat.select("i", "j", "w"), count, which)
+        return mat.sparkSession.createDataFrame([(k, float(x.real), float(x.imag)) for k, x in enumerate(w)], "k long, re double, im double")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = _values(_square(pdf)[1], count, which)
+        nodes = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
+        if len(nodes) > MOST_NODES:
+            raise ValueError(f"{len(nodes)} nodes in a group; {MOST_NODES} at most")
+        m = np.zeros((len(nodes), len(nodes)))
+        np.add.at(m, (np.searchsorted(nodes, pdf["i"]), np.searchsorted(nodes, pdf["j"])), pdf["w"].to_numpy(float))
+        w = np.linalg.eigvals(m)
+        w = w[krylov.ordered(w, which)][:count]
         return pd.DataFrame({"g": pdf["g"].iloc[0], "k": np.arange(len(w)), "re": w.real, "im": w.imag})
 
-    got = mat.withColumn("g", F.col(by).cast("long") if by else F.lit(0).cast("long")).select("g", "i", "j", "w").groupBy("g").applyInPandas(run, "g long, k long, re double, im double")
-    return got.withColumnRenamed("g", by) if by else got.drop("g")
+    got = mat.withColumn("g", F.col(by).cast("long")).select("g", "i", "j", "w").groupBy("g").applyInPandas(run, "g long, k long, re double, im double")
+    return got.withColumnRenamed("g", by)
 
 
-def left_eigenvectors(mat: DataFrame, count: int = 2, damping: float = 0.85) -> DataFrame:
-    """(k, node, re, im, value_re, value_im): leading left eigenpairs of damping * T + (1 - damping) / N, each vector
-    scaled to unit sum of sizes; the first one (the stationary vector) positive."""
+def damped(mat: DataFrame, damping: float) -> tuple[DataFrame, float]:
+    """(matrix, shift): damping * T, T with rows of sum 1 (or none), and what (1 - damping) / N adds to every cell."""
+    total = mat.groupBy("i").agg(F.sum("w").alias("s"))
+    n = mat.select(F.explode(F.array("i", "j"))).distinct().count()
+    return mat.join(total, "i").select("i", "j", F.coalesce(F.try_divide(F.col("w") * damping, "s"), F.lit(0.0)).alias("w")), (1 - damping) / max(1, n)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, m = _square(pdf)
-        row = m.sum(axis=1, keepdims=True)
-        m = damping * np.divide(m, row, out=np.zeros_like(m), where=row != 0) + (1 - damping) / len(m)
-        w, v = np.linalg.eig(m.T)
-        order = np.lexsort((-w.imag, -np.abs(np.round(w, 12))))[:count]
-        v = v[:, order]
-        top = np.abs(v).argmax(axis=0)
-        v = v * np.exp(-1j * np.angle(v[top, np.arange(v.shape[1])]))
-        v = v / np.abs(v).sum(axis=0)
-        k = v.shape[1]
-        return pd.DataFrame({"k": np.repeat(np.arange(k), len(nodes)), "node": np.tile(nodes, k), "re": v.real.T.ravel(), "im": v.imag.T.ravel(), "value_re": np.repeat(w[order].real, len(nodes)), "value_im": np.repeat(w[order].imag, len(nodes))})
-
-    return mat.select("i", "j", "w").withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: run(pdf), "k long, node long, re double, im double, value_re double, value_im double")
+
+def left_eigenvectors(mat: DataFrame, count: int = 2, damping: float = 0.85, **how) -> DataFrame:
+    """(k, node, re, im, value_re, value_im): leading left eigenpairs of damping * T + (1 - damping) / N, each vector
+    scaled to unit sum of sizes; its component of greatest size is positive, so the first one (the stationary vector) is."""
+    chain, shift = damped(mat, damping)
+    every = mat.select(F.col("i").alias("node")).union(mat.select(F.col("j").alias("node"))).distinct()
+    turned = chain.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")
+    w, vectors = krylov.leading(turned, count, "LM", shift, nodes=every, **how)
+    values = mat.sparkSession.createDataFrame([(k, float(x.real), float(x.imag)) for k, x in enumerate(w)], "k long, value_re double, value_im double")
+    size = F.hypot("re", "im")
+    top = vectors.groupBy("k").agg(F.max_by(F.struct("re", "im"), F.struct(F.round(size, 12), -F.col("node"))).alias("top"), F.sum(size).alias("whole")).join(values, "k")  # a row per pair
+    length = F.hypot("top.re", "top.im") * F.col("whole")
+    re = (F.col("re") * F.col("top.re") + F.col("im") * F.col("top.im")) / length
+    im = (F.col("im") * F.col("top.re") - F.col("re") * F.col("top.im")) / length
+    return vectors.join(F.broadcast(top), "k").select("k", "node", re.alias("re"), im.alias("im"), "value_re", "value_im")
+
+
+def left_residuals(mat: DataFrame, pairs: DataFrame, damping: float = 0.85) -> DataFrame:
+    """(k, residual): length of v A - lambda v over that of v, for pairs of ``left_eigenvectors``, by joins alone."""
+    chain, shift = damped(mat, damping)
+    whole = pairs.groupBy("k").agg((F.sum("re") * shift).alias("more_re"), (F.sum("im") * shift).alias("more_im"))
+    v = pairs.select("k", F.col("node").alias("i"), "re", "im")
+    image = chain.join(v, "i").groupBy("k", F.col("j").alias("node")).agg(F.sum(F.col("w") * F.col("re")).alias("x"), F.sum(F.col("w") * F.col("im")).alias("y"))
+    both = pairs.join(image, ["k", "node"], "left").join(F.broadcast(whole), "k")  # a row per pair
+    a = F.coalesce("x", F.lit(0.0)) + F.col("more_re") - F.col("re") * F.col("value_re") + F.col("im") * F.col("value_im")
+    b = F.coalesce("y", F.lit(0.0)) + F.col("more_im") - F.col("re") * F.col("value_im") - F.col("im") * F.col("value_re")
+    return both.groupBy("k").agg(F.sqrt(F.sum(a * a + b * b) / F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("residual"))
 
 
 def surrogate_spectrum(counts: DataFrame, samples: int, count: int, seed: int = 0) -> DataFrame:

@@ -19,9 +19,11 @@ from tidelens.operators import resample as rs
 from tidelens.operators import spectral as sp
 from tidelens.operators.partition import greedy_codelength
 from tidelens.plans import fixtures as fx
-from tidelens.plans.catalog import CORR, chain, query, rounded
+from tidelens.plans.catalog import CORR, SQL, chain, query, rounded
 from tidelens.plans.fixtures import sql
+from tidelens.sources import netcdf as nc
 from tidelens.sources import text as tx
+from tidelens.streaming import ordered as so
 from tidelens.streaming import transitions as st
 
 # Phase space
@@ -284,6 +286,25 @@ def arnoldi_left(spark, d):
     return rounded(sp.left_eigenvectors(fx.network(spark, d)), "re", "im", "value_re", "value_im", digits=6)
 
 
+@query("SELECT k::BIGINT AS k, 0e0 AS residual FROM (SELECT unnest([0, 1]) AS k)")
+def arnoldi_residual(spark, d):
+    """Lengths of v A - lambda v from the input matrix and the returned vectors."""
+    n = fx.network(spark, d)
+    return rounded(sp.left_residuals(n, sp.left_eigenvectors(n)), "residual", digits=8)
+
+
+@query(sql("f2", "SELECT node AS mode, 0e0 AS residual, round(trace, 3) AS trace FROM (SELECT DISTINCT node FROM f2), (SELECT sum(v) AS trace FROM (SELECT var_pop(value) AS v FROM f2 GROUP BY node))"))
+def eof_residual(spark, d):
+    """Largest component of C v - lambda v over the largest eigenvalue, by joins, and the sum of eigenvalues."""
+    f = fx.field(spark, d)
+    modes, half = sp.eof(f), sp.covariance(f)
+    whole = half.unionByName(half.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    image = whole.join(modes.withColumnRenamed("node", "j"), "j").groupBy("mode", "i").agg(F.sum(F.col("w") * F.col("loading")).alias("y"))
+    sums = modes.filter("node = 0").agg(F.sum("eigenvalue").alias("trace"), F.max("eigenvalue").alias("top"))
+    off = image.join(modes.withColumnRenamed("node", "i"), ["mode", "i"]).groupBy("mode").agg(F.max(F.abs(F.col("y") - F.col("eigenvalue") * F.col("loading"))).alias("off"))
+    return off.crossJoin(F.broadcast(sums)).select("mode", F.round(F.col("off") / F.col("top"), 8).alias("residual"), F.round("trace", 3).alias("trace"))
+
+
 @query(None)
 def surrogate_spectrum(spark, d):
     return rounded(sp.surrogate_spectrum(mk.transition_counts(fx.series(spark, d)), 10, 3, SEED), "re", "im", digits=6)
@@ -452,6 +473,32 @@ def lorenz_em(spark, d):
     return dy.trajectories(starts(spark, d, [None, 1, 20], [10, 28, 8 / 3], [0.1, 0.1, 0.1]), "lorenz", 0.005, 100, "euler", noise="linear", sampling=10, seed=SEED)
 
 
+# netCDF
+
+
+def stored_field(spark, d):
+    """The field with its gaps, written as netCDF files and read back."""
+    f = fx.field(spark, d, missing=None)
+    nc.write(f, path := place(spark, "netcdf"), {"node": len(fx.EVENT_TYPES)}, partitions=3)
+    return nc.read(spark, path, partition_bytes=8000)
+
+
+@query(sql("f2n", "SELECT t, node, value FROM f2n"))
+def netcdf_roundtrip(spark, d):
+    return stored_field(spark, d)
+
+
+@query(sql("f2n", "SELECT t, node, value FROM f2n WHERE t >= 24 AND t < 72 AND node <> 1"))
+def netcdf_window(spark, d):
+    return stored_field(spark, d).filter("t >= 24 and t < 72 and node <> 1")
+
+
+@query(SQL["mbb_pvalue"])
+def netcdf_significance(spark, d):
+    stored = stored_field(spark, d).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return rounded(rs.p_values(stored, SAMPLES, SEED, length=LENGTH), "estim")
+
+
 # Streams
 
 
@@ -474,3 +521,27 @@ def streaming_window_means(spark, d):
     return rounded(got.withColumn("start", F.unix_timestamp("start")), "mean")
 
 
+LATE = 8  # days
+
+
+def shuffled_events(spark, d):
+    """The events as files of a week each, in which half of a week's events come a week late."""
+    rows = fx.read(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), fx.event_code().alias("mem"))
+    week = F.floor(F.unix_timestamp("ts") / (7 * 86400)) + F.pmod(F.xxhash64("event_id"), F.lit(2))
+    rows, path = rows.withColumn("week", week), place(spark, "late-events")
+    for r in rows.select("week").distinct().orderBy("week").collect():
+        rows.filter(F.col("week") == r.week).drop("week").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("week").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(sql("", "SELECT i, j, count(*) AS n FROM (SELECT mem AS i, lead(mem) OVER w AS j, lead(ts) OVER w AS later FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE j IS NOT NULL AND epoch_us(later) <= (SELECT (epoch_ms(max(ts)) - " + f"{LATE * 86_400_000}) * 1000 FROM e) GROUP BY 1, 2", f"e AS (SELECT user_id, event_id, ts, {fx.CODE} AS mem FROM events)"))
+def streaming_unordered_transitions(spark, d):
+    pairs = so.transition_pairs(shuffled_events(spark, d), f"{LATE} days", 1, "user_id")
+    return st.run_available(pairs, "i long, j long", "ordered").groupBy("i", "j").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT event_id, node, round(value - mean, 9) AS anomaly FROM (SELECT event_id, epoch(ts)::BIGINT // 21600 * 21600 AS start, {fx.CODE} AS node, value, avg(value) OVER (PARTITION BY epoch(ts)::BIGINT // 21600, event_type) AS mean FROM events) WHERE start + 21600 <= (SELECT floor(epoch(max(ts)) * 1000) / 1000 - 3600 FROM events)")
+def streaming_anomalies(spark, d):
+    rows = event_stream(spark, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"), fx.event_code().alias("node"), "value")
+    got = st.run_available(so.anomalies(rows, "6 hours", "1 hour").select("event_id", "node", "anomaly"), "event_id long, node long, anomaly double", "anomalies")
+    return rounded(got, "anomaly")
