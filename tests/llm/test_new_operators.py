@@ -218,6 +218,11 @@ def test_incremental_entropy_is_exact():
     assert covered == {j for k, v in enumerate(sums) if v <= secrets.Sliding(of).most and re.search("[0-9]", word[k : k + of.window]) and re.search("[A-Za-z]", word[k : k + of.window]) for j in range(k, k + of.window)}
 
 
-def test_registered_queries_read_the_tables(spark, tables):
+def test_secrets_of_the_given_texts(spark, tables):
     got = secrets.op13_secrets(spark, tables)
-    assert got.count() == table(spark, tables, "documents").count() and got.filter("n_assign + n_access + n_hex > 0").count() > 0
+    texts = {r.doc_id: r.text or "" for r in table(spark, tables, "documents").collect()}
+    rows = got.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain_base(texts[r.doc_id])
+        assert r.n_assign + r.n_access + r.n_hex == len(base) and r.n_added == len(plain_added(texts[r.doc_id], base))
