@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelens.functions import storage
 from tidelens.llm import decontaminate, ngram_join, packing, personal, toxicity
 from tidelens.llm.common import materialise, table
 
@@ -52,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage. Each stage's input, and what it wrote on the way, goes once its output is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with storage.scratch(spark) as keep:
+            docs = keep(materialise(stage(spark, docs, sf_dir), f"stage-{name}", instead_of=docs if k else None))
     return STAGES[-1][1](spark, docs, sf_dir)

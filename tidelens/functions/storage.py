@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,23 @@ def delete(spark: SparkSession, path: str) -> None:
     WRITTEN.discard(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at the end of the block, the tables that were written in it, but for those given to the function that it
+    yields, which gives them back. Nothing that is still to be computed may need the others."""
+    before, kept = set(WRITTEN), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.written_to)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in sorted(WRITTEN - before - kept):
+            delete(spark, path)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that operators have written so far in this process. Results that were not written or collected
     before cannot be computed any more."""

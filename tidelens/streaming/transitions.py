@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidelens.functions.storage import checkpoint_dir
+from tidelens.functions.storage import WRITTEN, checkpoint_dir
 
 
 def transition_pairs(events: DataFrame, tau: int = 1, by: str = "series", order: str = "t", state: str = "mem") -> DataFrame:
@@ -41,5 +41,6 @@ def run_available(stream: DataFrame, schema: str, name: str) -> DataFrame:
     """All that is available now, through a parquet sink in the shared folder, read back."""
     spark = stream.sparkSession
     root = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.add(root)
     stream.writeStream.format("parquet").option("path", f"{root}/data").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{root}/data")
