@@ -485,3 +485,58 @@ def test_best_fit():
             tightest = min(fits) if fits else window
             assert room.get(w, window) == tightest and o == window - tightest
             room[w] = tightest - n
+
+
+# Null ids, long addresses, tables that go
+
+
+def test_sharding_of_rows_without_id(spark):
+    texts = ["same text"] * 60 + [None, ""] + ["t%d" % k for k in range(100)]
+    rows = [(None if k % 3 == 0 else k, t) for k, t in enumerate(texts)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=5, together=True).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    for k in range(5):
+        slots = sorted(r.slot for r in got if r.shard == k)
+        assert slots == list(range(len(slots)))
+    hot = sorted({r.shard for r in got if r.text_crc32 == zlib.crc32(b"same text")})
+    assert hot == list(range(hot[0], hot[-1] + 1))  # more than a shard's share, so it lies in shards side by side
+
+
+def test_long_spelled_addresses_are_taken_whole():
+    finder = personal.Finder()
+    for text, want in ((f"{'x' * 90} [at] host [dot] org", (0, 110)), ("a (at)b(dot)com", (0, 15)), ("[at] host [dot] org", None), ("é x.y-z[ at ]h[ dot ]co, a(at)b", (2, 23))):
+        assert finder.spelled(text) == ([want] if want else [])
+    text = f"write to {'x' * 90} [at] {'h' * 70} [dot] {'t' * 30} now"
+    spans = [s for s, _ in finder.candidates(text, finder.base(text))]
+    assert spans == [("address", 9, 9 + 90 + 6 + 70 + 7 + 30)]
+
+
+def test_stages_delete_what_they_wrote(spark):
+    from tidelens.functions import storage
+
+    frame = docs(spark, near_texts() + [LONG, None, "", "one two"])
+    storage.clear(spark)
+    kept = ngram_join.keep_one(frame)
+    assert len(storage.WRITTEN) == 1  # the copies that go
+    assert kept.count() < frame.count()
+    storage.clear(spark)
+    with storage.scratch(spark) as keep:
+        a = storage.cut_lineage(spark.range(3).toDF("id"))
+        b = keep(storage.cut_lineage(spark.range(4).toDF("id")))
+    assert storage.WRITTEN == {b.written_to} and a.written_to != b.written_to and b.count() == 4
+    storage.clear(spark)
+    assert not storage.WRITTEN
+
+
+def test_unknown_suffixes_are_judged_by_lexical_features(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    good = [f"http://{word(5)}.{tld}/{word(4)}" for tld in ("com", "net") for _ in range(60)]
+    bad = [f"http://{word(9)}-{rng.integers(10**6)}.{tld}/{'en' if tld == 'com' else 'es'}/{word(20)}?a={rng.integers(10**9)}" for tld in ("com", "net") for _ in range(60)]
+    rest = [f"http://{word(5)}.org/{word(4)}" for _ in range(30)] + [f"http://{word(9)}-{rng.integers(10**6)}.org/en/{word(20)}?a={rng.integers(10**9)}" for _ in range(30)]
+    pages = spark.createDataFrame(list(enumerate(good + bad + rest)), "page_id long, url string")
+    rules = {"com/": "allow", "com/en/": "block", "net/": "allow", "net/es/": "block"}
+    got = {r.page_id: r for r in urls.judge(pages, rules).collect()}
+    last = [got[k] for k in range(240, 300)]
+    assert all(r.rule is None for r in last) and len({r.score for r in last}) > 1
+    assert np.mean([r.verdict == ("allow" if k < 30 else "block") for k, r in enumerate(last)]) >= 0.9

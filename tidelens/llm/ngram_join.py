@@ -32,10 +32,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelens.functions import storage
+
 from .common import materialise, slices, table, text_bytes
 from .components import components
 from .shingles import Shingler, mixed
@@ -518,17 +521,28 @@ def verified(pairs: DataFrame, all_points: DataFrame, how: Settings) -> DataFram
 def linked_classes(rows: DataFrame, how: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Of ``named`` rows: members (doc_id, row, n, id), classes (id, low: least doc_id and row), links (a, b) between
     classes, enough for their components, and these components (node, label)."""
-    first = materialise(measured(rows, how), "ngram-measured")
+    with storage.scratch(rows.sparkSession) as keep:
+        return linked_within(rows, how, keep)
+
+
+def linked_within(rows: DataFrame, how: Settings, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``linked_classes``, where only tables given to ``keep`` last; the larger ones go as soon as they are used."""
+    spark = rows.sparkSession
+    first = keep(materialise(measured(rows, how), "ngram-measured"))
     members = first.filter("part is null").select("doc_id", "row", "n", "id")
-    classes = materialise(members.filter("n > 0 and doc_id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "row")).alias("low")), "ngram-classes")
+    classes = keep(materialise(members.filter("n > 0 and doc_id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "row")).alias("low")), "ngram-classes"))
     rows = rows.filter("doc_id is not null")
     cells = materialise(shared_cells(prefixes(rows, frequency_ranks(first, how), how), how), "ngram-cells")
     kept = cells.filter("sig is not null").groupBy("sig").agg(F.min("cell").alias("cell")).select("cell").distinct()
     placed = materialise(cells.filter("sig is null").join(kept, "cell", "left_semi").select("cell", "id"), "ngram-placed")
 
+    storage.delete(spark, cells.written_to)
+
     def of_classes(ids: DataFrame, name: str, of_set: Callable[[np.ndarray], bytes]) -> DataFrame:
         needed = materialise(classes.join(ids.distinct(), "id", "left_semi").select(F.col("low.row").alias("row")), "ngram-needed")
-        return materialise(described(rows, needed, how, name, of_set), f"ngram-{name}")
+        got = materialise(described(rows, needed, how, name, of_set), f"ngram-{name}")
+        storage.delete(spark, needed.written_to)
+        return got
 
     known = of_classes(placed.select("id"), "counts", lambda s: count_vector(s, how))
     large = materialise(placed.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > how.block).select("cell", F.ceil(F.col("m") / how.block).cast("int").alias("blocks")), "ngram-large")
@@ -536,18 +550,20 @@ def linked_classes(rows: DataFrame, how: Settings) -> tuple[DataFrame, DataFrame
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose sets overlap enough."""
-        pairs = materialise(pairs, "ngram-pairs")
-        return materialise(verified(pairs, of_classes(pairs.select(F.explode(F.array("a", "b")).alias("id")), "hashes", lambda s: s.tobytes()), how), "ngram-links")
+        with storage.scratch(spark) as keep_links:
+            pairs = materialise(pairs, "ngram-pairs")
+            hashes = of_classes(pairs.select(F.explode(F.array("a", "b")).alias("id")), "hashes", lambda s: s.tobytes())
+            return keep(keep_links(materialise(verified(pairs, hashes, how), "ngram-links")))
 
     links = linked(cell_pairs(placed.join(known, "id").withColumn("label", F.col("id")), large, how, True))
-    labels = components(links)
+    labels = materialise(components(links), "ngram-labels")
     marked = placed.join(labels, placed.id == labels.node, "left").select("cell", "id", F.coalesce("label", "id").alias("label"))
     open_cells = marked.groupBy("cell").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("cell")
     more = linked(cell_pairs(marked.join(open_cells, "cell", "left_semi").join(known, "id"), large, how, False))
     if not more.isEmpty():
         links = links.unionByName(more)
-        labels = components(links)
-    return members, classes, links, labels
+        labels = materialise(components(links), "ngram-labels")
+    return members, classes, links, keep(labels)
 
 
 def of_components(classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -575,17 +591,42 @@ def keep_one(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_id"
     Rows without words or without id all stay. Texts that do not link all stay, whether they share an id or not; rows
     that repeat both id and text are copies.
     """
-    members, classes, _, labels = linked_classes(named(docs, id_col, text_col), how)
-    lead = of_components(classes, labels).groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("__lead_id"), F.col("low.row").alias("__lead"))
-    repeated = materialise(members.filter("n > 0 and doc_id is not null").groupBy("doc_id", "row").count().filter("count > 1").select(F.col("doc_id").alias("__lead_id"), F.col("row").alias("__lead")), "ngram-repeated")
+    with storage.scratch(docs.sparkSession) as keep:
+        members, classes, _, labels = linked_classes(named(docs, id_col, text_col), how)
+        lead = of_components(classes, labels).groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("__lead_id"), F.col("low.row").alias("__lead"))
+        rows = members.filter("n > 0 and doc_id is not null").groupBy("doc_id", "row").agg(F.count("*").alias("copies"))
+        rows = rows.join(lead, (rows["row"] == lead["__lead"]) & (rows["doc_id"] == lead["__lead_id"]), "left")
+        # rows that go, or stay once though they are there several times
+        doubtful = keep(materialise(rows.filter("__lead is null or copies > 1").select("doc_id", "row", F.col("__lead").isNotNull().alias("__stays")), "ngram-copies"))
     worded = F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & docs[id_col].isNotNull()
-    rows = docs.filter(worded).withColumn("__row", row_name(id_col, text_col))
-    kept = rows.join(lead, (rows["__row"] == lead["__lead"]) & (rows[id_col].cast("long") == lead["__lead_id"]))
-    if not repeated.isEmpty():
-        keys = ["__lead_id", "__lead"]
-        one = kept.join(repeated, keys, "left_semi").withColumn("__turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).filter("__turn = 1").drop("__turn")
-        kept = kept.join(repeated, keys, "left_anti").unionByName(one)
-    return kept.select([F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(~worded))
+    sure, unsure = told_apart(docs.withColumn("__row", F.when(worded, row_name(id_col, text_col))), "__row", doubtful)
+    copies = doubtful.select(F.col("doc_id").alias("__id"), F.col("row").alias("__copy"), "__stays")
+    met = unsure.join(copies, (unsure["__row"] == copies["__copy"]) & (unsure[id_col].cast("long") == copies["__id"]), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = sure.select(columns).unionByName(met.filter("__stays is null").select(columns))
+    if doubtful.filter("__stays").isEmpty():
+        return kept
+    first = Window.partitionBy("__id", "__copy").orderBy("__copy")
+    one = met.filter("__stays").withColumn("__turn", F.row_number().over(first)).filter("__turn = 1")
+    return kept.unionByName(one.select(columns))
+
+
+def told_apart(docs: DataFrame, key: str, wanted: DataFrame, most_log2: int = 27) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows whose ``key`` (a 64-bit hash, null allowed) is sure not to be in ``wanted`` (row), and
+    the others, few more than those that are. A bitmap of sixteen bits a key tells where a row is read, so that only the
+    second part need be joined, and texts of the first are not shuffled. Beyond 2^most_log2 bits all rows with a key are
+    in the second part."""
+    bits_log2 = max(16, int(16 * max(1, wanted.count()) - 1).bit_length())
+    if bits_log2 > most_log2:
+        return docs.filter(F.col(key).isNull()), docs.filter(F.col(key).isNotNull())
+    packed = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("row"), bits_log2))
+
+    def known(hashes: pd.Series) -> pd.Series:
+        slot = slot_of(hashes.to_numpy(np.int64), bits_log2)
+        return pd.Series((packed.value[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool))
+
+    marked = docs.withColumn("__maybe", F.col(key).isNotNull() & F.pandas_udf(known, "boolean")(F.coalesce(key, F.lit(0).cast("long"))))
+    return marked.filter("not __maybe").drop("__maybe"), marked.filter("__maybe").drop("__maybe")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

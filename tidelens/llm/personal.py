@@ -70,7 +70,8 @@ class Finder:
         self.local_back = re.compile(LOCAL).match
         self.domain, self.ip, self.card, self.phone = (re.compile(p) for p in (DOMAIN, IP, CARD, PHONE))
         self.digit = re.compile(r"[0-9]").search
-        self.spelled = re.compile(r"([A-Za-z0-9._-]{1,64}) ?[\[(] ?at ?[\])] ?([A-Za-z0-9-]{1,63}) ?[\[(] ?dot ?[\])] ?([A-Za-z]{2,24})")
+        self.spelled_host = re.compile(r"[\[(] ?at ?[\])] ?[A-Za-z0-9-]++ ?[\[(] ?dot ?[\])] ?[A-Za-z]{2,}+")
+        self.spelled_chars = frozenset(string.ascii_letters + string.digits + "._-")
         self.phone_like = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
         self.word = re.compile(r"[A-Za-z0-9_/+=.-]*").match
         self.word_chars = frozenset(string.ascii_letters + string.digits + "_/+=.-")
@@ -90,6 +91,19 @@ class Finder:
             at = text.find("@", max(at + 1, last))
         return found
 
+    def spelled(self, text: str) -> list[tuple[int, int]]:
+        """Addresses with [at] and [dot] in place of the signs; each takes the whole run of characters before it."""
+        found, last = [], 0
+        for m in self.spelled_host.finditer(text):
+            end = m.start() - (m.start() > last and text[m.start() - 1] == " ")
+            start = end
+            while start > last and text[start - 1] in self.spelled_chars:
+                start -= 1
+            if start < end:
+                found.append((start, m.end()))
+            last = m.end()
+        return found
+
     def base(self, text: str) -> list[Span]:
         spans = self.emails(text)
         if not self.digit(text):
@@ -114,7 +128,7 @@ class Finder:
             return before == 0 or reach[before - 1] <= s
 
         if "[at]" in text or "(at)" in text or "[ at" in text or "( at" in text:
-            found += [("address", *m.span()) for m in self.spelled.finditer(text) if free(*m.span())]
+            found += [("address", s, e) for s, e in self.spelled(text) if free(s, e)]
         m, first, last = self.digit(text), 0, 0  # first, last: the word that was read before
         while m:
             p = m.start()

@@ -9,13 +9,16 @@ which a boundary falls goes as a whole to the shard that its middle is in, unles
 a boundary so moves by half such a group at most. Work per task is one range, however hot a text is; only the
 table of ranges (a few numbers per range) is brought together.
 
-Defined cases: null text has no bytes (size 8, crc32 of nothing, 0); repeated rows are separate records; texts of any
+Defined cases: null text has no bytes (size 8, crc32 of nothing, 0); a null id stays null and comes before others among
+equal texts; repeated rows are separate records; texts of any
 length are one record; equal texts stay in one shard unless a boundary falls among them (with ``together``: unless they
 have more bytes than a shard's share); fewer records than shards leave shards empty; an empty table gives no rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,11 @@ def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.conv(F.substring(F.md5(raw), 1, 15), 16, 10).cast("long").alias("h"), F.monotonically_increasing_id().alias("row"))
 
 
+def in_order(keys: Iterable[tuple]) -> list[tuple]:
+    """Distinct keys in the order of Spark, where nulls come first."""
+    return sorted(set(keys), key=lambda k: tuple((x is not None, x or 0) for x in k))
+
+
 def sampled(rows: DataFrame, per_byte: Column) -> DataFrame:
     """Keys drawn with probability size * per_byte (at most 1), decided by a hash of the key."""
     uniform = F.pmod(F.xxhash64(F.lit(1), *[F.col(c) for c in KEY]), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -61,8 +69,8 @@ def splitters_of(rows: DataFrame, total: int, ranges: int, per_range: int = 32)
     """Quantile boundaries of a size-weighted sample of about ``ranges * per_range`` keys, for ``ranges`` ranges."""
     if ranges < 2 or not total:
         return []
-    keys = sorted(tuple(r) for r in sampled(rows, F.lit(ranges * per_range / total)).select(*KEY).collect())
-    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+    keys = in_order(tuple(r) for r in sampled(rows, F.lit(ranges * per_range / total)).select(*KEY).collect())
+    return in_order(keys[len(keys) * i // ranges] for i in range(1, ranges)) if keys else []
 
 
 def shard_of(twice_middle: Column, shards: int, total: int) -> Column:
@@ -100,7 +108,7 @@ def shard(docs: DataFrame, shards: int = 24, range_bytes: int = 64 << 20, least_
         denser = sampled(ranged.join(F.broadcast(rates), "range"), F.col("rate")).select("range", *KEY)
         per = denser.groupBy("range").agg(F.array_sort(F.collect_list(key())).alias("k")).collect()
         more = {tuple(r.k[len(r.k) * i // over[r.range]]) for r in per for i in range(1, over[r.range])}
-        splitters = sorted({*splitters, *more})
+        splitters = in_order([*splitters, *more])
     ends = {r.range: (r.bytes, r.n) for r in totals}
     before, offsets = (0, 0), []
     for k in sorted(ends):

@@ -28,15 +28,16 @@ from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelens.functions import storage
+
 from .common import bounded_sample, materialise, table
 from .neighbours import kmeans
-from .ngram_join import bitmap, slot_of
+from .ngram_join import told_apart
 
 WORD = r"[^\W\d_]+"
 SCORED = "doc_id long, score double, neighbours array<struct<example_id:long,similarity:double,toxic:int>>"
@@ -308,6 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_cla
     frequencies = materialise(document_frequencies(docs, text_col), "toxicity-df")
     vocabulary = counts.select(F.explode("words").alias("word")).distinct().join(frequencies, "word").toArrow().sort_by("word")
     documents = frequencies.filter("word = ''").agg(F.sum("df")).first()[0] or 0
+    storage.delete(docs.sparkSession, texts.written_to)
     held = counts.toArrow().sort_by([("id", "ascending"), ("key", "ascending")])
     if not held.num_rows:
         return None
@@ -382,26 +384,18 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.3, text_col: str = "text", most_log2: int = 27) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``; the score depends on the text only.
 
-    A bitmap of the toxic texts (sixteen bits for each, at most 2^most_log2 bits; beyond, all rows are joined) tells most
-    rows clean where they are read, so only the rows that look toxic are joined with the toxic texts.
+    A bitmap of the toxic texts (``told_apart``) tells most rows clean where they are read, so only the rows that look
+    toxic are joined with the toxic texts.
     """
     if model is None:
         return docs
     rows = docs.select(F.lit(0).alias("__no"), F.col(text_col).alias("__text"))
-    toxic = materialise(judged(rows, model, "__no", "__text").filter(F.col("score") >= threshold).select(F.col("text_key").alias("__toxic_key")).distinct(), "toxicity-toxic")
-    key, bits_log2 = key_of(docs[text_col]), max(16, int(16 * max(1, toxic.count()) - 1).bit_length())
-    if bits_log2 > most_log2:
-        return docs.join(toxic, key == F.col("__toxic_key"), "left_anti")
-    packed = docs.sparkSession.sparkContext.broadcast(bitmap(toxic.select(F.xxhash64("__toxic_key").alias("row")), bits_log2))
-
-    def looks_toxic(hashes: pd.Series) -> pd.Series:
-        slot = slot_of(hashes.to_numpy(np.int64), bits_log2)
-        return pd.Series((packed.value[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool))
-
-    marked = docs.withColumn("__maybe", F.pandas_udf(looks_toxic, "boolean")(F.xxhash64(key)))
-    doubtful = marked.filter("__maybe").drop("__maybe").withColumn("__key", key_of(F.col(text_col)))
-    kept = doubtful.join(toxic, F.col("__key") == F.col("__toxic_key"), "left_anti").drop("__key")
-    return marked.filter("not __maybe").drop("__maybe").unionByName(kept)
+    with storage.scratch(docs.sparkSession) as keep:
+        toxic = keep(materialise(judged(rows, model, "__no", "__text").filter(F.col("score") >= threshold).select(F.col("text_key").alias("__toxic_key")).distinct(), "toxicity-toxic"))
+    hashed = toxic.select(F.xxhash64("__toxic_key").alias("row"))
+    clean, doubtful = told_apart(docs.withColumn("__hash", F.xxhash64(key_of(docs[text_col]))), "__hash", hashed, most_log2)
+    kept = doubtful.withColumn("__key", key_of(F.col(text_col))).join(toxic, F.col("__key") == F.col("__toxic_key"), "left_anti")
+    return clean.drop("__hash").unionByName(kept.drop("__hash", "__key"))
 
 
 def held_out() -> Column:

@@ -4,7 +4,9 @@ A rule ``host/path`` fits its host and all its subdomains where the URL's path s
 rule wins (ties: the first in order). URLs that a rule decides are the labelled ones; on a bounded sample of them
 (``train_rows`` of each verdict, of least hash) boosted trees are trained, and they judge the URLs that no rule fits.
 Suffix statistics (how often a host's last two labels, and its last one, were blocked) are counted over all labelled
-URLs; a labelled URL itself is left out of its own, so that they do not give its verdict away.
+URLs; a labelled URL itself is left out of its own, so that they do not give its verdict away. The trees learn from each
+URL of the sample twice, with its statistics and as one whose suffixes nobody has seen, so that hosts under unknown suffixes
+are judged by the lexical features.
 
 Defined cases: null or without ``://`` means empty host and path; such URLs are judged by the trees like others; when
 the labelled URLs show one verdict only, or none, the trees' verdict is that one, or ``allow``; repeated rows are
@@ -82,6 +84,11 @@ def with_suffixes(rows: DataFrame, statistics: list[DataFrame]) -> DataFrame:
     return rows
 
 
+def unseen(rows: DataFrame) -> DataFrame:
+    """``rows`` as if their suffixes were in no labelled URL."""
+    return rows.withColumns({"suffix1": F.lit(0.5), "suffix2": F.lit(0.5), "seen1": F.lit(0.0), "seen2": F.lit(0.0)})
+
+
 def features(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, url, host, path, rule, verdict and blocked (null where no rule decides), and the lexical features."""
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
@@ -96,7 +103,8 @@ def trees_of(labelled: DataFrame, statistics: list[DataFrame], train_rows: int =
     if len(seen) < 2:
         return "block" if 1.0 in seen else "allow", None
     keyed = labelled.withColumn("key", F.struct("url", "page_id"))
-    sample = materialise(with_suffixes(bounded_sample(keyed, "blocked", "key", train_rows), statistics).coalesce(1), "url-sample")
+    known = with_suffixes(bounded_sample(keyed, "blocked", "key", train_rows), statistics)
+    sample = materialise(known.unionByName(unseen(known)).coalesce(1), "url-sample")
     n = {r.blocked: r.n for r in sample.groupBy("blocked").agg(F.count("*").alias("n")).collect()}
     weigh = F.when(F.col("blocked") == 1, 0.5 / n[1.0]).otherwise(0.5 / n[0.0]) * sum(n.values())  # both verdicts weigh alike
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")

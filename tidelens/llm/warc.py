@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelens.functions import storage
+
 from .common import fresh_path, materialise, table
 
 DATE = "1970-01-01T00:00:00Z"  # records derive from a table, not from a crawl at some time
@@ -209,7 +211,9 @@ def record_digests(manifest: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame
 def archive(pages: DataFrame, revisit_bytes: int = 0, chunk_bytes: int = 1 << 20) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder; the manifest, itself written."""
     spark = pages.sparkSession
-    manifest = materialise(write_archives(assigned(pages, revisit_bytes), fresh_path(spark, "archives"), chunk_bytes), "warc-manifest")
+    folder = fresh_path(spark, "archives")
+    storage.WRITTEN.add(folder)
+    manifest = materialise(write_archives(assigned(pages, revisit_bytes), folder, chunk_bytes), "warc-manifest")
     return manifest.repartition(max(1, manifest.count()))
 
 
