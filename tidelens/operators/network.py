@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelens.functions import ordering
 from tidelens.functions.scalar import great_circle, planar_degrees, ratio
 from tidelens.functions.storage import cut_lineage
 
@@ -59,9 +60,104 @@ def similarity_blocks(vectors: DataFrame, block: int = 1024, least: float | None
     return by_blocks(vectors, block, kernel, "i long, j long, w double")
 
 
-def correlation_edges(vectors: DataFrame, tau: float, block: int = 1024, giant: bool = False) -> DataFrame:
-    """(i, j, w) both ways where |r| > tau; ``giant``: of the largest connected component only."""
-    half = similarity_blocks(vectors, block, tau, absolute=True)
+class Pivots:
+    """Unit vectors far from each other, of a sample of bounded size; angles to them bound angles between other vectors."""
+
+    def __init__(self, sample: np.ndarray, count: int):
+        chosen = [0]
+        best = sample @ sample[0]
+        while len(chosen) < min(count, len(sample)) and best.min() < 1 - 1e-9:
+            chosen.append(int(best.argmin()))
+            best = np.maximum(best, sample @ sample[chosen[-1]])
+        self.x = sample[chosen]
+
+    def angles(self, x: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(x @ self.x.T, -1, 1))
+
+
+def standardised(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(float)
+    x = x - x.mean(axis=1, keepdims=True)
+    return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+
+
+def reaching_blocks(vectors: DataFrame, tau: float, pivots: int, block: int, sample_rows: int = 4096) -> tuple[DataFrame, DataFrame, int]:
+    """(rows, pairs, all): rows (node, vec, c, q), dealt to blocks (c: nearest pivot, q), the pairs of blocks (ca, qa, cb,
+    qb) that may hold a correlation above ``tau`` or below -tau, and the number of all pairs of blocks.
+
+    Of two blocks, |a - b| <= angle <= min(a + b, 2 pi - a - b) for the angles a, b of their members to each pivot; ranges
+    of these, exact over all members, bound the correlation. Pairs of pivots are looked at first, pairs of blocks only
+    within those that stay.
+    """
+    spark, sound = vectors.sparkSession, usable(vectors)
+    total = sound.count()
+    share = sample_rows / max(1, total)
+    some = sound.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < share * (1 << 40)) if share < 1 else sound
+    some = (some if not some.isEmpty() else sound).toPandas().sort_values("node")
+    if not len(some):
+        return sound.select("node", "vec", F.lit(0).alias("c"), F.lit(0).cast("long").alias("q")), spark.createDataFrame([], "ca int, qa long, cb int, qb long"), 0
+    near = Pivots(standardised(some["vec"]), pivots)
+
+    def dealt(batches):
+        for pdf in batches:
+            if len(pdf):
+                angle = near.angles(standardised(pdf["vec"]))
+                yield pdf.assign(c=angle.argmin(axis=1).astype(np.int32), angle=angle.min(axis=1))
+
+    rows = ordering.placed(sound.mapInPandas(dealt, "node long, vec array<double>, c int, angle double"), "c", "angle", "node")
+    rows = cut_lineage(rows.select("node", "vec", "c", F.floor(F.col("place") / block).alias("q")))
+
+    def ranges(batches):
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            for key, own in pdf.groupby(["c", "q"]):
+                angle = near.angles(standardised(own["vec"]))
+                low, high = angle.min(axis=0), angle.max(axis=0)
+                if key in held:
+                    low, high = np.minimum(low, held[key][0]), np.maximum(high, held[key][1])
+                held[key] = low, high
+        for (c, q), (low, high) in held.items():
+            yield pd.DataFrame({"c": np.int32(c), "q": q, "p": np.arange(len(low), dtype=np.int32), "low": low, "high": high})
+
+    parts = rows.mapInPandas(ranges, "c int, q long, p int, low double, high double").groupBy("c", "q", "p").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    blocks = cut_lineage(parts.groupBy("c", "q").agg(F.array_sort(F.collect_list(F.struct("p", "low", "high"))).alias("r")).select("c", "q", F.transform("r", lambda x: x["low"]).alias("low"), F.transform("r", lambda x: x["high"]).alias("high")))
+    few = blocks.select("c", F.posexplode(F.arrays_zip("low", "high")).alias("p", "r")).groupBy("c", "p").agg(F.min("r.low").alias("low"), F.max("r.high").alias("high"))
+    whole = few.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("p", "low", "high"))).alias("r")).select("c", F.transform("r", lambda x: x["low"]).alias("low"), F.transform("r", lambda x: x["high"]).alias("high"))
+    of = lambda t, end, *keys: t.select(*[F.col(k).alias(k + end) for k in keys], F.col("low").alias("low" + end), F.col("high").alias("high" + end))
+    apart = F.greatest(F.array_max(F.zip_with("lowa", "highb", lambda x, y: x - y)), F.array_max(F.zip_with("lowb", "higha", lambda x, y: x - y)), F.lit(0.0))
+    wide = F.least(F.array_min(F.zip_with("higha", "highb", lambda x, y: x + y)), 2 * math.pi - F.array_max(F.zip_with("lowa", "lowb", lambda x, y: x + y)), F.lit(math.pi))
+    may = (F.cos(F.greatest(F.lit(0.0), apart - 1e-7)) > tau) | (F.cos(F.least(F.lit(math.pi), wide + 1e-7)) < -tau)
+    clusters = of(whole, "a", "c").join(of(whole, "b", "c"), F.col("ca") <= F.col("cb")).filter(may).select("ca", "cb")  # a row per two pivots
+    pairs = F.broadcast(clusters).join(of(blocks, "a", "c", "q"), "ca").join(of(blocks, "b", "c", "q"), "cb")
+    pairs = pairs.filter(((F.col("ca") < F.col("cb")) | (F.col("qa") <= F.col("qb"))) & may).select("ca", "qa", "cb", "qb")
+    n = blocks.count()
+    return rows, cut_lineage(pairs), n * (n + 1) // 2
+
+
+def pruned_similarity(vectors: DataFrame, tau: float, pivots: int = 64, block: int = 1024) -> DataFrame:
+    """(i, j, w), i < j, |w| > tau: as ``similarity_blocks``, but only pairs of blocks that may reach tau are multiplied."""
+    rows, pairs, _ = reaching_blocks(vectors, tau, pivots, block)
+    keys = ["ca", "qa", "cb", "qb"]
+    left = pairs.join(rows.select(F.col("c").alias("ca"), F.col("q").alias("qa"), "node", "vec"), ["ca", "qa"]).select(*keys, F.lit(0).alias("side"), "node", "vec")
+    right = pairs.filter("ca <> cb or qa <> qb").join(rows.select(F.col("c").alias("cb"), F.col("q").alias("qb"), "node", "vec"), ["cb", "qb"]).select(*keys, F.lit(1).alias("side"), "node", "vec")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids, side = standardised(pdf["vec"]), pdf["node"].to_numpy(), pdf["side"].to_numpy()
+        own = key[:2] == key[2:]
+        a = np.flatnonzero(side == 0)
+        b = a if own else np.flatnonzero(side == 1)
+        r = x[a] @ x[b].T
+        p, q = np.nonzero((np.abs(r) > tau) & (ids[a][:, None] < ids[b][None] if own else ids[a][:, None] != ids[b][None]))
+        u, v = ids[a[p]], ids[b[q]]
+        return pd.DataFrame({"i": np.minimum(u, v), "j": np.maximum(u, v), "w": r[p, q]})
+
+    return left.unionByName(right).groupBy(*keys).applyInPandas(run, "i long, j long, w double")
+
+
+def correlation_edges(vectors: DataFrame, tau: float, block: int = 1024, giant: bool = False, pivots: int | None = None) -> DataFrame:
+    """(i, j, w) both ways where |r| > tau; ``giant``: of the largest connected component only. With ``pivots``, pairs of
+    blocks that cannot reach tau are left out, which pays where series come in groups."""
+    half = similarity_blocks(vectors, block, tau, absolute=True) if pivots is None else pruned_similarity(vectors, tau, pivots, block)
     half = giant_component(half) if giant else half
     return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
 
@@ -255,32 +351,63 @@ def modularity(mat: DataFrame, members: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).agg(F.sum(F.col("own") / F.col("ww") - F.col("o") * F.col("k") / (F.col("ww") * F.col("ww"))).alias("q"))
 
 
-def shortest_paths(mat: DataFrame, nodes: DataFrame, sources: DataFrame | None = None, most_rounds: int | None = None) -> DataFrame:
-    """(i, j, d): least sums of weights along directed paths from all nodes, or from ``sources`` (node).
+def distance_blocks(mat: DataFrame, nodes: DataFrame, sources: DataFrame | None = None, most_rounds: int | None = None, delta: float | None = None, block: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(places, state): (node, block, slot) of each source, and (block, node, d), the least sums of weights along directed
+    paths to the node from the sources of a block, by slot; infinite where there is no path.
 
-    Each round extends by an edge only the paths that the last one found or shortened, until there are none. A path has
-    fewer edges than there are nodes, so that many rounds are enough; more (a cycle of negative weight), or more than
-    ``most_rounds``, is an error.
+    Delta-stepping: the state of a node is one row for a block of sources. A round relaxes only entries that are new and
+    within the current step of ``delta`` (by default the greatest weight); once there are none, the step moves on to the
+    least new entry. So rounds follow the greatest distance over delta and the edges of a step's paths. Negative weights take
+    all new entries each round, and more rounds than nodes (a cycle of negative weight) are an error, as are more than
+    ``most_rounds``.
     """
-    limit = nodes.count() if most_rounds is None else most_rounds
-    edges = cut_lineage(mat.filter("i <> j").groupBy(F.col("i").alias("k"), F.col("j").alias("to")).agg(F.min("w").alias("w")))
-    start = nodes if sources is None else nodes.join(sources.select("node").distinct(), "node", "left_semi")
-    best = fresh = table = cut_lineage(start.select(F.col("node").alias("i"), (F.col("node") + F.lit(0)).alias("j"), F.lit(0.0).alias("d")))
-    for _ in range(limit + 1):
-        longer = fresh.withColumnRenamed("j", "k").join(edges, "k").groupBy("i", F.col("to").alias("j")).agg(F.min(F.col("d") + F.col("w")).alias("c"))
-        merged = cut_lineage(best.join(longer, ["i", "j"], "full").select("i", "j", F.least("d", "c").alias("d"), (F.col("d").isNull() | (F.col("c") < F.col("d"))).alias("new")), instead_of=table)
-        table, best, fresh = merged, merged.select("i", "j", "d"), merged.filter("new").select("i", "j", "d")
-        if fresh.isEmpty():
-            return best
-    raise RuntimeError(f"paths still shorten after {limit} rounds")
-
-
-def closeness(mat: DataFrame, nodes: DataFrame, **how) -> DataFrame:
+    edges = cut_lineage(mat.filter("i <> j").groupBy(F.col("i").alias("node"), F.col("j").alias("to")).agg(F.min("w").alias("w")))
+    known = edges.agg(F.min("w").alias("low"), F.max("w").alias("high")).first()
+    negative = known.low is not None and known.low < 0
+    delta = math.inf if negative or known.high is None or not known.high > 0 else delta or float(known.high)
+    limit = most_rounds if most_rounds is not None else nodes.count() + 1 if negative else None
+    start = (nodes if sources is None else nodes.join(sources.select("node").distinct(), "node", "left_semi")).select("node")
+    places = ordering.placed(start, "node").select("node", F.floor(F.col("place") / block).alias("block"), (F.col("place") % block).cast("int").alias("slot"))
+    slots, none = range(block), F.lit(math.inf)
+    first = F.array(*[F.when(F.col("slot") == k, 0.0).otherwise(none) for k in slots])
+    state = table = cut_lineage(places.groupBy("block", "node").agg(F.min("slot").alias("slot")).select("block", "node", first.alias("d"), first.alias("fresh")))
+    bound, rounds = delta, 0
+    while True:
+        least = state.agg(F.min(F.array_min("fresh"))).first()[0]
+        if least is None or least == math.inf:
+            return places, state.select("block", "node", "d")
+        if limit is not None and rounds > limit:
+            raise RuntimeError(f"paths still shorten after {limit} rounds")
+        rounds += 1
+        bound = bound if least <= bound else least + delta
+        due = lambda x: x <= F.lit(float(bound))
+        going = state.filter(F.exists("fresh", lambda x: due(x) & (x < none))).select("block", "node", F.transform("fresh", lambda x: F.when(due(x), x).otherwise(none)).alias("x"))
+        reached = going.join(edges, "node").groupBy("block", F.col("to").alias("node")).agg(*[F.min(F.get("x", F.lit(k)) + F.col("w")).alias(f"x{k}") for k in slots])
+        reached = reached.select("block", "node", F.array(*[f"x{k}" for k in slots]).alias("x"))
+        empty = F.array(*[none] * block)
+        both = state.join(reached, ["block", "node"], "full").select("block", "node", F.coalesce("d", empty).alias("d"), F.coalesce("fresh", empty).alias("fresh"), F.coalesce("x", empty).alias("x"))
+        waiting = F.transform("fresh", lambda x: F.when(due(x), none).otherwise(x))
+        both = both.select("block", "node", "d", waiting.alias("waiting"), F.zip_with("x", "d", lambda x, d: F.when(x < d, x).otherwise(none)).alias("shorter"))
+        state = cut_lineage(both.select("block", "node", F.zip_with("d", "shorter", lambda a, b: F.least(a, b)).alias("d"), F.zip_with("waiting", "shorter", lambda a, b: F.least(a, b)).alias("fresh")), instead_of=table)
+        table = state
+
+
+def shortest_paths(mat: DataFrame, nodes: DataFrame, sources: DataFrame | None = None, most_rounds: int | None = None, **how) -> DataFrame:
+    """(i, j, d): least sums of weights along directed paths from all nodes, or from ``sources`` (node)."""
+    places, state = distance_blocks(mat, nodes, sources, most_rounds, **how)
+    far = state.select("block", F.col("node").alias("j"), F.posexplode("d").alias("slot", "d")).filter(F.col("d") < math.inf)
+    return far.join(places.withColumnRenamed("node", "i"), ["block", "slot"]).select("i", "j", "d")
+
+
+def closeness(mat: DataFrame, nodes: DataFrame, block: int = 32, **how) -> DataFrame:
     """(node, c): 1 / mean distance to all N nodes, itself (0) included, unreachable ones at distance N; of all nodes, or
     of ``sources``."""
-    n = nodes.agg(F.count("*").alias("n"))
-    reached = shortest_paths(mat, nodes, **how).groupBy(F.col("i").alias("node")).agg(F.sum("d").alias("d"), F.count("*").alias("k"))
-    return reached.crossJoin(F.broadcast(n)).select("node", ratio(F.col("n").cast("double"), F.col("d") + (F.col("n") - F.col("k")) * F.col("n")).alias("c"))
+    n = nodes.count()
+    places, state = distance_blocks(mat, nodes, block=block, **how)
+    far = [F.get("d", F.lit(k)) for k in range(block)]
+    sums = state.groupBy("block").agg(*[F.sum(F.when(x < math.inf, x).otherwise(0.0)).alias(f"s{k}") for k, x in enumerate(far)], *[F.count_if(x < math.inf).alias(f"n{k}") for k, x in enumerate(far)])
+    of_slot = sums.select("block", F.posexplode(F.array(*[F.struct(F.col(f"s{k}").alias("s"), F.col(f"n{k}").alias("k")) for k in range(block)])).alias("slot", "x"))
+    return places.join(of_slot, ["block", "slot"]).select("node", ratio(F.lit(float(n)), F.col("x.s") + (n - F.col("x.k")) * n).alias("c"))
 
 
 def peeled(mat: DataFrame, members: DataFrame, least_density: float) -> DataFrame:

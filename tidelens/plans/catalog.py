@@ -439,6 +439,11 @@ def corr_network_edges(spark, d):
     return rounded(nw.correlation_edges(vectors(spark, d), 0.35), "w")
 
 
+@query(SQL["corr_network_edges"])
+def corr_network_pruned(spark, d):
+    return rounded(nw.correlation_edges(vectors(spark, d), 0.35, block=64, pivots=16), "w")
+
+
 @query(f"WITH RECURSIVE {EMB}, e AS MATERIALIZED (SELECT i, j, round(w, 9) AS w FROM sim WHERE abs(w) > 0.35e0), ee AS MATERIALIZED (SELECT i, j FROM e UNION SELECT j, i FROM e), c AS (SELECT i AS node, i AS label FROM ee UNION SELECT ee.j, c.label FROM c JOIN ee ON ee.i = c.node), l AS (SELECT node, min(label) AS label FROM c GROUP BY 1), g AS (SELECT label FROM l GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1), k AS (SELECT e.* FROM e JOIN l ON node = i JOIN g USING (label)) SELECT * FROM k UNION ALL SELECT j, i, w FROM k")
 def corr_network_giant(spark, d):
     return rounded(nw.correlation_edges(vectors(spark, d), 0.35, giant=True), "w")

@@ -25,13 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as store
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 # Fixed values of the format: tags, and for each type its number, numpy's name for its big-endian values and its default fill.
 DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
 STREAMING = 0xFFFFFFFF
 TYPES = {1: ("i1", -127), 2: ("S1", 0), 3: (">i2", -32767), 4: (">i4", -2147483647), 5: (">f4", 9.969209968386869e36), 6: (">f8", 9.969209968386869e36), 7: ("u1", 255), 8: (">u2", 65535), 9: (">u4", 4294967295), 10: (">i8", -9223372036854775806), 11: (">u8", 18446744073709551614)}
-DOUBLE, INT64_FREE_VERSION = 6, 2
+DOUBLE, VERSION = 6, 2  # of what is written
 SCHEMA = "t long, node long, value double"
 FIRST = "first_record"
 
@@ -193,6 +193,8 @@ class Reader(DataSourceReader):
                 self.low = max(self.low, f.value + isinstance(f, GreaterThan))
             elif whole and isinstance(f, LessThan | LessThanOrEqual):
                 self.high = min(self.high, f.value - isinstance(f, LessThan))
+            elif isinstance(f, IsNotNull) and f.attribute in (("t",), ("node",)):
+                continue  # these never are
             else:
                 if isinstance(f, In) and f.attribute == ("t",) and f.value and all(isinstance(v, int) for v in f.value):
                     self.low, self.high = max(self.low, min(f.value)), min(self.high, max(f.value))
@@ -288,7 +290,7 @@ class Writer(DataSourceArrowWriter):
             for own in np.split(np.arange(len(t)), np.flatnonzero(np.diff(t)) + 1) if len(t) else []:
                 if f is None:
                     first = now = int(t[own[0]])
-                    header = Header(INT64_FREE_VERSION, STREAMING, [("time", 0), *self.dims], {FIRST: [float(first)]})
+                    header = Header(VERSION, STREAMING, [("time", 0), *self.dims], {FIRST: [float(first)]})
                     header.variables = {"time": Variable([0], {}, DOUBLE, 0), self.variable: Variable(list(range(len(self.dims) + 1)), {"_FillValue": [self.fill]}, DOUBLE, 0)}
                     f = fs.open_output_stream(f"{path}/{name}")
                     f.write(header_bytes(header))

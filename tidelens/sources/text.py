@@ -1,8 +1,8 @@
 """Graph and sparse-matrix text files: Pajek, compressed rows or columns, edge lists, Infomap trees and maps.
 
 Readers give long frames from ``spark.read.text``; the place of a line in its file orders sections. Writers order
-lines by a key and write one part per range, so a file may be a folder of parts whose names sort in line order;
-``single`` gives one part.
+lines by a key and write one part per range, so a file is a folder of parts whose names sort in line order, and whose
+concatenation is the text; ``single`` gives one part.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelens.functions import ordering
+from tidelens.functions.storage import cut_lineage
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, line, tok): lines in order with their white-space separated parts.
@@ -32,11 +35,12 @@ def line_count(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).agg(F.count("*").alias("n"))
 
 
-def write_lines(keyed: DataFrame, path: str, single: bool = True) -> None:
-    """``keyed``: (key columns..., line); written in the order of all columns but the line."""
+def write_lines(keyed: DataFrame, path: str, single: bool = False, end: str = "\n") -> None:
+    """``keyed``: (key columns..., line); written in the order of all columns but the line, as a folder of parts, one per
+    range of the order, whose names sort in it; ``end`` follows each line. ``single``: one part, by one task."""
     keys = [c for c in keyed.columns if c != "line"]
     ordered = keyed.coalesce(1).sortWithinPartitions(*keys) if single else keyed.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered.select("line").write.mode("overwrite").text(path)
+    ordered.select("line").write.mode("overwrite").option("lineSep", end).text(path)
 
 
 def number(c: Column) -> Column:
@@ -76,7 +80,7 @@ def read_pajek_vertices(spark: SparkSession, path: str) -> DataFrame:
     return text.filter("section = 'v'").select(F.element_at("tok", 1).cast("long").alias("node"), F.regexp_extract("line", r'^\S+\s+"?([^"]*)"?', 1).alias("label"))
 
 
-def write_pajek(mat: DataFrame, n: int, path: str, base: int = 1, strict_lower: bool = False, vertices: bool = True, weights: bool = True, single: bool = True) -> None:
+def write_pajek(mat: DataFrame, n: int, path: str, base: int = 1, strict_lower: bool = False, vertices: bool = True, weights: bool = True, single: bool = False) -> None:
     """Header, vertex lines, header with the number of edges, edge lines. ``strict_lower``: entries with i > j only."""
     spark = mat.sparkSession
     mat = mat.filter("i > j") if strict_lower else mat
@@ -95,7 +99,7 @@ def write_pajek(mat: DataFrame, n: int, path: str, base: int = 1, strict_lower:
 # Edge lists
 
 
-def write_edges(mat: DataFrame, path: str, base: int = 1, sep: str = " ", single: bool = True) -> None:
+def write_edges(mat: DataFrame, path: str, base: int = 1, sep: str = " ", single: bool = False) -> None:
     e = mat.filter("w <> 0").select("i", "j", F.concat_ws(sep, (F.col("i") + base).cast("string"), (F.col("j") + base).cast("string"), number(F.col("w"))).alias("line"))
     write_lines(e, path, single)
 
@@ -108,35 +112,59 @@ def read_edges(spark: SparkSession, path: str, base: int = 1) -> DataFrame:
 # Compressed rows or columns: one line each of header (type rows cols nnz), values, inner indices, outer pointers.
 
 
-def write_compressed(mat: DataFrame, rows: int, cols: int, path: str, kind: str = "CSR") -> None:
-    """The format has a line per array, so a line holds a whole array; for matrices that a text line can hold. Pointers
-    are running sums of the entries of each row (or column): within ranges of ``step``, and over the ranges."""
-    spark, step = mat.sparkSession, 4096
+def write_compressed(mat: DataFrame, rows: int, cols: int, path: str, kind: str = "CSR", slice_of: int = 1 << 16, single: bool = False) -> None:
+    """The format has a line for each array, however long. Each is written in slices of ``slice_of`` numbers: a slice is
+    what a tab follows, and a new line begins with the last slice of the one before, so that no row holds an array and parts
+    follow each other as one file. Entries are numbered in the order of rows (or columns), and pointers are their running
+    counts, over ranges of the order."""
+    spark = mat.sparkSession
     outer, inner, n = ("i", "j", rows) if kind.upper() == "CSR" else ("j", "i", cols)
-    arrays = mat.agg(F.array_sort(F.collect_list(F.struct(F.col(outer).alias("o"), F.col(inner).alias("n"), "w"))).alias("e"))
-    counts = spark.range(n).select(F.col("id").alias("o")).join(mat.groupBy(F.col(outer).alias("o")).agg(F.count("*").alias("c")), "o", "left")
-    counts = counts.select("o", F.floor(F.col("o") / step).alias("part"), F.coalesce("c", F.lit(0)).alias("c"))
-    running = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    parts = counts.groupBy("part").agg(F.sum("c").alias("pc")).select("part", (F.sum("pc").over(running(Window.orderBy("part"))) - F.col("pc")).alias("before"))
-    upto = F.col("before") + F.sum("c").over(running(Window.partitionBy("part").orderBy("o")))
-    ends = counts.join(parts, "part").select("o", upto.alias("upto")).agg(F.array_sort(F.collect_list(F.struct("o", "upto"))).alias("c"))
-    pointer = F.concat(F.array(F.lit(0).cast("long")), F.transform("c", lambda x: x["upto"]))
-    both = arrays.crossJoin(ends).select(F.concat_ws("\t", F.lit(kind.upper()), F.lit(rows), F.lit(cols), F.size("e")).alias("l0"), F.array_join(F.transform("e", lambda x: number(x["w"])), "\t").alias("l1"), F.array_join(F.transform("e", lambda x: x["n"].cast("string")), "\t").alias("l2"), F.array_join(F.transform(pointer, lambda x: x.cast("string")), "\t").alias("l3"))
-    write_lines(both.select(F.posexplode(F.array("l0", "l1", "l2", "l3")).alias("k", "line")), path)
+    entries = cut_lineage(mat.select(F.col(outer).cast("long").alias("o"), F.col(inner).cast("long").alias("n"), F.col("w").cast("double").alias("w")))
+    numbered = cut_lineage(ordering.placed(entries, "o", "n"))
+    counts = spark.range(n).select(F.col("id").alias("o")).join(entries.groupBy("o").agg(F.count("*").alias("c")), "o", "left").select("o", F.coalesce("c", F.lit(0)).alias("c"))
+    upto = ordering.placed(counts, "o", sums={"before": "c"}).select((F.col("o") + 1).alias("place"), (F.col("before") + F.col("c")).cast("long").cast("string").alias("x"))
+    total = entries.count()
+
+    def sliced(array: int, numbers: DataFrame, size: int) -> DataFrame:
+        """``numbers`` (place, x), x as text; the last slice ends its line."""
+        part = F.floor(F.col("place") / slice_of)
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda v: v["x"]), "\t")
+        got = numbers.groupBy(part.alias("part")).agg(text.alias("line"))
+        last = F.lit(max(0, size - 1) // slice_of)
+        ended = got.select(F.lit(array).alias("array"), "part", F.when(F.col("part") == last, F.concat("line", F.lit("\n"))).otherwise(F.col("line")).alias("line"))
+        return ended if size else spark.createDataFrame([(array, 0, "\n")], "array int, part long, line string")
+
+    head = spark.createDataFrame([(0, 0, "\t".join([kind.upper(), str(rows), str(cols), str(total)]) + "\n")], "array int, part long, line string")
+    pointers = spark.createDataFrame([(0, "0")], "place long, x string").unionByName(upto)
+    out = head.unionByName(sliced(1, numbered.select("place", number(F.col("w")).alias("x")), total)).unionByName(sliced(2, numbered.select("place", F.col("n").cast("string").alias("x")), total)).unionByName(sliced(3, pointers, n + 1))
+    write_lines(out, path, single, "\t")
 
 
 def read_compressed(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, w) of either kind, whatever the case of its name. Neighbouring pointers tell the places of the entries of
-    each row (or column); these places are joined with the entries, so the work is linear in their number."""
-    whole = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("l"))
-    parts = whole.select(F.upper(F.split(F.trim(F.get("l", F.lit(0))), r"\s+")[0]).alias("kind"), *[F.filter(F.split(F.trim(F.get("l", F.lit(k))), r"\s+"), lambda x: x != "").alias(f"a{k}") for k in (1, 2, 3)])
-    entries = parts.select(F.posexplode(F.arrays_zip("a1", "a2")).alias("pos", "e")).select("pos", F.col("e.a1").cast("double").alias("w"), F.col("e.a2").cast("long").alias("inner"))
-    bounds = F.zip_with(F.slice("ptr", 1, F.size("ptr") - 1), F.slice("ptr", 2, F.size("ptr") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    rows = parts.select("kind", F.col("a3").cast("array<int>").alias("ptr")).select("kind", F.posexplode(bounds).alias("outer", "p")).filter("p.a < p.b")
-    outer = rows.select("kind", F.col("outer").cast("long").alias("outer"), F.explode(F.sequence(F.col("p.a"), F.col("p.b") - 1)).alias("pos")).join(entries, "pos")
-    csr = F.col("kind") == "CSR"
-    known = F.when(F.col("kind").isin("CSR", "CSC"), F.col("outer")).otherwise(F.raise_error(F.lit("neither CSR nor CSC")).cast("long"))
-    return outer.select(F.when(csr, known).otherwise(F.col("inner")).alias("i"), F.when(csr, F.col("inner")).otherwise(known).alias("j"), "w")
+    """(i, j, w) of either kind, whatever the case of its name. Files are read by tabs, which may be anywhere in a line, so
+    large arrays are split; the header tells which numbers, counted over all parts, make which array. Neighbouring pointers
+    tell the places of the entries of each row (or column)."""
+    raw = spark.read.option("lineSep", "\t").text(path).filter("length(trim(value)) > 0")
+    source = spark.read.text(path).inputFiles()
+    names = spark.createDataFrame([(f, k) for k, f in enumerate(sorted(re.sub(r"^([a-z0-9]+):/+", r"\1:/", f) for f in source))], "file string, file_no long")
+    raw = raw.select(F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("tok"), F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id")).filter("size(tok) > 0")
+    raw = cut_lineage(raw.join(F.broadcast(names), "file").select("file_no", "start", "id", "tok", F.size("tok").alias("m")))  # a short row per file
+    pieces = raw.groupBy("file_no", "start").agg(F.sum("m").alias("m"))
+    before = pieces.select("file_no", "start", (F.sum("m").over(Window.orderBy("file_no", "start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("before"))  # a row per piece
+    inside = Window.partitionBy("file_no", "start").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = raw.join(F.broadcast(before), ["file_no", "start"]).withColumn("at", F.col("before") + F.coalesce(F.sum("m").over(inside), F.lit(0)))
+    tokens = cut_lineage(placed.select("at", F.posexplode("tok").alias("k", "x")).select((F.col("at") + F.col("k")).alias("at"), "x"))
+    head = {r.at: r.x for r in tokens.filter("at < 4").collect()}
+    kind, n = head.get(0, "").upper(), int(head.get(3, 0))
+    if kind not in ("CSR", "CSC"):
+        raise ValueError(f"neither CSR nor CSC: {head.get(0)}")
+    array = lambda first, size, of: tokens.filter((F.col("at") >= first) & (F.col("at") < first + size)).select((F.col("at") - first).alias("pos"), F.col("x").cast(of).alias("x"))
+    outer = int(head[1 if kind == "CSR" else 2])
+    values, inner, pointer = array(4, n, "double"), array(4 + n, n, "long"), array(4 + 2 * n, outer + 1, "long")
+    following = pointer.select((F.col("pos") - 1).alias("pos"), F.col("x").alias("next"))
+    spans = pointer.join(following, "pos").filter("x < next").select(F.col("pos").alias("outer"), F.explode(F.sequence(F.col("x"), F.col("next") - 1)).alias("pos"))
+    got = spans.join(values.withColumnRenamed("x", "w"), "pos").join(inner.withColumnRenamed("x", "inner"), "pos")
+    return got.select("outer", "inner", "w").toDF("i", "j", "w") if kind == "CSR" else got.select("inner", "outer", "w").toDF("i", "j", "w")
 
 
 # Dense text, Infomap results, grids
