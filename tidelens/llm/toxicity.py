@@ -30,6 +30,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -334,11 +335,9 @@ def listed(sizes: list[int], columns: list[pa.Array], names: list[str]) -> pa.Li
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.StructArray.from_arrays(columns, names=names))
 
 
-def nearest_examples(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document, with the k nearest examples, similarities by the norm of the words that examples have
-    (``known``: its square), and the words that none has."""
-    index, k = model.index, model.k
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the words of 2 * per_class texts
+def nearest_examples(docs: DataFrame, shared: Broadcast, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document, with the k nearest examples of the index, similarities by the norm of the words that examples
+    have (``known``: its square), and the words that none has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = shared.value, {}
@@ -349,7 +348,7 @@ def nearest_examples(docs: DataFrame, model: Model, id_col: str = "doc_id", text
                 new = {key: term_counts(text) for key, text in zip(keys, part.column(2).to_pylist(), strict=True) if key not in seen}
                 weighed = [own.weighed(tf) for tf in new.values()]
                 found = own.nearest_of([(terms, w / math.sqrt(norm) if norm else w) for terms, w, norm, _ in weighed], k) if new else []
-                if len(seen) > 2000:
+                if len(seen) > 500:
                     seen = {key: seen[key] for key in keys if key in seen}
                 for (key, tf), (_, _, norm, rest), (at, similarity) in zip(new.items(), weighed, found, strict=True):
                     seen[key] = norm, own.ids[at], similarity, own.labels[at].astype(np.int32), rest, [tf[t] for t in rest]
@@ -363,7 +362,9 @@ def nearest_examples(docs: DataFrame, model: Model, id_col: str = "doc_id", text
 
 def judged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, score, neighbours: a row per document."""
-    near = materialise(nearest_examples(docs, model, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "toxicity-near")
+    shared = docs.sparkSession.sparkContext.broadcast(model.index)  # bounded by the words of 2 * per_class texts
+    near = materialise(nearest_examples(docs, shared, model.k, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "toxicity-near")
+    shared.destroy()  # the table holds all that it was for; workers that are kept drop it
     words = near.filter("size(neighbours) > 0").select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.tf")
     idf = F.log((1 + F.lit(float(model.documents))) / (1 + F.coalesce("df", F.lit(0)))) + 1
     rest = words.join(model.frequencies, "word", "left").groupBy("row").agg(F.sum(F.pow((1 + F.log("tf")) * idf, 2)).alias("unknown"))
