@@ -20,46 +20,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions.scalar import block_length, pair_block_length
-from tidelens.operators.timeseries import lag_autocorrelation, pair_values
+from tidelens.operators.timeseries import lag_autocorrelation
 
 Statistic = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def series_arrays(field: DataFrame) -> DataFrame:
-    """(node, ts, xs): times and values of each node where there is a value, in time."""
+def series_arrays(field: DataFrame, lag1: bool = False) -> DataFrame:
+    """(node, ts, xs): times and values of each node where there is a value, in time; with ``lag1`` also a, its lag-1
+    autocorrelation (0 where there is none)."""
     rows = field.filter("value is not null").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("t", F.col("value").cast("double").alias("value")))).alias("s"))
-    return rows.select("node", F.transform("s", lambda x: x["t"]).alias("ts"), F.transform("s", lambda x: x["value"]).alias("xs"))
+    rows = rows.select("node", F.transform("s", lambda x: x["t"]).alias("ts"), F.transform("s", lambda x: x["value"]).alias("xs"))
+    return rows.join(lag_autocorrelation(field, 1), "node", "left").select("node", "ts", "xs", F.coalesce("a", F.lit(0.0)).alias("a")) if lag1 else rows
 
 
-def pair_arrays(field: DataFrame, other: DataFrame | None = None, auto: bool = False, blocks: int = 16) -> DataFrame:
+def pair_arrays(field: DataFrame, other: DataFrame | None = None, auto: bool = False, blocks: int = 16, lag1: bool = False) -> DataFrame:
     """(i, j, tx, x, ty, y): pairs i < j of one field, all pairs of a node of ``field`` and one of ``other``, or with
-    ``auto`` each node with itself."""
+    ``auto`` each node with itself; with ``lag1`` also ax, ay, the lag-1 autocorrelations of both, joined to the series."""
     if auto and other is not None:
         raise ValueError("auto takes one field")
-    x = series_arrays(field).select(F.col("node").alias("i"), F.col("ts").alias("tx"), F.col("xs").alias("x"))
-    y = (series_arrays(field) if other is None else series_arrays(other)).select(F.col("node").alias("j"), F.col("ts").alias("ty"), F.col("xs").alias("y"))
+    more = ["a"] if lag1 else []
+    sided = lambda rows, node, side: rows.select(F.col("node").alias(node), F.col("ts").alias(f"t{side}"), F.col("xs").alias(side), *[F.col(c).alias(c + side) for c in more])
+    first = series_arrays(field, lag1)
     if auto:
-        return x.select("i", F.col("i").alias("j"), "tx", "x", F.col("tx").alias("ty"), F.col("x").alias("y"))
+        return first.select(F.col("node").alias("i"), F.col("node").alias("j"), F.col("ts").alias("tx"), F.col("xs").alias("x"), F.col("ts").alias("ty"), F.col("xs").alias("y"), *[F.col(c).alias(c + side) for side in "xy" for c in more])
+    x, y = sided(first, "i", "x"), sided(first if other is None else series_arrays(other, lag1), "j", "y")
     every, own = F.sequence(F.lit(0), F.lit(blocks - 1)), lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     x, y = x.withColumn("bi", own("i")).withColumn("bj", F.explode(every)), y.withColumn("bj", own("j")).withColumn("bi", F.explode(every))
-    both = x.join(y, ["bi", "bj"]).select("i", "j", "tx", "x", "ty", "y")
+    both = x.join(y, ["bi", "bj"]).drop("bi", "bj")
     return both.filter("i < j") if other is None else both
 
 
-def with_lengths(pairs: DataFrame, field: DataFrame, other: DataFrame | None = None, length: int | None = None) -> DataFrame:
-    """``pairs`` with n (common times) and l (block length: ``length``, or from the lag-1 autocorrelations)."""
-    pairs = pairs.withColumn("n", F.size(F.array_intersect("tx", "ty")).cast("long"))
+def pairs_with_lengths(field: DataFrame, other: DataFrame | None = None, auto: bool = False, length: int | None = None) -> DataFrame:
+    """``pair_arrays`` with n (common times) and l (block length: ``length``, or from the lag-1 autocorrelations)."""
+    pairs = pair_arrays(field, other, auto, lag1=length is None).withColumn("n", F.when(F.col("tx") == F.col("ty"), F.size("tx")).otherwise(F.size(F.array_intersect("tx", "ty"))).cast("long"))
     if length is not None:
         return pairs.withColumn("l", F.lit(length).cast("long"))
-    a = lag_autocorrelation(field, 1)
-    b = a if other is None else lag_autocorrelation(other, 1)
-    both = pairs.join(a.select(F.col("node").alias("i"), F.col("a").alias("ax")), "i").join(b.select(F.col("node").alias("j"), F.col("a").alias("ay")), "j")
-    return both.withColumn("l", pair_block_length(F.coalesce("ax", F.lit(0.0)), F.coalesce("ay", F.lit(0.0)), "n")).drop("ax", "ay")
+    return pairs.withColumn("l", pair_block_length(F.col("ax"), F.col("ay"), "n")).drop("ax", "ay")
 
 
 def pair_lengths(field: DataFrame, other: DataFrame | None = None) -> DataFrame:
     """(i, j, n, l): common values and block length of each pair that has any."""
-    return with_lengths(pair_arrays(field, other), field, other).filter("n > 0").select("i", "j", "n", "l")
+    return pairs_with_lengths(field, other).filter("n > 0").select("i", "j", "n", "l")
 
 
 def correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -145,7 +146,7 @@ def bootstrap_set(field: DataFrame, samples: int, seed: int = 0, paired: bool =
     ``paired`` takes the same blocks of both sides (keeps their relation), else sides are drawn independently. ``other``
     gives all pairs of two fields, ``auto`` each node with itself.
     """
-    pairs = with_lengths(pair_arrays(field, other, auto), field, other, length)
+    pairs = pairs_with_lengths(field, other, auto, length)
     return resampled_set(pairs, samples, seed, paired, [statistic(kind)]).drop("k")
 
 
@@ -163,25 +164,51 @@ def estimates(field: DataFrame, kind: str | Callable = "corr", other: DataFrame
     return pair_arrays(field, other, auto).mapInArrow(run, "i long, j long, estim double")
 
 
+def beyond_estimates(pairs: DataFrame, samples: int, seed: int, paired: bool, f: Statistic, chunk: int = 256, most_values: int = 4_000_000) -> DataFrame:
+    """(i, j, l, n, estim, beyond, drawn) of ``pairs`` with n and l: how many resamples are beyond the estimate, of how many.
+    Resamples are drawn, compared and counted where the pair's arrays are; a chunk of samples gives one row."""
+    able = F.expr("l < n and n > 2")
+    chunks = F.when(able, F.sequence(F.lit(0), F.lit(max(0, samples - 1)), F.lit(chunk))).otherwise(F.array(F.lit(0)))
+    rows = pairs.filter("n > 0").withColumn("able", able).withColumn("first", F.explode(chunks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            estim, beyond, drew = [], [], []
+            for r in range(batch.num_rows):
+                i, j, l, able, first = (batch.column(c)[r].as_py() for c in ("i", "j", "l", "able", "first"))
+                x, y = common(batch, r)
+                e, over, count = float(f(x[None], y[None])[0]), 0, 0
+                last, step = min(samples, first + chunk) if able and e == e else first, max(1, most_values // len(x))
+                for a in range(first, last, step):
+                    px, py = drawn(len(x), l, i, j, range(a, min(last, a + step)), seed, paired)
+                    s = f(x[px], y[py])
+                    over, count = over + int((np.abs(s) > abs(e)).sum()), count + int((s == s).sum())
+                estim.append(e)
+                beyond.append(over)
+                drew.append(count)
+            columns = [pa.array(estim, pa.float64(), from_pandas=True), pa.array(beyond, pa.int64()), pa.array(drew, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("i", "j", "l", "n")), *columns], names=["i", "j", "l", "n", "estim", "beyond", "drawn"])
+
+    counted = rows.select("i", "j", F.col("l").cast("long").alias("l"), "n", "able", "first", "tx", "x", "ty", "y").mapInArrow(run, "i long, j long, l long, n long, estim double, beyond long, drawn long")
+    return counted.groupBy("i", "j", "l", "n").agg(F.max("estim").alias("estim"), F.sum("beyond").alias("beyond"), F.sum("drawn").alias("drawn"))
+
+
 def p_values(field: DataFrame, samples: int, seed: int = 0, kind: str | Callable = "corr", length: int | None = None, other: DataFrame | None = None, auto: bool = False, paired: bool = False, level: str = "percentile", df: float = 0) -> DataFrame:
     """(i, j, estim, l, p): share of resamples (independent blocks, unless ``paired``) beyond the estimate; p = 1 where
     blocks reach n. ``level`` 'normal' or 'student' (``df`` degrees): the upper tail of that law at |estimate| instead."""
-    lengths = with_lengths(pair_arrays(field, other, auto), field, other, length).filter("n > 0").select("i", "j", "n", "l")
-    both = estimates(field, kind, other, auto).join(lengths, ["i", "j"])
+    if level not in ("percentile", "normal", "student"):
+        raise ValueError(f"unknown level {level!r}")
+    found = beyond_estimates(pairs_with_lengths(field, other, auto, length), samples if level == "percentile" else 0, seed, paired, statistic(kind))
     if level == "percentile":
-        drawn_set = bootstrap_set(field, samples, seed, paired, kind, length, other, auto)
-        share = drawn_set.join(estimates(field, kind, other, auto), ["i", "j"]).groupBy("i", "j").agg(F.avg((F.abs("s") > F.abs("estim")).cast("double")).alias("p"))
-        both = both.join(share, ["i", "j"], "left")
-    elif level in ("normal", "student"):
+        p = F.try_divide("beyond", "drawn")
+    else:
         cdf = NormalDist().cdf if level == "normal" else lambda t: student_cdf(t, df)
 
         def tail(v: pd.Series) -> pd.Series:
             return v.map(lambda e: 1 - cdf(abs(e)) if e == e else None).astype(float)
 
-        both = both.withColumn("p", F.when(F.col("l") < F.col("n"), F.pandas_udf(tail, "double")("estim")))
-    else:
-        raise ValueError(f"unknown level {level!r}")
-    return both.select("i", "j", "estim", "l", F.coalesce("p", F.lit(1.0)).alias("p"))
+        p = F.when(F.col("l") < F.col("n"), F.pandas_udf(tail, "double")("estim"))
+    return found.withColumn("p", p).select("i", "j", "estim", "l", F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
 def surrogate_p_values(field: DataFrame, samples: int, sample_method: str = "mbb", seed: int = 0, **how) -> DataFrame:
@@ -310,26 +337,36 @@ def phase_surrogate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.fft.irfft(spectrum * np.exp(2j * np.pi * rng.random(len(spectrum))), n)[: len(x)]
 
 
-def phase_p_values(field: DataFrame, samples: int, seed: int = 0) -> DataFrame:
-    """(i, j, p): share of phase surrogates whose |correlation| exceeds the pair's. Gaps are an error: time must be regular."""
+def phase_p_values(field: DataFrame, samples: int, seed: int = 0, most_values: int = 2_000_000) -> DataFrame:
+    """(i, j, p): share of phase surrogates whose |correlation| exceeds the pair's. Gaps are an error: time must be regular.
+    A pair is a row of two arrays; its surrogates are transformed many at once."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        if len(pdf) > 1 and pdf["t"].diff().iloc[1:].nunique() > 1:
-            raise ValueError("phase surrogates need regular sampling")
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        x, y = (pdf[c].to_numpy() - pdf[c].mean() for c in ("x", "y"))
-        rng = np.random.default_rng([seed, i, j])
-
-        def r(a: np.ndarray, b: np.ndarray) -> float:
-            a, b = a - a.mean(), b - b.mean()
-            size = math.sqrt(float(a @ a) * float(b @ b))
-            return abs(float(a @ b)) / size if size else 0.0
-
-        beyond = sum(r(phase_surrogate(x, rng), phase_surrogate(y, rng)) > r(x, y) for _ in range(samples))
-        return pd.DataFrame({"i": [i], "j": [j], "p": [beyond / samples]})
-
-    return pair_values(field).filter("x is not null and y is not null").groupBy("i", "j").applyInPandas(run, "i long, j long, p double")
+    def surrogates(x: np.ndarray, turns: np.ndarray, size: int) -> np.ndarray:
+        return np.fft.irfft(np.fft.rfft(x, size) * np.exp(2j * np.pi * turns), size, axis=1)[:, : len(x)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in range(batch.num_rows):
+                i, j = batch.column("i")[r].as_py(), batch.column("j")[r].as_py()
+                tx, ty = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("tx", "ty"))
+                times = np.intersect1d(tx, ty)
+                if len(np.unique(np.diff(times))) > 1:
+                    raise ValueError("phase surrogates need regular sampling")
+                x, y = (v - v.mean() for v in common(batch, r)) if len(times) else (np.zeros(0), np.zeros(0))
+                if not len(x):
+                    continue
+                size, rng, beyond = 1 << (len(x) - 1).bit_length() if len(x) > 1 else 1, np.random.default_rng([seed, i, j]), 0
+                own = abs(np.nan_to_num(correlations(x[None], y[None])[0]))
+                step = max(1, most_values // size)
+                for a in range(0, samples, step):
+                    turns = rng.random((min(step, samples - a), 2, size // 2 + 1))
+                    beyond += int((np.abs(np.nan_to_num(correlations(surrogates(x, turns[:, 0], size), surrogates(y, turns[:, 1], size)))) > own).sum())
+                out.append((i, j, beyond / samples))
+            i, j, p = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(p, pa.float64())], names=["i", "j", "p"])
+
+    return pair_arrays(field).mapInArrow(run, "i long, j long, p double")
 
 
 def ccf_band(first: DataFrame, second: DataFrame, most_lag: int, samples: int, alpha: float = 0.05, seed: int = 0, length: int = 10) -> DataFrame:

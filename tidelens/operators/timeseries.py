@@ -101,17 +101,25 @@ def binned(field: DataFrame, bins: int) -> DataFrame:
     return field.filter("value is not null").crossJoin(F.broadcast(histogram_range(field))).withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.coalesce(share, F.lit(0.0)) * bins)).cast("long")).drop("lo", "hi")
 
 
-def mutual_information(field: DataFrame, bins: int) -> DataFrame:
-    """(i, j, mi) for i <= j in nats from common-range histograms; i = j gives the entropy."""
-    b = binned(field, bins)
+def bin_entropy(b: DataFrame) -> DataFrame:
+    """(node, h): entropy in nats of each node's bins."""
     own = b.groupBy("node", "bin").agg(F.count("*").alias("n"))
     total = own.groupBy("node").agg(F.sum("n").alias("nn"))
-    h = own.join(total, "node").groupBy("node").agg((-F.sum(F.col("n") / F.col("nn") * F.log(F.col("n") / F.col("nn")))).alias("h"))
-    left, right = b.select("t", F.col("node").alias("i"), F.col("bin").alias("bi")), b.select("t", F.col("node").alias("j"), F.col("bin").alias("bj"))
-    joint = left.join(right, "t").filter("i <= j").groupBy("i", "j", "bi", "bj").agg(F.count("*").alias("n"))
+    return own.join(total, "node").groupBy("node").agg((-F.sum(F.col("n") / F.col("nn") * F.log(F.col("n") / F.col("nn")))).alias("h"))
+
+
+def mutual_information(field: DataFrame, bins: int, other: DataFrame | None = None) -> DataFrame:
+    """(i, j, mi) in nats from histograms over the common range of a field: for i <= j, where i = j gives the entropy, or
+    for all pairs of a node of ``field`` and one of ``other``, which has a range of its own."""
+    b = binned(field, bins)
+    c = b if other is None else binned(other, bins)
+    h, k = bin_entropy(b), bin_entropy(c)
+    left, right = b.select("t", F.col("node").alias("i"), F.col("bin").alias("bi")), c.select("t", F.col("node").alias("j"), F.col("bin").alias("bj"))
+    met = left.join(right, "t")
+    joint = (met.filter("i <= j") if other is None else met).groupBy("i", "j", "bi", "bj").agg(F.count("*").alias("n"))
     both = joint.groupBy("i", "j").agg(F.sum("n").alias("nn"))
     hij = joint.join(both, ["i", "j"]).groupBy("i", "j").agg((-F.sum(F.col("n") / F.col("nn") * F.log(F.col("n") / F.col("nn")))).alias("hij"))
-    hi, hj = h.select(F.col("node").alias("i"), F.col("h").alias("hi")), h.select(F.col("node").alias("j"), F.col("h").alias("hj"))
+    hi, hj = h.select(F.col("node").alias("i"), F.col("h").alias("hi")), k.select(F.col("node").alias("j"), F.col("h").alias("hj"))
     return hij.join(hi, "i").join(hj, "j").select("i", "j", (F.col("hi") + F.col("hj") - F.col("hij")).alias("mi"))
 
 

@@ -17,6 +17,7 @@ from tidelens.operators import matrix as mx
 from tidelens.operators import phase as ph
 from tidelens.operators import resample as rs
 from tidelens.operators import spectral as sp
+from tidelens.operators import timeseries as ts
 from tidelens.operators.partition import greedy_codelength
 from tidelens.plans import fixtures as fx
 from tidelens.plans.catalog import CORR, SQL, chain, query, rounded
@@ -146,6 +147,15 @@ def bootstrap_sql(paired: bool, body: str, other: bool = False, length: int | No
     )
 
 
+def bins_of(name: str, field: str) -> str:
+    return f"{name} AS (SELECT t, node, least(9, floor((value - (SELECT min(value) FROM {field})) / (SELECT max(value) - min(value) FROM {field}) * 10))::BIGINT AS bin FROM {field}), h{name} AS (SELECT node, -sum(n / nn * ln(n / nn)) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY node) AS nn FROM (SELECT node, bin, count(*) AS n FROM {name} GROUP BY 1, 2)) GROUP BY 1)"
+
+
+@query(sql("f2", "SELECT i, j, round(hb.h + hc.h - hij.h, 9) AS mi FROM (SELECT i, j, -sum(n / nn * ln(n / nn)) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY i, j) AS nn FROM jn) GROUP BY 1, 2) hij JOIN hb ON hb.node = i JOIN hc ON hc.node = j", f"{F2C}, {bins_of('b', 'f2')}, {bins_of('c', 'f2c')}, jn AS (SELECT b.node AS i, c.node AS j, b.bin, c.bin AS bj, count(*) AS n FROM b JOIN c USING (t) GROUP BY 1, 2, 3, 4)"))
+def mutual_info_two_fields(spark, d):
+    return rounded(ts.mutual_information(fx.field(spark, d), 10, event_counts(spark, d)), "mi")
+
+
 P_SQL = f"SELECT i, j, round(max(estim), 9) AS estim, {LENGTH}::BIGINT AS l, avg((abs(s) > abs(estim))::INT) AS p FROM s JOIN e USING (i, j) GROUP BY 1, 2"
 
 
