@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udtf
 
 Field = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -82,3 +83,25 @@ def trajectories(starts: DataFrame, system: str | Field, dt: float, steps: int,
                     yield pd.DataFrame({"id": np.tile(ids, len(out)), "t": np.repeat(np.arange(1, len(out) + 1), len(ids)), **{c: out[:, :, k].ravel() for k, c in enumerate(axes)}})
 
     return starts.mapInPandas(run, "id long, t long, " + ", ".join(f"{c} double" for c in axes))
+
+
+class TrajectoryRows:
+    """Table function (system, state, params, dt, steps, method) -> (t, x, y, z): a row for each state after the initial one,
+    with nulls for axes that the system lacks; unlike ``trajectories`` it can stand in SQL, beside the row that calls it."""
+
+    def eval(self, system: str, state: list[float], params: list[float], dt: float, steps: int, method: str) -> Iterator[tuple]:
+        if state is None or params is None or any(v is None for v in (*state, *params)):
+            return
+        field, n = FIELDS[system]
+        s, p = np.array([state], float), np.array([params], float)
+        for t in range(1, steps + 1):
+            s = STEPS[method](field, s, p, dt)
+            yield (t, *s[0].tolist(), *[None] * (3 - n))
+
+
+trajectory_rows = udtf(TrajectoryRows, returnType="t bigint, x double, y double, z double")
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """``trajectory(system, state, params, dt, steps, method)`` for SQL: FROM starts, LATERAL trajectory(...)."""
+    spark.udtf.register("trajectory", trajectory_rows)

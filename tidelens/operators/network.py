@@ -351,21 +351,23 @@ def modularity(mat: DataFrame, members: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).agg(F.sum(F.col("own") / F.col("ww") - F.col("o") * F.col("k") / (F.col("ww") * F.col("ww"))).alias("q"))
 
 
-def distance_blocks(mat: DataFrame, nodes: DataFrame, sources: DataFrame | None = None, most_rounds: int | None = None, delta: float | None = None, block: int = 32) -> tuple[DataFrame, DataFrame]:
-    """(places, state): (node, block, slot) of each source, and (block, node, d), the least sums of weights along directed
+def distance_blocks(mat: DataFrame, nodes: DataFrame, sources: DataFrame | None = None, most_rounds: int | None = None, delta: float | None = None, block: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(places, state, size of a block): (node, block, slot) of each source, and (block, node, d), the least sums of weights along directed
     paths to the node from the sources of a block, by slot; infinite where there is no path.
 
     Delta-stepping: the state of a node is one row for a block of sources. A round relaxes only entries that are new and
     within the current step of ``delta`` (by default the greatest weight); once there are none, the step moves on to the
     least new entry. So rounds follow the greatest distance over delta and the edges of a step's paths. Negative weights take
     all new entries each round, and more rounds than nodes (a cycle of negative weight) are an error, as are more than
-    ``most_rounds``.
+    ``most_rounds``. ``block`` sources, by default up to 32, share a row.
     """
     edges = cut_lineage(mat.filter("i <> j").groupBy(F.col("i").alias("node"), F.col("j").alias("to")).agg(F.min("w").alias("w")))
     known = edges.agg(F.min("w").alias("low"), F.max("w").alias("high")).first()
     negative = known.low is not None and known.low < 0
     delta = math.inf if negative or known.high is None or not known.high > 0 else delta or float(known.high)
-    limit = most_rounds if most_rounds is not None else nodes.count() + 1 if negative else None
+    n = nodes.count()
+    limit = most_rounds if most_rounds is not None else n + 1 if negative else None
+    block = block or min(32, max(4, n // (4 * nodes.sparkSession.sparkContext.defaultParallelism)))
     start = (nodes if sources is None else nodes.join(sources.select("node").distinct(), "node", "left_semi")).select("node")
     places = ordering.placed(start, "node").select("node", F.floor(F.col("place") / block).alias("block"), (F.col("place") % block).cast("int").alias("slot"))
     slots, none = range(block), F.lit(math.inf)
@@ -375,7 +377,7 @@ def distance_blocks(mat: DataFrame, nodes: DataFrame, sources: DataFrame | None
     while True:
         least = state.agg(F.min(F.array_min("fresh"))).first()[0]
         if least is None or least == math.inf:
-            return places, state.select("block", "node", "d")
+            return places, state.select("block", "node", "d"), block
         if limit is not None and rounds > limit:
             raise RuntimeError(f"paths still shorten after {limit} rounds")
         rounds += 1
@@ -394,16 +396,16 @@ def distance_blocks(mat: DataFrame, nodes: DataFrame, sources: DataFrame | None
 
 def shortest_paths(mat: DataFrame, nodes: DataFrame, sources: DataFrame | None = None, most_rounds: int | None = None, **how) -> DataFrame:
     """(i, j, d): least sums of weights along directed paths from all nodes, or from ``sources`` (node)."""
-    places, state = distance_blocks(mat, nodes, sources, most_rounds, **how)
+    places, state, _ = distance_blocks(mat, nodes, sources, most_rounds, **how)
     far = state.select("block", F.col("node").alias("j"), F.posexplode("d").alias("slot", "d")).filter(F.col("d") < math.inf)
     return far.join(places.withColumnRenamed("node", "i"), ["block", "slot"]).select("i", "j", "d")
 
 
-def closeness(mat: DataFrame, nodes: DataFrame, block: int = 32, **how) -> DataFrame:
+def closeness(mat: DataFrame, nodes: DataFrame, **how) -> DataFrame:
     """(node, c): 1 / mean distance to all N nodes, itself (0) included, unreachable ones at distance N; of all nodes, or
     of ``sources``."""
     n = nodes.count()
-    places, state = distance_blocks(mat, nodes, block=block, **how)
+    places, state, block = distance_blocks(mat, nodes, **how)
     far = [F.get("d", F.lit(k)) for k in range(block)]
     sums = state.groupBy("block").agg(*[F.sum(F.when(x < math.inf, x).otherwise(0.0)).alias(f"s{k}") for k, x in enumerate(far)], *[F.count_if(x < math.inf).alias(f"n{k}") for k, x in enumerate(far)])
     of_slot = sums.select("block", F.posexplode(F.array(*[F.struct(F.col(f"s{k}").alias("s"), F.col(f"n{k}").alias("k")) for k in range(block)])).alias("slot", "x"))

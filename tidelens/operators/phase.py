@@ -115,20 +115,19 @@ def kde_weights(states: DataFrame, boxes: DataFrame, axes: list[str], bandwidth:
     cells = cells.select(*[f"c{k}" for k in range(d)], *[(F.col(f"z{k}") - (F.col(f"c{k}") + 0.5) * CELL).alias(f"o{k}") for k in range(d)])
     index = [i for i in np.ndindex(*[ORDER + 1] * d) if sum(i) <= ORDER]
     name = lambda i: "m_" + "_".join(map(str, i))
-    powers = cells.select(*[f"c{k}" for k in range(d)], *[F.pow(f"o{k}", F.lit(float(n))).alias(f"o{k}_{n}") for k in range(d) for n in range(ORDER + 1)])
-    moment = lambda i: F.sum(math.prod((F.col(f"o{k}_{n}") for k, n in enumerate(i)), start=F.lit(1.0))) / math.prod(map(math.factorial, i))
-    held = table = cut_lineage(powers.groupBy(*[f"c{k}" for k in range(d)]).agg(*[moment(i).alias(name(i)) for i in index]))
+    powers = cells.selectExpr(*[f"c{k}" for k in range(d)], *[f"power(o{k}, {n}D) AS o{k}_{n}" for k in range(d) for n in range(ORDER + 1)])
+    moment = lambda i: F.expr(f"sum({' * '.join(f'o{k}_{n}' for k, n in enumerate(i))}) / {math.prod(map(math.factorial, i))}D AS {name(i)}")
+    held = table = cut_lineage(powers.groupBy(*[f"c{k}" for k in range(d)]).agg(*[moment(i) for i in index]))
     grid = cut_lineage(whitened(boxes.select("box", *[F.col(a).cast("double").alias(a) for a in axes])))
     for k in range(d):
         places = grid.select(*[f"z{j}" for j in range(k + 1)]).distinct()
         near = places.withColumn(f"c{k}", F.explode(F.sequence(F.floor((F.col(f"z{k}") - REACH) / CELL), F.floor((F.col(f"z{k}") + REACH) / CELL))))
         met = held.join(near, [*[f"z{j}" for j in range(k)], f"c{k}"]).withColumn("u", F.col(f"z{k}") - (F.col(f"c{k}") + 0.5) * CELL)
-        hermite = [F.exp(-F.col("u") * F.col("u") / 2), F.col("u") * F.exp(-F.col("u") * F.col("u") / 2)]
-        met = met.withColumns({"h0": hermite[0], "h1": hermite[1]})
+        met = met.selectExpr("*", "exp(-u * u / 2) AS h0").selectExpr("*", "u * h0 AS h1")
         for n in range(1, ORDER):
-            met = met.withColumn(f"h{n + 1}", F.col("u") * F.col(f"h{n}") - n * F.col(f"h{n - 1}"))
+            met = met.selectExpr("*", f"u * h{n} - {n} * h{n - 1} AS h{n + 1}")
         rest = sorted({i[k + 1 :] for i in index})
-        sums = [F.sum(sum((F.col(name(i[k:])) * F.col(f"h{i[k]}") for i in index if i[k + 1 :] == r and not any(i[:k])), F.lit(0.0))).alias(name(r) if r else "p") for r in rest]
+        sums = [F.expr(f"sum({' + '.join(f'{name(i[k:])} * h{i[k]}' for i in index if i[k + 1 :] == r and not any(i[:k]))}) AS {name(r) if r else 'p'}") for r in rest]
         held = cut_lineage(met.groupBy(*[f"z{j}" for j in range(k + 1)], *[f"c{j}" for j in range(k + 1, d)]).agg(*sums), instead_of=table)
         table = held
     parts = grid.join(held, [f"z{j}" for j in range(d)], "left").select("box", F.coalesce("p", F.lit(0.0)).alias("p"))

@@ -449,6 +449,14 @@ def cusp_euler(spark, d):
     return rounded(dy.trajectories(starts(spark, d, [None], [1, 0.1]), "cusp", 0.05, 20, "euler"), "x")
 
 
+@query(SQL["cusp_euler"])
+def cusp_table_function(spark, d):
+    """The same by a table function, called in SQL for each customer."""
+    dy.register_table_functions(spark)
+    rows = spark.sql("SELECT s.id, r.t, r.x FROM {starts} s, LATERAL trajectory('cusp', s.state, s.params, 0.05D, 20, 'euler') r", starts=starts(spark, d, [None], [1, 0.1]))
+    return rounded(rows, "x")
+
+
 def rk4_sql(y: str, z: str, field: dict[str, str], dt: str = "0.01e0", steps: int = 100, sampling: int = 10) -> str:
     """Runge-Kutta steps of a field of x, y and z, in which the state's names stand in braces."""
     stage = lambda k, at: "SELECT *, " + ", ".join(f"{f.format(**at)} AS {k}_{c}" for c, f in field.items()) + " FROM"
