@@ -540,3 +540,22 @@ def test_unknown_suffixes_are_judged_by_lexical_features(spark):
     last = [got[k] for k in range(240, 300)]
     assert all(r.rule is None for r in last) and len({r.score for r in last}) > 1
     assert np.mean([r.verdict == ("allow" if k < 30 else "block") for k, r in enumerate(last)]) >= 0.9
+
+
+def test_null_ids_stay(spark):
+    """Rows without id are answered like others."""
+    texts = ["write to me@example.org today", "write to me@example.org today", None, "alpha beta gamma delta epsilon zeta"]
+    frame = spark.createDataFrame([(None if k < 3 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    weights = personal.fit(frame)
+    assert Counter((r.doc_id, len(r.base)) for r in personal.find(frame, weights).collect()) == Counter({(None, 1): 2, (None, 0): 1, (3, 0): 1})
+    model = language.ByteCnn(["en", "fr"], widths=(2,), filters=2, window=8)
+    assert Counter((r.doc_id, r.lang_pred == "und") for r in language.predict(frame, model).collect()) == Counter({(None, False): 2, (None, True): 1, (3, False): 1})
+    pieces = packing.pack_documents(frame, packing.tokenizer_path()).collect()
+    assert Counter(r.doc_id for r in pieces) == Counter({None: 3, 3: 1})
+    items = spark.createDataFrame([(1, texts[0])], "item_id long, text string")
+    assert {(r.doc_id, r.text) for r in decontaminate.clean(frame, items).collect()} == {(None, None), (3, texts[3])}
+    labels = spark.createDataFrame([(None, 1), (3, 0)], "doc_id long, toxic int")
+    scores = toxicity.score(frame, toxicity.fit(frame, labels)).collect()
+    assert Counter(r.doc_id for r in scores) == Counter({None: 3, 3: 1})
+    pages = spark.createDataFrame([(None, "http://a.com/x"), (None, "http://a.com/x"), (4, None)], "page_id long, url string")
+    assert Counter((r.page_id, r.rule) for r in urls.judge(pages).collect()) == Counter({(None, "com/"): 2, (4, None): 1})

@@ -8,7 +8,7 @@ item to any part of the text. Texts and items are compared in lower case with ru
 Items go to the tasks in blocks of at most ``block_chars`` characters, one pass over the texts for each block, so what
 is sent does not grow with the list of items.
 
-Defined cases: null or empty texts and items match nothing; items too short for an edit must occur exactly; repeated
+Defined cases: null or empty texts and items match nothing; documents without id are matched like others; items too short for an edit must occur exactly; repeated
 rows of documents are answered each, repeated items once for each item id; texts of any length are read whole; of
 equally near places the leftmost counts; empty tables give no rows; columns other than ids and texts are ignored by
 ``matches`` and kept by ``clean``.

@@ -9,7 +9,7 @@ The fit sees a bounded sample, ``per_language`` texts (those of least hash) of e
 ``windows_per_text`` windows of each; the bound is a parameter. Nothing but text and language of rows with
 crc32(id as text) mod 3 <> 1 and a language is learned from; prediction reads the text alone.
 
-Defined cases: null text or a text without letters (category L of Unicode) is ``und`` with score 0; empty tables give no rows; without any
+Defined cases: null text or a text without letters (category L of Unicode) is ``und`` with score 0; null ids stay null; empty tables give no rows; without any
 row to learn from every text is ``und``; repeated rows are answered each and learned from once (of rows that share id
 and language, the text that is first in order); ties go to the language first in order;
 texts of any length are read whole; other columns are ignored.

@@ -7,7 +7,7 @@ Only piece lengths are shuffled; pieces are written before, since a piece's grou
 padding is what best fit leaves open; a group holds about ``group_rows``
 documents, so a group never grows with the input and the loss at the ends of groups stays a fraction of a percent.
 
-Defined cases: null text counts as empty (one piece: the end id); repeated rows are packed as often as they occur;
+Defined cases: null text counts as empty (one piece: the end id); null ids stay null; repeated rows are packed as often as they occur;
 documents of any length are cut; columns other than the id and the text are ignored; an empty table gives no rows;
 equal lengths are taken in the order of (document id, start), equal windows by the lower number.
 """

@@ -7,7 +7,7 @@ whatever the size, are what is learned from: expectation-maximisation estimates
 posteriors train a logistic span classifier on votes and shape together. Candidates that it accepts become spans of
 the kinds ``contact`` (phone-like), ``number`` (long digit runs), ``secret`` (keys, tokens) or ``address``.
 
-Defined cases: null text counts as empty and yields no span; repeated rows are answered each; texts of any length are
+Defined cases: null text counts as empty and yields no span; null ids stay null; repeated rows are answered each; texts of any length are
 read whole, in time linear in their length; empty tables give no rows; spans are in code points, end exclusive;
 spans of one kind never overlap, at equal starts the longer candidate wins; columns other than id and text are
 ignored by ``find`` and kept by ``redact``.

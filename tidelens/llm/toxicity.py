@@ -14,7 +14,7 @@ Neighbours vote with weight 1 / (distance + 0.1), scaled to the true shares of t
 smoothed by the overall share and calibrated by a logistic fit on leave-one-out votes of the examples. A text that
 shares no word with an example has no neighbours and gets the calibrated overall share.
 
-Defined cases: null text counts as empty; repeated rows are scored each; a text with several labels counts by their
+Defined cases: null text counts as empty; rows without id are scored, but not learned from; repeated rows are scored each; a text with several labels counts by their
 majority (toxic on a tie), null labels do not count; without labelled rows the score is 0; texts of any length are
 read whole; empty tables give no rows; other columns are ignored by ``score`` and kept by ``keep_clean``.
 """

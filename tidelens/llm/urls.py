@@ -8,7 +8,7 @@ URLs; a labelled URL itself is left out of its own, so that they do not give its
 URL of the sample twice, with its statistics and as one whose suffixes nobody has seen, so that hosts under unknown suffixes
 are judged by the lexical features.
 
-Defined cases: null or without ``://`` means empty host and path; such URLs are judged by the trees like others; when
+Defined cases: null ids stay null; null or without ``://`` means empty host and path; such URLs are judged by the trees like others; when
 the labelled URLs show one verdict only, or none, the trees' verdict is that one, or ``allow``; repeated rows are
 judged each; very long URLs are read whole; an empty table gives no rows; other columns are ignored.
 """
