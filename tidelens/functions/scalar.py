@@ -43,12 +43,6 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def hashed_uniform(*parts: Column | str | int) -> Column:
-    """A number in [0, 1) fixed by ``parts``: the first 32 bits of an md5, equal wherever it is computed."""
-    text = F.concat_ws("|", *[as_col(p).cast("string") if isinstance(p, (Column, str)) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def block_length(a: Column | str, n: Column | str) -> Column:
     """Optimal block length of one series from its lag-1 autocorrelation (half away from zero, at least 1)."""
     a, n = as_col(a), as_col(n)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelens.functions.draws import uniforms
 from tidelens.functions.scalar import plog2p, plogp, ratio
 from tidelens.functions.storage import cut_lineage
 from tidelens.operators.matrix import product, scaled_by, stochastic, sums, transposed, vector_product
@@ -178,24 +178,24 @@ def pagerank(mat: DataFrame, nodes: DataFrame, damping: float | None = None, tol
     return p
 
 
-def shuffled_counts(counts: DataFrame, samples: int, seed: int = 0, chunk: int = 65_536) -> DataFrame:
+def shuffled_counts(counts: DataFrame, samples: int, seed: int = 0, chunk: int = 1 << 16) -> DataFrame:
     """(sample, i, j, n): each row of counts drawn anew with replacement from its own destinations, the total kept.
 
-    A row's destinations and cumulative counts are two arrays; a task looks its draws up in them, ``chunk`` draws at a
+    A row's destinations and cumulative counts are two arrays; a task looks its draws up in them, ``chunk`` (a power of two) draws at a
     time, so no row is made for a draw.
     """
-    from tidelens.operators.resample import uniform
-
     rows = counts.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", F.col("n").cast("long").alias("n")))).alias("c"), F.sum("n").cast("long").alias("total"))
     rows = rows.select("i", "total", F.transform("c", lambda x: x["j"]).alias("to"), F.transform("c", lambda x: x["n"]).alias("n"))
-    tasks = rows.filter("total > 0").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), "total", F.lit(chunk).cast("long"))))
+    tasks = rows.filter("total > 0").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(chunk).cast("long"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 i, sample, total, first = (batch.column(c)[r].as_py() for c in ("i", "sample", "total", "first"))
                 to, n = (batch.column(c)[r].values.to_numpy() for c in ("to", "n"))
-                at = np.array([math.floor(uniform(f"{seed}|{sample}|{i}|{k}") * total) for k in range(first, min(first + chunk, total + 1))], np.int64)
+                high, low = divmod(first, 1 << 32)
+                draws = np.arange(low, low + min(chunk, total - first))
+                at = np.floor(uniforms(f"{seed}|{i}|{high}", np.array([sample]), draws)[0] * total).astype(np.int64)
                 hit = np.bincount(np.searchsorted(np.cumsum(n), at, side="right"), minlength=len(to))
                 m = int((hit > 0).sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, sample)), pa.array(np.full(m, i)), pa.array(to[hit > 0]), pa.array(hit[hit > 0])], names=["sample", "i", "j", "n"])

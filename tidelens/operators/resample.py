@@ -1,6 +1,6 @@
 """Resampling inference: moving-block bootstrap and phase surrogates for statistics of pairs of series.
 
-Draws are hashes of (seed, sample, pair, block, side), so results do not depend on partitions and can be repeated. A
+Draws are mixed counters (sample, block) under a key of (seed, pair, side), so results do not depend on partitions and can be repeated. A
 series is one row with its values in an array; a pair is a row with both, repeated for each chunk of samples, so the
 work spreads over pairs and samples and no row is made for a resampled value. Pairs are formed between blocks of series
 by an equi-join on block numbers.
@@ -8,7 +8,6 @@ by an equi-join on block numbers.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable, Iterator
 from statistics import NormalDist
@@ -19,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelens.functions.draws import uniforms
 from tidelens.functions.scalar import block_length, pair_block_length
 from tidelens.operators.timeseries import lag_autocorrelation
 
@@ -95,16 +95,11 @@ def lagged(lag: int) -> Statistic:
     return lambda x, y: correlations(x[:, max(0, -lag) : x.shape[1] - max(0, lag)], y[:, max(0, lag) : y.shape[1] - max(0, -lag)])
 
 
-def uniform(text: str) -> float:
-    """In [0, 1): what ``hashed_uniform`` gives for this text."""
-    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 4294967296.0
-
-
 def drawn(n: int, length: int, i: int, j: int, samples: range, seed: int, paired: bool) -> tuple[np.ndarray, np.ndarray]:
     """Positions (samples, n) of both sides: blocks that start in 0..n-length-1, laid end to end, the last one cut at n."""
     sides = []
     for side in "x" if paired else "xy":
-        starts = np.array([[math.floor(uniform(f"{seed}|{i}|{j}|{sample}|{block}|{side}") * (n - length)) for block in range(-(-n // length))] for sample in samples], np.int64)
+        starts = np.floor(uniforms(f"{seed}|{i}|{j}|{side}", np.arange(samples.start, samples.stop), np.arange(-(-n // length))) * (n - length)).astype(np.int64)
         sides.append((starts[:, :, None] + np.arange(length)).reshape(len(samples), -1)[:, :n])
     return sides[0], sides[-1]
 

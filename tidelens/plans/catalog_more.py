@@ -9,6 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidelens.functions.draws import uniforms_sql
 from tidelens.functions.storage import checkpoint_dir
 from tidelens.operators import calendar as cal
 from tidelens.operators import dynamics as dy
@@ -117,7 +118,7 @@ def block_length(spark, d):
 
 
 SAMPLES, LENGTH, SEED = 40, 10, 7
-U = f"('0x' || substr(md5(concat_ws('|', '{SEED}', i, j, sample, block, {{0}})), 1, 8))::BIGINT / 4294967296e0"
+U = uniforms_sql(f"concat_ws('|', '{SEED}', i, j, {{0}})", "sample", "block")
 
 
 F2C = "f2c AS (SELECT grid2.t, grid2.node, coalesce(n, 0)::DOUBLE AS value FROM grid2 LEFT JOIN (SELECT (date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) // 3600)::BIGINT AS t, " + fx.CODE + " AS node, count(*) AS n FROM events GROUP BY 1, 2) USING (t, node))"
@@ -204,7 +205,10 @@ def pair_max_from_uni(spark, d):
     return rounded(rs.pair_from_nodes(lag_autocorrelation(fx.field(spark, d)).withColumnRenamed("a", "v")), "v")
 
 
-@query(sql("f1", "SELECT sample, i, j, count(*) AS n FROM (SELECT *, floor(('0x' || substr(md5(concat_ws('|', '7', sample, i, draw)), 1, 8))::BIGINT / 4294967296e0 * total)::BIGINT AS place FROM dr) dd JOIN cu USING (i) WHERE place >= lo AND place < hi GROUP BY 1, 2, 3", "c AS (SELECT i, j, count(*) AS n FROM (SELECT mem AS i, lead(mem) OVER (PARTITION BY series ORDER BY t) AS j FROM f1) WHERE j IS NOT NULL GROUP BY 1, 2), cu AS (SELECT i, j, sum(n) OVER (PARTITION BY i ORDER BY j) AS hi, sum(n) OVER (PARTITION BY i ORDER BY j) - n AS lo FROM c), tt AS (SELECT i, sum(n)::BIGINT AS total FROM c GROUP BY 1), dr AS MATERIALIZED (SELECT i, total, sample, unnest(generate_series(1, total)) AS draw FROM tt, (SELECT unnest(generate_series(0, 2)) AS sample))"))
+ROW_U = uniforms_sql("concat_ws('|', '7', i, draw >> 32)", "sample", "draw & 4294967295")
+
+
+@query(sql("f1", f"SELECT sample, i, j, count(*) AS n FROM (SELECT *, floor({ROW_U} * total)::BIGINT AS place FROM dr) dd JOIN cu USING (i) WHERE place >= lo AND place < hi GROUP BY 1, 2, 3", "c AS (SELECT i, j, count(*) AS n FROM (SELECT mem AS i, lead(mem) OVER (PARTITION BY series ORDER BY t) AS j FROM f1) WHERE j IS NOT NULL GROUP BY 1, 2), cu AS (SELECT i, j, sum(n) OVER (PARTITION BY i ORDER BY j) AS hi, sum(n) OVER (PARTITION BY i ORDER BY j) - n AS lo FROM c), tt AS (SELECT i, sum(n)::BIGINT AS total FROM c GROUP BY 1), dr AS MATERIALIZED (SELECT i, total, sample, unnest(generate_series(0, total - 1)) AS draw FROM tt, (SELECT unnest(generate_series(0, 2)) AS sample))"))
 def surrogate_row_counts(spark, d):
     return mk.shuffled_counts(mk.transition_counts(fx.series(spark, d)), 3, SEED)
 
