@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidelens.functions.draws import uniforms
 from tidelens.functions.scalar import block_length, pair_block_length
+from tidelens.operators.spectral import sinusoid_fits
 from tidelens.operators.timeseries import lag_autocorrelation
 
 Statistic = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -332,12 +333,35 @@ def phase_surrogate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.fft.irfft(spectrum * np.exp(2j * np.pi * rng.random(len(spectrum))), n)[: len(x)]
 
 
-def phase_p_values(field: DataFrame, samples: int, seed: int = 0, most_values: int = 2_000_000) -> DataFrame:
-    """(i, j, p): share of phase surrogates whose |correlation| exceeds the pair's. Gaps are an error: time must be regular.
-    A pair is a row of two arrays; its surrogates are transformed many at once."""
+def phase_surrogates(times: np.ndarray, x: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """Surrogates of ``x`` (of mean 0) at its own ``times``, a row for each row of ``turns`` (shares of a full turn of phase).
+
+    Evenly spaced values are transformed, padded to a power of two. Others are a sum of sinusoids with the amplitudes that
+    fit x at the frequencies of as many even values, in a series' own variance; waves are summed in parts.
+    """
+    if len(np.unique(np.diff(times))) <= 1:
+        size = spectrum_size(len(x))
+        return np.fft.irfft(np.fft.rfft(x, size) * np.exp(2j * np.pi * turns[:, : size // 2 + 1]), size, axis=1)[:, : len(x)]
+    t = times - times[0]
+    omega = 2 * np.pi * np.arange(1, len(x) // 2 + 1) * (len(x) - 1) / (len(x) * float(t[-1]))
+    a, b, _ = sinusoid_fits(t, x, omega)
+    size, angle, out = np.hypot(a, b), 2 * np.pi * turns[:, : len(omega)], np.zeros((len(turns), len(x)))
+    for first in range(0, len(omega), 512):
+        part = slice(first, first + 512)
+        wave = omega[part, None] * t
+        out += (size[part] * np.cos(angle[:, part])) @ np.cos(wave) - (size[part] * np.sin(angle[:, part])) @ np.sin(wave)
+    out -= out.mean(axis=1, keepdims=True)
+    spread = out.std(axis=1, keepdims=True)
+    return np.divide(out, spread, out=np.zeros_like(out), where=spread > 0) * x.std()
+
+
+def spectrum_size(n: int) -> int:
+    return 1 << (n - 1).bit_length() if n > 1 else 1
 
-    def surrogates(x: np.ndarray, turns: np.ndarray, size: int) -> np.ndarray:
-        return np.fft.irfft(np.fft.rfft(x, size) * np.exp(2j * np.pi * turns), size, axis=1)[:, : len(x)]
+
+def phase_p_values(field: DataFrame, samples: int, seed: int = 0, most_values: int = 2_000_000) -> DataFrame:
+    """(i, j, p): share of phase surrogates whose |correlation| exceeds the pair's, at the pair's common times, evenly spaced
+    or not. A pair is a row of two arrays; its surrogates are made many at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,18 +369,16 @@ def phase_p_values(field: DataFrame, samples: int, seed: int = 0, most_values: i
             for r in range(batch.num_rows):
                 i, j = batch.column("i")[r].as_py(), batch.column("j")[r].as_py()
                 tx, ty = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("tx", "ty"))
-                times = np.intersect1d(tx, ty)
-                if len(np.unique(np.diff(times))) > 1:
-                    raise ValueError("phase surrogates need regular sampling")
-                x, y = (v - v.mean() for v in common(batch, r)) if len(times) else (np.zeros(0), np.zeros(0))
-                if not len(x):
+                times = np.intersect1d(tx, ty).astype(float)
+                if not len(times):
                     continue
-                size, rng, beyond = 1 << (len(x) - 1).bit_length() if len(x) > 1 else 1, np.random.default_rng([seed, i, j]), 0
+                x, y = (v - v.mean() for v in common(batch, r))
+                size, rng, beyond = spectrum_size(len(x)), np.random.default_rng([seed, i, j]), 0
                 own = abs(np.nan_to_num(correlations(x[None], y[None])[0]))
                 step = max(1, most_values // size)
                 for a in range(0, samples, step):
                     turns = rng.random((min(step, samples - a), 2, size // 2 + 1))
-                    beyond += int((np.abs(np.nan_to_num(correlations(surrogates(x, turns[:, 0], size), surrogates(y, turns[:, 1], size)))) > own).sum())
+                    beyond += int((np.abs(np.nan_to_num(correlations(phase_surrogates(times, x, turns[:, 0]), phase_surrogates(times, y, turns[:, 1])))) > own).sum())
                 out.append((i, j, beyond / samples))
             i, j, p = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(p, pa.float64())], names=["i", "j", "p"])

@@ -91,6 +91,58 @@ def inverse_fourier(lines: DataFrame, length: int | None = None) -> DataFrame:
     return series_kernel(series, ["re", "im"], lambda re, im: [np.fft.ifft(re + 1j * im).real[:length]], ["t", "value"])
 
 
+def sinusoid_fits(t: np.ndarray, y: np.ndarray, omega: np.ndarray, most_values: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, share) by angular frequency: a cos(omega t) + b sin(omega t) fits y best, and takes ``share`` of its squares.
+
+    Times are shifted so that sine and cosine are orthogonal over them (as in the Lomb-Scargle periodogram); a wave that
+    vanishes at all times counts as 0. Frequencies are taken in parts of bounded size.
+    """
+    step, parts = max(1, most_values // max(1, len(t))), []
+    total = float(y @ y)
+    for first in range(0, len(omega), step):
+        w = omega[first : first + step, None]
+        turn = np.arctan2(np.sin(2 * w * t).sum(axis=1), np.cos(2 * w * t).sum(axis=1)) / 2
+        angle = w * t - turn[:, None]
+        c, s = np.cos(angle), np.sin(angle)
+        cc, ss, least = (c * c).sum(axis=1), (s * s).sum(axis=1), 1e-9 * len(t)
+        yc, ys = c @ y, s @ y
+        p, q = np.divide(yc, cc, out=np.zeros(len(w)), where=cc > least), np.divide(ys, ss, out=np.zeros(len(w)), where=ss > least)
+        share = (p * yc + q * ys) / total if total else np.full(len(w), np.nan)
+        parts.append((p * np.cos(turn) - q * np.sin(turn), p * np.sin(turn) + q * np.cos(turn), share))
+    a, b, share = zip(*parts, strict=True) if parts else ([np.zeros(0)],) * 3
+    return np.concatenate(a), np.concatenate(b), np.concatenate(share)
+
+
+def lomb_scargle(field: DataFrame, oversample: float = 4.0, highest: float = 1.0, rate: float = 1.0, chunk: int = 256) -> DataFrame:
+    """(node, k, freq, power, false_alarm): the spectrum of series that are sampled at any times, gaps included.
+
+    Frequencies are k rate / (oversample span) for k = 1, 2, ... up to ``highest`` times what the same number of evenly
+    spaced values would resolve. The power of a sinusoid is in units of the series' variance; ``false_alarm`` is the
+    probability that noise has as much somewhere among the independent frequencies. Series of fewer than 3 values or
+    a single time give nothing, constant ones null. A task takes ``chunk`` frequencies of a series.
+    """
+    rows = field.filter("value is not null").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("t", F.col("value").cast("double").alias("value")))).alias("x"))
+    n = F.size("x")
+    span = (F.get("x", n - 1)["t"] - F.get("x", F.lit(0))["t"]).cast("double")
+    rows = rows.withColumn("span", span).withColumn("most", F.floor(n * (0.5 * oversample * highest)).cast("long")).filter((n > 2) & (F.col("span") > 0) & (F.col("most") > 0))
+    rows = rows.withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), "most", F.lit(chunk).cast("long"))))
+    rows = rows.select("node", "span", "most", "first", F.transform("x", lambda v: v["t"].cast("double")).alias("t"), F.transform("x", lambda v: v["value"]).alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                node, span, most, first = (batch.column(c)[r].as_py() for c in ("node", "span", "most", "first"))
+                t, y = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("t", "y"))
+                k = np.arange(first, min(first + chunk, most + 1))
+                freq = k / (oversample * span)
+                power = sinusoid_fits(t - t[0], y - y.mean(), 2 * np.pi * freq)[2] * (len(y) - 1) / 2
+                with np.errstate(divide="ignore"):  # no power: certain
+                    alarm = -np.expm1(2 * most / oversample * np.log1p(-np.exp(-power)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), node)), pa.array(k), pa.array(freq * rate), pa.array(power, from_pandas=True), pa.array(alarm, from_pandas=True)], names=["node", "k", "freq", "power", "false_alarm"])
+
+    return rows.mapInArrow(run, "node long, k long, freq double, power double, false_alarm double")
+
+
 def spectrum_band(perio: DataFrame) -> DataFrame:
     """What a plot of the spectrum shows: power and a band of half an ``rms`` to either side."""
     return perio.withColumn("lo", F.col("power") - F.col("rms") / 2).withColumn("hi", F.col("power") + F.col("rms") / 2)

@@ -228,6 +228,24 @@ def phase_surrogate_pvalue(spark, d):
     return rs.phase_p_values(fx.field(spark, d), 50, SEED)
 
 
+@query(None)
+def phase_surrogate_irregular(spark, d):
+    """Phase surrogates of series with gaps; at the common times of each pair."""
+    return rs.phase_p_values(fx.field(spark, d, missing=None), 50, SEED)
+
+
+@query(sql("f2", "SELECT x.node AS i, y.node AS j, round(4 * greatest(CASE WHEN x.a > 0 AND x.a < 1 THEN -1e0 / ln(x.a) END, CASE WHEN y.a > 0 AND y.a < 1 THEN -1e0 / ln(y.a) END), 6) AS l FROM a x JOIN a y ON x.node < y.node", AUTO))
+def block_length_persistence(spark, d):
+    """Block lengths of pairs by the longer persistence time."""
+    from tidelens.functions.scalar import mudelsee_length
+    from tidelens.operators.timeseries import lag_autocorrelation
+
+    both = rs.pair_arrays(fx.field(spark, d), lag1=False).select("i", "j")
+    a = lag_autocorrelation(fx.field(spark, d))
+    both = both.join(a.select(F.col("node").alias("i"), F.col("a").alias("ax")), "i").join(a.select(F.col("node").alias("j"), F.col("a").alias("ay")), "j")
+    return rounded(both.select("i", "j", mudelsee_length("ax", "ay").alias("l")), "l", digits=6)
+
+
 CCF_BAND = sql(
     "f2", "SELECT lag, c, round(quantile_cont(s, 0.025e0), 9) AS lo, round(quantile_cont(s, 0.975e0), 9) AS hi FROM cc JOIN nl USING (lag) GROUP BY 1, 2",
     "n AS (SELECT count(DISTINCT t) AS n FROM f2), v AS (SELECT row_number() OVER (ORDER BY t) - 1 AS k, a.value AS x, b.value AS y FROM f2 a JOIN f2 b USING (t) WHERE a.node = 0 AND b.node = 4), "
@@ -258,6 +276,16 @@ def periodogram_whole_hann(spark, d):
     return rounded(sp.periodogram(fx.field(spark, d), window="hann"), "power").drop("rms", "std")
 
 
+@query(sql(
+    "f2n", "SELECT node, k, freq, round(p, 6) AS power, round(1 - (1 - exp(-p)) ** m, 6) AS false_alarm FROM (SELECT node, k, freq, m, ((sum(y * cos(w * u - a)) ** 2) / sum(cos(w * u - a) ** 2) + (sum(y * sin(w * u - a)) ** 2) / sum(sin(w * u - a) ** 2)) / (2 * v) AS p FROM wa GROUP BY node, k, freq, m, v)",
+    "y AS (SELECT node, t, value - avg(value) OVER w AS y, (t - min(t) OVER w)::DOUBLE AS u, count(*) OVER w AS n, (max(t) OVER w - min(t) OVER w)::DOUBLE AS span, var_samp(value) OVER w AS v FROM f2n WHERE value IS NOT NULL WINDOW w AS (PARTITION BY node)), "
+    "ky AS (SELECT *, k / (2 * span) AS freq, 2 * pi() * k / (2 * span) AS w, floor(n * 0.8e0) AS m FROM y, (SELECT unnest(generate_series(1, (SELECT max(n) FROM y))) AS k) WHERE k <= floor(n * 0.8e0)), "
+    "ta AS (SELECT node, k, atan2(sum(sin(2 * w * u)), sum(cos(2 * w * u))) / 2 AS a FROM ky GROUP BY 1, 2), wa AS (SELECT * FROM ky JOIN ta USING (node, k))",
+))
+def lomb_scargle(spark, d):
+    return rounded(sp.lomb_scargle(fx.field(spark, d, missing=None), oversample=2.0, highest=0.8), "power", "false_alarm", digits=6)
+
+
 @query(sql("f2", "SELECT t, node, round(value, 6) AS value FROM f2"))
 def fourier_roundtrip(spark, d):
     f = fx.field(spark, d)
@@ -366,6 +394,36 @@ def edgelist_roundtrip(spark, d):
     return tx.read_edges(spark, path)
 
 
+@query(sql("f3", "SELECT i, j, w FROM f3"))
+def pajek_edges_only(spark, d):
+    """Written and read without vertex lines, from 0."""
+    tx.write_pajek(fx.network(spark, d), 25, path := place(spark, "pajek"), base=0, vertices=False)
+    return tx.read_pajek(spark, path, base=0)
+
+
+@query("WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), c AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier) SELECT i::BIGINT AS i, j::BIGINT AS j, round(lo + j * (hi - lo) / n, 6) AS w FROM (SELECT 0 AS i, 8 AS n, lo, hi FROM b UNION ALL SELECT 1, 4, lo, hi FROM c), (SELECT unnest(generate_series(0, 8)) AS j) WHERE j <= n")
+def grid_bounds_file(spark, d):
+    """Bounds of a rectangular grid over two columns, written a line a dimension and read back."""
+    b, c = (fx.read(spark, d, name).agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first() for name, col in (("orders", "o_totalprice"), ("supplier", "s_acctbal")))
+    tx.write_grid(spark, ph.uniform_bounds({"price": (float(b.lo), float(b.hi), 8), "balance": (float(c.lo), float(c.hi), 4)}), path := place(spark, "grid"))
+    return rounded(tx.read_dense(spark, path), "w", digits=6)
+
+
+@query(sql("f3t", "SELECT i, string_agg(coalesce(format('{:,.3f}', w::DOUBLE), '---'), chr(9) ORDER BY j) AS line FROM (SELECT DISTINCT i, n_nationkey::BIGINT AS j FROM f3t, nation) LEFT JOIN f3t USING (i, j) GROUP BY 1"))
+def sparse_rows_text(spark, d):
+    """Rows of a sparse matrix as text, absent cells marked."""
+    return tx.pretty(fx.sparse_network(spark, d), list(range(25)))
+
+
+@query("SELECT o_orderkey, (row_number() OVER w - 1)::BIGINT AS place, round(coalesce(sum(o_totalprice) OVER (ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0), 2) AS before FROM orders WINDOW w AS (ORDER BY o_totalprice, o_orderkey)")
+def places_in_order(spark, d):
+    """Each order's place by price, and the sum of the prices before it."""
+    from tidelens.functions.ordering import placed
+
+    rows = fx.read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
+    return rounded(placed(rows, "price", "o_orderkey", sums={"before": "price"}).select("o_orderkey", "place", "before"), "before", digits=2)
+
+
 @query(sql("f3", "SELECT count(*) AS n FROM f3"))
 def line_count(spark, d):
     tx.write_edges(fx.network(spark, d), path := place(spark, "edges"))
