@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable
 
@@ -412,28 +413,65 @@ def closeness(mat: DataFrame, nodes: DataFrame, **how) -> DataFrame:
     return places.join(of_slot, ["block", "slot"]).select("node", ratio(F.lit(float(n)), F.col("x.s") + (n - F.col("x.k")) * n).alias("c"))
 
 
+def core_numbers(links: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(node, core): the greatest k for which a node lies in a subgraph of inner degrees of k or more. ``links`` has (i, j),
+    each both ways once. From the degree on, a node's number is the greatest h with h neighbours of h or more, until
+    nothing changes; neighbours are counted by their number before they meet, so no node's neighbours are in one place."""
+    got = table = cut_lineage(links.groupBy(F.col("i").alias("node")).agg(F.count("*").alias("core")))
+    for _ in range(most_rounds):
+        counted = links.join(got.select(F.col("node").alias("j"), F.col("core").alias("h")), "j").groupBy("i", "h").agg(F.count("*").alias("n"))
+        above = F.sum("n").over(Window.partitionBy("i").orderBy(F.desc("h")))
+        index = counted.withColumn("x", F.least("h", above)).groupBy(F.col("i").alias("node")).agg(F.max("x").alias("new"))
+        new = cut_lineage(got.select("node", "core").join(index, "node").select("node", F.col("new").alias("core"), (F.col("new") < F.col("core")).alias("moved")), instead_of=table)
+        got = table = new
+        if new.filter("moved").isEmpty():
+            return new.select("node", "core")
+    raise RuntimeError(f"core numbers did not settle in {most_rounds} rounds")
+
+
 def peeled(mat: DataFrame, members: DataFrame, least_density: float) -> DataFrame:
     """(node, com): in each community, the node of least inner degree is dropped while that is below
-    least_density (size - 1); ties go to the smaller id. Sequential within a community, so a community is one task."""
+    least_density (size - 1); ties go to the smaller id.
+
+    Whatever the ties, dropping so passes through every k-core. As long as k is below least_density times the size of the
+    next core, the end can't fall between the two, so such shells are dropped at once, by core numbers. Of what remains,
+    communities that are dense enough are done; only in the others is a last core peeled node by node, a core a task.
+    """
+    members = members.select("node", "com").distinct()
     ci, cj = members.select(F.col("node").alias("i"), "com"), members.select(F.col("node").alias("j"), F.col("com").alias("cj"))
     inner = mat.filter("i <> j").join(ci, "i").join(cj, "j").filter("com = cj").select("com", "i", "j")
-    rows = inner.unionByName(members.select("com", F.col("node").alias("i"), F.lit(None).cast("long").alias("j")))
+    links = cut_lineage(inner.unionByName(inner.select("com", F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
+    cores = cut_lineage(members.join(core_numbers(links.select("i", "j")), "node", "left").select("com", "node", F.coalesce("core", F.lit(0)).cast("long").alias("core")))
+    shells = cores.groupBy("com", "core").agg(F.count("*").alias("n"))
+    down = Window.partitionBy("com").orderBy(F.desc("core"))
+    sizes = shells.withColumn("size", F.sum("n").over(down)).withColumn("next", F.coalesce(F.lag("size").over(down), F.lit(0)))
+    last = sizes.filter(F.col("core") >= F.lit(float(least_density)) * F.col("next")).groupBy("com").agg(F.min("core").alias("last"), F.max("size").alias("size"))
+    done = F.col("last") >= F.lit(float(least_density)) * (F.col("size") - 1)
+    left = cut_lineage(cores.join(last.withColumn("done", done), "com").filter("core >= last").select("com", "node", "done"))
+    open_nodes = left.filter("not done").select("com", F.col("node").alias("i"))
+    ends = links.join(open_nodes, ["com", "i"], "left_semi").join(open_nodes.withColumnRenamed("i", "j"), ["com", "j"], "left_semi").filter("i < j")
+    rows = ends.select("com", "i", "j").unionByName(open_nodes.withColumn("j", F.lit(None).cast("long")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         com = pdf["com"].iloc[0]
         near: dict[int, set[int]] = {int(x): set() for x in pdf["i"]}
-        for a, b in pdf[pdf["j"].notna()][["i", "j"]].drop_duplicates().itertuples(index=False):
+        for a, b in pdf[pdf["j"].notna()][["i", "j"]].itertuples(index=False):
             near[int(a)].add(int(b))
             near[int(b)].add(int(a))
+        queue = [(len(n), v) for v, n in near.items()]
+        heapq.heapify(queue)
         while near:
-            node = min(near, key=lambda v: (len(near[v]), v))
-            if len(near[node]) >= least_density * (len(near) - 1):
+            degree, node = heapq.heappop(queue)
+            if node not in near or degree != len(near[node]):
+                continue  # an entry of before its neighbour went
+            if degree >= least_density * (len(near) - 1):
                 break
             for v in near.pop(node):
                 near[v].discard(node)
+                heapq.heappush(queue, (len(near[v]), v))
         return pd.DataFrame({"node": sorted(near), "com": com})
 
-    return rows.groupBy("com").applyInPandas(run, "node long, com long")
+    return left.filter("done").select("node", "com").unionByName(rows.groupBy("com").applyInPandas(run, "node long, com long"))
 
 
 def community_peel_filter(mat: DataFrame, members: DataFrame, least_density: float, least_size: int) -> DataFrame:
