@@ -114,6 +114,27 @@ def test_codes_choose_what_is_reranked(spark):
     assert len(got) == 100 and all(len(v) == 20 for v in got.values()) and found / 2000 >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["prime dimension", "many dimensions", "few long vectors", "one tight group"])
+def test_neighbours_of_other_rows(spark, kind):
+    """Recall holds where the dimension has no divisor, where it is large, where the sample has few of the vectors that are
+    nearest to all, and where one group has more rows than are reranked at first."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, {"prime dimension": 37, "many dimensions": 256}.get(kind, 24)))
+    if kind == "few long vectors":
+        x[rng.choice(3000, 30, replace=False)] *= 50
+    if kind == "one tight group":
+        x[:1000] = x[0] + 1e-5 * x[:1000]
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got, found = {}, 0
+    for r in neighbours.search(df, F.col("vec_id") % 60 == 0, k=20, train_rows=1000).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q, ids in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len(set(ids) & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert len(got) == 50 and all(len(v) == 20 for v in got.values()) and found / 1000 >= 0.95
+
+
 def test_neighbours_recall(spark, tables):
     got = neighbours.op2_neighbours(spark, tables).toPandas()
     e = table(spark, tables, "embeddings").toPandas().sort_values("vec_id")
