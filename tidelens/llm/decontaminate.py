@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 MATCH = "doc_id long, item_id long, distance int, start long, end long"
 
@@ -163,7 +163,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, blo
                 cols = list(zip(*got, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(cols)], names=["doc_id", "item_id", "distance", "start", "end"])
 
-        own = rows.mapInArrow(run, MATCH)
+        own = rows.mapInArrow(lean(run), MATCH)
         out = own if out is None else out.unionByName(own)
     return out if out is not None else rows.sparkSession.createDataFrame([], MATCH)
 
@@ -181,7 +181,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, block
                     keep += [not matcher(text, first_only=True) for text in batch.column(at).slice(a, 512).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidelens.functions import storage
 
-from .common import materialise, slices, table, text_bytes
+from .common import lean, materialise, slices, table, text_bytes
 from .components import components
 from .shingles import Shingler, mixed
 
@@ -85,7 +85,7 @@ def row_name(id_col: str, text_col: str) -> F.Column:
 def sets(batch: pa.RecordBatch, shingler: Shingler) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(row offset, shingle sets) of slices of bounded bytes of a batch (row, text, ...)."""
     data, starts, ends = text_bytes(batch.column(1))
-    for a, b in slices(starts, ends, 1 << 20):
+    for a, b in slices(starts, ends, 1 << 18):
         yield a, shingler(data, starts[a:b], ends[a:b])
 
 
@@ -113,13 +113,13 @@ def measured(docs: DataFrame, how: Settings) -> DataFrame:
     names = ["doc_id", "row", "n", "id", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(how.words), np.zeros(1 << how.buckets_log2, np.int64)
+        shingler, counts = Shingler(how.words), np.zeros(1 << how.buckets_log2, np.uint8)
         waiting: list[np.ndarray] = []
 
         def count() -> None:
-            nonlocal counts
             if waiting:
-                counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
+                at, more = np.unique(np.concatenate(waiting), return_counts=True)
+                counts[at] = np.minimum(counts[at] + more, 255)
                 waiting.clear()
 
         for batch in batches:
@@ -128,16 +128,16 @@ def measured(docs: DataFrame, how: Settings) -> DataFrame:
                 n += [len(s) for s in own]
                 own_names += [class_name(s) for s in own]
                 waiting += [(s >> shift).astype(np.uint32) for s in own]
-                if sum(map(len, waiting)) > 2_000_000:
+                if sum(map(len, waiting)) > 500_000:
                     count()
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(n, pa.int64()), pa.array(own_names, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         count()
         if counts.any():
-            packed = [packed_counts(c) for c in np.split(np.minimum(counts, 255).astype(np.uint8), PARTS)]
+            packed = [packed_counts(c) for c in np.split(counts, PARTS)]
             none = pa.nulls(PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, row long, n long, id long, part int, counts binary")
+    return docs.mapInArrow(lean(run), "doc_id long, row long, n long, id long, part int, counts binary")
 
 
 def frequency_ranks(rows: DataFrame, how: Settings) -> np.ndarray:
@@ -154,7 +154,7 @@ def frequency_ranks(rows: DataFrame, how: Settings) -> np.ndarray:
                 add_counts(total[part], batch.column(1)[k].as_py())
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["part", "counts"])
 
-    got = rows.filter("part is not null").select("part", "counts").repartition("part").mapInArrow(run, "part int, counts binary").collect()
+    got = rows.filter("part is not null").select("part", "counts").repartition("part").mapInArrow(lean(run), "part int, counts binary").collect()
     counts = np.concatenate([np.frombuffer(bytes(r.counts), np.uint32) for r in sorted(got, key=lambda r: r.part)]) if got else np.zeros(1 << how.buckets_log2, np.uint32)
     ratio = counts / np.float32(max(1.0, float(counts.mean())))
     return np.minimum(255, np.where(ratio < 2, 64 * ratio, 128 + 16 * np.log2(np.maximum(ratio, 2) / 2))).astype(np.uint8)
@@ -185,7 +185,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, how: Settings) -> DataFrame:
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(tokens))), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "id", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, id long, n long, pos long")
+    return docs.mapInArrow(lean(run), "token long, id long, n long, pos long")
 
 
 def possible(token: np.ndarray, n: np.ndarray, pos: np.ndarray, how: Settings) -> np.ndarray:
@@ -256,7 +256,7 @@ def shared_cells(tokens: DataFrame, how: Settings) -> DataFrame:
                 held = [h[-1:] for h in held]
         yield from emit(*held)
 
-    return tokens.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(run, "cell long, id long, sig long")
+    return tokens.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(lean(run), "cell long, id long, sig long")
 
 
 def count_vector(s: np.ndarray, how: Settings) -> bytes:
@@ -314,7 +314,7 @@ def described(docs: DataFrame, needed: DataFrame, how: Settings, name: str, of_s
                         got[own_name] = s
                 yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([len(s) for s in got.values()], pa.int64()), pa.array([of_set(s) for s in got.values()], pa.binary())], names=["id", "n", name])
 
-    return rows.mapInArrow(run, f"id long, n long, {name} binary")
+    return rows.mapInArrow(lean(run), f"id long, n long, {name} binary")
 
 
 def slot_of(rows: np.ndarray, bits_log2: int) -> np.ndarray:
@@ -488,7 +488,7 @@ def cell_pairs(cell_points: DataFrame, large: DataFrame | None, how: Settings, s
         yield out()
 
     keys = ["cell", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, all_points: DataFrame, how: Settings) -> DataFrame:
@@ -515,7 +515,7 @@ def verified(pairs: DataFrame, all_points: DataFrame, how: Settings) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     both = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return both.select("a", "b", "hashes").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "hashes").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def linked_classes(rows: DataFrame, how: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import lean, materialise, table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -106,7 +106,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, groups: int, window: int = 10
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket"])
                     rows = []
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 # Fixed patterns of the base kinds, in the order in which kinds are listed.
 LOCAL = r"[A-Za-z0-9._%+-]"
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                         counts.update(p for _, p in finder.candidates(text, finder.base(text)))
         yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in counts], pa.list_(pa.int64())), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
 
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "pattern array<long>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    got = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "pattern array<long>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     return train({tuple(r.pattern): r.n for r in got})
 
 
@@ -251,7 +251,7 @@ def find(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5, id_col: s
                     added.append([{"kind": k, "start": s, "end": e, "score": p} for (k, s, e), p in (accepted(finder, text, own, weights, known, threshold) if text else ())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, base_type), pa.array(added, added_type)], names=["doc_id", "base", "added"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SPANS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), SPANS)
 
 
 def redact(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -286,7 +286,7 @@ def redact(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5, text_co
                 columns[size_at] = pa.array(sizes, columns[size_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def listed(spans: list[str] | tuple[str, ...] = BASE_KINDS + ADDED_KINDS) -> dict[str, int]:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidelens.functions import storage
 
-from .common import bounded_sample, materialise, table
+from .common import bounded_sample, lean, materialise, table
 from .neighbours import kmeans
 from .ngram_join import told_apart
 
@@ -284,7 +284,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", most: int = 10
                     yield out()
         yield out()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = 3000, least_chi_square: float = 25.0, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
@@ -306,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_cla
             counts = [pa.array([list(tf) for tf in tfs], pa.list_(pa.string())), pa.array([list(tf.values()) for tf in tfs], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *counts], names=["id", "key", "label", "words", "tfs"])
 
-    counts = materialise(examples.mapInArrow(words, "id long, key string, label int, words array<string>, tfs array<long>"), "toxicity-words")
+    counts = materialise(examples.mapInArrow(lean(words), "id long, key string, label int, words array<string>, tfs array<long>"), "toxicity-words")
     frequencies = materialise(document_frequencies(docs, text_col), "toxicity-df")
     vocabulary = counts.select(F.explode("words").alias("word")).distinct().join(frequencies, "word").toArrow().sort_by("word")
     documents = frequencies.filter("word = ''").agg(F.sum("df")).first()[0] or 0
@@ -357,7 +357,7 @@ def nearest_examples(docs: DataFrame, shared: Broadcast, k: int, id_col: str = "
                 words = listed([len(x) for x in rest], [pa.array(list(chain.from_iterable(rest)), pa.string()), pa.array(list(chain.from_iterable(tfs)), pa.int64())], ["word", "tf"])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(norms, pa.float64()), near, words], names=["doc_id", "text_key", "known", "neighbours", "rest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, NEAR)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(lean(run), NEAR)
 
 
 def judged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
