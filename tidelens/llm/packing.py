@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, table
+from .common import give_back, lean, materialise, table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -44,7 +44,7 @@ class Ids(dict):
     one after the other. The vocabulary of the tokenizer file gives the ranks of the merges.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 400_000, added_tokens: bool = False):
+    def __init__(self, tokenizer_path: str, most: int = 100_000, added_tokens: bool = False):
         import regex
         import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
@@ -90,6 +90,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, groups: int, window: int = 10
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end, count = Ids(tokenizer_path, added_tokens=added_tokens), np.array([end_id], dtype="<u4").tobytes(), 0
+        give_back()  # what reading the tokenizer file took
         for batch in batches:
             rows: list[tuple] = []
             ids, texts = batch.column(0).to_pylist(), batch.column(1)

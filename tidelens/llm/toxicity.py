@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidelens.functions import storage
 
-from .common import bounded_sample, lean, materialise, table
+from .common import bounded_sample, give_back, lean, materialise, table
 from .neighbours import kmeans
 from .ngram_join import told_apart
 
@@ -52,11 +52,13 @@ class BlockMaxIndex:
     with each term's greatest weight in each block; the others as postings by term. A block's bound is the greatest sum
     that the rare terms give in it, and the maxima of the frequent ones; a block whose bound cannot reach a query's k-th
     similarity is not multiplied. That is done in single precision; what comes within ``ERROR`` of the k-th is scored anew
-    in double precision, so results are exact. ``df`` (by term) and ``documents`` are those of all documents; without
-    them, those of the examples.
+    in double precision from the frequent terms that each example has, so results are exact. ``df`` (by term) and ``documents`` are those of
+    all documents; without them, those of the examples. Each worker of an executor has an index of its own, so it is built
+    and asked in parts of ``PART`` examples and ``ASKED`` queries.
     """
 
     ERROR = 4e-5  # more than the rounding of sums of 512 single-precision products of unit vectors
+    PART, ASKED = 256, 16
 
     def __init__(self, examples: list[tuple], vocabulary: list[str], block: int = 64, df: np.ndarray | None = None, documents: int = 0, least_chi_square: float = 25.0, dense_terms: int = 512):
         examples = sorted(examples, key=lambda e: e[0])
@@ -90,41 +92,60 @@ class BlockMaxIndex:
     def build(self, ends: np.ndarray, term: np.ndarray, tf: np.ndarray, example: np.ndarray | None) -> None:
         """The index of examples whose terms and tfs lie one after the other, ``example`` being their order in blocks."""
         n, size, block = len(self.ids), len(self.term), self.block
-        self.held = ends, term.astype(np.int32), tf
-        own, w = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends)), self.weights()
+        self.held = ends, term.astype(np.int32, copy=False), tf
+        self.norm = np.ones(n)
+        for a in range(0, n, self.PART):
+            own, _, w = self.weights(np.arange(a, min(a + self.PART, n)))
+            self.norm[a : a + self.PART] = np.sqrt(np.bincount(own, weights=w * w, minlength=min(self.PART, n - a)))
         self.blocks = max(1, -(-n // block))
-        self.example = self.alike(own, term, w, n) if example is None else example  # by place; places are dealt to blocks in order
+        self.example = self.alike() if example is None else example  # by place; places are dealt to blocks in order
         self.place = np.empty(n, np.int32)
         self.place[self.example] = np.arange(n)
         self.row = np.full(size, -1, np.int32)  # of the frequent terms
-        frequent = np.argsort(-np.bincount(term, minlength=size), kind="stable")[: min(self.dense_terms, size)]
+        have = np.bincount(term, minlength=size)
+        frequent = np.argsort(-have, kind="stable")[: min(self.dense_terms, size)]
         self.row[frequent] = np.arange(len(frequent))
-        here, at = self.row[term] >= 0, self.place[own]
-        self.exact_dense = np.zeros((self.blocks * block, len(frequent)))
-        self.exact_dense[at[here], self.row[term[here]]] = w[here]
-        self.dense = np.ascontiguousarray(self.exact_dense.astype(np.float32).reshape(self.blocks, block, -1).transpose(0, 2, 1))
+        have[frequent] = 0
+        self.first = np.r_[0, np.cumsum(have)].astype(np.int32)
+        self.dense = np.zeros((self.blocks, len(frequent), block), np.float32)
+        self.at, self.w, filled = np.empty(self.first[-1], np.int32), np.empty(self.first[-1]), self.first[:-1].copy()
+        often = []  # (frequent terms of each place, rows of ``dense``, weights)
+        for a in range(0, n, self.PART):
+            own, term, w = self.weights(self.example[a : a + self.PART])
+            row, at = self.row[term], own + a
+            here = row >= 0
+            self.dense[at[here] // block, row[here], at[here] % block] = w[here]
+            often.append((np.bincount(own[here], minlength=min(self.PART, n - a)), row[here], w[here]))
+            term, at, w = term[~here], at[~here], w[~here]
+            order = np.argsort(term, kind="stable")  # places grow within a term
+            term = term[order]
+            to = filled[term] + np.arange(len(term)) - np.searchsorted(term, term)
+            self.at[to], self.w[to] = at[order], w[order]
+            np.add.at(filled, term, 1)
+        often.append((np.zeros(self.blocks * block - n, np.int64), np.zeros(0, np.int32), np.zeros(0)))
+        sizes, self.often_row, self.often_w = map(np.concatenate, zip(*often, strict=True))
+        self.often_first = np.r_[0, np.cumsum(sizes)]
         self.dense_top = self.dense.max(axis=2).T if len(frequent) else np.zeros((0, self.blocks), np.float32)
-        term, at, w = term[~here], at[~here], w[~here]
-        order = np.lexsort((at, term))
-        self.at, self.w = at[order], w[order]
-        self.first = np.r_[0, np.cumsum(np.bincount(term, minlength=size))].astype(np.int32)
 
-    def weights(self) -> np.ndarray:
+    def weights(self, examples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number within ``examples``, term, weight) of all terms of some examples, one example after the other."""
         ends, term, tf = self.held
-        w = (1 + np.log(tf.astype(float))) * self.weight[term]
-        own = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(ends))
-        return w / np.sqrt(np.bincount(own, weights=w * w, minlength=len(self.ids)))[own]
+        size = ends[examples + 1] - ends[examples]
+        own = np.repeat(np.arange(len(examples)), size)
+        at = np.repeat(ends[examples] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        return own, term[at], (1 + np.log(tf[at].astype(float))) * self.weight[term[at]] / self.norm[examples][own]
 
     @property
     def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(terms, weights) of each example."""
-        (ends, term, _), w = self.held, self.weights()
+        (ends, term, _), (_, _, w) = self.held, self.weights(np.arange(len(self.ids)))
         return [(term[a:b], w[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    def alike(self, own: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, width: int = 64, centres: int = 40, seed: int = 5) -> np.ndarray:
+    def alike(self, width: int = 64, centres: int = 40, seed: int = 5) -> np.ndarray:
         """An order in which similar examples lie together (any order gives the same results): by the nearest of a few
         centres, for vectors whose terms are hashed to ``width`` places."""
-        rng = np.random.default_rng(seed)
+        rng, n = np.random.default_rng(seed), len(self.ids)
+        own, term, w = self.weights(np.arange(n))
         slot, sign = rng.integers(0, width, len(self.term) + 1), rng.choice([-1.0, 1.0], len(self.term) + 1)
         x = np.bincount(own * width + slot[term], weights=sign[term] * w, minlength=n * width).reshape(n, width)
         if n <= self.block:
@@ -163,9 +184,12 @@ class BlockMaxIndex:
         q[asker[here], row[here]] = weight[here]
         single = q.astype(np.float32)
         asker, term, weight = asker[~here], term[~here], weight[~here]
-        size = self.first[term + 1] - self.first[term]
-        posting = np.repeat(self.first[term] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        rare = np.bincount(np.repeat(asker * places, size) + self.at[posting], weights=np.repeat(weight, size) * self.w[posting], minlength=m * places).reshape(m, places).astype(float, copy=False)  # whole numbers where there are none
+        rare, parts = np.empty((m, places)), np.searchsorted(asker, np.arange(0, m + self.ASKED, self.ASKED))
+        for a, (b, c) in zip(range(0, m, self.ASKED), zip(parts[:-1], parts[1:], strict=True), strict=False):
+            size = self.first[term[b:c] + 1] - self.first[term[b:c]]
+            posting = np.repeat(self.first[term[b:c]] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            own = rare[a : a + self.ASKED]
+            own[:] = np.bincount(np.repeat((asker[b:c] - a) * places, size) + self.at[posting], weights=np.repeat(weight[b:c], size) * self.w[posting], minlength=own.size).reshape(own.shape)
         if without is not None:
             rare[np.arange(m), self.place[without]] = -np.inf
         bound = single @ self.dense_top + rare.reshape(m, self.blocks, self.block).max(axis=2)
@@ -184,14 +208,24 @@ class BlockMaxIndex:
         first = np.take_along_axis(scores.reshape(m, self.blocks, self.block), top[:, :, None], axis=1).reshape(m, -1)
         floor = np.maximum(np.partition(first, -k, axis=1)[:, -k], 0) - self.ERROR if first.shape[1] >= k else np.zeros(m)
         add((bound > 0) & (bound >= floor[:, None]) & ~best)
+        close = []
+        for own, least in zip(scores, floor, strict=True):
+            places_of = np.flatnonzero((own > 0) & (own >= least - self.ERROR))
+            if len(places_of) > k:
+                places_of = places_of[own[places_of] >= np.partition(own[places_of], -k)[-k] - 2 * self.ERROR]
+            close.append(places_of)
         out = []
-        for asked, own, of_rare, least in zip(q, scores, rare, floor, strict=True):
-            close = np.flatnonzero((own > 0) & (own >= least - self.ERROR))
-            if len(close) > k:
-                close = close[own[close] >= np.partition(own[close], -k)[-k] - 2 * self.ERROR]
-            exact = np.round(of_rare[close] + self.exact_dense[close] @ asked, 12)  # equal vectors tie, however their sums were rounded
-            order = np.lexsort((self.example[close], -exact))[:k]
-            out.append((self.example[close[order]], np.minimum(exact[order], 1.0)))
+        for a in range(0, m, self.ASKED):
+            part = close[a : a + self.ASKED]
+            ends, at = np.cumsum([0] + [len(x) for x in part]), np.concatenate(part)
+            asked = np.repeat(np.arange(a, a + len(part)), np.diff(ends))
+            size = self.often_first[at + 1] - self.often_first[at]
+            held = np.repeat(self.often_first[at] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            products = self.often_w[held] * q[np.repeat(asked, size), self.often_row[held]]
+            exact = np.round(rare[asked, at] + np.bincount(np.repeat(np.arange(len(at)), size), weights=products, minlength=len(at)), 12)  # equal vectors tie, however their sums were rounded
+            for b, c in zip(ends[:-1], ends[1:], strict=True):
+                order = np.lexsort((self.example[at[b:c]], -exact[b:c]))[:k]
+                out.append((self.example[at[b:c][order]], np.minimum(exact[b:c][order], 1.0)))
         return out
 
 
@@ -341,6 +375,7 @@ def nearest_examples(docs: DataFrame, shared: Broadcast, k: int, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = shared.value, {}
+        give_back()  # what loading the index took beside it
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
