@@ -72,3 +72,29 @@ def test_stages_ask_for_small_batches(spark):
             assert max(r.n for r in sizes.collect()) == then
     finally:
         spark.conf.set(name, before)
+
+
+def test_asks_leave_in_small_batches():
+    """An ask goes to every leaf that it may need; what leaves a task at once doesn't grow with asks times leaves."""
+    from tidelens.llm import negatives as ng
+
+    class Table:
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * rng.normal(size=(4000, 32)))
+    sample = ng.Sample.__new__(ng.Sample)
+    sample.x, sample.no, sample.label, sample.tree = x, np.arange(4000), np.arange(4000) % 10, ng.Gnat(x, 8)
+    sample.tree.widen(x)
+    asks = [pa.array(sample.no), pa.array(sample.label), pa.array(list(x), pa.list_(pa.float64()))]
+    scores = pa.array([[1.0, 5.0e5], [2.0]] * 2000, pa.list_(pa.float64()))
+    for percent, columns in ((None, asks), (80, [*asks, scores])):
+        batch = pa.RecordBatch.from_arrays(columns, names=["no", "label", "vec", "scores"][: len(columns)])
+        sizes, rows, seen = [], 0, set()
+        for out in ng.asking(Table(), sample, np.float32, 5, percent)(iter([batch.slice(0, 1500), batch.slice(1500)])):
+            sizes.append(out.nbytes)
+            rows += out.num_rows
+            seen |= set(out.column("no").to_pylist())
+        assert rows > 100_000 and seen == set(range(4000)), (rows, len(seen))
+        assert max(sizes) < 8 << 20

@@ -229,6 +229,7 @@ def ranged(distinct: DataFrame, tree: Gnat) -> None:
         tree.low[r.c, r.i], tree.high[r.c, r.i], tree.norms[r.c] = r.low, r.high, (r.u, r.v)
 
 
+TOGETHER, SENT = 256, 2 << 20  # asks that look for their leaves at once; bytes of vectors in a batch that goes out
 ASKING = "leaf long, no long, label long, vec binary, least array<double>, most array<double>"
 
 
@@ -237,23 +238,27 @@ def asking(asks: DataFrame, sample: Sample, kind: type, k: int, percent: int | N
     it: for those of other labels within its windows, from that share of each of ``scores`` up to the score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q, label, own = matrix(batch.column(2), batch.num_rows), batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            if percent is None:
-                least, most = sample.floors(q, label, own, k)[:, None], np.full((len(q), 1), np.inf)
-            else:
-                scores = batch.column(3).to_pylist()
-                most = np.full((len(q), max(map(len, scores))), np.nan)
-                for r, s in enumerate(scores):
-                    most[r, : len(s)] = s
-                least = sample.window_floors(q, label, np.ceil(percent * most / 100), most, k)
-            at, leaves = sample.tree.visited(q, least, most)
-            packed = pa.array([v.tobytes() for v in q.astype(kind)], pa.binary())
-            pick = pa.array(at)
-            lists = [pa.array([[None if np.isnan(v) else v for v in row] for row in w], pa.list_(pa.float64())).take(pick) for w in (least, most)]
-            yield pa.RecordBatch.from_arrays([pa.array(leaves), batch.column(0).take(pick), batch.column(1).take(pick), packed.take(pick), *lists], names=["leaf", "no", "label", "vec", "least", "most"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, TOGETHER):  # an ask may visit all leaves
+                yield from asked(whole.slice(first, TOGETHER))
+
+    def asked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        q, label, own = matrix(batch.column(2), batch.num_rows), batch.column(1).to_numpy(), batch.column(0).to_numpy()
+        if percent is None:
+            least, most = sample.floors(q, label, own, k)[:, None], np.full((len(q), 1), np.inf)
+        else:
+            scores = batch.column(3).to_pylist()
+            most = np.full((len(q), max(map(len, scores))), np.nan)
+            for r, s in enumerate(scores):
+                most[r, : len(s)] = s
+            least = sample.window_floors(q, label, np.ceil(percent * most / 100), most, k)
+        at, leaves = sample.tree.visited(q, least, most)
+        packed = pa.array([v.tobytes() for v in q.astype(kind)], pa.binary())
+        lists = [pa.array([[None if np.isnan(v) else v for v in row] for row in w], pa.list_(pa.float64())) for w in (least, most)]
+        columns, step = [batch.column(0), batch.column(1), packed, *lists], max(1, SENT // (q.shape[1] * np.dtype(kind).itemsize))
+        for a in range(0, len(at), step):
+            pick = pa.array(at[a : a + step])
+            yield pa.RecordBatch.from_arrays([pa.array(leaves[a : a + step]), *[c.take(pick) for c in columns]], names=["leaf", "no", "label", "vec", "least", "most"])
 
     return asks.mapInArrow(run, ASKING)
 
@@ -338,11 +343,11 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, positives: int =
     askers = materialise(distinct.join(anchors.select("no").distinct(), "no", "left_semi").select("no", "label", "vec"), "askers")
 
     asks = materialise(asking(askers, sample, kind, positives, None), "asks")
-    near = materialise(members(searched(index, asks, kind, need, True, block_rows), distinct, need), "near")
+    near = materialise(members(searched(index, asks, kind, need, True, block_rows), distinct, need), "near", asks)
     own = Window.partitionBy("anchor_id", "no").orderBy(F.desc("score"), "vec_id")
     pairs = near.withColumnRenamed("asked", "no").join(anchors, "no").filter("vec_id <> anchor_id")
     pairs = pairs.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= positives)
-    pairs = materialise(pairs.select("anchor_id", "no", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
+    pairs = materialise(pairs.select("anchor_id", "no", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives", near)
 
     scores = pairs.filter("positive_score >= 0").groupBy("no").agg(F.array_sort(F.collect_set("positive_score")).alias("scores"))
     asks = materialise(asking(askers.join(scores, "no").select("no", "label", "vec", "scores"), sample, kind, negatives, percent), "asks")
