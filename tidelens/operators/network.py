@@ -4,19 +4,17 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions import ordering
 from tidelens.functions.scalar import great_circle, planar_degrees, ratio
-from tidelens.functions.storage import cut_lineage
-
-
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
+from tidelens.functions.storage import cut_lineage, scratch
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -26,39 +24,126 @@ def usable(vectors: DataFrame) -> DataFrame:
     return sound.filter(F.exists("vec", lambda x: x != F.col("m"))).select("node", F.col("vec").cast("array<double>").alias("vec"))
 
 
-def by_blocks(vectors: DataFrame, block: int, kernel: Kernel, schema: str, digits: int | None = None) -> DataFrame:
-    """``kernel(u, v, w)`` of the Pearson correlations w (rounded to ``digits``) of pairs u < v, by pairs of blocks.
-
-    Rows are standardised once and dealt to blocks; each pair of blocks is one task's matrix product, and only what the
-    kernel makes of it leaves the task. Vectors with nulls and constant ones take no part.
-    """
-    blocks = max(1, -(-vectors.count() // block))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own, i, j = rows["own"].to_numpy(), int(key[0]), int(key[1])
-        x = np.stack(rows["vec"].to_numpy()).astype(float)
-        x = x - x.mean(axis=1, keepdims=True)
-        x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
-        ids, a, b = rows["node"].to_numpy(), np.flatnonzero(own == i), np.flatnonzero(own == j)
-        r = x[a] @ x[b].T
-        p, q = np.nonzero(ids[a][:, None] != ids[b][None] if i != j else ids[a][:, None] < ids[b][None])
-        u, v, w = ids[a[p]], ids[b[q]], r[p, q]
-        return kernel(np.minimum(u, v), np.maximum(u, v), w if digits is None else np.round(w, digits))
-
-    rows = usable(vectors).withColumn("own", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("node", "vec", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
-    return rows.groupBy("bi", "bj").applyInPandas(run, schema)
+def packed(vectors: DataFrame, block: int) -> DataFrame:
+    """(at, ids, x): blocks of up to ``block`` vectors (node, vec), standardised, as bytes; a block is one row of a table in
+    the shared folder. Vectors with nulls and constant ones take no part."""
 
-
-def similarity_blocks(vectors: DataFrame, block: int = 1024, least: float | None = None, absolute: bool = False) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x = np.zeros(0, np.int64), None
+        for pdf in batches:
+            if len(pdf):
+                ids, new = np.concatenate([ids, pdf["node"].to_numpy()]), standardised(pdf["vec"])
+                x = new if x is None else np.concatenate([x, new])
+            while len(ids) >= block:
+                yield pd.DataFrame({"ids": [ids[:block].tobytes()], "x": [x[:block].tobytes()]})
+                ids, x = ids[block:], x[block:]
+        if len(ids):
+            yield pd.DataFrame({"ids": [ids.tobytes()], "x": [x.tobytes()]})
+
+    sound = usable(vectors)
+    dealt = sound.repartition(max(1, -(-sound.count() // (8 * block))), "node").select(F.col("node").cast("long").alias("node"), "vec")
+    return cut_lineage(dealt.mapInPandas(run, "ids binary, x binary").select(F.monotonically_increasing_id().alias("at"), "ids", "x"))
+
+
+def pairs_of(blocks: DataFrame, may: Callable[[], Column] | None = None) -> DataFrame:
+    """Every two blocks once, and each with itself; columns end in a and b. A Cartesian product of the table's partitions:
+    tasks read both sides from the shared folder, so that no row is shuffled and disk does not grow with the pairs."""
+    a, b = (blocks.select(*[F.col(c).alias(c + end) for c in blocks.columns]) for end in "ab")
+    once = (F.col("ata") == F.col("atb")) | ((F.col("ata") < F.col("atb")) == ((F.col("ata") + F.col("atb")) % 2 == 1))
+    return a.hint("shuffle_replicate_nl").join(b, once if may is None else once & may())
+
+
+class Block:
+    """Of a row of a table of blocks: ids, x; low, high: ranges of angles to pivots of each ``part`` rows, if it has them."""
+
+    def __init__(self, row: dict, end: str):
+        self.at, self.ids = row["at" + end], np.frombuffer(row["ids" + end], np.int64)
+        self.x = np.frombuffer(row["x" + end]).reshape(len(self.ids), -1)
+        self.low, self.high = (np.frombuffer(row[c + end]).reshape(-1, row["pivots" + end]) if c + end in row else None for c in ("lows", "highs"))
+
+
+Tile = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]
+
+
+def tiles(a: Block, b: Block, tau: float | None = None, part: int = 64) -> Iterator[Tile]:
+    """(ids, ids, correlations, which of them are of pairs; None: all) of strips of ``a`` with ``b``, each pair once. With
+    ``tau``, of blocks with ranges, only parts that may hold a correlation above ``tau`` or below -tau. The next strip's
+    correlations take the place of the last one's."""
+    room = np.empty(min(part, len(a.ids)) * len(b.ids))
+    own = a.at == b.at
+    shared = own or len(np.intersect1d(a.ids, b.ids))
+    reach = None if tau is None else may_reach(a, b, tau)
+    for k, s in enumerate(range(0, len(a.ids), part)):
+        left, ids, x = a.ids[s : s + part], b.ids, b.x
+        if reach is not None and not reach[k].all():
+            columns = np.repeat(reach[k], part)[: len(ids)]
+            ids, x = ids[columns], x[columns]
+        if len(ids):
+            r = np.matmul(a.x[s : s + part], x.T, out=room[: len(left) * len(ids)].reshape(len(left), -1))
+            yield left, ids, r, None if not shared else left[:, None] < ids if own else left[:, None] != ids
+
+
+def of_pairs(pairs: DataFrame, run: Callable[[Iterator[tuple[Block, Block]]], Iterator[dict[str, np.ndarray]]], schema: str) -> DataFrame:
+    """What ``run`` makes of the pairs of blocks of a task, in batches of columns."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks() -> Iterator[tuple[Block, Block]]:
+            for batch in batches:
+                for k in range(batch.num_rows):  # a view of the bytes, not a copy
+                    row = {n: (c[k].as_buffer() if pa.types.is_binary(c.type) else c[k].as_py()) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                    yield Block(row, "a"), Block(row, "b")
+
+        for out in run(blocks()):
+            yield pa.RecordBatch.from_pydict(out)
+
+    return pairs.mapInArrow(task, schema)
+
+
+def gathered(parts: Iterator[dict[str, np.ndarray]], rows: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
+    """``parts`` put together to batches of some ``rows``."""
+    held: list[dict[str, np.ndarray]] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(next(iter(x.values()))) for x in held) >= rows:
+            yield {c: np.concatenate([x[c] for x in held]) for c in part}
+            held = []
+    if held:
+        yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+
+
+def linked(pairs: DataFrame, test: Callable[[np.ndarray], np.ndarray], both: bool, digits: int | None = None, tau: float | None = None, part: int = 64) -> DataFrame:
+    """(i, j, w) of the pairs whose correlation passes ``test``, i < j or ``both`` ways; w rounded to ``digits``."""
+
+    def run(blocks: Iterator[tuple[Block, Block]]) -> Iterator[dict[str, np.ndarray]]:
+        for a, b in blocks:
+            for left, right, r, of in tiles(a, b, tau, part):
+                at = np.flatnonzero(test(r) if of is None else test(r) & of)
+                if len(at):
+                    u, v, w = left[at // r.shape[1]], right[at % r.shape[1]], r.ravel()[at]
+                    w = w if digits is None else np.round(w, digits)
+                    if both:
+                        yield {"i": np.concatenate([u, v]), "j": np.concatenate([v, u]), "w": np.concatenate([w, w])}
+                    else:
+                        yield {"i": np.minimum(u, v), "j": np.maximum(u, v), "w": w}
+
+    return of_pairs(pairs, lambda blocks: gathered(run(blocks)), "i long, j long, w double")
+
+
+def similarity_blocks(vectors: DataFrame, block: int = 2048, least: float | None = None, absolute: bool = False) -> DataFrame:
     """(i, j, w) for i < j: Pearson correlation of equally long vectors (node, vec). Only entries above ``least`` leave
     the tasks."""
+    test = (lambda r: np.ones(r.shape, bool)) if least is None else beyond(least) if absolute else lambda r: r > least
+    return linked(pairs_of(packed(vectors, block)), test, both=False)
+
 
-    def kernel(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> pd.DataFrame:
-        keep = slice(None) if least is None else (np.abs(w) if absolute else w) > least
-        return pd.DataFrame({"i": u[keep], "j": v[keep], "w": w[keep]})
+def beyond(tau: float) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda r: (r > tau) | (r < -tau) if tau >= 0 else np.ones(r.shape, bool)
 
-    return by_blocks(vectors, block, kernel, "i long, j long, w double")
+
+def similar_links(vectors: DataFrame, threshold: float, digits: int, block: int = 2048) -> DataFrame:
+    """(i, j) both ways of pairs whose correlation, rounded to ``digits``, is at or above the threshold."""
+    near = threshold - 10.0**-digits
+    return linked(pairs_of(packed(vectors, block)), lambda r: r > near, both=True, digits=digits).filter(F.col("w") >= threshold).select("i", "j")
 
 
 class Pivots:
@@ -82,21 +167,30 @@ def standardised(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
-def reaching_blocks(vectors: DataFrame, tau: float, pivots: int, block: int, sample_rows: int = 4096) -> tuple[DataFrame, DataFrame, int]:
-    """(rows, pairs, all): rows (node, vec, c, q), dealt to blocks (c: nearest pivot, q), the pairs of blocks (ca, qa, cb,
-    qb) that may hold a correlation above ``tau`` or below -tau, and the number of all pairs of blocks.
+def may_reach(a: Block, b: Block, tau: float) -> np.ndarray:
+    """(parts of a, parts of b): whether their ranges of angles allow a correlation above ``tau`` or below -tau."""
+    apart = np.maximum((a.low[:, None] - b.high[None]).max(2), (b.low[None] - a.high[:, None]).max(2))
+    wide = np.minimum((a.high[:, None] + b.high[None]).min(2), 2 * np.pi - (a.low[:, None] + b.low[None]).max(2))
+    return (np.cos(np.clip(apart - 1e-7, 0, np.pi)) > tau) | (np.cos(np.clip(wide + 1e-7, 0, np.pi)) < -tau)
+
+
+def reaching_blocks(vectors: DataFrame, tau: float, pivots: int, block: int, sample_rows: int = 4096, most_rows: int = 1024) -> tuple[DataFrame, DataFrame, int]:
+    """(blocks, pairs, all): vectors dealt by their nearest pivot and the angle to it, ``block`` a part, parts of one pivot
+    up to ``most_rows`` together; the pairs of blocks that may hold a correlation above ``tau`` or below -tau; and the number
+    of all pairs of blocks.
 
     Of two blocks, |a - b| <= angle <= min(a + b, 2 pi - a - b) for the angles a, b of their members to each pivot; ranges
-    of these, exact over all members, bound the correlation. Pairs of pivots are looked at first, pairs of blocks only
-    within those that stay.
+    of these, exact over all members, bound the correlation: first of blocks, then (``may_reach``) of their parts.
     """
-    spark, sound = vectors.sparkSession, usable(vectors)
-    total = sound.count()
+    spark, sound = vectors.sparkSession, usable(vectors).withColumn("node", F.col("node").cast("long"))
+    total, together = sound.count(), block * max(1, most_rows // block)
+    schema = "at long, ids binary, x binary, pivots int, lows binary, highs binary, low array<double>, high array<double>"
     share = sample_rows / max(1, total)
     some = sound.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < share * (1 << 40)) if share < 1 else sound
     some = (some if not some.isEmpty() else sound).toPandas().sort_values("node")
     if not len(some):
-        return sound.select("node", "vec", F.lit(0).alias("c"), F.lit(0).cast("long").alias("q")), spark.createDataFrame([], "ca int, qa long, cb int, qb long"), 0
+        none = spark.createDataFrame([], schema)
+        return none, pairs_of(none), 0
     near = Pivots(standardised(some["vec"]), pivots)
 
     def dealt(batches):
@@ -105,62 +199,88 @@ def reaching_blocks(vectors: DataFrame, tau: float, pivots: int, block: int, sam
                 angle = near.angles(standardised(pdf["vec"]))
                 yield pdf.assign(c=angle.argmin(axis=1).astype(np.int32), angle=angle.min(axis=1))
 
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        x = standardised(rows["vec"])
+        angle, starts = near.angles(x), np.arange(0, len(x), block)
+        low, high = np.minimum.reduceat(angle, starts), np.maximum.reduceat(angle, starts)
+        return pd.DataFrame({"at": [int(rows["place"].iloc[0])], "ids": [rows["node"].to_numpy().tobytes()], "x": [x.tobytes()], "pivots": [angle.shape[1]], "lows": [low.tobytes()], "highs": [high.tobytes()], "low": [low.min(axis=0)], "high": [high.max(axis=0)]})
+
     rows = ordering.placed(sound.mapInPandas(dealt, "node long, vec array<double>, c int, angle double"), "c", "angle", "node")
-    rows = cut_lineage(rows.select("node", "vec", "c", F.floor(F.col("place") / block).alias("q")))
+    blocks = cut_lineage(rows.groupBy("c", F.floor(F.col("place") / together).alias("q")).applyInPandas(pack, schema))
+
+    def may() -> Column:
+        apart = F.greatest(F.array_max(F.zip_with("lowa", "highb", lambda x, y: x - y)), F.array_max(F.zip_with("lowb", "higha", lambda x, y: x - y)), F.lit(0.0))
+        wide = F.least(F.array_min(F.zip_with("higha", "highb", lambda x, y: x + y)), 2 * math.pi - F.array_max(F.zip_with("lowa", "lowb", lambda x, y: x + y)), F.lit(math.pi))
+        return (F.cos(F.greatest(F.lit(0.0), apart - 1e-7)) > tau) | (F.cos(F.least(F.lit(math.pi), wide + 1e-7)) < -tau)
 
-    def ranges(batches):
-        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for pdf in batches:
-            for key, own in pdf.groupby(["c", "q"]):
-                angle = near.angles(standardised(own["vec"]))
-                low, high = angle.min(axis=0), angle.max(axis=0)
-                if key in held:
-                    low, high = np.minimum(low, held[key][0]), np.maximum(high, held[key][1])
-                held[key] = low, high
-        for (c, q), (low, high) in held.items():
-            yield pd.DataFrame({"c": np.int32(c), "q": q, "p": np.arange(len(low), dtype=np.int32), "low": low, "high": high})
-
-    parts = rows.mapInPandas(ranges, "c int, q long, p int, low double, high double").groupBy("c", "q", "p").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    blocks = cut_lineage(parts.groupBy("c", "q").agg(F.array_sort(F.collect_list(F.struct("p", "low", "high"))).alias("r")).select("c", "q", F.transform("r", lambda x: x["low"]).alias("low"), F.transform("r", lambda x: x["high"]).alias("high")))
-    few = blocks.select("c", F.posexplode(F.arrays_zip("low", "high")).alias("p", "r")).groupBy("c", "p").agg(F.min("r.low").alias("low"), F.max("r.high").alias("high"))
-    whole = few.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("p", "low", "high"))).alias("r")).select("c", F.transform("r", lambda x: x["low"]).alias("low"), F.transform("r", lambda x: x["high"]).alias("high"))
-    of = lambda t, end, *keys: t.select(*[F.col(k).alias(k + end) for k in keys], F.col("low").alias("low" + end), F.col("high").alias("high" + end))
-    apart = F.greatest(F.array_max(F.zip_with("lowa", "highb", lambda x, y: x - y)), F.array_max(F.zip_with("lowb", "higha", lambda x, y: x - y)), F.lit(0.0))
-    wide = F.least(F.array_min(F.zip_with("higha", "highb", lambda x, y: x + y)), 2 * math.pi - F.array_max(F.zip_with("lowa", "lowb", lambda x, y: x + y)), F.lit(math.pi))
-    may = (F.cos(F.greatest(F.lit(0.0), apart - 1e-7)) > tau) | (F.cos(F.least(F.lit(math.pi), wide + 1e-7)) < -tau)
-    clusters = of(whole, "a", "c").join(of(whole, "b", "c"), F.col("ca") <= F.col("cb")).filter(may).select("ca", "cb")  # a row per two pivots
-    pairs = F.broadcast(clusters).join(of(blocks, "a", "c", "q"), "ca").join(of(blocks, "b", "c", "q"), "cb")
-    pairs = pairs.filter(((F.col("ca") < F.col("cb")) | (F.col("qa") <= F.col("qb"))) & may).select("ca", "qa", "cb", "qb")
     n = blocks.count()
-    return rows, cut_lineage(pairs), n * (n + 1) // 2
+    return blocks, pairs_of(blocks, may), n * (n + 1) // 2
 
 
-def pruned_similarity(vectors: DataFrame, tau: float, pivots: int = 64, block: int = 1024) -> DataFrame:
+def pruned_similarity(vectors: DataFrame, tau: float, pivots: int = 64, block: int = 1024, both: bool = False, digits: int | None = None) -> DataFrame:
     """(i, j, w), i < j, |w| > tau: as ``similarity_blocks``, but only pairs of blocks that may reach tau are multiplied."""
-    rows, pairs, _ = reaching_blocks(vectors, tau, pivots, block)
-    keys = ["ca", "qa", "cb", "qb"]
-    left = pairs.join(rows.select(F.col("c").alias("ca"), F.col("q").alias("qa"), "node", "vec"), ["ca", "qa"]).select(*keys, F.lit(0).alias("side"), "node", "vec")
-    right = pairs.filter("ca <> cb or qa <> qb").join(rows.select(F.col("c").alias("cb"), F.col("q").alias("qb"), "node", "vec"), ["cb", "qb"]).select(*keys, F.lit(1).alias("side"), "node", "vec")
+    return linked(reaching_blocks(vectors, tau, pivots, block)[1], beyond(tau), both, digits, tau, block)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, side = standardised(pdf["vec"]), pdf["node"].to_numpy(), pdf["side"].to_numpy()
-        own = key[:2] == key[2:]
-        a = np.flatnonzero(side == 0)
-        b = a if own else np.flatnonzero(side == 1)
-        r = x[a] @ x[b].T
-        p, q = np.nonzero((np.abs(r) > tau) & (ids[a][:, None] < ids[b][None] if own else ids[a][:, None] != ids[b][None]))
-        u, v = ids[a[p]], ids[b[q]]
-        return pd.DataFrame({"i": np.minimum(u, v), "j": np.maximum(u, v), "w": r[p, q]})
 
-    return left.unionByName(right).groupBy(*keys).applyInPandas(run, "i long, j long, w double")
-
-
-def correlation_edges(vectors: DataFrame, tau: float, block: int = 1024, giant: bool = False, pivots: int | None = None) -> DataFrame:
+def correlation_edges(vectors: DataFrame, tau: float, block: int = 2048, giant: bool = False, pivots: int | None = None, digits: int | None = None) -> DataFrame:
     """(i, j, w) both ways where |r| > tau; ``giant``: of the largest connected component only. With ``pivots``, pairs of
     blocks that cannot reach tau are left out, which pays where series come in groups."""
-    half = similarity_blocks(vectors, block, tau, absolute=True) if pivots is None else pruned_similarity(vectors, tau, pivots, block)
-    half = giant_component(half) if giant else half
-    return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    if giant:
+        pairs = pairs_of(packed(vectors, block)) if pivots is None else reaching_blocks(vectors, tau, pivots, block)[1]
+        vectors = vectors.join(giant_nodes(spanning_links(pairs, beyond(tau))).withColumnRenamed("i", "node"), "node", "left_semi")
+    if pivots is not None:
+        return pruned_similarity(vectors, tau, pivots, block, True, digits)
+    return linked(pairs_of(packed(vectors, block)), beyond(tau), True, digits)
+
+
+class Forest:
+    """Trees over the rows of blocks; ``root`` of each row."""
+
+    def __init__(self):
+        self.root, self.ids, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64), {}
+
+    def rows(self, block: Block) -> np.ndarray:
+        if block.at not in self.first:
+            self.first[block.at] = len(self.root)
+            self.root = np.concatenate([self.root, len(self.root) + np.arange(len(block.ids))])
+            self.ids = np.concatenate([self.ids, block.ids])
+        return self.first[block.at] + np.arange(len(block.ids))
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        """Of the links between rows a and b, those that join two trees. A root goes below a lesser one, so none goes round."""
+        while True:
+            p, q = self.root[a], self.root[b]
+            apart = p != q
+            if not apart.any():
+                return
+            a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+            high, first = np.unique(np.maximum(p, q), return_index=True)
+            self.root[high] = np.minimum(p, q)[first]
+            yield {"i": self.ids[a[first]], "j": self.ids[b[first]]}
+            while (up := self.root[self.root]).tobytes() != self.root.tobytes():
+                self.root = up
+
+
+def spanning_links(pairs: DataFrame, test: Callable[[np.ndarray], np.ndarray], part: int = 256) -> DataFrame:
+    """(i, j): links that connect what all links of the pairs of blocks connect, fewer than a task has rows from each task.
+    Rows that are known to be in one tree are not multiplied any more."""
+
+    def run(blocks: Iterator[tuple[Block, Block]]) -> Iterator[dict[str, np.ndarray]]:
+        forest = Forest()
+        for a, b in blocks:
+            left, right = forest.rows(a), forest.rows(b)
+            known, count = np.unique(forest.root[left], return_counts=True)
+            tree = known[count.argmax()]
+            inside, out = forest.root[left] == tree, forest.root[right] != tree
+            for rows, columns in ((np.arange(len(left)), np.flatnonzero(out)), (np.flatnonzero(~inside), np.flatnonzero(~out))):
+                x = b.x[columns]
+                for s in range(0, len(rows) if len(columns) else 0, part):
+                    some = rows[s : s + part]
+                    at = np.flatnonzero(test(a.x[some] @ x.T))
+                    yield from forest.join(left[some[at // len(columns)]], right[columns[at % len(columns)]])
+
+    return of_pairs(pairs, lambda blocks: gathered(run(blocks)), "i long, j long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -179,12 +299,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def giant_nodes(edges: DataFrame) -> DataFrame:
+    """(i): the nodes of the component with the most nodes (ties: the least label)."""
+    with scratch(edges.sparkSession) as keep:
+        labels = components(edges)
+        largest = labels.groupBy("label").agg(F.count("*").alias("n")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
+        return keep(cut_lineage(labels.join(F.broadcast(largest), "label").select(F.col("node").alias("i"))))  # one row is broadcast
+
+
 def giant_component(edges: DataFrame) -> DataFrame:
     """The edges of the component with the most nodes (ties: the least label)."""
-    labels = components(edges)
-    largest = labels.groupBy("label").agg(F.count("*").alias("n")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
-    inside = labels.join(F.broadcast(largest), "label").select(F.col("node").alias("i"))  # one row is broadcast
-    return edges.join(inside, "i").select(*edges.columns)
+    return edges.join(giant_nodes(edges), "i").select(*edges.columns)
 
 
 def adjacency(sim: DataFrame, threshold: float) -> DataFrame:
@@ -221,58 +346,111 @@ def threshold_of_density(sim: DataFrame, rho: float, n_nodes: int | None = None,
     return placed.filter(F.col("upto") > at).agg(F.min("w").alias("threshold"))
 
 
-def edge_density_of(vectors: DataFrame, bins: int, digits: int | None = None, block: int = 1024) -> DataFrame:
-    """``edge_density`` of the correlations of vectors: tasks give maxima, then histograms, never the pairs."""
-    top, nn = by_blocks(vectors, block, lambda u, v, w: pd.DataFrame({"top": [np.abs(w).max(initial=0.0)], "nn": [len(w)]}), "top double, nn long", digits).agg(F.max("top"), F.sum("nn")).first()
+def cell_of(w: np.ndarray, cells: int) -> np.ndarray:
+    """0 to ``cells`` - 1, not falling in w, of correlations."""
+    at = w * (0.5 * (cells - 1))
+    at += 0.5 * cells
+    return at.astype(np.int64)
 
-    def kernel(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> pd.DataFrame:
-        n = np.bincount(np.minimum(bins - 1, np.floor(np.abs(w) * bins / top if top else 0 * w).astype(int)), minlength=bins)
-        return pd.DataFrame({"bin": np.flatnonzero(n), "n": n[n > 0]})
 
-    counts = by_blocks(vectors, block, kernel, "bin long, n long", digits).groupBy("bin").agg(F.sum("n").alias("n"))
-    grid = vectors.sparkSession.range(bins + 1).select(F.col("id").alias("bin")).join(counts, "bin", "left")  # one row per bin
-    tail = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))
-    return grid.select("bin", (F.col("bin") * F.lit(top) / bins).alias("threshold"), (tail / F.lit(nn)).alias("density"))
+def values_of(tile: Tile) -> np.ndarray:
+    return tile[2].ravel() if tile[3] is None else tile[2][tile[3]]
 
 
-def threshold_of_density_of(vectors: DataFrame, rho: float, digits: int | None = None, diagonal: bool = True, block: int = 1024, bins: int = 1 << 16) -> DataFrame:
-    """``threshold_of_density`` of the correlations of vectors: a histogram of all entries tells the bin of the order
-    statistic, one of that bin the part of it, and only the entries of that part are gathered."""
-    n = usable(vectors).count()
-    at, low, high, before = int((1 - rho) * (n * n - n)), -1.0, 1.0, 0
-    own = n if diagonal else 0
+def edge_density_of(vectors: DataFrame, bins: int, digits: int | None = None, block: int = 2048, cells: int = 1 << 16) -> DataFrame:
+    """``edge_density`` of the correlations of vectors: tasks give maxima, then histograms, never the pairs. Entries are
+    counted by cells much smaller than bins; only those of cells that an edge of a bin may cross are binned one by one."""
+    rounded = (lambda w: w) if digits is None else lambda w: np.round(w, digits)
+    pairs = pairs_of(packed(vectors, block))
+
+    def greatest(blocks: Iterator[tuple[Block, Block]]) -> Iterator[dict[str, np.ndarray]]:
+        top, nn = 0.0, 0
+        for a, b in blocks:
+            for tile in tiles(a, b):
+                w = values_of(tile)
+                top, nn = max(top, w.max(initial=0.0), -w.min(initial=0.0)), nn + len(w)
+        yield {"top": np.array([rounded(top)]), "nn": np.array([nn])}
 
-    def bin_of(w: np.ndarray, low: float, high: float) -> np.ndarray:
-        return np.clip(np.floor((w - low) * (bins / (high - low))), 0, bins - 1).astype(np.int64)
+    top, nn = of_pairs(pairs, greatest, "top double, nn long").agg(F.max("top"), F.sum("nn")).first()
 
-    chosen: list[tuple[float, float, int]] = []
+    def bin_of(w: np.ndarray) -> np.ndarray:
+        return np.minimum(bins - 1, np.floor(np.abs(rounded(w)) * bins / top if top else 0 * w).astype(int))
 
-    def within(w: np.ndarray) -> np.ndarray:
-        keep = np.ones(len(w), bool)
-        for a, b, k in chosen:
-            keep &= bin_of(w, a, b) == k
-        return w[keep]
+    def histogram(blocks: Iterator[tuple[Block, Block]]) -> Iterator[dict[str, np.ndarray]]:
+        ends, room = (np.arange(cells + 1) - 0.5 * cells) / (0.5 * (cells - 1)), 1e-12 + (0 if digits is None else 10.0**-digits)
+        of_cell, upper = bin_of(ends[:-1] - room), bin_of(ends[1:] + room)
+        crossed = of_cell != upper
+        by_cell, n = np.zeros(cells, np.int64), np.zeros(bins, np.int64)
+        for a, b in blocks:
+            for tile in tiles(a, b):
+                w = values_of(tile)
+                at = cell_of(w, cells)
+                by_cell += np.bincount(at, minlength=cells)
+                n += np.bincount(bin_of(w[crossed[at]]), minlength=bins)
+        np.add.at(n, of_cell[~crossed], by_cell[~crossed])
+        yield {"bin": np.flatnonzero(n), "n": n[n > 0]}
+
+    counts = of_pairs(pairs, histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    grid = vectors.sparkSession.range(bins + 1).select(F.col("id").alias("bin")).join(counts, "bin", "left")  # one row per bin
+    tail = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))
+    return grid.select("bin", (F.col("bin") * F.lit(top) / bins).alias("threshold"), (tail / F.lit(nn)).alias("density"))
 
-    for _ in range(2):
-        def kernel(u: np.ndarray, v: np.ndarray, w: np.ndarray, low: float = low, high: float = high) -> pd.DataFrame:
-            counts = np.bincount(bin_of(within(w), low, high), minlength=bins)
-            return pd.DataFrame({"bin": np.flatnonzero(counts), "n": counts[counts > 0]})
 
+def threshold_of_density_of(vectors: DataFrame, rho: float, digits: int | None = None, diagonal: bool = True, block: int = 2048, bins: int = 1 << 16) -> DataFrame:
+    """``threshold_of_density`` of the correlations of vectors: a histogram of all entries tells the cell of the order
+    statistic; of that cell, entries are counted by value, once a second histogram has told the part of it, unless rounding
+    leaves few values anyway. Rounding keeps the order, so entries are rounded only where they are counted by value."""
+    n = usable(vectors).count()
+    at, before = int((1 - rho) * (n * n - n)), 0
+    own = n if diagonal else 0
+    pairs = pairs_of(packed(vectors, block))
+    chosen: list[int] = []
+
+    def cells(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the entries within the chosen cells: (entries, their cells)."""
+        if chosen:  # most lie elsewhere
+            w = w[(w > (chosen[0] - 1 - 0.5 * bins) / (0.5 * (bins - 1))) & (w < (chosen[0] + 2 - 0.5 * bins) / (0.5 * (bins - 1)))]
+        at = cell_of(w, bins)
+        if not chosen:
+            return w, at
+        w = w[at == chosen[0]]
+        at = np.clip(np.floor((w * (0.5 * (bins - 1)) + 0.5 * bins - chosen[0]) * bins), 0, bins - 1).astype(np.int64)
+        return (w, at) if len(chosen) == 1 else (w[at == chosen[1]], at[at == chosen[1]])
+
+    def histogram(blocks: Iterator[tuple[Block, Block]]) -> Iterator[dict[str, np.ndarray]]:
+        n = np.zeros(bins, np.int64)
+        for a, b in blocks:
+            for tile in tiles(a, b):
+                n += np.bincount(cells(values_of(tile))[1], minlength=bins)
+        yield {"bin": np.flatnonzero(n), "n": n[n > 0]}
+
+    def values(blocks: Iterator[tuple[Block, Block]]) -> Iterator[dict[str, np.ndarray]]:
+        for a, b in blocks:
+            for tile in tiles(a, b):
+                w = cells(values_of(tile))[0]
+                yield {"w": w if digits is None else np.round(w, digits)}
+
+    def counted(blocks: Iterator[tuple[Block, Block]]) -> Iterator[dict[str, np.ndarray]]:
+        for some in gathered(values(blocks)):
+            w, c = np.unique(some["w"], return_counts=True)
+            yield {"w": w, "c": 2 * c}
+
+    for _ in range(1 if digits is not None and 2 * 10.0**digits <= float(bins) ** 2 else 2):
         total = np.zeros(bins, np.int64)
-        for r in by_blocks(vectors, block, kernel, "bin long, n long", digits).groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most ``bins`` rows
+        for r in of_pairs(pairs, histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most ``bins`` rows
             total[r.bin] = 2 * r.n
-        total[bin_of(within(np.ones(own)), low, high)] += own
+        total += own * np.bincount(cells(np.ones(1))[1], minlength=bins)
         upto = before + np.cumsum(total)
-        if not len(upto) or upto[-1] <= at:
+        if upto[-1] <= at:
             return vectors.sparkSession.createDataFrame([], "threshold double")
         k = int(np.argmax(upto > at))
         before = int(upto[k] - total[k])
-        chosen.append((low, high, k))
-        low, high = low + (high - low) * k / bins, low + (high - low) * (k + 1) / bins
-    rest = by_blocks(vectors, block, lambda u, v, w: pd.DataFrame({"w": within(w)}), "w double", digits).groupBy("w").agg((F.count("*") * 2).alias("c"))
-    if len(within(np.ones(own))):
-        rest = rest.unionByName(vectors.sparkSession.createDataFrame([(1.0, own)], "w double, c long")).groupBy("w").agg(F.sum("c").alias("c"))
-    order = Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)  # a 2^-31st of the value range
+        chosen.append(k)
+    rest = of_pairs(pairs, counted, "w double, c long")
+    if len(cells(np.ones(1))[0]) and own:
+        rest = rest.unionByName(vectors.sparkSession.createDataFrame([(1.0, own)], "w double, c long"))
+    rest = rest.groupBy("w").agg(F.sum("c").alias("c"))
+    order = Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)  # a part of the value range with few values
     return rest.withColumn("upto", F.lit(before) + F.sum("c").over(order)).filter(F.col("upto") > at).agg(F.min("w").alias("threshold"))
 
 

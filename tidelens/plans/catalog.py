@@ -430,23 +430,22 @@ def vectors(spark, d):
 
 @query(f"WITH {EMB} SELECT i, j FROM sim WHERE round(w, 9) >= 0.3e0 UNION ALL SELECT j, i FROM sim WHERE round(w, 9) >= 0.3e0")
 def adjacency_threshold(spark, d):
-    half = nw.adjacency(rounded(nw.similarity_blocks(vectors(spark, d), least=0.3 - 1e-9), "w"), 0.3)
-    return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    return nw.similar_links(vectors(spark, d), 0.3, digits=9)
 
 
 @query(f"WITH {EMB}, e AS (SELECT i, j, round(w, 9) AS w FROM sim WHERE abs(w) > 0.35e0) SELECT * FROM e UNION ALL SELECT j, i, w FROM e")
 def corr_network_edges(spark, d):
-    return rounded(nw.correlation_edges(vectors(spark, d), 0.35), "w")
+    return nw.correlation_edges(vectors(spark, d), 0.35, digits=9)
 
 
 @query(SQL["corr_network_edges"])
 def corr_network_pruned(spark, d):
-    return rounded(nw.correlation_edges(vectors(spark, d), 0.35, block=64, pivots=16), "w")
+    return nw.correlation_edges(vectors(spark, d), 0.35, block=64, pivots=16, digits=9)
 
 
 @query(f"WITH RECURSIVE {EMB}, e AS MATERIALIZED (SELECT i, j, round(w, 9) AS w FROM sim WHERE abs(w) > 0.35e0), ee AS MATERIALIZED (SELECT i, j FROM e UNION SELECT j, i FROM e), c AS (SELECT i AS node, i AS label FROM ee UNION SELECT ee.j, c.label FROM c JOIN ee ON ee.i = c.node), l AS (SELECT node, min(label) AS label FROM c GROUP BY 1), g AS (SELECT label FROM l GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1), k AS (SELECT e.* FROM e JOIN l ON node = i JOIN g USING (label)) SELECT * FROM k UNION ALL SELECT j, i, w FROM k")
 def corr_network_giant(spark, d):
-    return rounded(nw.correlation_edges(vectors(spark, d), 0.35, giant=True), "w")
+    return nw.correlation_edges(vectors(spark, d), 0.35, giant=True, digits=9)
 
 
 @query(f"WITH {EMB}, s AS (SELECT round(abs(w), 9) AS w FROM sim), r AS (SELECT max(w) AS top, count(*) AS nn FROM s), k AS (SELECT least(49, floor(w * 50 / top))::BIGINT AS bin, count(*) AS n FROM s, r GROUP BY 1) SELECT g::BIGINT AS bin, round(g * top / 50, 6) AS threshold, round(sum(coalesce(n, 0)) OVER (ORDER BY g DESC) / nn, 9) AS density FROM (SELECT unnest(generate_series(0, 50)) AS g) LEFT JOIN k ON bin = g, r")
